@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tieline.llm import neardup, sharding
+from tieline.llm import decontam, neardup, quality_rules, secret_scan, sharding
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.op1,
     "op6_jump_hash_sharding": sharding.op6,
     "op7_minhash_near_dedup": neardup.op7,
+    "op8_benchmark_decontamination": decontam.op8,
+    "op9_secret_scan": secret_scan.op9,
 }
 
 ORACLE = {
@@ -25,5 +28,23 @@ with recursive words as (
 ), least_id as (select x, min(y) as component_id from reach group by x)
 select w.doc_id, coalesce(s.n, 0)::bigint as n_shingles, l.component_id, w.doc_id = l.component_id as kept
 from words w left join sizes s on s.doc_id = w.doc_id join least_id l on l.x = w.doc_id
+""",
+    "op8_benchmark_decontamination": r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') as w from documents
+), b as (
+  select item_id::varchar as i, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') as w from benchmark
+), bw as (
+  select distinct i, least(len(w), 13) as size, array_to_string(w[k:k + least(len(w), 13) - 1], ' ') as s
+  from (select i, w, unnest(range(1, len(w) - least(len(w), 13) + 2)) as k from b where len(w) > 0)
+), dw as (
+  select doc_id, k, size, array_to_string(w[k:k + size - 1], ' ') as s
+  from (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as k from d, (select distinct size from bw) where len(w) >= size)
+), hit as (select doc_id, k, dw.size, i from dw join bw on dw.s = bw.s and dw.size = bw.size
+), n as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(k, k + size)) as p from hit) group by doc_id
+), m as (select doc_id, count(*) as n_items, string_agg(i, ',' order by i) as names from (select distinct doc_id, i from hit) group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join n using (doc_id) left join m using (doc_id)
 """,
 }
