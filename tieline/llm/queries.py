@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tieline.llm import decontam, neardup, quality_rules, secret_scan, sharding
+from tieline.llm import decontam, line_dedup, neardup, packing, quality_rules, secret_scan, sharding
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1,
+    "op5_line_dedup": line_dedup.op5,
     "op6_jump_hash_sharding": sharding.op6,
     "op7_minhash_near_dedup": neardup.op7,
     "op8_benchmark_decontamination": decontam.op8,
     "op9_secret_scan": secret_scan.op9,
+    "op10_best_fit_packing": packing.op10,
 }
 
 ORACLE = {
