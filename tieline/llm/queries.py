@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tieline.llm import decontam, line_dedup, neardup, packing, quality_rules, secret_scan, sharding
+from tieline.llm import decontam, line_dedup, neardup, packing, quality_rules, secret_scan, sharding, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1,
+    "op2_toxic_spans": toxicity.op2,
     "op5_line_dedup": line_dedup.op5,
     "op6_jump_hash_sharding": sharding.op6,
     "op7_minhash_near_dedup": neardup.op7,
