@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tieline.llm import decontam, line_dedup, neardup, packing, quality_rules, secret_scan, sharding, toxicity
+from tieline.llm import decontam, html_extract, line_dedup, neardup, packing, quality_rules, secret_scan, sharding, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1,
     "op2_toxic_spans": toxicity.op2,
+    "op3_html_extraction": html_extract.op3,
+    "op4_warc_derivatives": warc.op4,
     "op5_line_dedup": line_dedup.op5,
     "op6_jump_hash_sharding": sharding.op6,
     "op7_minhash_near_dedup": neardup.op7,

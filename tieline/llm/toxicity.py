@@ -19,7 +19,7 @@ from tieline.llm.common import LOWER, NON_SPACE, doc_chunks, table, text_buffers
 MAX_POSITIVE, MAX_NEGATIVE, MAX_CHARS = 1500, 3000, 20_000
 #: A token of a toxic text is labelled toxic by a feature that is SEED_SHARE or more toxic (by text frequencies) and either
 #: stands in SEED_COMMON of the toxic texts or is needed to explain SEED_NEW of them that no better one explains.
-SEED_SHARE, SEED_TEXTS, SEED_COMMON, SEED_NEW = 0.97, 4, 0.04, 0.01
+SEED_SHARE, SEED_TEXTS, SEED_COMMON, SEED_NEW = 0.85, 4, 0.04, 0.01
 SEGMENT, EPOCHS, RATE, RIDGE = 60, 25, 0.5, 0.3
 MIN_FEATURE = 3
 #: A token belongs to a span from this marginal on; smaller marginals than FLOOR do not add to a text's mass.
@@ -33,7 +33,7 @@ _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 def features(word: str) -> list[str]:
     """Features of a lower-case word: its core without outer marks, that core's first and last letters, its kind."""
     core = _EDGE.sub("", word)
-    out = ["w=" + core, "p3=" + core[:3], "p4=" + core[:4], "p5=" + core[:5], "s3=" + core[-3:], "s4=" + core[-4:]]
+    out = ["w=" + core, *(f"p{k}=" + core[:k] for k in (3, 4, 5, 6, 7)), "s3=" + core[-3:], "s4=" + core[-4:]]
     if any(c.isdigit() for c in core):
         out.append("digit")
     if len(core) < len(word):
