@@ -1,4 +1,469 @@
-"""Registered queries and their DuckDB equivalents."""
+"""Registered queries over the portable fixture, and their DuckDB equivalents."""
 
-QUERIES = {}
-ORACLE = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tieline.functions import fuzzy, keys, text
+from tieline.functions.script import Script, learn_script, units
+from tieline.operators import features, learn, metrics, vectors
+from tieline.plans import pipeline
+from tieline.sources import fixture, tsv
+
+NOISE = frozenset({"pvt", "ltd", "llc", "inc", "limited"})
+ADDRESS_LEXICON = {"rd": "road", "st": "street", "ave": "avenue"}
+ART = pipeline.Artefacts(pipeline.Config(max_df_frac=0.2, lexicon_min_count=5, noise_min_count=20, trees=8, depth=4), {}, ADDRESS_LEXICON, NOISE)
+K, KD, TAU = 10, 30, 0.6
+
+# ---------------------------------------------------------------- DuckDB side
+
+SQL_WORDS = """
+a as ({anchors}), t as ({targets}), truth as ({truth}),
+recs as (select 'a' as side, * from a union all select 't' as side, * from t),
+folded as (select side, entity_id, country, replace(strip_accents(lower(business_name)), '''', '') as name, replace(strip_accents(lower(business_address)), '''', '') as addr from recs),
+toks as (select *, regexp_extract_all(replace(name, 'l.l.c.', 'llc'), '[a-z0-9]+') as raw,
+  list_transform(regexp_extract_all(addr, '[a-z0-9]+'), lambda x: case x when 'rd' then 'road' when 'st' then 'street' when 'ave' then 'avenue' else x end) as addr_tokens from folded),
+views as (select *, case when len(list_filter(raw, lambda x: x not in ('pvt', 'ltd', 'llc', 'inc', 'limited'))) > 0
+  then list_filter(raw, lambda x: x not in ('pvt', 'ltd', 'llc', 'inc', 'limited')) else raw end as core_tokens,
+  list_sort(list_distinct(list_transform(regexp_extract_all(array_to_string(addr_tokens, ' '), '[0-9]+'), lambda x: case when ltrim(x, '0') = '' then '0' else ltrim(x, '0') end))) as nums from toks)
+""".format(anchors=fixture.sql(fixture.ANCHORS), targets=fixture.sql(fixture.TARGETS), truth=fixture.sql(fixture.TRUTH))
+
+SQL_NAME_BAG = """
+name_grams as (select side, entity_id, country, s, unnest(range(1, length(s) - 1)) as i from (select *, '^' || array_to_string(core_tokens, '') || '$' as s from views where len(core_tokens) > 0)),
+name_bag as (select side, entity_id, country, feature, sum(tf)::double as tf from (
+  select side, entity_id, country, 'w' || unnest(core_tokens) as feature, 2.0 as tf from views
+  union all select side, entity_id, country, 'g' || substr(s, i, 3), 1.0 from name_grams
+  union all select side, entity_id, country, 'i' || case when len(core_tokens) >= 2 then array_to_string(list_transform(core_tokens, lambda x: x[1]), '') else core_tokens[1] end, 1.0
+    from views where len(core_tokens) >= 2 or regexp_full_match(core_tokens[1], '[a-z]{2,4}')) group by all)
+"""
+SQL_RAW_BAG = """
+raw_grams as (select side, entity_id, country, s, unnest(range(1, length(s) - 1)) as i from (select *, '^' || array_to_string(raw, ' ') || '$' as s from views)),
+raw_bag as (select side, entity_id, country, 'r' || substr(s, i, 3) as feature, count(*)::double as tf from raw_grams where length(s) >= 3 group by all)
+"""
+SQL_ADDR_BAG = """
+spots as (select side, entity_id, country, addr_tokens as ts, unnest(range(1, len(addr_tokens) + 1)) as i from views),
+addr_words as (select *, ts[i] as w, regexp_full_match(ts[i], '[a-z]+') as alpha from spots),
+runs as (select *, case when ltrim(x, '0') = '' then '0' else ltrim(x, '0') end as n from (select *, unnest(regexp_extract_all(w, '[0-9]+')) as x from addr_words where not alpha)),
+cuts as (select *, unnest(range(1, length(n) + 1)) as j from runs where length(n) >= 3),
+sides as (select *, unnest([i - 1, i + 1]) as o from runs),
+addr_bag as (select side, entity_id, country, feature, sum(tf)::double as tf from (
+  select side, entity_id, country, 'a' || w as feature, 1.0 as tf from addr_words where alpha and length(w) >= 2
+  union all select side, entity_id, country, 'm' || w, 1.0 from addr_words where not alpha and not regexp_full_match(w, '[0-9]+')
+  union all select side, entity_id, country, 'n' || n, 1.5 from runs
+  union all select side, entity_id, country, 'd' || n, 0.5 from runs where length(n) >= 2
+  union all select side, entity_id, country, 'd' || substr(n, 1, j - 1) || substr(n, j + 1), 0.5 from cuts
+  union all select side, entity_id, country, 'c' || n || '|' || ts[o], 1.0 from sides where o >= 1 and o <= len(ts) and regexp_full_match(ts[o], '[a-z]{3,}')) group by all)
+"""
+
+
+def sql_vectors(c: str) -> str:
+    return f"""
+{c}_idf as (select feature, count(*) as df, ln(((select count(*) from a) + 1.0) / (count(*) + 1.0)) + 1 as idf, count(*) > 0.2 * (select count(*) from a) as pruned from {c}_bag where side = 'a' group by feature),
+{c}_med as (select median(idf) as m from {c}_idf),
+{c}_v as (select side, entity_id, country, b.feature, (case when tf > 1 then 1 + ln(tf) else tf end) * coalesce(idf, m) as v, coalesce(pruned, false) as pruned from {c}_bag b left join {c}_idf i on b.feature = i.feature, {c}_med),
+{c}_w as (select *, v / sqrt(sum(v * v) over (partition by side, entity_id)) as w from {c}_v),
+{c}_s as (select x.entity_id as tgt_id, y.entity_id as s1_id, sum(x.w * y.w) as score from {c}_w x join {c}_w y on x.country = y.country and x.feature = y.feature
+  where x.side = 't' and y.side = 'a' and not x.pruned and not y.pruned group by all),
+{c}_r as (select *, row_number() over (partition by tgt_id order by round(score, 9) desc, s1_id) - 1 as rank from {c}_s),
+{c}_top as (select * from {c}_r where rank < 10)
+"""
+
+
+SQL_PAIRS = """
+both_ch as (select tgt_id, s1_id, 'name' as ch, rank from name_top union all select tgt_id, s1_id, 'addr', rank from addr_top),
+pairs0 as (select tgt_id, s1_id, coalesce(min(case when ch = 'name' then rank end), 128) as rank_name, coalesce(min(case when ch = 'addr' then rank end), 128) as rank_addr,
+  count(*) as n_channels, sum(1.0 / (60 + rank)) as rrf from both_ch group by all),
+cos_n as (select p.tgt_id, p.s1_id, sum(x.w * y.w) as c from pairs0 p join name_w x on x.side = 't' and x.entity_id = p.tgt_id join name_w y on y.side = 'a' and y.entity_id = p.s1_id and y.feature = x.feature group by all),
+cos_a as (select p.tgt_id, p.s1_id, sum(x.w * y.w) as c from pairs0 p join addr_w x on x.side = 't' and x.entity_id = p.tgt_id join addr_w y on y.side = 'a' and y.entity_id = p.s1_id and y.feature = x.feature group by all),
+pairs as (select p.*, coalesce(n.c, 0) as cos_name, coalesce(d.c, 0) as cos_addr, round(0.5 * coalesce(n.c, 0) + 0.5 * coalesce(d.c, 0), 6) as p1
+  from pairs0 p left join cos_n n using (tgt_id, s1_id) left join cos_a d using (tgt_id, s1_id)),
+best as (select * from (select *, row_number() over (partition by tgt_id order by p1 desc, s1_id) - 1 as r from pairs) where r = 0),
+decided as (select * from best where p1 >= 0.6)
+"""
+SQL_SCORES = """
+n_true as (select s1_id, count(*) as n_true from truth group by all), n_pred as (select s1_id, count(*) as n_pred from decided group by all),
+n_tp as (select s1_id, count(*) as tp from decided join truth using (tgt_id, s1_id) group by all),
+base as (select entity_id as s1_id, country, coalesce(n_true, 0) as n_true, coalesce(n_pred, 0) as n_pred, coalesce(tp, 0) as tp from a left join n_true on n_true.s1_id = entity_id left join n_pred on n_pred.s1_id = entity_id left join n_tp on n_tp.s1_id = entity_id),
+pr as (select *, case when n_true = 0 then (case when n_pred = 0 then 1.0 else 0.0 end) when n_pred = 0 then 0.0 else tp / n_pred end as p, case when n_true = 0 then (case when n_pred = 0 then 1.0 else 0.0 end) else tp / n_true end as r from base),
+scores as (select *, case when n_true = 0 then p when 0.25 * p + r > 0 then 1.25 * p * r / (0.25 * p + r) else 0.0 end as f from pr)
+"""
+NAMES, ADDRESSES = f"with {SQL_WORDS}, {SQL_NAME_BAG}", f"with {SQL_WORDS}, {SQL_ADDR_BAG}"
+SEARCH = f"{NAMES}, {sql_vectors('name')}"
+PAIRS = f"{SEARCH}, {SQL_ADDR_BAG}, {sql_vectors('addr')}, {SQL_PAIRS}"
+SCORED = f"{PAIRS}, {SQL_SCORES}"
+
+# ---------------------------------------------------------------- Spark side
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    a, t = fixture.anchors(spark, d).withColumn("side", F.lit("a")), fixture.targets(spark, d).withColumn("side", F.lit("t"))
+    return pipeline.views(a.unionByName(t), ART)
+
+
+def _side(spark: SparkSession, d: str, side: str) -> DataFrame:
+    return pipeline.views((fixture.anchors if side == "a" else fixture.targets)(spark, d), ART)
+
+
+def _bags(spark: SparkSession, d: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    make = {"name": lambda: text.name_bag(F.col("core_tokens")), "addr": lambda: text.address_bag(F.col("addr_tokens")), "raw": lambda: text.raw_bag(F.col("raw"))}[kind]
+    return tuple(text.long_bag(_side(spark, d, s), make()) for s in "at")
+
+
+def _idf(spark: SparkSession, d: str, kind: str) -> vectors.Idf:
+    return vectors.fit_idf(_bags(spark, d, kind)[0], fixture.anchors(spark, d).count(), ART.config.max_df_frac)
+
+
+def _weights(spark: SparkSession, d: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    idf = _idf(spark, d, kind)
+    return tuple(vectors.weigh(b, idf) for b in _bags(spark, d, kind))
+
+
+def _hits(spark: SparkSession, d: str, kind: str, k: int = K) -> DataFrame:
+    a, t = _weights(spark, d, kind)
+    return vectors.sparse_search(t, a, k)
+
+
+def _union(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.union_channels({c: _hits(spark, d, c) for c in ("name", "addr")})
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    out = _union(spark, d)
+    for c in ("name", "addr"):
+        a, t = _weights(spark, d, c)
+        out = vectors.pair_cosine(out, t, a, f"cos_{c}")
+    return out.withColumn("p1", F.round(0.5 * F.col("cos_name") + 0.5 * F.col("cos_addr"), 6))
+
+
+def _decided(spark: SparkSession, d: str) -> DataFrame:
+    return features.best_parent(_pairs(spark, d), "p1", TAU)
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.entity_scores(fixture.anchors(spark, d).select("entity_id", "country"), fixture.truth(spark, d), _decided(spark, d))
+
+
+def _six(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def _long(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).cast("long").alias(c) if t in ("int", "tinyint") else F.col(c) for c, t in df.dtypes])
+
+
+def _joined(column: str):
+    return lambda s, d: _records(s, d).select("side", "entity_id", F.array_join(column, " ").alias("v"))
+
+
+def _bag(kind: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        a, t = _bags(spark, d, kind)
+        return _six(a.withColumn("side", F.lit("a")).unionByName(t.withColumn("side", F.lit("t"))).select("side", "entity_id", "feature", "tf"), "tf")
+
+    return run
+
+
+def _tokens_of_documents(spark: SparkSession, d: str) -> DataFrame:
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("lang = 'en'")
+    found = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
+    return docs.select("doc_id", F.size(found).cast("long").alias("n"), F.size(F.array_distinct(found)).cast("long").alias("distinct_n"))
+
+
+def _adaptive(spark: SparkSession, d: str) -> DataFrame:
+    empty = _side(spark, d, "t").where(F.size("addr_tokens") == 0).select(F.col("entity_id").alias("tgt_id"))
+    deep = vectors.adaptive(_hits(spark, d, "name", KD), empty, K)
+    return deep.groupBy("tgt_id").agg(F.count("*").alias("n"), F.max("deep").alias("deep"), F.round(F.max("score"), 6).alias("top"))
+
+
+def _dense(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("entity_id"), F.col("label").cast("string").alias("country"), F.col("embedding").alias("vec"), "vec_id")
+    hits = vectors.dense_search(e.where("vec_id % 3 = 0"), e.where("vec_id % 3 <> 0"), 5)
+    return _long(hits.select("tgt_id", "s1_id", "rank", F.round("score", 5).alias("score")))
+
+
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    out = features.second_gap(features.group_features(_pairs(spark, d), ("name", "addr")), "cos_name", "second_gap")
+    return _six(_long(out.select("tgt_id", "s1_id", "union_size", "qrank_name", "qrank_addr", "gap_name", "gap_addr", "max_name", "max_addr", "second_gap")), "gap_name", "gap_addr", "max_name", "max_addr", "second_gap")
+
+
+def _competition(spark: SparkSession, d: str) -> DataFrame:
+    out = features.competition(_pairs(spark, d)).select("tgt_id", "s1_id", *features.COMPETITION)
+    return _six(_long(out), "p1", "p1_margin_t", "s1_sum_p1", "s1_max_p1", "p1_gap_s1")
+
+
+def _fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    links = fixture.truth(spark, d)
+    t, a = (_side(spark, d, s).select(F.col("entity_id").alias(k), F.col("name").alias(n)) for s, k, n in (("t", "tgt_id", "x"), ("a", "s1_id", "y")))
+    return links.join(t, "tgt_id").join(a, "s1_id").select("tgt_id", "s1_id", F.round(fuzzy.score("jaro_winkler", F.col("x"), F.col("y")), 6).alias("jw"))
+
+
+def _all_fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    out = features.string_features(_decided(spark, d).select("tgt_id", "s1_id"), _side(spark, d, "t"), _side(spark, d, "a"))
+    return _six(out.select("tgt_id", "s1_id", *features.STRINGS), *features.STRINGS)
+
+
+def _numbers_features(spark: SparkSession, d: str) -> DataFrame:
+    return _all_fuzzy(spark, d).select("tgt_id", "s1_id", "core_equal", "raw_equal", "t_addr_empty", "num_shared", "num_conflict", "num_t", "num_s", "len_t", "len_s")
+
+
+def _link_tokens(spark: SparkSession, d: str, column: str) -> DataFrame:
+    return learn.token_pairs(fixture.truth(spark, d), _side(spark, d, "a"), _side(spark, d, "t"), column)
+
+
+def _lexicon(spark: SparkSession, d: str) -> DataFrame:
+    plain = pipeline.Artefacts()
+    pairs = learn.token_pairs(fixture.truth(spark, d), pipeline.views(fixture.anchors(spark, d), plain), pipeline.views(fixture.targets(spark, d), plain), "addr_raw")
+    return learn.lexicon_counts(pairs).where("n >= 5")
+
+
+def _noise(spark: SparkSession, d: str) -> DataFrame:
+    return learn.noise_counts(_link_tokens(spark, d, "raw"))
+
+
+def _lists(spark: SparkSession, d: str) -> DataFrame:
+    return tsv.id_lists(fixture.anchors(spark, d), _decided(spark, d), "p1")
+
+
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    return _six(metrics.segments(_scores(spark, d)), "p", "r", "f05")
+
+
+def _recall(spark: SparkSession, d: str) -> DataFrame:
+    name, addr = _hits(spark, d, "name"), _hits(spark, d, "addr")
+    hits = {"name": name, "addr": addr, "either": name.select("tgt_id", "s1_id").union(addr.select("tgt_id", "s1_id"))}
+    return _six(metrics.recall(hits, fixture.truth(spark, d), fixture.anchors(spark, d)), *hits)
+
+
+def _findings(spark: SparkSession, d: str) -> DataFrame:
+    """A spoiled copy of the results: bad prefixes, self matches, repeats, a missing and an unknown anchor."""
+    good = _lists(spark, d).select(F.col("source1_entity_id").alias("s1"), F.col("matched_entity_ids").alias("value"))
+    k = F.substring("s1", 4, 20).cast("long")
+    bad = good.where(k % 50 != 3).withColumn("value", F.when(k % 50 == 1, F.concat(F.lit("X-1,"), "value")).when(k % 50 == 2, F.lit("S1-1,S2-9,S2-9")).otherwise(F.col("value")))
+    bad = bad.unionByName(good.where(k % 50 == 4)).unionByName(good.where(k == 10).withColumn("s1", F.lit("S1-nobody")))
+    out = metrics.findings(bad, good.select("s1"))
+    return out.select("rule", "n", F.array_join("examples", ",").alias("examples"))
+
+
+def _outside(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.outside_candidates(fixture.truth(spark, d), _union(spark, d))
+
+
+def _ambiguity(spark: SparkSession, d: str) -> DataFrame:
+    missed = fixture.truth(spark, d).join(_decided(spark, d), ["tgt_id", "s1_id"], "left_anti").select("s1_id")
+    return metrics.ambiguity(missed, _side(spark, d, "a").select("entity_id", "country", "core"))
+
+
+def _ties(spark: SparkSession, d: str) -> DataFrame:
+    kept = _decided(spark, d).select("tgt_id", "s1_id", F.lit(1).alias("kept"))
+    pairs = pipeline.labelled(_pairs(spark, d), fixture.truth(spark, d)).join(kept, ["tgt_id", "s1_id"], "left").fillna(0, ["kept"])
+    return metrics.tie_histogram(pairs, ("cos_name", "cos_addr"))
+
+
+def _tau(spark: SparkSession, d: str) -> DataFrame:
+    return _six(metrics.tau_grid(fixture.anchors(spark, d), fixture.truth(spark, d), features.best_parent(_pairs(spark, d), "p1"), "p1"), "f05")
+
+
+def _floor(spark: SparkSession, d: str) -> DataFrame:
+    rows = pipeline.labelled(features.competition(_pairs(spark, d)), fixture.truth(spark, d))
+    return _six(metrics.floor_grid(rows, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7]), "recall")
+
+
+INDIC = [("ग्रीन बिल्डर्स", "green builders"), ("ग्रीन", "green"), ("बिल्डर्स", "builders"), ("प्रा", "pra"), ("लिमिटेड", "limited"), ("কলকাতা", "kolkata")]
+
+
+def _script(spark: SparkSession, d: str) -> DataFrame:
+    """Folded Indic words, their units, and what a table learned from the same words makes of them."""
+    df = spark.createDataFrame(INDIC, "w string, latin string").withColumn("tokens", text.raw_tokens(text.fold(F.col("w"))))
+    pairs = {(r["z"]["a"], r["z"]["b"]): 3 for r in df.select(F.explode(F.arrays_zip(F.col("tokens").alias("a"), F.split("latin", " ").alias("b"))).alias("z")).collect()}
+    script: Script = learn_script(pairs, min_mass=0.5)
+    cut = F.udf(lambda ts: [u for t in ts for u in units(t)], "array<string>")
+    out = df.withColumn("out", script.latin_column(F.col("tokens")))
+    return out.select("w", F.array_join("tokens", " ").alias("tokens"), F.array_join(cut("tokens"), " ").alias("units"), F.array_join("out", " ").alias("latin"), F.array_join(script.sound_column(F.col("out")), " ").alias("sound"))
+
+
+def _models(spark: SparkSession, d: str) -> DataFrame:
+    """Both boosted stages end to end; the accepted link of each target."""
+    config = ART.config
+    decided, _, _ = pipeline.link(fixture.anchors(spark, d), fixture.targets(spark, d), fixture.truth(spark, d), config)
+    return decided
+
+
+def _features27(spark: SparkSession, d: str) -> DataFrame:
+    return pipeline.candidates(fixture.anchors(spark, d), fixture.targets(spark, d), ART).select("tgt_id", "s1_id", *features.STAGE1)
+
+
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    """The targets, written as files and read as a stream, scored against static anchors."""
+    from tieline.streaming.candidates import stream_candidates
+
+    folder = _shared(spark)
+    fixture.targets(spark, d).repartition(2).write.parquet(f"{folder}/targets")
+    schema = fixture.targets(spark, d).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/targets")
+    stream_candidates(stream, fixture.anchors(spark, d), ART, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("tgt_id", "s1_id", "n_channels")
+
+
+def _shared(spark: SparkSession) -> str:
+    """A new folder that the driver and the executors share."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tieline-")
+    return f"{root}/tieline-{uuid.uuid4().hex}"
+
+
+def _flagship(spark: SparkSession, d: str) -> DataFrame:
+    return _segments(spark, d)
+
+
+QUERIES = {
+    "flagship_link_and_score": _flagship,
+    "p2_code_roundtrip": lambda s, d: fixture.targets(s, d).select("entity_id", keys.id_code(F.col("entity_id")).alias("code"), keys.code_id(keys.id_code(F.col("entity_id"))).alias("back")),
+    "p3_hash_sample": lambda s, d: fixture.anchors(s, d).select("entity_id", keys.product_hash(keys.id_code(F.col("entity_id"))).alias("h"), keys.hash_sampled(keys.id_code(F.col("entity_id")), 0.3).alias("sampled"), keys.hash_slice(keys.id_code(F.col("entity_id")), 4).alias("slice")),
+    "p6_folds": lambda s, d: fixture.anchors(s, d).select("entity_id", keys.fold_of(F.col("entity_id")).alias("fold")),
+    "p12_truth_links": lambda s, d: tsv.links(_lists(s, d)),
+    "t1_fold": lambda s, d: _records(s, d).select("side", "entity_id", "name", "addr"),
+    "t3_tokens": _joined("raw"),
+    "t3_document_tokens": _tokens_of_documents,
+    "t8_lexicon": _joined("addr_tokens"),
+    "t9_core": _joined("core_tokens"),
+    "t15_numbers": _joined("nums"),
+    "t16_deletes": _joined("dels"),
+    "t5_t6_t7_script": _script,
+    "t11_name_bag": _bag("name"),
+    "t12_raw_bag": _bag("raw"),
+    "t13_addr_bag": _bag("addr"),
+    "t18_jaro_winkler": _fuzzy,
+    "t18_string_features": _all_fuzzy,
+    "m3_idf": lambda s, d: _six(_idf(s, d, "name").table, "idf"),
+    "m4_tfidf_norm": lambda s, d: _six(_weights(s, d, "addr")[1].select("entity_id", "feature", "w", "pruned"), "w"),
+    "m6_dot": lambda s, d: _dense(s, d).select("tgt_id", "score"),
+    "j2_sparse_topk": lambda s, d: _six(_long(_hits(s, d, "name")), "score"),
+    "j2_address_topk": lambda s, d: _six(_long(_hits(s, d, "addr")), "score"),
+    "k3_adaptive_depth": _adaptive,
+    "j3_vector_topk": _dense,
+    "j5_channel_union": lambda s, d: _six(_long(_union(s, d)), "rrf"),
+    "w8_true_rank": lambda s, d: vectors.true_rank(_union(s, d), fixture.truth(s, d)),
+    "m5_pair_cosine": lambda s, d: _six(_pairs(s, d).select("tgt_id", "s1_id", "cos_name", "cos_addr", "p1"), "cos_name", "cos_addr"),
+    "w1_w3_group_features": _groups,
+    "w5_w6_a8_competition": _competition,
+    "pair_features27": _features27,
+    "pair_number_features": _numbers_features,
+    "l4_lexicon_counts": _lexicon,
+    "l5_noise_counts": _noise,
+    "l10_l12_models": _models,
+    "l11_floor": _floor,
+    "l13_tau_grid": _tau,
+    "w7_one_parent": lambda s, d: _decided(s, d).select("tgt_id", "s1_id", "p1"),
+    "k4_pruned": lambda s, d: features.prune(_pairs(s, d), 3, 0.2).select("tgt_id", "s1_id", "p1"),
+    "s7_results": _lists,
+    "s8_match_lists": lambda s, d: tsv.match_lists(_lists(s, d)).select("s1_id", F.array_join("ids", ",").alias("ids"), "n_rows"),
+    "m10_entity_scores": lambda s, d: _six(_scores(s, d), "p", "r", "f"),
+    "a10_segments": _segments,
+    "a11_micro": lambda s, d: _six(metrics.micro(_scores(s, d)), "p", "r", "f05"),
+    "a12_recall": _recall,
+    "a14_ambiguity": _ambiguity,
+    "a18_tie_histogram": _ties,
+    "v10_findings": _findings,
+    "v11_merge": lambda s, d: metrics.merge(fixture.anchors(s, d), [_lists(s, d).select(F.col("source1_entity_id").alias("s1"), F.col("matched_entity_ids").alias("value"))]),
+    "j11_outside_candidates": _outside,
+    "v2_candidates_stream": _stream,
+}
+
+_W = f"with {SQL_WORDS}"
+_LISTS = "lists as (select entity_id as s1, coalesce((select string_agg(tgt_id, ',' order by p1 desc, tgt_id) from decided where decided.s1_id = entity_id), '') as value from a)"
+_GRID = "[" + ", ".join(str(t) for t in metrics.TAUS) + "]"
+_DENSE = """select cast(tgt as varchar) as tgt_id, cast(src as varchar) as s1_id, rank, round(score, 5) as score from (
+  select x.vec_id as tgt, y.vec_id as src, list_dot_product(x.embedding::double[], y.embedding::double[]) as score,
+    row_number() over (partition by x.vec_id order by round(list_dot_product(x.embedding::double[], y.embedding::double[]), 9) desc, cast(y.vec_id as varchar)) - 1 as rank
+  from embeddings x join embeddings y on x.label = y.label where x.vec_id % 3 = 0 and y.vec_id % 3 <> 0) where rank < 5"""
+_SEGMENTS = f"""{SCORED}, typed as (select *, case when n_true = 0 then 'singleton' else 'linked' end as kind from scores)
+select case when grouping(kind) = 1 and grouping(country) = 1 then 'ALL' when grouping(kind) = 0 then kind else country end as segment,
+  count(*) as entities, round(avg(p), 6) as p, round(avg(r), 6) as r, round(avg(f), 6) as f05 from typed group by grouping sets ((), (kind), (country))"""
+
+ORACLE = {
+    "flagship_link_and_score": _SEGMENTS,
+    "p2_code_roundtrip": f"{_W} select entity_id, 20000000000 + cast(substr(entity_id, 4) as bigint) as code, entity_id as back from t",
+    "p3_hash_sample": f"""{_W}, h as (select entity_id, ((10000000000 + cast(substr(entity_id, 4) as bigint))::hugeint * 2654435761 % 4294967296)::bigint as h from a)
+      select entity_id, h, h / 4294967296.0::double < 0.3 as sampled, (h % 2147483648) % 4 as slice from h""",
+    "p12_truth_links": f"{PAIRS} select s1_id, tgt_id from decided",
+    "t1_fold": f"{_W} select side, entity_id, name, addr from folded",
+    "t3_tokens": f"{_W} select side, entity_id, array_to_string(raw, ' ') as v from views",
+    "t3_document_tokens": "select doc_id, len(x) as n, len(list_distinct(x)) as distinct_n from (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as x from documents where lang = 'en')",
+    "t8_lexicon": f"{_W} select side, entity_id, array_to_string(addr_tokens, ' ') as v from views",
+    "t9_core": f"{_W} select side, entity_id, array_to_string(core_tokens, ' ') as v from views",
+    "t15_numbers": f"{_W} select side, entity_id, array_to_string(nums, ' ') as v from views",
+    "t16_deletes": f"""{_W}, cut as (select side, entity_id, n, unnest(range(1, length(n) + 1)) as j from (select side, entity_id, unnest(nums) as n from views) where length(n) >= 3),
+      al as (select side, entity_id, unnest(nums) as x from views union select side, entity_id, substr(n, 1, j - 1) || substr(n, j + 1) from cut)
+      select v.side, v.entity_id, coalesce(string_agg(x, ' ' order by x), '') as v from views v left join al using (side, entity_id) group by all""",
+    "t11_name_bag": f"{NAMES} select side, entity_id, feature, round(tf, 6) as tf from name_bag",
+    "t12_raw_bag": f"{_W}, {SQL_RAW_BAG} select side, entity_id, feature, round(tf, 6) as tf from raw_bag",
+    "t13_addr_bag": f"{ADDRESSES} select side, entity_id, feature, round(tf, 6) as tf from addr_bag",
+    "t18_jaro_winkler": f"{_W} select tgt_id, s1_id, round(jaro_winkler_similarity(x.name, y.name), 6) as jw from truth join views x on x.entity_id = tgt_id join views y on y.entity_id = s1_id",
+    "m3_idf": f"{SEARCH} select feature, df, round(idf, 6) as idf, pruned from name_idf",
+    "m4_tfidf_norm": f"{ADDRESSES}, {sql_vectors('addr')} select entity_id, feature, round(w, 6) as w, pruned from addr_w where side = 't'",
+    "m6_dot": f"select tgt_id, score from ({_DENSE})",
+    "j2_sparse_topk": f"{SEARCH} select tgt_id, s1_id, round(score, 6) as score, rank from name_top",
+    "j2_address_topk": f"{ADDRESSES}, {sql_vectors('addr')} select tgt_id, s1_id, round(score, 6) as score, rank from addr_top",
+    "k3_adaptive_depth": f"""{SEARCH}, ends as (select tgt_id, max(case when rank = 0 then score end) as top, max(case when rank = 9 then score end) as last from name_r group by all),
+      deep as (select e.*, coalesce(top > 0 and last > 0 and last >= 0.9 * top, false) or len(v.addr_tokens) = 0 as deep from ends e join views v on v.entity_id = e.tgt_id)
+      select r.tgt_id, count(*) as n, bool_or(deep) as deep, round(max(score), 6) as top from name_r r join deep using (tgt_id) where rank < case when deep then 30 else 10 end group by r.tgt_id""",
+    "j3_vector_topk": _DENSE,
+    "j5_channel_union": f"{PAIRS} select tgt_id, s1_id, rank_name, rank_addr, n_channels, round(rrf, 6) as rrf from pairs0",
+    "w8_true_rank": f"""{PAIRS}, mine as (select tgt_id, rrf as m from pairs0 join truth using (tgt_id, s1_id)),
+      above as (select tgt_id, count(*) filter (round(rrf, 12) > round(m, 12)) as true_rank from pairs0 join mine using (tgt_id) group by all)
+      select tgt_id, true_rank from truth left join above using (tgt_id)""",
+    "m5_pair_cosine": f"{PAIRS} select tgt_id, s1_id, round(cos_name, 6) as cos_name, round(cos_addr, 6) as cos_addr, p1 from pairs",
+    "w1_w3_group_features": f"""{PAIRS}, g as (select *, count(*) over t as union_size, row_number() over (partition by tgt_id order by round(cos_name, 9) desc, s1_id) - 1 as qrank_name,
+      row_number() over (partition by tgt_id order by round(cos_addr, 9) desc, s1_id) - 1 as qrank_addr, max(cos_name) over t as max_name, max(cos_addr) over t as max_addr from pairs window t as (partition by tgt_id))
+      select tgt_id, s1_id, union_size, qrank_name, qrank_addr, round(cos_name - max_name, 6) as gap_name, round(cos_addr - max_addr, 6) as gap_addr, round(max_name, 6) as max_name, round(max_addr, 6) as max_addr,
+      round(max(case when qrank_name = 0 then cos_name end) over (partition by tgt_id) - coalesce(max(case when qrank_name = 1 then cos_name end) over (partition by tgt_id), 0), 6) as second_gap from g""",
+    "w5_w6_a8_competition": f"""{PAIRS}, g as (select *, row_number() over (partition by tgt_id order by round(p1, 9) desc, s1_id) - 1 as k, row_number() over (partition by s1_id order by round(p1, 9) desc, tgt_id) - 1 as rank_in_s1 from pairs),
+      h as (select *, max(case when k = 0 then p1 end) over t as b, coalesce(max(case when k = 1 then p1 end) over t, 0) as s, count(*) over t as n_kept_t,
+        count(*) over c as s1_n_cand, count(*) filter (k = 0) over c as s1_n_top1, sum(p1) over c as s1_sum_p1, max(p1) over c as s1_max_p1 from g window t as (partition by tgt_id), c as (partition by s1_id))
+      select tgt_id, s1_id, round(p1, 6) as p1, k as p1_rank_t, round(case when k = 0 then p1 - s else p1 - b end, 6) as p1_margin_t, n_kept_t, s1_n_cand, s1_n_top1, round(s1_sum_p1, 6) as s1_sum_p1, round(s1_max_p1, 6) as s1_max_p1, round(p1 - s1_max_p1, 6) as p1_gap_s1, rank_in_s1 from h""",
+    "pair_number_features": f"""{PAIRS} select d.tgt_id, d.s1_id, (array_to_string(x.core_tokens, '') = array_to_string(y.core_tokens, ''))::int::double as core_equal, (x.name = y.name)::int::double as raw_equal, (trim(x.addr) = '')::int::double as t_addr_empty,
+      len(list_intersect(x.nums, y.nums))::double as num_shared, (len(x.nums) > 0 and len(y.nums) > 0 and len(list_intersect(x.nums, y.nums)) = 0)::int::double as num_conflict, len(x.nums)::double as num_t, len(y.nums)::double as num_s,
+      length(x.name)::double as len_t, length(y.name)::double as len_s from decided d join views x on x.entity_id = d.tgt_id join views y on y.entity_id = d.s1_id""",
+    "l4_lexicon_counts": f"""{_W}, r as (select tgt_id, regexp_extract_all(x.addr, '[a-z0-9]+') as tt, regexp_extract_all(y.addr, '[a-z0-9]+') as ss from truth join folded x on x.entity_id = tgt_id join folded y on y.entity_id = s1_id),
+      e as (select tgt_id, ss, unnest(list_distinct(list_filter(tt, lambda w: not list_contains(ss, w)))) as t, tt from r), f as (select * from e where regexp_full_match(t, '[a-z]{{2,}}')),
+      u as (select t, count(*) as unmatched from f group by all), g as (select t, unnest(list_distinct(list_filter(ss, lambda w: not list_contains(tt, w) and regexp_full_match(w, '[a-z]+')))) as s from f),
+      k as (select t, s, count(*) as n from g where t[1] = s[1] and ((length(t) < length(s) and regexp_matches(s, array_to_string(string_split(t, ''), '.*'))) or (length(s) < length(t) and regexp_matches(t, array_to_string(string_split(s, ''), '.*')))) group by all)
+      select t, s, n, unmatched from k join u using (t) where n >= 5""",
+    "l5_noise_counts": f"""{_W}, r as (select list_distinct(x.raw) as tt, list_distinct(y.raw) as ss from truth join views x on x.entity_id = tgt_id join views y on y.entity_id = s1_id),
+      w as (select unnest(list_distinct(list_concat(tt, ss))) as word, tt, ss from r)
+      select word, count(*) filter (list_contains(ss, word)) as in_s, count(*) filter (list_contains(tt, word)) as in_t, count(*) filter (list_contains(ss, word) and list_contains(tt, word)) as both from w group by word""",
+    "l11_floor": f"""{PAIRS}, g as (select *, row_number() over (partition by tgt_id order by p1 desc, s1_id) - 1 as k from pairs)
+      select f as floor, round(count(*) / (select count(distinct tgt_id) from pairs), 6) as recall from (select unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7])::double as f), g join truth using (tgt_id, s1_id) where k < 20 and p1 >= f group by f""",
+    "l13_tau_grid": f"""{PAIRS}, grid as (select unnest({_GRID})::double as tau), b as (select b.*, q.tgt_id is not null as hit from best b left join truth q on q.tgt_id = b.tgt_id and q.s1_id = b.s1_id),
+      c as (select tau, s1_id, count(*) as n_pred, count(*) filter (hit) as tp from grid join b on p1 >= tau group by all), n as (select s1_id, count(*) as n_true from truth group by all),
+      x as (select tau, entity_id, coalesce(n_true, 0) as nt, coalesce(n_pred, 0) as np, coalesce(tp, 0) as tp from grid cross join a left join c using (tau) left join n on n.s1_id = entity_id where false),
+      y as (select g.tau, a.entity_id, coalesce(n.n_true, 0) as nt, coalesce(c.n_pred, 0) as np, coalesce(c.tp, 0) as tp from grid g cross join a left join c on c.tau = g.tau and c.s1_id = a.entity_id left join n on n.s1_id = a.entity_id),
+      z as (select *, case when np > 0 then tp / np else 0.0 end as p, case when nt > 0 then tp / nt else 0.0 end as r from y)
+      select tau, round(avg(case when nt = 0 then (case when np = 0 then 1.0 else 0.0 end) when 0.25 * p + r > 0 then 1.25 * p * r / (0.25 * p + r) else 0.0 end), 6) as f05 from z group by tau""",
+    "w7_one_parent": f"{PAIRS} select tgt_id, s1_id, p1 from decided",
+    "k4_pruned": f"{PAIRS} select tgt_id, s1_id, p1 from (select *, row_number() over (partition by tgt_id order by p1 desc, s1_id) - 1 as k from pairs) where k < 3 and p1 >= 0.2",
+    "s7_results": f"{PAIRS}, {_LISTS} select s1 as source1_entity_id, value as matched_entity_ids from lists",
+    "s8_match_lists": f"{PAIRS} select entity_id as s1_id, coalesce(string_agg(tgt_id, ',' order by tgt_id), '') as ids, 1 as n_rows from a left join decided on s1_id = entity_id group by entity_id",
+    "m10_entity_scores": f"{SCORED} select s1_id, country, n_true, n_pred, tp, round(p, 6) as p, round(r, 6) as r, round(f, 6) as f from scores",
+    "a10_segments": _SEGMENTS,
+    "a11_micro": f"""{SCORED}, m as (select sum(tp)::bigint as tp, sum(n_pred)::bigint as n_pred, sum(n_true)::bigint as n_true, count(*) filter (f = 1) as perfect, count(*) filter (n_true = 0 and n_pred > 0) as singleton_fp,
+      count(*) filter (n_true > 0 and tp = 0) as missed from scores), q as (select *, tp / greatest(n_pred, 1) as p, tp / greatest(n_true, 1) as r from m)
+      select tp, n_pred, n_true, perfect, singleton_fp, missed, round(p, 6) as p, round(r, 6) as r, round(case when 0.25 * p + r > 0 then 1.25 * p * r / (0.25 * p + r) else 0 end, 6) as f05 from q""",
+    "a12_recall": f"""{PAIRS}, x as (select country, exists(select 1 from name_top n where n.tgt_id = q.tgt_id and n.s1_id = q.s1_id) as n, exists(select 1 from addr_top d where d.tgt_id = q.tgt_id and d.s1_id = q.s1_id) as d from truth q join a on a.entity_id = q.s1_id)
+      select country, count(*) as n_links, round(avg(n::int), 6) as name, round(avg(d::int), 6) as addr, round(avg((n or d)::int), 6) as either from x group by rollup (country)""",
+    "a14_ambiguity": f"""{PAIRS}, c as (select entity_id, country, array_to_string(core_tokens, '') as core from views where side = 'a'), s as (select country, core, count(*) as same_core from c group by all)
+      select same_core, count(*) as n from truth q join c on c.entity_id = q.s1_id join s on s.country = c.country and s.core = c.core where not exists (select 1 from decided d where d.tgt_id = q.tgt_id and d.s1_id = q.s1_id) group by same_core""",
+    "a18_tie_histogram": f"""{PAIRS}, m as (select p.tgt_id, p.cos_name as cn, p.cos_addr as ca from pairs p join truth using (tgt_id, s1_id) where not exists (select 1 from decided d where d.tgt_id = p.tgt_id and d.s1_id = p.s1_id)),
+      n as (select tgt_id, count(*) filter (abs(cos_name - cn) <= 1e-4 and abs(cos_addr - ca) <= 1e-4) as n from pairs join m using (tgt_id) group by all) select cast(floor(least(n, 100) / 10) * 10 as bigint) as bin, count(*) as targets from n group by all""",
+    "v10_findings": f"""{PAIRS}, {_LISTS}, good as (select *, cast(substr(s1, 4) as bigint) as k from lists),
+      bad as (select s1, case when k % 50 = 1 then 'X-1,' || value when k % 50 = 2 then 'S1-1,S2-9,S2-9' else value end as value from good where k % 50 <> 3 union all select s1, value from good where k % 50 = 4 union all select 'S1-nobody', value from good where k = 10),
+      each as (select s1, list_filter(string_split(value, ','), lambda x: x <> '') as ids from bad), flat as (select s1, unnest(ids) as id from each),
+      f as (select 'duplicate_row' as rule, s1 as id from each group by s1 having count(*) > 1 union all select 'repeated_id', s1 from each where len(ids) > len(list_distinct(ids)) union all select 'self_match', id from flat where id like 'S1-%'
+        union all select 'bad_prefix', id from flat where not regexp_matches(id, '^S[123]-') union all select 'missing_s1', s1 from lists where s1 not in (select s1 from each) union all select 'unknown_s1', s1 from each where s1 not in (select s1 from lists))
+      select rule, count(*) as n, array_to_string(list_sort(list_distinct(list(id)))[1:5], ',') as examples from f group by rule""",
+    "v11_merge": f"{PAIRS}, {_LISTS} select s1, value from lists",
+    "j11_outside_candidates": f"{PAIRS} select s1_id, tgt_id from truth q where not exists (select 1 from pairs0 p where p.tgt_id = q.tgt_id and p.s1_id = q.s1_id)",
+}
