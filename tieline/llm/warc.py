@@ -34,7 +34,7 @@ def plain_text(html: Column) -> Column:
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(name), F.lit(char))
     text = F.regexp_replace(text, "[ \\t\\x0B\\f\\r]+", " ")
-    return F.trim(F.regexp_replace(text, " ?\\n[ \\n]*", "\n"))
+    return F.regexp_replace(F.regexp_replace(text, " ?\\n[ \\n]*", "\n"), "^[ \\n]+|[ \\n]+$", "")
 
 
 def responses(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
