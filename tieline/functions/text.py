@@ -82,7 +82,7 @@ def without(tokens: Column, noise: set[str] | frozenset[str]) -> Column:
 
 def is_subsequence(short: Column, long: Column) -> Column:
     """Do the letters of ``short`` stand in ``long`` in that order? Both of letters and digits."""
-    return long.rlike(F.concat(F.array_join(F.transform(F.split(short, ""), lambda c: F.concat(c, F.lit(".*"))), "")))
+    return F.regexp_like(long, F.array_join(F.split(short, ""), ".*"))
 
 
 def numbers(tokens: Column) -> Column:

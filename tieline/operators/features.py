@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from tieline.functions import fuzzy
 
-TARGET = Window.partitionBy("tgt_id")
-ANCHOR = Window.partitionBy("s1_id")
 COSINES = ("name", "addr", "enc", "raw")
 STAGE1 = [
     *(f"cos_{c}" for c in COSINES[:3]), *(f"rank_{c}" for c in COSINES[:3]), "n_channels", *(f"gap_{c}" for c in COSINES[:3]), *(f"qrank_{c}" for c in COSINES[:3]), *(f"max_{c}" for c in COSINES[:3]),
@@ -22,25 +20,29 @@ STRINGS = [
 STAGE2 = STAGE1 + COMPETITION + STRINGS
 
 
-def rank_of(score: str, per: str, tie: str) -> Column:
+def per(key: str):
+    return Window.partitionBy(key)
+
+
+def rank_of(score: str, key: str, tie: str) -> Column:
     """Rank from 0 by descending score, ties to the smaller id."""
-    return F.row_number().over(Window.partitionBy(per).orderBy(F.round(score, 9).desc(), tie)) - 1
+    return F.row_number().over(Window.partitionBy(key).orderBy(F.round(score, 9).desc(), tie)) - 1
 
 
 def group_features(pairs: DataFrame, channels: tuple[str, ...]) -> DataFrame:
     """gap_, qrank_ and max_ of each cosine within its target, and union_size."""
     out = pairs
     for c in channels:
-        best = F.max(f"cos_{c}").over(TARGET)
+        best = F.max(f"cos_{c}").over(per("tgt_id"))
         out = out.withColumns({f"max_{c}": best, f"gap_{c}": F.col(f"cos_{c}") - best, f"qrank_{c}": rank_of(f"cos_{c}", "tgt_id", "s1_id")})
-    return out.withColumn("union_size", F.count("*").over(TARGET))
+    return out.withColumn("union_size", F.count("*").over(per("tgt_id")))
 
 
 def second_gap(pairs: DataFrame, score: str, name: str) -> DataFrame:
     """Best minus second best score of a target (0 for a missing second), on each of its pairs."""
     r = rank_of(score, "tgt_id", "s1_id")
     ranked = pairs.withColumn("_r", r)
-    first, second = (F.max(F.when(F.col("_r") == k, F.col(score))).over(TARGET) for k in (0, 1))
+    first, second = (F.max(F.when(F.col("_r") == k, F.col(score))).over(per("tgt_id")) for k in (0, 1))
     return ranked.withColumn(name, first - F.coalesce(second, F.lit(0.0))).drop("_r")
 
 
@@ -53,12 +55,12 @@ def stage1_features(pairs: DataFrame) -> DataFrame:
 def competition(pairs: DataFrame) -> DataFrame:
     """How p1 stands among the candidates of its target and of its anchor."""
     out = pairs.withColumn("p1_rank_t", rank_of("p1", "tgt_id", "s1_id"))
-    best, second = (F.max(F.when(F.col("p1_rank_t") == k, F.col("p1"))).over(TARGET) for k in (0, 1))
+    best, second = (F.max(F.when(F.col("p1_rank_t") == k, F.col("p1"))).over(per("tgt_id")) for k in (0, 1))
     margin = F.when(F.col("p1_rank_t") == 0, F.col("p1") - F.coalesce(second, F.lit(0.0))).otherwise(F.col("p1") - best)
-    out = out.withColumns({"p1_margin_t": margin, "n_kept_t": F.count("*").over(TARGET)})
+    out = out.withColumns({"p1_margin_t": margin, "n_kept_t": F.count("*").over(per("tgt_id"))})
     out = out.withColumns({
-        "s1_n_cand": F.count("*").over(ANCHOR), "s1_n_top1": F.count_if(F.col("p1_rank_t") == 0).over(ANCHOR), "s1_sum_p1": F.sum("p1").over(ANCHOR),
-        "s1_max_p1": F.max("p1").over(ANCHOR), "rank_in_s1": rank_of("p1", "s1_id", "tgt_id"),
+        "s1_n_cand": F.count("*").over(per("s1_id")), "s1_n_top1": F.count_if(F.col("p1_rank_t") == 0).over(per("s1_id")), "s1_sum_p1": F.sum("p1").over(per("s1_id")),
+        "s1_max_p1": F.max("p1").over(per("s1_id")), "rank_in_s1": rank_of("p1", "s1_id", "tgt_id"),
     })
     return out.withColumn("p1_gap_s1", F.col("p1") - F.col("s1_max_p1"))
 

@@ -84,7 +84,7 @@ def candidates(anchors: DataFrame, targets: DataFrame, art: Artefacts) -> DataFr
     n = anchors.count()
     ab, tb = bags(a), bags(t)
     idf = {k: vectors.fit_idf(ab[k], n, c.max_df_frac) for k in ab}
-    aw, tw = ({k: vectors.weigh(b[k], idf[k]) for k in b} for b in (ab, tb))
+    aw, tw = ({k: vectors.weigh(b[k], idf[k]).persist() for k in b} for b in (ab, tb))  # each is read by search, cosine and embedding
     both = lambda w: w["name"].unionByName(w["addr"])
     av, tv = vectors.hashed_embedding(both(aw)), vectors.hashed_embedding(both(tw))
     empty = lambda column: t.where(F.size(column) == 0).select(F.col("entity_id").alias("tgt_id"))

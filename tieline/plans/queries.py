@@ -114,14 +114,28 @@ def _idf(spark: SparkSession, d: str, kind: str) -> vectors.Idf:
     return vectors.fit_idf(_bags(spark, d, kind)[0], fixture.anchors(spark, d).count(), ART.config.max_df_frac)
 
 
+#: What several queries of one session build on, kept by Spark (memory and disk) and made again if it is dropped.
+_KEPT: dict[tuple, object] = {}
+
+
+def _once(spark: SparkSession, name: tuple, make):
+    key = (spark.sparkContext.applicationId, *name)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def _weights(spark: SparkSession, d: str, kind: str) -> tuple[DataFrame, DataFrame]:
-    idf = _idf(spark, d, kind)
-    return tuple(vectors.weigh(b, idf) for b in _bags(spark, d, kind))
+    def make():
+        idf = _idf(spark, d, kind)
+        return tuple(vectors.weigh(b, idf).persist() for b in _bags(spark, d, kind))
+
+    return _once(spark, (d, kind), make)
 
 
 def _hits(spark: SparkSession, d: str, kind: str, k: int = K) -> DataFrame:
     a, t = _weights(spark, d, kind)
-    return vectors.sparse_search(t, a, k)
+    return _once(spark, (d, kind, k), lambda: vectors.sparse_search(t, a, k).persist())
 
 
 def _union(spark: SparkSession, d: str) -> DataFrame:
@@ -129,11 +143,14 @@ def _union(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    out = _union(spark, d)
-    for c in ("name", "addr"):
-        a, t = _weights(spark, d, c)
-        out = vectors.pair_cosine(out, t, a, f"cos_{c}")
-    return out.withColumn("p1", F.round(0.5 * F.col("cos_name") + 0.5 * F.col("cos_addr"), 6))
+    def make():
+        out = _union(spark, d)
+        for c in ("name", "addr"):
+            a, t = _weights(spark, d, c)
+            out = vectors.pair_cosine(out, t, a, f"cos_{c}")
+        return out.withColumn("p1", F.round(0.5 * F.col("cos_name") + 0.5 * F.col("cos_addr"), 6)).persist()
+
+    return _once(spark, (d, "pairs"), make)
 
 
 def _decided(spark: SparkSession, d: str) -> DataFrame:
@@ -141,7 +158,8 @@ def _decided(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.entity_scores(fixture.anchors(spark, d).select("entity_id", "country"), fixture.truth(spark, d), _decided(spark, d))
+    anchors = fixture.anchors(spark, d).select("entity_id", "country")
+    return _once(spark, (d, "scores"), lambda: metrics.entity_scores(anchors, fixture.truth(spark, d), _decided(spark, d)).persist())
 
 
 def _six(df: DataFrame, *columns: str) -> DataFrame:
@@ -222,7 +240,7 @@ def _noise(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lists(spark: SparkSession, d: str) -> DataFrame:
-    return tsv.id_lists(fixture.anchors(spark, d), _decided(spark, d), "p1")
+    return _once(spark, (d, "lists"), lambda: tsv.id_lists(fixture.anchors(spark, d), _decided(spark, d), "p1").persist())
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
