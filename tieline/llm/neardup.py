@@ -98,6 +98,10 @@ def accident(n: float, m: float) -> float:
     return float((cell(max(n, 1.0)) * cell(max(m, 1.0))).sum())
 
 
+def _part(s: bytes, kind: int) -> np.ndarray:
+    return np.frombuffer(s, np.uint8, REGISTERS, 1 if kind == 1 or s[0] == 2 else 1 + REGISTERS)
+
+
 def estimate(a: bytes, n: int, b: bytes, m: int) -> float:
     """Jaccard similarity from two sketches, corrected for accidental agreement; 0 if they have no kind in common."""
     common = a[0] & b[0]
@@ -105,11 +109,7 @@ def estimate(a: bytes, n: int, b: bytes, m: int) -> float:
         return 0.0
     kind = 1 if common & 1 else 2
 
-    def part(s: bytes) -> np.ndarray:
-        at = 1 if kind == 1 or s[0] == 2 else 1 + REGISTERS
-        return np.frombuffer(s, np.uint8, REGISTERS, at)
-
-    x, y = part(a), part(b)
+    x, y = _part(a, kind), _part(b, kind)
     per = 1 if kind == 1 else REGISTERS
     c = accident(n / per, m / per)
     used = (x != 255) | (y != 255) if kind == 2 else np.ones(REGISTERS, bool)
@@ -200,28 +200,43 @@ def components(links: DataFrame) -> DataFrame:
     return nodes
 
 
-def _compare(pdf):
-    """Pairs of one (bucket, block, block) whose components differ and whose sketches estimate ESTIMATE_FLOOR or more."""
-    left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
-    out = []
-    if len(left) and len(right):
-        kinds = np.array([r[0] for r in right.regs])
-        width = max(len(r) for r in right.regs)
-        matrix = np.zeros((len(right), width), np.uint8)
-        for k, r in enumerate(right.regs):
-            matrix[k, : len(r)] = np.frombuffer(r, np.uint8)
-        ids, roots, sizes, sketches = right.rep.to_numpy(), right.root.to_numpy(), right.n_shingles.to_numpy(), list(right.regs)
-        for rep, root, regs, n in zip(left.rep, left.root, left.regs, left.n_shingles):
-            mine = np.frombuffer(regs, np.uint8)
-            w = min(width, len(mine))
-            near = (roots != root) & (ids != rep) & (4 * np.minimum(n, sizes) >= 3 * np.maximum(n, sizes))
-            # a plain count of equal registers, taken over sketches of the same kinds, settles most pairs
-            alike = (matrix[:, 1:w] == mine[1:w]).sum(axis=1)
-            near &= (kinds != regs[0]) | (alike >= 0.5 * (len(mine) - 1))
-            for k in np.flatnonzero(near):
-                if estimate(regs, n, sketches[k], int(sizes[k])) >= ESTIMATE_FLOOR:
-                    out.append((min(rep, int(ids[k])), max(rep, int(ids[k]))))
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+def _compare(most: int):
+    """Pairs of one (bucket, block, block) in different components whose registers agree often enough.
+
+    With ``most``, each left row names only its ``most`` closest partners; 0 names all. The share of equal registers is
+    never below the corrected estimate, so nothing that an estimate would pass is lost here.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(left) and len(right):
+            parts = {1: np.zeros((len(right), REGISTERS), np.uint8), 2: np.zeros((len(right), REGISTERS), np.uint8)}
+            kinds = np.array([r[0] for r in right.regs])
+            for k, r in enumerate(right.regs):
+                for kind in (1, 2):
+                    if r[0] & kind:
+                        parts[kind][k] = _part(r, kind)
+            ids, roots, sizes = right.rep.to_numpy(), right.root.to_numpy(), right.n_shingles.to_numpy()
+            for rep, root, regs, n in zip(left.rep, left.root, left.regs, left.n_shingles):
+                share = np.zeros(len(right))
+                for kind in (2, 1):
+                    if regs[0] & kind:
+                        both = (kinds & kind) > 0
+                        share[both] = (parts[kind][both] == _part(regs, kind)).mean(axis=1)
+                near = np.flatnonzero((share >= ESTIMATE_FLOOR) & (roots != root) & (4 * np.minimum(n, sizes) >= 3 * np.maximum(n, sizes)))
+                if most and len(near) > most:
+                    near = near[np.argsort(-share[near], kind="stable")[:most]]
+                out_a.append(np.full(len(near), rep, np.int64))
+                out_b.append(ids[near])
+        a, b = np.concatenate(out_a), np.concatenate(out_b)
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    return run
+
+
+#: Rounds in which each text outside its bucket's main component names its closest partners, before all are named.
+ROUNDS, CLOSEST = 4, 3
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE) -> DataFrame:
@@ -236,7 +251,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE) ->
 
     Equal sets fall together by a 128-bit digest before any sketch is compared, so a group of exact copies costs one
     representative. Representatives meet in band buckets. First each member of a bucket is compared with the bucket's
-    smallest member only (linear however large the bucket); components of the confirmed links follow. Then, in
+    centre only (linear however large the bucket); components of the confirmed links follow. Then, in
     buckets that still hold several components, members outside the first one's component are compared with all
     others by estimate, block by block, and what passes is confirmed on the full sets. No link between different
     components is lost but for the chance that a linked pair shares no band (5 in 10^6 at exactly 0.75).
@@ -252,8 +267,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE) ->
     first = cut(first.select("rep", "n_shingles", "regs", "keys"))
 
     keyed = first.select("rep", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("size")).where("size > 1")
-    buckets = cut(keyed.join(shared, "key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    met = cut(keyed.join(shared, "key"))
+    # A bucket's centre is the member that meets most others over all bands: the text that a group's copies stem from.
+    degree = met.groupBy("rep").agg(F.sum("size").alias("degree"))
+    centre = met.join(degree, "rep").groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("least"))).alias("c"))
+    buckets = cut(met.join(centre.select("key", (-F.col("c.least")).alias("first")), "key"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """The links among candidate pairs (a, b) of representatives."""
@@ -271,26 +290,34 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE) ->
     several = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc_id", "a")
     same_doc = member.join(several, "doc_id").select("a", F.col("rep").alias("b"))
     star = confirm(buckets.select(F.col("first").alias("a"), F.col("rep").alias("b")))
-    labels = components(star.union(same_doc))
-
-    placed = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    mixed = placed.groupBy("key", "first").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2")
-    mixed = cut(mixed.join(labels.withColumnRenamed("node", "first"), "first", "left").select("key", "n", F.coalesce("root", "first").alias("main")))
-    open_ = cut(placed.select("key", "rep", "root").join(mixed, "key"))
-    rest = open_.where("root <> main").groupBy("key").agg(F.count("*").alias("r"))
-    open_ = open_.join(rest, "key").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("rb", F.ceil(F.col("r") / BLOCK).cast("int"))
-    own = lambda many: F.pmod(F.xxhash64("rep"), F.col(many)).cast("int")
-    upto = lambda many: F.sequence(F.lit(0), F.col(many) - 1)
-    lefts = open_.where("root <> main").select("key", own("rb").alias("i"), F.explode(upto("nb")).alias("j"), F.lit(0).alias("side"), "rep", "root")
-    rights = open_.select("key", F.explode(upto("rb")).alias("i"), own("nb").alias("j"), F.lit(1).alias("side"), "rep", "root")
-    dealt = lefts.union(rights).join(first.select("rep", "regs", "n_shingles"), "rep")
-    found = dealt.groupBy("key", "i", "j").applyInPandas(_compare, "a long, b long")
-    extra = confirm(found)
-    to_root = labels.withColumnRenamed("root", "r")
-    extra = extra.join(to_root.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("r", "a").alias("a"), "b").join(to_root.withColumnRenamed("node", "b"), "b", "left").select("a", F.coalesce("r", "b").alias("b"))
-    again = components(extra).withColumnRenamed("node", "mid").withColumnRenamed("root", "last")
-    roots = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("mid", F.coalesce("root", "rep")).join(again, "mid", "left")
-    roots = roots.select(*digest, F.coalesce("last", "mid").alias("component_id"))
+    linked = components(star.union(same_doc))
+    labels = cut(reps.select(F.col("rep").alias("node")).distinct().join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+
+    def unsettled(labels: DataFrame, most: int) -> DataFrame:
+        """Candidate pairs of different components in buckets that hold several."""
+        placed = buckets.join(labels.withColumnRenamed("node", "rep"), "rep")
+        mixed = placed.groupBy("key", "first").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2")
+        mixed = mixed.join(labels.select(F.col("node").alias("first"), F.col("root").alias("main")), "first").select("key", "n", "main")
+        open_ = cut(placed.select("key", "rep", "root").join(mixed, "key"))
+        rest = open_.where("root <> main").groupBy("key").agg(F.count("*").alias("r"))
+        open_ = open_.join(rest, "key").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("rb", F.ceil(F.col("r") / BLOCK).cast("int"))
+        own = lambda many: F.pmod(F.xxhash64("rep"), F.col(many)).cast("int")
+        upto = lambda many: F.sequence(F.lit(0), F.col(many) - 1)
+        lefts = open_.where("root <> main").select("key", own("rb").alias("i"), F.explode(upto("nb")).alias("j"), F.lit(0).alias("side"), "rep", "root")
+        rights = open_.select("key", F.explode(upto("rb")).alias("i"), own("nb").alias("j"), F.lit(1).alias("side"), "rep", "root")
+        dealt = lefts.union(rights).join(first.select("rep", "regs", "n_shingles"), "rep")
+        return dealt.groupBy("key", "i", "j").applyInPandas(_compare(most), "a long, b long")
+
+    rounds = [CLOSEST] * ROUNDS + [0]
+    while rounds:
+        extra = confirm(unsettled(labels, rounds.pop(0)))
+        if extra.isEmpty():
+            rounds = rounds[-1:]  # nothing merges any more: go on to the round that names all, and end after it
+            continue
+        x, y = (labels.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+        merged = components(extra.join(x, "a").join(y, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        labels = cut(labels.join(merged.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left").select("node", F.coalesce("last", "root").alias("root")))
+    roots = reps.join(labels.withColumnRenamed("node", "rep"), "rep").select(*digest, F.col("root").alias("component_id"))
     out = sketches.select("doc_id", *digest).join(roots, digest, "left")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     out = out.withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")))
