@@ -77,7 +77,7 @@ def sketch(shingles: np.ndarray) -> tuple[bytes, np.ndarray]:
     if n >= FEW:
         m = bucketed_minima(shingles)
         filled = m != EMPTY
-        r = np.where(filled, registers(m), 255).astype(np.uint8)
+        r = np.where(filled, np.minimum(registers(m), 254), 255).astype(np.uint8)  # 255: no shingle fell in the bucket
         parts.append(r.tobytes())
         keys.append(band_keys(r, filled, 2))
         kinds |= 2
@@ -200,6 +200,19 @@ def components(links: DataFrame) -> DataFrame:
     return nodes
 
 
+def bucket_place(sketch_bytes: bytes, key: int) -> int:
+    """Which of a sketch's bands has this key: 0 to BANDS - 1 of the first kind, then those of the second."""
+    for kind in (1, 2):
+        if sketch_bytes[0] & kind:
+            regs = _part(sketch_bytes, kind)
+            filled = np.ones(REGISTERS, bool) if kind == 1 else regs != 255
+            some = np.flatnonzero(filled.reshape(BANDS, ROWS).any(axis=1))
+            at = np.flatnonzero(as_long(band_keys(regs, filled, kind)) == key)
+            if len(at):
+                return (kind - 1) * BANDS + int(some[at[0]])
+    raise ValueError("the sketch has no band with this key")
+
+
 def _compare(most: int):
     """Pairs of one (bucket, block, block) in different components whose registers agree often enough.
 
@@ -211,6 +224,7 @@ def _compare(most: int):
         left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
         out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if len(left) and len(right):
+            here = bucket_place(left.regs.iloc[0], int(pdf.key.iloc[0]))
             parts = {1: np.zeros((len(right), REGISTERS), np.uint8), 2: np.zeros((len(right), REGISTERS), np.uint8)}
             kinds = np.array([r[0] for r in right.regs])
             for k, r in enumerate(right.regs):
@@ -219,12 +233,18 @@ def _compare(most: int):
                         parts[kind][k] = _part(r, kind)
             ids, roots, sizes = right.rep.to_numpy(), right.root.to_numpy(), right.n_shingles.to_numpy()
             for rep, root, regs, n in zip(left.rep, left.root, left.regs, left.n_shingles):
-                share = np.zeros(len(right))
+                share, met = np.zeros(len(right)), np.full(len(right), here)
                 for kind in (2, 1):
                     if regs[0] & kind:
-                        both = (kinds & kind) > 0
-                        share[both] = (parts[kind][both] == _part(regs, kind)).mean(axis=1)
-                near = np.flatnonzero((share >= ESTIMATE_FLOOR) & (roots != root) & (4 * np.minimum(n, sizes) >= 3 * np.maximum(n, sizes)))
+                        both = np.flatnonzero((kinds & kind) > 0)
+                        mine = _part(regs, kind)
+                        equal = parts[kind][both] == mine
+                        share[both] = equal.mean(axis=1)
+                        bands = equal.reshape(-1, BANDS, ROWS).all(axis=2) & (mine.reshape(BANDS, ROWS) != 255).any(axis=1)
+                        some = bands.any(axis=1)
+                        met[both[some]] = (kind - 1) * BANDS + bands[some].argmax(axis=1)
+                # A pair shares several buckets; it is named in the first of them only.
+                near = np.flatnonzero((met == here) & (share >= ESTIMATE_FLOOR) & (roots != root) & (4 * np.minimum(n, sizes) >= 3 * np.maximum(n, sizes)))
                 if most and len(near) > most:
                     near = near[np.argsort(-share[near], kind="stable")[:most]]
                 out_a.append(np.full(len(near), rep, np.int64))
