@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Kept:
+    """A table written to the shared checkpoint folder, compressed and by column, that can be dropped once nothing reads it."""
+
+    def __init__(self, df: DataFrame):
+        self.spark = df.sparkSession
+        ready_checkpoints(self.spark)
+        self.path = f"{self.spark.sparkContext.getCheckpointDir()}/kept-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(self.path)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Rows of a narrow table (ids and numbers) up to which it may be broadcast: some tens of MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """``df``, marked for broadcast if it is counted to be small; else left to a shuffled join. ``df`` should be cut before."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def hash_udf_free_key(*cols: str):
     """64-bit key over columns; null-safe because xxhash64 skips nulls, so null flags are added."""
     return F.xxhash64(*[x for c in cols for x in (F.col(c), F.col(c).isNull())])

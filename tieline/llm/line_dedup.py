@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tieline.llm.common import cut, table
+from tieline.llm.common import Kept, cut, small_side, table
 from tieline.llm.quality_rules import SPACE, let
 
 #: Words in a token of a line, and the similarity in percent from which a later line is removed.
@@ -64,8 +64,8 @@ def prefixed(lines: DataFrame, width: int, percent: int) -> DataFrame:
     return found.select("doc_id", "doc_key", "line_no", "r.*").where("n > 0")
 
 
-def later_sets(docs: DataFrame, text: str, rows: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
-    """``sid`` of the sets that match a set whose first line is earlier.
+def later_sets(docs: DataFrame, text: str, held: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
+    """``sid`` of the sets that match a set whose first line is earlier. ``held``: (sid, n, prefix) of the sets that have one.
 
     First each set meets only the earliest holder of each of its prefix tokens, so a group of near copies costs a row for
     each member, not for each pair. The sets that no such holder removes then meet all earlier holders of their tokens.
@@ -73,10 +73,10 @@ def later_sets(docs: DataFrame, text: str, rows: DataFrame, sets: DataFrame, wid
     """
     firsts = sets.where("n >= 3").select("sid", F.col("first.doc_id").alias("doc_id"), F.col("first.doc_key").alias("doc_key"), F.col("first.line_no").alias("line_no"), "n")
     key = ["doc_id", "doc_key", "line_no"]
-    entries = rows.where("n >= 3").join(firsts.drop("n"), key).dropDuplicates(key).select("sid", "n", F.posexplode("prefix").alias("at", "token"))
+    entries = held.select("sid", "n", F.posexplode("prefix").alias("at", "token"))
     heads = entries.groupBy("token").agg(F.min("sid").alias("head"), F.max("sid").alias("last"), F.count("*").alias("holders")).where("holders > 1")
     heads = cut(heads)
-    crowded = cut(entries.join(heads.where("holders > 2").select("token", "head"), "token"))
+    crowded = cut(entries.join(small_side(cut(heads.where("holders > 2").select("token", "head"))), "token"))
     sizes = firsts.select("sid", "n")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -85,8 +85,9 @@ def later_sets(docs: DataFrame, text: str, rows: DataFrame, sets: DataFrame, wid
         near = cut(pairs.where("x > y").distinct().join(x, "x").join(y, "y").where(100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")).select("x", "y"))
         need = near.select(F.col("x").alias("sid")).union(near.select(F.col("y").alias("sid"))).distinct()
         places = cut(firsts.join(need, "sid", "left_semi").select("sid", *key))
-        source = docs.join(places.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
-        whole = lines_of(source, text).join(places, key).dropDuplicates(["sid"]).select("sid", F.array_distinct(line_shingles(F.col("line"), width)).alias("t"))
+        ids = cut(places.select(F.col("doc_id").alias("_id")).distinct())
+        source = docs.join(small_side(ids), F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+        whole = lines_of(source, text).join(small_side(places), key).dropDuplicates(["sid"]).select("sid", F.array_distinct(line_shingles(F.col("line"), width)).alias("t"))
         whole = cut(whole)
         tx, ty = (whole.select(F.col("sid").alias(c), F.col("t").alias(f"t_{c}")) for c in "xy")
         both = F.size(F.array_intersect("t_x", "t_y"))
@@ -104,14 +105,20 @@ def later_sets(docs: DataFrame, text: str, rows: DataFrame, sets: DataFrame, wid
 
 def removed_lines(docs: DataFrame, text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(lines, removed): the lines that have a word, and (doc_id, doc_key, line_no) of those to remove."""
-    rows = cut(prefixed(lines_of(docs, text), width, percent))
-    digest = ["set_a", "set_b", "n"]
-    sets = rows.groupBy(*digest).agg(F.min(F.struct("doc_id", "line_no", "doc_key")).alias("first"))
+    made = Kept(prefixed(lines_of(docs, text), width, percent))
+    digest, key = ["set_a", "set_b", "n"], ["doc_id", "doc_key", "line_no"]
+    sets = made.df.groupBy(*digest).agg(F.min(F.struct("doc_id", "line_no", "doc_key")).alias("first"))
     # Numbers that rise with the first line: the sets are sorted over all partitions, then numbered.
     sets = cut(sets.orderBy("first").withColumn("sid", F.monotonically_increasing_id()))
-    late = later_sets(docs, text, rows, sets, width, percent).withColumn("late", F.lit(True))
+    firsts = sets.where("n >= 3").select("sid", *[F.col(f"first.{c}").alias(c) for c in key])
+    held = Kept(made.df.where("n >= 3").select(*key, "n", "prefix").join(firsts, key).select("sid", "n", "prefix"))
+    slim = Kept(made.df.drop("prefix"))
+    made.drop()
+    rows = slim.df
+    late = later_sets(docs, text, held.df, sets, width, percent).withColumn("late", F.lit(True))
     verdict = sets.join(late, "sid", "left").select(*digest, "first", F.coalesce("late", F.lit(False)).alias("late"))
-    placed = rows.drop("prefix").join(verdict, digest)
+    held.drop()
+    placed = rows.join(verdict, digest)
     gone = placed.where(F.col("late") | (F.struct("doc_id", "line_no", "doc_key") > F.col("first")))
     return rows.select("doc_id", "doc_key", "line_no"), gone.select("doc_id", "doc_key", "line_no")
 
