@@ -33,9 +33,9 @@ def lines_of(docs: DataFrame, text: str) -> DataFrame:
     return split.select("doc_id", F.xxhash64("_t").alias("doc_key"), F.posexplode(F.split("_t", "\n")).alias("line_no", "line"))
 
 
-def rarity_ranks(lines: DataFrame, width: int) -> Column:
+def rarity_ranks(tokens: DataFrame) -> Column:
     """Literal array: for each cell of token hashes its rank, from 0 (fewest tokens in all lines) to 2047."""
-    token = lines.select(F.explode(line_shingles(F.col("line"), width)).alias("t"))
+    token = tokens.select(F.explode("t").alias("t"))
     count = {r[0]: r[1] for r in token.groupBy((F.col("t") % CELLS).cast("int").alias("c")).count().collect()}  # at most CELLS numbers
     rank = [0] * CELLS
     for place, c in enumerate(sorted(range(CELLS), key=lambda c: (count.get(c, 0), c))):
@@ -43,25 +43,20 @@ def rarity_ranks(lines: DataFrame, width: int) -> Column:
     return F.array(*[F.lit(r) for r in rank]).cast("array<bigint>")
 
 
-def prefixed(lines: DataFrame, width: int, percent: int) -> DataFrame:
-    """Lines that have a word, as (doc_id, doc_key, line_no, set_a, set_b, n, prefix).
+def prefixed(tokens: DataFrame, percent: int) -> DataFrame:
+    """Lines that have a word, as (doc_id, doc_key, line_no, set_a, set_b, n, prefix), from their distinct tokens ``t``.
 
     set_a and set_b are a digest of the distinct tokens in order of appearance, n their number. The tokens are ordered by
     rarity, then by hash; the prefix is the first n - ceil(percent * n / 100) + 1 of them, and two lines that reach the
     threshold share a token of their prefixes. Sets under 3 tokens match equal ones only and have no prefix.
     """
-    ranks = rarity_ranks(lines, width)
+    ranks = rarity_ranks(tokens)
     low = F.lit((1 << BITS) - 1)
-
-    def row(t: Column) -> Column:
-        n = F.size(t)
-        ordered = F.sort_array(F.transform(t, lambda x: F.shiftleft(F.get(ranks, (x % CELLS).cast("int")), BITS) + x))
-        many = n - F.ceil(n * percent / 100).cast("int") + 1
-        prefix = F.when(n < 3, F.array().cast("array<bigint>")).otherwise(F.transform(F.slice(ordered, F.lit(1), many), lambda x: x.bitwiseAND(low)))
-        return F.struct(F.xxhash64(t).alias("set_a"), F.hash(t, n).cast("long").alias("set_b"), n.alias("n"), prefix.alias("prefix"))
-
-    found = lines.select("doc_id", "doc_key", "line_no", let(F.array_distinct(line_shingles(F.col("line"), width)), row).alias("r"))
-    return found.select("doc_id", "doc_key", "line_no", "r.*").where("n > 0")
+    t, n = F.col("t"), F.size("t")
+    ordered = F.sort_array(F.transform(t, lambda x: F.shiftleft(F.get(ranks, (x % CELLS).cast("int")), BITS) + x))
+    many = n - F.ceil(n * percent / 100).cast("int") + 1
+    prefix = F.when(n < 3, F.array().cast("array<bigint>")).otherwise(F.transform(F.slice(ordered, F.lit(1), many), lambda x: x.bitwiseAND(low)))
+    return tokens.select("doc_id", "doc_key", "line_no", F.xxhash64(t).alias("set_a"), F.hash(t, n).cast("long").alias("set_b"), n.alias("n"), prefix.alias("prefix"))
 
 
 def later_sets(docs: DataFrame, text: str, held: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
@@ -105,7 +100,11 @@ def later_sets(docs: DataFrame, text: str, held: DataFrame, sets: DataFrame, wid
 
 def removed_lines(docs: DataFrame, text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(lines, removed): the lines that have a word, and (doc_id, doc_key, line_no) of those to remove."""
-    made = Kept(prefixed(lines_of(docs, text), width, percent))
+    # The tokens are made once and kept until the prefixes are taken from them.
+    lines = lines_of(docs, text).select("doc_id", "doc_key", "line_no", F.array_distinct(line_shingles(F.col("line"), width)).alias("t"))
+    tokens = Kept(lines.where(F.size("t") > 0))
+    made = Kept(prefixed(tokens.df, percent))
+    tokens.drop()
     digest, key = ["set_a", "set_b", "n"], ["doc_id", "doc_key", "line_no"]
     sets = made.df.groupBy(*digest).agg(F.min(F.struct("doc_id", "line_no", "doc_key")).alias("first"))
     # Numbers that rise with the first line: the sets are sorted over all partitions, then numbered.
