@@ -11,13 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tieline.llm.common import hash_udf_free_key, table
+from tieline.llm.common import cut, hash_udf_free_key, table
 
 #: A class of tokens is part of a host's template if at least so many different pages of the host have it, and this
 #: share of them; a class needs so many tokens to count.
 MIN_PAGES, MIN_SHARE, MIN_TOKENS = 4, 0.5, 2
 #: Salts that the pages of one host are dealt over when templates are joined to pages.
 SALTS = 32
+#: Tokens of all templates together up to which they are broadcast (8 bytes each); beyond, pages are shuffled to them.
+BROADCAST_TOKENS = 1_000_000
 
 # HTML elements by their role.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -243,9 +245,15 @@ def extract_pages(pages: DataFrame, url: str = "url", page: str = "html") -> Dat
     """
     passed = [c for c in pages.columns if c not in (page, "text", "n_chars", "_tokens", "_host", "_salt")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*passed).schema)
-    known = templates(pages, url, page).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    source = pages.select(*passed, F.col(page).cast("string").alias(page)).withColumns({"_host": _host_column(url), "_salt": F.pmod(hash_udf_free_key(*passed, page), F.lit(SALTS)).cast("int")})
-    joined = source.join(known.select(F.col("host").alias("_host"), "_salt", F.col("tokens").alias("_tokens")), ["_host", "_salt"], "left")
+    known = cut(templates(pages, url, page))
+    size = known.agg(F.sum(F.size("tokens") + 1)).first()[0] or 0
+    source = pages.select(*passed, F.col(page).cast("string").alias(page)).withColumn("_host", _host_column(url))
+    if size <= BROADCAST_TOKENS:
+        joined = source.join(F.broadcast(known.select(F.col("host").alias("_host"), F.col("tokens").alias("_tokens"))), "_host", "left")
+    else:  # templates are copied over salts, so that the pages of one host are dealt out
+        known = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        source = source.withColumn("_salt", F.pmod(hash_udf_free_key(*passed, page), F.lit(SALTS)).cast("int"))
+        joined = source.join(known.select(F.col("host").alias("_host"), "_salt", F.col("tokens").alias("_tokens")), ["_host", "_salt"], "left")
     return joined.mapInArrow(_extract(passed, page), f"{fields}, text string, n_chars bigint")
 
 
