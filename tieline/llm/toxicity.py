@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +16,7 @@ from tieline.llm.common import LOWER, NON_SPACE, doc_chunks, table, text_buffers
 
 #: The field is learned from at most so many labelled texts of each class, those with the smallest id hash, none longer
 #: than MAX_CHARS. They are all that reaches the driver.
-MAX_POSITIVE, MAX_NEGATIVE, MAX_CHARS = 1500, 3000, 20_000
+MAX_POSITIVE, MAX_NEGATIVE, MAX_CHARS = 1200, 2400, 8_000
 #: A token of a toxic text is labelled toxic by a feature that is SEED_SHARE or more toxic (by text frequencies) and either
 #: stands in SEED_COMMON of the toxic texts or is needed to explain SEED_NEW of them that no better one explains.
 SEED_SHARE, SEED_TEXTS, SEED_COMMON, SEED_NEW = 0.85, 4, 0.04, 0.01
@@ -112,77 +112,104 @@ def fit_scorer(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def seed_features(sets: list[set[str]], toxic: list[int]) -> set[str]:
-    """The features that mark toxic texts, by text frequencies and greedy cover."""
-    seen = [Counter(), Counter()]
-    for found, y in zip(sets, toxic):
-        seen[y].update(found)
-    n1 = max(1, sum(toxic))
+@dataclass
+class Tokens:
+    """Texts as word numbers, and the feature numbers of each word (word w: index[first[w]:first[w + 1]])."""
+
+    words: list[str]
+    texts: list[np.ndarray]
+    names: list[str]
+    first: np.ndarray
+    index: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str]) -> "Tokens":
+        known: dict[str, int] = {}
+        numbered = [np.array([known.setdefault(w, len(known)) for w in t.lower().split()], np.int64) for t in texts]
+        names: dict[str, int] = {}
+        first, index = array("q", [0]), array("q")
+        for w in known:
+            index.extend([names.setdefault(f, len(names)) for f in features(w)])
+            first.append(len(index))
+        return cls(list(known), numbered, list(names), np.array(first, np.int64), np.array(index, np.int64))
+
+    def features_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(feature numbers of all words in order, which word each belongs to)."""
+        many = self.first[words + 1] - self.first[words]
+        owner = np.repeat(np.arange(len(words)), many)
+        at = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+        return self.index[self.first[words][owner] + at], owner
+
+
+def seed_features(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
+    """Which features mark toxic texts (a boolean for each), by text frequencies and greedy cover."""
+    own = [np.unique(tokens.features_of(np.unique(t))[0]) for t in tokens.texts]
+    seen = np.zeros((2, len(tokens.names)), np.int64)
+    for f, y in zip(own, toxic):
+        seen[int(y), f] += 1
+    n1 = max(1, int(toxic.sum()))
     n0 = max(1, len(toxic) - n1)
-    good = {f: c for f, c in seen[1].items() if c >= max(SEED_TEXTS, SEED_NEW * n1) and (c / n1) / (c / n1 + seen[0][f] / n0) >= SEED_SHARE}
-    seeds = {f for f, c in good.items() if c >= SEED_COMMON * n1}
-    left = [found & good.keys() for found, y in zip(sets, toxic) if y and not found & seeds]
+    least = max(SEED_TEXTS, SEED_NEW * n1)
+    share = np.divide(seen[1] / n1, seen[1] / n1 + seen[0] / n0, out=np.zeros(len(tokens.names)), where=seen[1] > 0)
+    good = (seen[1] >= least) & (share >= SEED_SHARE) & ~np.isin(tokens.names, ["digit", "mark"])
+    seeds = good & (seen[1] >= SEED_COMMON * n1)
+    left = [f[good[f]] for f, y in zip(own, toxic) if y and not seeds[f].any()]
     while left:
-        best = max(Counter(f for found in left for f in found).items(), key=lambda x: (x[1], x[0]), default=("", 0))
-        if best[1] < max(SEED_TEXTS, SEED_NEW * n1):
+        count = np.bincount(np.concatenate(left), minlength=len(tokens.names))
+        best = int(count.argmax())
+        if count[best] < least:
             break
-        seeds.add(best[0])
-        left = [found for found in left if best[0] not in found]
+        seeds[best] = True
+        left = [f for f in left if not (f == best).any()]
     return seeds
 
 
 def train(texts: list[str], toxic: list[int]) -> Field:
     """Label tokens by the features that separate the texts, then fit the field to the labelled tokens."""
-    words = [t.lower().split() for t in texts]
-    cache: dict[str, list[str]] = {}
-    for ws in words:
-        for w in ws:
-            if w not in cache:
-                cache[w] = features(w)
-    sets = [{f for w in set(ws) for f in cache[w]} - {"digit", "mark"} for ws in words]
-    seeds = seed_features(sets, toxic)
-    tags = {w: bool(seeds.intersection(f)) for w, f in cache.items()}
-    segments: list[tuple[list[str], list[int]]] = []
-    for ws, y in zip(words, toxic):
-        for k in range(0, len(ws), SEGMENT):
-            part = ws[k: k + SEGMENT]
-            tag = [int(y and tags[w]) for w in part]
-            if any(tag) or (k // SEGMENT) % 4 == 0:
-                segments.append((part, tag))
-    total = Counter(f for part, _ in segments for w in part for f in cache[w])
-    names = {f: k for k, f in enumerate(sorted(f for f, c in total.items() if c >= MIN_FEATURE))}
-    flat, owner, tag, begin = [], [], [], [0]
-    for part, t in segments:
-        for w in part:
-            ids = [names[f] for f in cache[w] if f in names]
-            flat += ids
-            owner += [len(tag) + 0] * len(ids)
-            tag.append(0)
-        tag[begin[-1]:] = t
-        begin.append(len(tag))
-    flat, owner, y, begin = np.array(flat, np.int64), np.array(owner, np.int64), np.array(tag, float), np.array(begin)
-    weights, bias = np.zeros(len(names)), -4.0
+    tokens, y_text = Tokens.of(texts), np.array(toxic, np.int64)
+    seeds = seed_features(tokens, y_text)
+    marked = np.zeros(len(tokens.words), bool)
+    flat, owner = tokens.features_of(np.arange(len(tokens.words)))
+    marked[owner[seeds[flat]]] = True
+    words, tags, begin = [], [], [0]
+    for t, y in zip(tokens.texts, y_text):
+        for k in range(0, len(t), SEGMENT):
+            part = t[k: k + SEGMENT]
+            tag = marked[part] & bool(y)
+            if tag.any() or (k // SEGMENT) % 4 == 0:
+                words.append(part)
+                tags.append(tag)
+                begin.append(begin[-1] + len(part))
+    words = np.concatenate(words) if words else np.zeros(0, np.int64)
+    y, begin = (np.concatenate(tags) if tags else np.zeros(0)).astype(float), np.array(begin)
+    flat, owner = tokens.features_of(words)
+    used = np.bincount(flat, minlength=len(tokens.names)) >= MIN_FEATURE
+    flat, owner = flat[used[flat]], owner[used[flat]]
+    weights, bias = np.zeros(len(tokens.names)), -4.0
     counts = np.ones((2, 2))
-    inner = np.ones(max(0, len(y)), bool)
+    inner = np.ones(len(y), bool)
     inner[begin[:-1][begin[:-1] < len(y)]] = False
     if len(y):
         np.add.at(counts, (y[:-1].astype(int), y[1:].astype(int)), inner[1:])
     transition = np.log(counts / counts.sum(axis=1, keepdims=True))
-    seen_w, seen_b = np.full(len(names), 1e-6), 1e-6
+    seen_w, seen_b = np.full(len(weights), 1e-6), 1e-6
     for _ in range(EPOCHS if len(y) else 0):
         unary = bias + np.bincount(owner, weights[flat], len(y))
         gap = y - marginals(unary, begin, transition)
-        grad = np.bincount(flat, gap[owner], len(names)) - RIDGE * weights
+        grad = np.bincount(flat, gap[owner], len(weights)) - RIDGE * weights
         seen_w += grad**2
         weights += RATE * grad / np.sqrt(seen_w)
         g = gap.sum()
         seen_b += g * g
         bias += RATE * g / np.sqrt(seen_b)
-    field = Field({f: float(weights[k]) for f, k in names.items() if abs(weights[k]) > 1e-3}, float(bias), transition, np.array([-3.0, 1.0, 0.0]))
-    unary = np.array([field.unary(w) for ws in words for w in ws])
-    at = np.append(0, np.cumsum([len(ws) for ws in words]))
-    if 0 < sum(toxic) < len(toxic):
-        field.scorer = fit_scorer(document_features(marginals(unary, at, transition), at), np.array(toxic, float))
+    field = Field({tokens.names[k]: float(weights[k]) for k in np.flatnonzero(np.abs(weights) > 1e-3).tolist()}, float(bias), transition, np.array([-3.0, 1.0, 0.0]))
+    if 0 < y_text.sum() < len(y_text):
+        kept = np.where(np.abs(weights) > 1e-3, weights, 0.0)
+        flat, owner = tokens.features_of(np.arange(len(tokens.words)))
+        of_word = bias + np.bincount(owner, kept[flat], len(tokens.words))
+        at = np.append(0, np.cumsum([len(t) for t in tokens.texts]))
+        p = marginals(of_word[np.concatenate(tokens.texts)], at, transition)
+        field.scorer = fit_scorer(document_features(p, at), y_text.astype(float))
     return field
 
 
