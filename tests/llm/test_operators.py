@@ -335,6 +335,19 @@ def test_html_extraction(spark):
     assert html_extract.extract_pages(pages).count() == len(rows)
 
 
+def test_html_copies_of_a_page_are_one_page(spark):
+    frame = "<html><body><p>house rules</p><p>all rights</p><article><p>story {n}</p><p>end of story {n}</p></article></body></html>"
+    copies = [(i, "http://copies.com/a", frame.format(n=0)) for i in range(9)] + [(i, None, frame.format(n=0)) for i in range(10, 16)]
+    others = [(100 + i, "http://copies.com/a", frame.format(n=i)) for i in range(1, 3)]
+    many = [(200 + i, "http://many.com/", frame.replace("article", "div").format(n=i % 5)) for i in range(50)] + [(300, "http://many.com/", ""), (301, "http://many.com/", None)]
+    pages = spark.createDataFrame(copies + others + many, "page_id long, url string, html string").repartition(7)
+    found = {r["page_id"]: r["text"] for r in html_extract.extract_pages(pages).collect()}
+    assert {found[r[0]] for r in copies} == {"story 0\n\nend of story 0"} and found[102] == "story 2\n\nend of story 2"
+    assert all(found[200 + i] == f"story {i % 5}\n\nend of story {i % 5}" for i in range(50)) and found[300] == found[301] == ""
+    tokens = {r["host"]: len(r["tokens"]) for r in html_extract.templates(pages).collect()}
+    assert tokens == {"many.com": 2}
+
+
 def test_warc_derivatives_link_to_their_source(spark):
     rows = [(1, "http://a/1", "<html><head><title>t</title></head><body><p>One &amp; two</p><script>x</script><p>three</p>"), (2, None, None), (1, "http://a/1", "")]
     source = warc.responses(spark.createDataFrame(rows, "page_id long, url string, html string"))

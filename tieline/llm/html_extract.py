@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tieline.llm.common import cut, hash_udf_free_key, table
+from tieline.llm.common import cut, hash_udf_free_key, small_side, table
 
 #: A class of tokens is part of a host's template if at least so many different pages of the host have it, and this
 #: share of them; a class needs so many tokens to count.
@@ -166,35 +166,34 @@ def host_of(url: str | None) -> str:
 
 _VECTORS = "host string, token long, block boolean, pages long, total long, vector long"
 
+#: Sums over a host's different pages are taken modulo this prime: each of n copies of a page weighs 1/n there, so that
+#: all of them together count exactly once, wherever they are read.
+PRIME = (1 << 61) - 1
 
-def _vectors(url: str, page: str):
-    """Partial occurrence vectors: of each host and token how many pages of the batch have it, how often, and the sum over
-    these pages of a hash of (page, count). Vectors are equal, but for hash collisions, if and only if their sums are."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            found: dict[tuple[str, int], list] = {}
-            for u, text in zip(batch.column(url).to_pylist(), batch.column(page).to_pylist()):
-                if not text:
-                    continue
-                host = host_of(u)
-                key = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
-                tags, blocks = parse(text)
-                counts = Counter((t, False) for t in tags)
-                counts.update((block_token(b), True) for b in blocks)
-                for (token, block), n in counts.items():
-                    h = token_hash(token)
-                    row = found.setdefault((host, h), [block, 0, 0, 0])
-                    row[1] += 1
-                    row[2] += n
-                    row[3] = (row[3] + xxhash.xxh64_intdigest(n.to_bytes(8, "little"), seed=key)) & 0xFFFFFFFFFFFFFFFF
-            rows = [(h, t, b, p, n, v - (1 << 64) if v >> 63 else v) for (h, t), (b, p, n, v) in found.items()]
-            kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["host", "token", "block", "pages", "total", "vector"])
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial occurrence vectors, modulo PRIME: of each host and token how many different pages have it, how often, and the
+    sum over these pages of a hash of (page, count). Vectors are equal, but for hash collisions, if and only if their sums are."""
+    import xxhash
 
-    return run
+    for batch in batches:
+        found: dict[tuple[str, int], list] = {}
+        copies = Counter(zip(*(batch.column(c).to_pylist() for c in ("host", "html", "copies"))))
+        for (host, text, of), here in copies.items():
+            share = 1 if of == here else here * pow(of, -1, PRIME) % PRIME
+            key = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+            tags, blocks = parse(text)
+            counts = Counter((t, False) for t in tags)
+            counts.update((block_token(b), True) for b in blocks)
+            for (token, block), n in counts.items():
+                h = token_hash(token)
+                row = found.setdefault((host, h), [block, 0, 0, 0])
+                row[1] += share
+                row[2] += n * share
+                row[3] += xxhash.xxh64_intdigest(n.to_bytes(8, "little"), seed=key) * share
+        rows = [(h, t, b, p % PRIME, n % PRIME, v % PRIME) for (h, t), (b, p, n, v) in found.items()]
+        kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["host", "token", "block", "pages", "total", "vector"])
 
 
 def templates(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
@@ -202,15 +201,18 @@ def templates(pages: DataFrame, url: str = "url", page: str = "html") -> DataFra
 
     Tokens with one occurrence vector over the host's different pages form an equivalence class. A class is valid if
     MIN_PAGES pages and MIN_SHARE of the host's pages have it and it has MIN_TOKENS tokens; it nests in the template
-    by the paths of its tags. Vectors are summed where the pages are read, so a host with a third of all pages costs no
-    more rows than it has distinct tokens.
+    by the paths of its tags. Equal pages of a host count once, empty ones not at all. Vectors are summed where the pages
+    are read, so a host with a third of all pages costs no more rows than it has distinct tokens.
     """
-    source = pages.select(F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"))
-    parts = source.mapInArrow(_vectors("url", "html"), _VECTORS)
-    wrapped = F.sum(F.col("vector").cast("decimal(38,0)")) % F.lit(1 << 62).cast("decimal(38,0)")
-    vectors = parts.groupBy("host", "token", "block").agg(F.sum("pages").alias("pages"), F.sum("total").alias("total"), wrapped.alias("vector"))
+    source = pages.select(_host_column(url).alias("host"), F.col(page).cast("string").alias("html")).where("html <> ''").withColumn("digest", F.md5("html"))
+    different = cut(source.groupBy("host", "digest").agg(F.count("*").alias("copies")))
+    repeated = small_side(cut(different.where("copies > 1")))
+    counted = source.join(repeated, ["host", "digest"], "left").select("host", "html", F.coalesce("copies", F.lit(1).cast("long")).alias("copies"))
+    parts = counted.mapInArrow(_vectors, _VECTORS)
+    summed = lambda c: (F.sum(F.col(c).cast("decimal(38,0)")) % F.lit(PRIME).cast("decimal(38,0)")).cast("long").alias(c)
+    vectors = parts.groupBy("host", "token", "block").agg(*(summed(c) for c in ("pages", "total", "vector")))
     vectors = vectors.where(F.col("pages") >= MIN_PAGES)
-    host_pages = source.select(_host_column("url").alias("host")).groupBy("host").count().withColumnRenamed("count", "host_pages")
+    host_pages = different.groupBy("host").agg(F.count("*").alias("host_pages"))
     classes = vectors.groupBy("host", "vector", "pages", "total").agg(F.count("*").alias("tokens"))
     valid = classes.join(host_pages, "host").where((F.col("pages") >= MIN_SHARE * F.col("host_pages")) & (F.col("tokens") >= MIN_TOKENS))
     texts = vectors.where("block").join(valid.select("host", "vector", "pages", "total"), ["host", "vector", "pages", "total"], "left_semi")
