@@ -106,6 +106,32 @@ def test_near_duplicates(docs, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_ids_with_two_texts(spark):
+    rng = random.Random(11)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(300)]
+
+    def variant(changes):  # a copy with some words changed
+        out = list(base)
+        for k in rng.sample(range(300), changes):
+            out[k] = f"v{rng.randint(0, 10**6)}"
+        return " ".join(out)
+
+    family = [(i, variant(14)) for i in range(1, 25)]  # about 0.6 alike by pairs with the base's copies: many share bands, few are linked
+    others = [(i, " ".join(f"u{rng.randint(0, 10**6)}" for _ in range(200))) for i in range(1, 25)]
+    linked = [(30, " ".join(base)), (31, variant(3)), (31, others[4][1] + " more")]
+    rows = family + others + linked
+    sets = [{tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for _, t in rows]
+    root = {i: i for i, _ in rows}
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
+            if 100 * len(x & y) >= 75 * len(x | y):
+                lo, hi = sorted((root[rows[a][0]], root[rows[b][0]]))
+                root = {i: lo if r == hi else r for i, r in root.items()}
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(found) == len(rows) and {r["doc_id"]: r["component_id"] for r in found} == root
+    assert len(set(root.values())) > 12 and root[31] == root[5]
+
+
 @pytest.mark.parametrize("size", [40, 300, 3000])
 def test_sketch_estimates_are_corrected_for_collisions(size):
     rng = np.random.default_rng(size)

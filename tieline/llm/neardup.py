@@ -284,9 +284,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE) ->
     named = sketches.where("doc_id is not null and n_shingles > 0")
     reps = cut(named.groupBy(*digest).agg(F.min("doc_id").alias("rep")))
     first = named.withColumnRenamed("doc_id", "rep").join(reps, [*digest, "rep"], "left_semi").dropDuplicates([*digest, "rep"])
-    first = cut(first.select("rep", "n_shingles", "regs", "keys"))
+    first = cut(first.select("rep", "sig_a", "n_shingles", "regs", "keys"))
 
-    keyed = first.select("rep", F.explode("keys").alias("key"))
+    # A document with several texts can stand for more than one of them: a sketch is known by its id and half of its digest.
+    keyed = first.select("rep", "sig_a", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     met = cut(keyed.join(shared, "key"))
     # A bucket's centre is the member that meets most others over all bands: the text that a group's copies stem from.
@@ -318,14 +319,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE) ->
         placed = buckets.join(labels.withColumnRenamed("node", "rep"), "rep")
         mixed = placed.groupBy("key", "first").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2")
         mixed = mixed.join(labels.select(F.col("node").alias("first"), F.col("root").alias("main")), "first").select("key", "n", "main")
-        open_ = cut(placed.select("key", "rep", "root").join(mixed, "key"))
+        open_ = cut(placed.select("key", "rep", "sig_a", "root").join(mixed, "key"))
         rest = open_.where("root <> main").groupBy("key").agg(F.count("*").alias("r"))
         open_ = open_.join(rest, "key").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("rb", F.ceil(F.col("r") / BLOCK).cast("int"))
         own = lambda many: F.pmod(F.xxhash64("rep"), F.col(many)).cast("int")
         upto = lambda many: F.sequence(F.lit(0), F.col(many) - 1)
-        lefts = open_.where("root <> main").select("key", own("rb").alias("i"), F.explode(upto("nb")).alias("j"), F.lit(0).alias("side"), "rep", "root")
-        rights = open_.select("key", F.explode(upto("rb")).alias("i"), own("nb").alias("j"), F.lit(1).alias("side"), "rep", "root")
-        dealt = lefts.union(rights).join(first.select("rep", "regs", "n_shingles"), "rep")
+        lefts = open_.where("root <> main").select("key", own("rb").alias("i"), F.explode(upto("nb")).alias("j"), F.lit(0).alias("side"), "rep", "sig_a", "root")
+        rights = open_.select("key", F.explode(upto("rb")).alias("i"), own("nb").alias("j"), F.lit(1).alias("side"), "rep", "sig_a", "root")
+        dealt = lefts.union(rights).join(first.select("rep", "sig_a", "regs", "n_shingles"), ["rep", "sig_a"]).drop("sig_a")
         return dealt.groupBy("key", "i", "j").applyInPandas(_compare(most), "a long, b long")
 
     rounds = [CLOSEST] * ROUNDS + [0]
