@@ -112,3 +112,22 @@ def test_link_end_to_end_keeps_one_parent(spark):
     assert rows and len({r["tgt_id"] for r in rows}) == len(rows) and 0 < tau < 1 and all(r["p2"] >= tau for r in rows)
     assert art.address_lexicon.get("rd") == "road"
     assert set(features.STAGE2) >= set(features.STAGE1) and len(features.STAGE1) == 27 and len(features.STAGE2) == 57
+
+
+def test_linkage_learns_and_uses_the_script(spark, tmp_path):
+    words = [("ग्रीन", "green"), ("राम", "ram"), ("काम", "kam"), ("नाम", "nam"), ("कार", "kar"), ("मान", "man")]
+    rows = [(f"{i}", a[0] + " " + b[0], a[1] + " " + b[1]) for i, (a, b) in enumerate([(a, b) for a in words for b in words] * 2)]
+    schema = "entity_id string, business_name string, business_address string, country string"
+    anchors = spark.createDataFrame([(f"S1-{i}", latin, "", "India") for i, _, latin in rows], schema)
+    targets = spark.createDataFrame([(f"S2-{i}", indic, "", "India") for i, indic, _ in rows], schema)
+    links = spark.createDataFrame([(f"S1-{i}", f"S2-{i}") for i, _, _ in rows], "s1_id string, tgt_id string")
+    art = pipeline.learn_text(anchors, targets, links, pipeline.Config())
+    art.save(str(tmp_path))
+    assert pipeline.Artefacts.load(str(tmp_path)) == art
+    mar = spark.createDataFrame([("S2-x", "ग्रीन मार", "", "India"), ("S1-x", "Green Mar", "", "India"), ("S1-y", None, None, "India")], schema)
+    seen = pipeline.views(mar, art)
+    assert {r["entity_id"]: (r["raw"], r["core_tokens"]) for r in seen.collect()} == {"S2-x": (["green", "mar"],) * 2, "S1-x": (["green", "mar"],) * 2, "S1-y": ([], [])}
+    bag = {}
+    for r in pipeline.bags(seen, art.script)["name"].collect():
+        bag.setdefault(r["entity_id"], set()).add(r["feature"])
+    assert bag["S2-x"] == bag["S1-x"] and any(f[0] == "p" for f in bag["S1-x"]) and "S1-y" not in bag

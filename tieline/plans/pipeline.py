@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tieline.functions import keys, text
+from tieline.functions.script import Script, learn_script
 from tieline.operators import features, learn, metrics, vectors
 from tieline.sources import tsv
 
@@ -37,10 +38,11 @@ class Artefacts:
     name_lexicon: dict[str, str] = field(default_factory=dict)
     address_lexicon: dict[str, str] = field(default_factory=dict)
     noise: frozenset[str] = frozenset()
+    script: Script = field(default_factory=Script)
 
     def save(self, path: str) -> None:
         os.makedirs(path, exist_ok=True)
-        body = {"config": asdict(self.config), "name_lexicon": self.name_lexicon, "address_lexicon": self.address_lexicon, "noise": sorted(self.noise)}
+        body = {"config": asdict(self.config), "name_lexicon": self.name_lexicon, "address_lexicon": self.address_lexicon, "noise": sorted(self.noise), "script": asdict(self.script) | {"vowels": sorted(self.script.vowels)}}
         with open(f"{path}/artefacts.json", "w", encoding="utf-8") as f:
             json.dump(body, f, ensure_ascii=False, indent=1, sort_keys=True)
 
@@ -48,31 +50,37 @@ class Artefacts:
     def load(cls, path: str) -> "Artefacts":
         with open(f"{path}/artefacts.json", encoding="utf-8") as f:
             body = json.load(f)
-        return cls(Config(**body["config"]), body["name_lexicon"], body["address_lexicon"], frozenset(body["noise"]))
+        script = body.get("script", {})
+        script = Script(**script | {"vowels": frozenset(script["vowels"])}) if script else Script()
+        return cls(Config(**body["config"]), body["name_lexicon"], body["address_lexicon"], frozenset(body["noise"]), script)
 
 
 def views(records: DataFrame, art: Artefacts) -> DataFrame:
-    """Records with folded texts, tokens, core, canonical address, numbers and deletions."""
+    """Records with folded texts, tokens (Indic ones in Latin letters once a script table is learned), core, canonical
+    address, numbers and deletions."""
+    latin = art.script.latin_column if art.script.words or art.script.emissions else lambda tokens: tokens
     out = records.withColumns({"name": text.fold(F.col("business_name")), "addr": text.fold(F.col("business_address"))})
-    out = out.withColumns({"raw": text.raw_tokens(F.col("name")), "addr_raw": text.raw_tokens(F.col("addr"))})
+    out = out.withColumns({"raw": latin(text.raw_tokens(F.col("name"))), "addr_raw": latin(text.raw_tokens(F.col("addr")))})
     out = out.withColumns({"name_tokens": text.mapped(F.col("raw"), art.name_lexicon), "addr_tokens": text.mapped(F.col("addr_raw"), art.address_lexicon)})
     out = out.withColumns({"core_tokens": text.without(F.col("name_tokens"), art.noise), "nums": text.numbers(F.col("addr_tokens"))})
     return out.withColumns({"core": F.array_join("core_tokens", ""), "addr_canon": F.array_join("addr_tokens", " "), "dels": text.deletions(F.col("nums"))})
 
 
 def learn_text(anchors: DataFrame, targets: DataFrame, links: DataFrame, config: Config) -> Artefacts:
-    """Lexicons without a lexicon, then noise words with it."""
-    a, t = views(anchors, Artefacts()), views(targets, Artefacts())
+    """The script table from plain tokens, lexicons without a lexicon, then noise words with it."""
+    plain = learn.token_pairs(links, views(anchors, Artefacts()), views(targets, Artefacts()), "raw")
+    script = learn_script({(r["indic"], r["latin"]): r["n"] for r in learn.script_pairs(plain).collect()})
+    a, t = (views(x, Artefacts(script=script)) for x in (anchors, targets))
     lex = lambda c: learn.learn_lexicon(learn.token_pairs(links, a, t, c), config.lexicon_min_count)
     names, addresses = lex("raw"), lex("addr_raw")
-    art = Artefacts(config, names, addresses)
+    art = Artefacts(config, names, addresses, script=script)
     pairs = learn.token_pairs(links, views(anchors, art), views(targets, art), "name_tokens")
-    return Artefacts(config, names, addresses, learn.learn_noise(pairs, config.noise_min_count))
+    return Artefacts(config, names, addresses, learn.learn_noise(pairs, config.noise_min_count), script)
 
 
-def bags(records: DataFrame) -> dict[str, DataFrame]:
+def bags(records: DataFrame, script: Script) -> dict[str, DataFrame]:
     return {
-        "name": text.long_bag(records, text.name_bag(F.col("core_tokens"))), "addr": text.long_bag(records, text.address_bag(F.col("addr_tokens"))),
+        "name": text.long_bag(records, text.name_bag(F.col("core_tokens"), script.sound_column(F.col("core_tokens")))), "addr": text.long_bag(records, text.address_bag(F.col("addr_tokens"))),
         "raw": text.long_bag(records, text.raw_bag(F.col("raw"))),
     }
 
@@ -82,7 +90,7 @@ def candidates(anchors: DataFrame, targets: DataFrame, art: Artefacts) -> DataFr
     c = art.config
     a, t = views(anchors, art), views(targets, art)
     n = anchors.count()
-    ab, tb = bags(a), bags(t)
+    ab, tb = bags(a, art.script), bags(t, art.script)
     idf = {k: vectors.fit_idf(ab[k], n, c.max_df_frac) for k in ab}
     aw, tw = ({k: vectors.weigh(b[k], idf[k]).persist() for k in b} for b in (ab, tb))  # each is read by search, cosine and embedding
     both = lambda w: w["name"].unionByName(w["addr"])
