@@ -131,3 +131,13 @@ def test_linkage_learns_and_uses_the_script(spark, tmp_path):
     for r in pipeline.bags(seen, art.script)["name"].collect():
         bag.setdefault(r["entity_id"], set()).add(r["feature"])
     assert bag["S2-x"] == bag["S1-x"] and any(f[0] == "p" for f in bag["S1-x"]) and "S1-y" not in bag
+
+
+def test_encoder_goes_deep_with_the_sparse_channels(spark):
+    schema = "entity_id string, business_name string, business_address string, country string"
+    names = ["alpha", "beta", "gamma", "delta", "zeta", "kappa"]
+    anchors = spark.createDataFrame([(f"S1-{i}", f"{names[i % 6]} {names[i // 6]} works", f"{i} oak road", "US") for i in range(30)], schema)
+    targets = spark.createDataFrame([("S2-1", "alpha works", "", "US"), ("S2-2", "beta gamma works", "13 oak road", "US")], schema)
+    pairs = pipeline.candidates(anchors, targets, pipeline.Artefacts(pipeline.Config(max_df_frac=1.0, tie_ratio=1.1))).select("tgt_id", "rank_enc").collect()
+    ranks = {t: sorted(r["rank_enc"] for r in pairs if r["tgt_id"] == t and r["rank_enc"] != vectors.ABSENT) for t in ("S2-1", "S2-2")}
+    assert ranks == {"S2-1": list(range(30)), "S2-2": list(range(10))}

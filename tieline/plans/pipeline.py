@@ -97,10 +97,15 @@ def candidates(anchors: DataFrame, targets: DataFrame, art: Artefacts) -> DataFr
     av, tv = vectors.hashed_embedding(both(aw)), vectors.hashed_embedding(both(tw))
     empty = lambda column: t.where(F.size(column) == 0).select(F.col("entity_id").alias("tgt_id"))
     hits = {
-        "name": vectors.adaptive(vectors.sparse_search(tw["name"], aw["name"], c.k_deep), empty("addr_tokens"), c.k, c.tie_ratio),
-        "addr": vectors.adaptive(vectors.sparse_search(tw["addr"], aw["addr"], c.k_deep), empty("core_tokens"), c.k, c.tie_ratio),
-        "enc": vectors.dense_search(tv, av, c.k),
+        "name": vectors.adaptive(vectors.sparse_search(tw["name"], aw["name"], c.k_deep), empty("addr_tokens"), c.k, c.tie_ratio).persist(),
+        "addr": vectors.adaptive(vectors.sparse_search(tw["addr"], aw["addr"], c.k_deep), empty("core_tokens"), c.k, c.tie_ratio).persist(),
     }
+    # The encoder goes deep where either sparse channel does, also for targets that have no hits there.
+    deep = empty("addr_tokens").union(empty("core_tokens"))
+    for found in list(hits.values()):
+        deep = deep.union(found.where("deep").select("tgt_id"))
+    deep = deep.distinct().withColumnRenamed("tgt_id", "entity_id").persist()
+    hits["enc"] = vectors.dense_search(tv.join(deep, "entity_id", "left_semi"), av, c.k_deep).unionByName(vectors.dense_search(tv.join(deep, "entity_id", "left_anti"), av, c.k))
     pairs = vectors.union_channels(hits)
     for name in ("name", "addr", "raw"):
         pairs = vectors.pair_cosine(pairs, tw[name], aw[name], f"cos_{name}")
