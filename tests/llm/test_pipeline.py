@@ -1,7 +1,7 @@
 """The stages of the pipeline on the smallest tables, each against its own input."""
 
 import corpus_pipeline
-from tieline.llm.common import Kept
+from tieline.llm.common import cut
 
 SF = "/root/testdata/sf0.001"
 
@@ -10,7 +10,7 @@ def test_stages_keep_what_they_should(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select(*corpus_pipeline.COLUMNS)
     counts = [docs.count()]
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = Kept(stage(spark, docs, SF)).df
+        out = cut(stage(spark, docs, SF))
         assert out.columns == corpus_pipeline.COLUMNS
         assert out.join(docs.select("doc_id"), "doc_id", "left_anti").count() == 0, name
         docs = out

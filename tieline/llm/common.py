@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that persist)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,33 +22,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ready_checkpoints(spark: SparkSession) -> None:
-    """Use the shared folder of spark.checkpoint.dir; a folder of our own only where that is unset (tests)."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share. Only a local session without one gets a folder of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tieline-ckpt-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tieline-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from there."""
-    ready_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder, compressed and by column, and continue from there; ``drop`` removes it again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
 
 
-class Kept:
-    """A table written to the shared checkpoint folder, compressed and by column, that can be dropped once nothing reads it."""
+def drop(*cuts: DataFrame) -> None:
+    """Remove tables of ``cut`` that nothing reads any more, and let Spark remove the shuffle files of plans that are gone."""
+    for df in cuts:
+        spark = df.sparkSession
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if cuts:
+        sweep(cuts[0].sparkSession)
 
-    def __init__(self, df: DataFrame):
-        self.spark = df.sparkSession
-        ready_checkpoints(self.spark)
-        self.path = f"{self.spark.sparkContext.getCheckpointDir()}/kept-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
-    def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def sweep(spark: SparkSession) -> None:
+    """Shuffle files go when the driver's plans that made them are collected; see to it now, not when its heap is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 #: Rows of a narrow table (ids and numbers) up to which it may be broadcast: some tens of MB.

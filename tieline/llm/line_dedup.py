@@ -5,46 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tieline.llm.common import Kept, cut, small_side, table
-from tieline.llm.quality_rules import SPACE, let
+from tieline.llm.common import cut, drop, small_side, sweep, table
+from tieline.llm.quality_rules import let
 
 #: Words in a token of a line, and the similarity in percent from which a later line is removed.
 WIDTH, PERCENT = 5, 75
-#: Rarity is counted by token hash in so many cells, whatever the corpus; the counts travel as one literal array.
-CELLS = 4096
-#: A token is kept as 52 bits of its hash; 11 bits above them hold its rarity rank while a line is sorted.
-BITS = 52
+#: Rarity is counted over all tokens in so many cells of their hash. A token is told from the rare ones by its cell if it
+#: stands more often than the spread of a cell's other tokens, sqrt(tokens / CELLS) or so: some 50 times in 10^8 tokens.
+#: Counting each token by itself would shuffle every token of the corpus, more bytes than its text has.
+CELLS = 1 << 16
+#: A token is kept as 48 bits of its hash; 15 bits above them hold its rarity rank while a line is sorted.
+BITS, RANKS = 48, 1 << 15
 
 
-def line_shingles(line: Column, width: int) -> Column:
-    """52-bit hashes of the runs of ``width`` lower-cased words of a line, in order; a shorter line is one token as a whole."""
+def worded_lines(docs: DataFrame, text: str, *keep: str) -> DataFrame:
+    """(doc_id, doc_key, line_no, w) of the lines with a word, of the texts that have an id: w holds the lower-cased words.
 
-    def shingles(w: Column) -> Column:
-        run = lambda i: F.shiftrightunsigned(F.xxhash64(*[F.get(w, i + k) for k in range(width)]), 64 - BITS)
-        few = F.array(F.shiftrightunsigned(F.xxhash64(w), 64 - BITS))
-        return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).when(F.size(w) < width, few).otherwise(F.transform(F.sequence(F.lit(0), F.size(w) - width), run))
-
-    return let(F.array_remove(F.split(F.lower(line), SPACE + "+"), ""), shingles)
+    doc_key tells texts of one doc_id apart.
+    """
+    split = docs.where(F.col(text).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("_t"), *keep)
+    low = F.lower("_t")
+    odd = F.contains("_t", F.lit("\t")) | F.contains("_t", F.lit("\r")) | F.contains("_t", F.lit("\x0b")) | F.contains("_t", F.lit("\x0c"))
+    plain = F.when(odd, F.translate(low, "\t\r\x0b\x0c", "    ")).otherwise(low)
+    lines = split.select("doc_id", F.xxhash64("_t").alias("doc_key"), *keep, F.posexplode(F.split(plain, "\n")).alias("line_no", "line"))
+    return lines.where("line <> ''").select("doc_id", "doc_key", "line_no", *keep, F.array_remove(F.split("line", " "), "").alias("w")).where(F.size("w") > 0)
 
 
-def lines_of(docs: DataFrame, text: str) -> DataFrame:
-    """(doc_id, doc_key, line_no, line) of the texts that have an id. doc_key tells texts of one doc_id apart."""
-    split = docs.where(F.col(text).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("_t"))
-    return split.select("doc_id", F.xxhash64("_t").alias("doc_key"), F.posexplode(F.split("_t", "\n")).alias("line_no", "line"))
+def line_shingles(w: Column, width: int) -> Column:
+    """The distinct 48-bit hashes of the runs of ``width`` words, in order; fewer words are one token as a whole."""
+    run = lambda x, i: F.shiftrightunsigned(F.xxhash64(x, *[F.get(w, i + k) for k in range(1, width)]), 64 - BITS)
+    many = F.transform(F.slice(w, F.lit(1), F.size(w) - (width - 1)), run)
+    return F.when(F.size(w) < width, F.array(F.shiftrightunsigned(F.xxhash64(w), 64 - BITS))).otherwise(F.array_distinct(many))
 
 
 def rarity_ranks(tokens: DataFrame) -> Column:
-    """Literal array: for each cell of token hashes its rank, from 0 (fewest tokens in all lines) to 2047."""
-    token = tokens.select(F.explode("t").alias("t"))
-    count = {r[0]: r[1] for r in token.groupBy((F.col("t") % CELLS).cast("int").alias("c")).count().collect()}  # at most CELLS numbers
+    """Literal array: for each cell of token hashes its rank, from 0 (fewest tokens in all lines) to RANKS - 1."""
+    cells = tokens.select(F.explode("t").alias("t")).groupBy((F.col("t") % CELLS).cast("int").alias("c")).count()
+    count = {r[0]: r[1] for r in cells.collect()}  # at most CELLS numbers
     rank = [0] * CELLS
     for place, c in enumerate(sorted(range(CELLS), key=lambda c: (count.get(c, 0), c))):
-        rank[c] = place * 2048 // CELLS
-    return F.array(*[F.lit(r) for r in rank]).cast("array<bigint>")
+        rank[c] = place * RANKS // CELLS
+    return F.split(F.lit(",".join(map(str, rank))), ",").cast("array<bigint>")
 
 
 def prefixed(tokens: DataFrame, percent: int) -> DataFrame:
-    """Lines that have a word, as (doc_id, doc_key, line_no, set_a, set_b, n, prefix), from their distinct tokens ``t``.
+    """Lines as (doc_id, doc_key, line_no, set_a, set_b, n, prefix), from their distinct tokens ``t``.
 
     set_a and set_b are a digest of the distinct tokens in order of appearance, n their number. The tokens are ordered by
     rarity, then by hash; the prefix is the first n - ceil(percent * n / 100) + 1 of them, and two lines that reach the
@@ -66,60 +71,63 @@ def later_sets(docs: DataFrame, text: str, held: DataFrame, sets: DataFrame, wid
     each member, not for each pair. The sets that no such holder removes then meet all earlier holders of their tokens.
     Sizes and positions bound the overlap; what remains is verified on the whole sets, made again from the texts they first stand in.
     """
-    firsts = sets.where("n >= 3").select("sid", F.col("first.doc_id").alias("doc_id"), F.col("first.doc_key").alias("doc_key"), F.col("first.line_no").alias("line_no"), "n")
     key = ["doc_id", "doc_key", "line_no"]
+    firsts = sets.where("n >= 3").select("sid", *[F.col(f"first.{c}").alias(c) for c in key], "n")
     entries = held.select("sid", "n", F.posexplode("prefix").alias("at", "token"))
-    heads = entries.groupBy("token").agg(F.min("sid").alias("head"), F.max("sid").alias("last"), F.count("*").alias("holders")).where("holders > 1")
-    heads = cut(heads)
-    crowded = cut(entries.join(small_side(cut(heads.where("holders > 2").select("token", "head"))), "token"))
+    heads = cut(entries.groupBy("token").agg(F.min("sid").alias("head"), F.max("sid").alias("last"), F.count("*").alias("holders")).where("holders > 1"))
+    many = cut(heads.where("holders > 2").select("token", "head"))
+    crowded = cut(entries.join(small_side(many), "token"))
     sizes = firsts.select("sid", "n")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Those of pairs (x later, y earlier) that reach the threshold."""
+        """``sid`` of those of pairs (x later, y earlier) that reach the threshold."""
         x, y = (sizes.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}")) for c in "xy")
-        near = cut(pairs.where("x > y").distinct().join(x, "x").join(y, "y").where(100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")).select("x", "y"))
+        near = cut(pairs.distinct().join(x, "x").join(y, "y").where(100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")).select("x", "y"))
         need = near.select(F.col("x").alias("sid")).union(near.select(F.col("y").alias("sid"))).distinct()
         places = cut(firsts.join(need, "sid", "left_semi").select("sid", *key))
         ids = cut(places.select(F.col("doc_id").alias("_id")).distinct())
         source = docs.join(small_side(ids), F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
-        whole = lines_of(source, text).join(small_side(places), key).dropDuplicates(["sid"]).select("sid", F.array_distinct(line_shingles(F.col("line"), width)).alias("t"))
-        whole = cut(whole)
+        whole = worded_lines(source, text).join(small_side(places), key).dropDuplicates(["sid"])
+        whole = cut(whole.select("sid", line_shingles(F.col("w"), width).alias("t")))
         tx, ty = (whole.select(F.col("sid").alias(c), F.col("t").alias(f"t_{c}")) for c in "xy")
         both = F.size(F.array_intersect("t_x", "t_y"))
         full = near.join(tx, "x").join(ty, "y")
-        return cut(full.where(100 * both >= percent * (F.size("t_x") + F.size("t_y") - both)).select(F.col("x").alias("sid")).distinct())
+        out = cut(full.where(100 * both >= percent * (F.size("t_x") + F.size("t_y") - both)).select(F.col("x").alias("sid")).distinct())
+        drop(near, places, ids, whole)
+        return out
 
     star = heads.where("holders = 2").select(F.col("last").alias("x"), F.col("head").alias("y")).union(crowded.select(F.col("sid").alias("x"), F.col("head").alias("y")))
-    found = verified(star)
+    found = verified(star.where("x > y"))
     left, right = (crowded.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("at").alias(f"a{c}"), "token") for c in "xy")
     # At most so many tokens can be common, given where this one stands in both orders.
     bound = 1 + F.least("ax", "ay") + F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay")) - 1
-    rest = left.join(found.withColumnRenamed("sid", "x"), "x", "left_anti").join(right, "token").where((F.col("x") > F.col("y")) & ((100 + percent) * bound >= percent * (F.col("nx") + F.col("ny")))).select("x", "y")
-    return found.union(verified(rest))
+    able = (F.col("x") > F.col("y")) & ((100 + percent) * bound >= percent * (F.col("nx") + F.col("ny"))) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    rest = left.join(found.withColumnRenamed("sid", "x"), "x", "left_anti").join(right, "token").where(able).select("x", "y")
+    more = verified(rest)
+    drop(heads, many, crowded)
+    return found.union(more)
 
 
 def removed_lines(docs: DataFrame, text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(lines, removed): the lines that have a word, and (doc_id, doc_key, line_no) of those to remove."""
     # The tokens are made once and kept until the prefixes are taken from them.
-    lines = lines_of(docs, text).select("doc_id", "doc_key", "line_no", F.array_distinct(line_shingles(F.col("line"), width)).alias("t"))
-    tokens = Kept(lines.where(F.size("t") > 0))
-    made = Kept(prefixed(tokens.df, percent))
-    tokens.drop()
+    tokens = cut(worded_lines(docs, text).select("doc_id", "doc_key", "line_no", line_shingles(F.col("w"), width).alias("t")))
+    made = cut(prefixed(tokens, percent))
+    drop(tokens)
     digest, key = ["set_a", "set_b", "n"], ["doc_id", "doc_key", "line_no"]
-    sets = made.df.groupBy(*digest).agg(F.min(F.struct("doc_id", "line_no", "doc_key")).alias("first"))
+    sets = made.groupBy(*digest).agg(F.min(F.struct("doc_id", "line_no", "doc_key")).alias("first"))
     # Numbers that rise with the first line: the sets are sorted over all partitions, then numbered.
     sets = cut(sets.orderBy("first").withColumn("sid", F.monotonically_increasing_id()))
     firsts = sets.where("n >= 3").select("sid", *[F.col(f"first.{c}").alias(c) for c in key])
-    held = Kept(made.df.where("n >= 3").select(*key, "n", "prefix").join(firsts, key).select("sid", "n", "prefix"))
-    slim = Kept(made.df.drop("prefix"))
-    made.drop()
-    rows = slim.df
-    late = later_sets(docs, text, held.df, sets, width, percent).withColumn("late", F.lit(True))
+    held = cut(made.where("n >= 3").select(*key, "n", "prefix").join(firsts, key).select("sid", "n", "prefix"))
+    sweep(docs.sparkSession)
+    rows = made.drop("prefix")
+    late = later_sets(docs, text, held, sets, width, percent).withColumn("late", F.lit(True))
     verdict = sets.join(late, "sid", "left").select(*digest, "first", F.coalesce("late", F.lit(False)).alias("late"))
-    held.drop()
+    drop(held)
     placed = rows.join(verdict, digest)
     gone = placed.where(F.col("late") | (F.struct("doc_id", "line_no", "doc_key") > F.col("first")))
-    return rows.select("doc_id", "doc_key", "line_no"), gone.select("doc_id", "doc_key", "line_no")
+    return rows.select(*key), gone.select(*key)
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
