@@ -141,18 +141,20 @@ def test_sketch_estimates_are_corrected_for_collisions(size):
             common = round(2 * size * share / (1 + share))
             both = rng.integers(0, 2**63, 2 * size - common, dtype=np.uint64)
             a, b = both[:size], both[size - common:]
-            gaps.append(neardup.estimate(neardup.sketch(a)[0], len(a), neardup.sketch(b)[0], len(b)) - common / len(both))
+            x, y = neardup.unpacked(neardup.packed(neardup.sketches([a, b])))
+            assert neardup.equal_registers(np.array([x, y]), y).tolist() == [(x == y).sum(), neardup.REGISTERS]
+            gaps.append(neardup.estimate((x == y).mean(), len(a), len(b)) - common / len(both))
         assert abs(np.mean(gaps)) < 0.05
 
 
 def test_bands_find_pairs_at_the_threshold():
     rng = np.random.default_rng(3)
-    for size in (7, 70, 320, 1500):
+    for size in (4, 7, 70, 320, 1500):
         missed = 0
         for _ in range(60):
             common = int(np.ceil(2 * size * 0.75 / 1.75))
             both = rng.integers(0, 2**63, 2 * size - common, dtype=np.uint64)
-            x, y = (set(neardup.sketch(s)[1].tolist()) for s in (both[:size], both[size - common:]))
+            x, y = (set(k.tolist()) for k in neardup.band_keys(neardup.sketches([both[:size], both[size - common:]])))
             missed += not x & y
         assert missed == 0
 

@@ -10,110 +10,118 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tieline.llm.common import NON_SPACE, as_long, cut, doc_chunks, hashed_words, mix, shingle_set, table, text_buffers
+from tieline.llm.common import NON_SPACE, as_long, cut, doc_chunks, drop, hashed_words, mix, shingle_set, small_side, sweep, table, text_buffers
 
 SHINGLE = 5
-#: Registers per sketch: BANDS bands of ROWS registers. At a Jaccard of 0.75 a pair shares no band in 5 of 10^6 cases.
+#: Registers (buckets) per sketch: BANDS bands of ROWS registers. At a Jaccard of 0.75 a pair shares no band in 5 of 10^6 cases.
 BANDS, ROWS = 45, 5
 REGISTERS = BANDS * ROWS
-#: Sets up to MANY shingles get a register from each of REGISTERS permutations; sets from FEW on are dealt into
-#: REGISTERS buckets by one hash. FEW <= 0.75 * MANY, so two sets that can be linked share a kind of sketch.
-FEW, MANY = 256, 342
-#: Of 8 bits a register keeps 4 for leading zeros and 4 for the mantissa after the first one-bit.
-ZERO_CAP = 15
+#: A register keeps 4 bits for leading zeros and 8 for the mantissa after the first one-bit.
+ZERO_CAP, MANTISSA = 15, 8
 #: Pairs estimated below this are not verified. The estimate's deviation is 0.03 at 0.75, so this is five of them away.
 ESTIMATE_FLOOR = 0.6
 #: Members of a bucket that one task compares with as many others; larger buckets are dealt out as pairs of blocks.
-BLOCK = 512
+BLOCK = 4096
+#: Bytes of a shingle's hash that travel for verification.
+SHINGLE_BYTES = 6
+#: Partners that one row of a verification list names.
+LIST = 64
 
 _U = np.uint64
 _XOR = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * _U(0xA24BAED4963EE407))
-_MUL = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * _U(0x9FB21C651E98DF25)) | _U(1)
-_WIDE = mix(np.arange(1, ROWS + 3, dtype=np.uint64) * _U(0xC2B2AE3D27D4EB4F)) | _U(1)
+_WIDE = mix(np.arange(1, ROWS + 2, dtype=np.uint64) * _U(0xC2B2AE3D27D4EB4F)) | _U(1)
+#: _NEXT[j, k]: in which order bucket j, if empty, looks for a filled bucket k to borrow from (the smallest wins).
+_NEXT = mix(np.arange(REGISTERS, dtype=np.uint64)[:, None] * _U(0x9FB21C651E98DF25) + mix(np.arange(REGISTERS, dtype=np.uint64) + _U(77))[None, :])
 EMPTY = np.iinfo(np.uint64).max
 
 
 def registers(minima: np.ndarray) -> np.ndarray:
-    """8-bit registers of 64-bit minima: min(leading zeros, 15) * 16 + the 4 bits after the leading one."""
+    """12-bit registers of 64-bit minima: min(leading zeros, 15) * 256 + the 8 bits after the leading one."""
     x = minima.copy()
     zeros = np.zeros(x.shape, np.uint64)
     for step in (8, 4, 2, 1):
         clear = (x >> _U(64 - step)) == 0
         zeros += clear * _U(step)
         x = np.where(clear, x << _U(step), x)
-    mantissa = (x >> _U(59)) & _U(15)
-    return (zeros * _U(16) + mantissa).astype(np.uint8)
+    mantissa = (x >> _U(63 - MANTISSA)) & _U((1 << MANTISSA) - 1)
+    return (zeros * _U(1 << MANTISSA) + mantissa).astype(np.uint16)
 
 
-def permuted_minima(shingles: np.ndarray) -> np.ndarray:
-    """Minimum under each of REGISTERS permutations (small sets)."""
-    return ((shingles[None, :] ^ _XOR[:, None]) * _MUL[:, None]).min(axis=1)
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """HyperMinHash registers, one row for each set: the minimum of each bucket of one hash, kept as leading zeros and mantissa.
 
-
-def bucketed_minima(shingles: np.ndarray) -> np.ndarray:
-    """Minimum of each of REGISTERS buckets of one hash (large sets); EMPTY where no shingle fell."""
-    h = mix(shingles ^ _U(0x5851F42D4C957F2D))
-    bucket = ((h >> _U(32)) * _U(REGISTERS)) >> _U(32)
-    out = np.full(REGISTERS, EMPTY, np.uint64)
-    np.minimum.at(out, bucket.astype(np.int64), mix(h))
+    A bucket without a shingle borrows the minimum of a filled one, the first in an order of its own, hashed anew. Two sets
+    then agree in a register with a chance of their Jaccard similarity, however small they are. An empty set's row is 0.
+    """
+    size = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
+    h = mix(flat ^ _U(0x5851F42D4C957F2D))
+    bucket = (((h >> _U(32)) * _U(REGISTERS)) >> _U(32)).astype(np.int64)
+    low = np.full(len(sets) * REGISTERS, EMPTY, np.uint64)
+    np.minimum.at(low, np.repeat(np.arange(len(sets)) * REGISTERS, size) + bucket, mix(h))
+    low = low.reshape(len(sets), REGISTERS)
+    filled = low != EMPTY
+    for k in np.flatnonzero((size > 0) & ~filled.all(axis=1)):
+        to, of = np.flatnonzero(~filled[k]), np.flatnonzero(filled[k])
+        low[k, to] = mix(low[k, of[_NEXT[np.ix_(to, of)].argmin(axis=1)]] ^ _XOR[to])
+    out = registers(low)
+    out[size == 0] = 0
     return out
 
 
-def band_keys(regs: np.ndarray, filled: np.ndarray, kind: int) -> np.ndarray:
-    """One 64-bit key for each band that has a filled register."""
-    v = np.where(filled, regs.astype(np.uint64) + _U(1), _U(0)).reshape(BANDS, ROWS)
-    key = (v * _WIDE[:ROWS]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _WIDE[ROWS] + _U(kind) * _WIDE[ROWS + 1]
-    return mix(key)[filled.reshape(BANDS, ROWS).any(axis=1)]
+def band_keys(regs: np.ndarray) -> np.ndarray:
+    """64-bit keys of the bands of each row of registers."""
+    v = regs.reshape(-1, BANDS, ROWS).astype(np.uint64) + _U(1)
+    return mix((v * _WIDE[:ROWS]).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _WIDE[ROWS])
 
 
-def sketch(shingles: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """(registers of the kinds that the set's size calls for, band keys). The bytes start with the kinds: 1, 2 or 3."""
-    n, parts, keys, kinds = len(shingles), [], [], 0
-    if n and n <= MANY:
-        r = registers(permuted_minima(shingles))
-        parts.append(r.tobytes())
-        keys.append(band_keys(r, np.ones(REGISTERS, bool), 1))
-        kinds |= 1
-    if n >= FEW:
-        m = bucketed_minima(shingles)
-        filled = m != EMPTY
-        r = np.where(filled, np.minimum(registers(m), 254), 255).astype(np.uint8)  # 255: no shingle fell in the bucket
-        parts.append(r.tobytes())
-        keys.append(band_keys(r, filled, 2))
-        kinds |= 2
-    return bytes([kinds]) + b"".join(parts), np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+def packed(regs: np.ndarray) -> list[bytes]:
+    """Each row of registers in 12 bits a register: the mantissas, then the leading zeros two to a byte."""
+    zeros = np.zeros((len(regs), REGISTERS + 1), np.uint8)
+    zeros[:, :REGISTERS] = regs >> MANTISSA
+    body = np.concatenate([(regs & 255).astype(np.uint8), zeros[:, ::2] << 4 | zeros[:, 1::2]], axis=1)
+    return [r.tobytes() for r in body]
 
 
-# Chance that registers of two disjoint sets agree: both minima fall in the same cell. Cells by register value.
-_ZERO = np.arange(256) // 16
-_LOW = np.where(_ZERO < ZERO_CAP, 2.0 ** -(_ZERO + 1) * (1 + (np.arange(256) % 16) / 16), 2.0**-16 * (1 + (np.arange(256) % 16) / 16))
-_HIGH = np.where(_ZERO < ZERO_CAP, 2.0 ** -(_ZERO + 1) * (1 + (np.arange(256) % 16 + 1) / 16), 2.0**-16 * (1 + (np.arange(256) % 16 + 1) / 16))
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    body = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+    zeros = np.empty((len(rows), REGISTERS + 1), np.uint16)
+    zeros[:, ::2], zeros[:, 1::2] = body[:, REGISTERS:] >> 4, body[:, REGISTERS:] & 15
+    return zeros[:, :REGISTERS] << MANTISSA | body[:, :REGISTERS]
 
 
-def accident(n: float, m: float) -> float:
-    """Chance of equal registers without a common minimum, for n and m elements in a register."""
-    def cell(k: float) -> np.ndarray:
-        return (1 - _LOW) ** k - (1 - _HIGH) ** k
+def equal_registers(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """How many registers of each row equal those of ``one``: bytes are summed eight lanes at a time (REGISTERS < 256)."""
+    same = np.zeros((len(rows), (REGISTERS + 7) // 8 * 8), bool)
+    np.equal(rows, one, out=same[:, :REGISTERS])
+    lanes = same.view(np.uint64).sum(axis=1, dtype=np.uint64)
+    return (lanes * _U(0x0101010101010101)) >> _U(56)
 
-    return float((cell(max(n, 1.0)) * cell(max(m, 1.0))).sum())
+
+# Chance that registers of two disjoint sets agree: both minima fall in the same cell. Cells by register value.
+_ZERO, _PART = np.arange(16 << MANTISSA) >> MANTISSA, (np.arange(16 << MANTISSA) & 255) / 256
+_LOW = np.where(_ZERO < ZERO_CAP, 2.0 ** -(_ZERO + 1) * (1 + _PART), 2.0**-16 * (1 + _PART))
+_HIGH = np.where(_ZERO < ZERO_CAP, 2.0 ** -(_ZERO + 1) * (1 + _PART + 1 / 256), 2.0**-16 * (1 + _PART + 1 / 256))
+_cells: dict[int, np.ndarray] = {}
 
 
-def _part(s: bytes, kind: int) -> np.ndarray:
-    return np.frombuffer(s, np.uint8, REGISTERS, 1 if kind == 1 or s[0] == 2 else 1 + REGISTERS)
+def _cell(n: float) -> np.ndarray:
+    """Chance of each register value for a set of n, by sixteenths of n's power of two."""
+    step = round(16 * np.log2(max(n / REGISTERS, 1.0)))
+    if step not in _cells:
+        k = 2.0 ** (step / 16)
+        _cells[step] = (1 - _LOW) ** k - (1 - _HIGH) ** k
+    return _cells[step]
 
 
-def estimate(a: bytes, n: int, b: bytes, m: int) -> float:
-    """Jaccard similarity from two sketches, corrected for accidental agreement; 0 if they have no kind in common."""
-    common = a[0] & b[0]
-    if not common:
-        return 0.0
-    kind = 1 if common & 1 else 2
+def accident(n: float, m: float) -> float:
+    """Chance of equal registers without a common minimum, for sets of n and m."""
+    return float(_cell(n) @ _cell(m))
+
 
-    x, y = _part(a, kind), _part(b, kind)
-    per = 1 if kind == 1 else REGISTERS
-    c = accident(n / per, m / per)
-    used = (x != 255) | (y != 255) if kind == 2 else np.ones(REGISTERS, bool)
-    share = ((x == y) & used).sum() / max(1, used.sum())
+def estimate(share: float, n: int, m: int) -> float:
+    """Jaccard similarity from the share of equal registers, corrected for accidental agreement."""
+    c = accident(n, m)
     return max(0.0, (share - c) / (1 - c))
 
 
@@ -136,13 +144,26 @@ def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, a, b, regs, keys = [], [], [], [], []
+            pending: list[np.ndarray] = []
+
+            def flush() -> None:
+                if pending:
+                    r = sketches(pending)
+                    regs.extend(packed(r))
+                    keys.extend(k if len(s) > 2 else k[:0] for k, s in zip(as_long(band_keys(r)), pending))
+                    pending.clear()
+
+            held = 0
             for s in _sets(batch, "text", width):
                 n.append(len(s))
                 a.append(int(as_long(mix(s).sum(keepdims=True, dtype=np.uint64))[0]))
                 b.append(int(as_long(mix(s ^ _U(0x1234567)).sum(keepdims=True, dtype=np.uint64))[0]))
-                r, k = sketch(s)
-                regs.append(r)
-                keys.append(as_long(k))
+                pending.append(s)
+                held += len(s) + REGISTERS
+                if held > 1 << 19:
+                    flush()
+                    held = 0
+            flush()
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             at = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -153,27 +174,69 @@ def _sketches(width: int):
     return run
 
 
-def _full_sets(width: int):
+def _set_bytes(s: np.ndarray) -> bytes:
+    return np.unique(s & _U((1 << 8 * SHINGLE_BYTES) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SHINGLE_BYTES].tobytes()
+
+
+def _set_of(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // SHINGLE_BYTES, 8), np.uint8)
+    out[:, :SHINGLE_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, SHINGLE_BYTES)
+    return out.view("<u8")[:, 0]
+
+
+#: Bytes of shingle sets in one Arrow batch.
+SET_BATCH = 8 << 20
+
+
+def _full_sets(width: int, listed: bool):
+    """(a, x) for each text, or with ``listed`` (a, b, y) for each partner that its list names."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [s.tobytes() for s in _sets(batch, "text", width)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["rep", "shingles"])
+            ids = batch.column("doc_id").to_pylist()
+            lists = batch.column("partners").to_pylist() if listed else None
+            a, b, out, held = [], [], [], 0
+
+            def flushed() -> pa.RecordBatch:
+                if listed:
+                    made = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(out, pa.binary())], names=["a", "b", "y"])
+                else:
+                    made = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(out, pa.binary())], names=["a", "x"])
+                a.clear(), b.clear(), out.clear()
+                return made
+
+            for k, s in enumerate(_sets(batch, "text", width)):
+                body = _set_bytes(s)
+                for partner in lists[k] if listed else (ids[k],):
+                    a.append(partner)
+                    b.append(ids[k])
+                    out.append(body)
+                    held += len(body)
+                    if held > SET_BATCH:
+                        yield flushed()
+                        held = 0
+            yield flushed()
 
     return run
 
 
 def _estimates(*columns: str):
     def run(a: pd.Series, n: pd.Series, b: pd.Series, m: pd.Series) -> pd.Series:
-        return pd.Series([estimate(*x) for x in zip(a, n, b, m)], dtype="float64")
+        if not len(a):
+            return pd.Series([], dtype="float64")
+        share = (unpacked(list(a)) == unpacked(list(b))).mean(axis=1)
+        return pd.Series([estimate(*x) for x in zip(share, n, m)], dtype="float64")
 
     return F.pandas_udf(run, "double")(*columns)
 
 
 def _links(percent: int):
     def verify(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
+        out, last, s = [], None, None
         for x, y in zip(a, b):
-            s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            if x != last:
+                s, last = _set_of(x), x
+            t = _set_of(y)
             both = len(np.intersect1d(s, t, assume_unique=True))
             out.append(100 * both >= percent * (len(s) + len(t) - both))
         return pd.Series(out, dtype="bool")
@@ -185,7 +248,7 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links(a, b)``: root is the smallest node of its component.
 
     Every round hooks each node onto its smallest neighbour, follows that pointer once, and contracts the links; a
-    star vanishes in one round. Links and labels stay in Spark; each round is cut by a checkpoint.
+    star vanishes in one round. Links and labels stay in Spark; each round is cut, and the tables of the last one dropped.
     """
     edges = cut(links.select("a", "b").where("a <> b").distinct())
     nodes = cut(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().select("node", F.col("node").alias("root")))
@@ -194,63 +257,70 @@ def components(links: DataFrame) -> DataFrame:
         hook = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("to"))
         jump = hook.alias("h").join(hook.select(F.col("id").alias("to"), F.col("to").alias("next")), "to", "left").select("id", F.coalesce("next", "to").alias("to"))
         jump = cut(jump)
-        nodes = cut(nodes.join(jump.withColumnRenamed("id", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        old, nodes = nodes, cut(nodes.join(jump.withColumnRenamed("id", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
         moved = edges.join(jump.select(F.col("id").alias("a"), F.col("to").alias("x")), "a").join(jump.select(F.col("id").alias("b"), F.col("to").alias("y")), "b")
-        edges = cut(moved.select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        past, edges = edges, cut(moved.select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        drop(old, past, jump)
+    drop(edges)
     return nodes
 
 
-def bucket_place(sketch_bytes: bytes, key: int) -> int:
-    """Which of a sketch's bands has this key: 0 to BANDS - 1 of the first kind, then those of the second."""
-    for kind in (1, 2):
-        if sketch_bytes[0] & kind:
-            regs = _part(sketch_bytes, kind)
-            filled = np.ones(REGISTERS, bool) if kind == 1 else regs != 255
-            some = np.flatnonzero(filled.reshape(BANDS, ROWS).any(axis=1))
-            at = np.flatnonzero(as_long(band_keys(regs, filled, kind)) == key)
-            if len(at):
-                return (kind - 1) * BANDS + int(some[at[0]])
-    raise ValueError("the sketch has no band with this key")
-
+def compare(key: int, left: dict, right: dict, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one bucket (or of two blocks of it) in different components whose corrected estimate reaches the floor.
 
-def _compare(most: int):
-    """Pairs of one (bucket, block, block) in different components whose registers agree often enough.
-
-    With ``most``, each left row names only its ``most`` closest partners; 0 names all. The share of equal registers is
-    never below the corrected estimate, so nothing that an estimate would pass is lost here.
+    With ``most``, each left row names only its ``most`` closest partners; 0 names all. A pair that shares several buckets
+    is named in the first of them only. Sides hold rep, root, n and registers (rows).
     """
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    here = int(np.flatnonzero(as_long(band_keys(left["regs"][:1]))[0] == key)[0])
+    for rep, root, n, regs in zip(left["rep"], left["root"], left["n"], left["regs"]):
+        able = np.flatnonzero((right["root"] != root) & (4 * np.minimum(n, right["n"]) >= 3 * np.maximum(n, right["n"])))
+        share = equal_registers(right["regs"][able], regs) / REGISTERS
+        able, share = able[share >= ESTIMATE_FLOOR], share[share >= ESTIMATE_FLOOR]
+        if len(able):
+            same = (right["regs"][able] == regs).reshape(-1, BANDS, ROWS).all(axis=2)
+            good = (same.argmax(axis=1) == here) & (np.array([estimate(s, n, m) for s, m in zip(share, right["n"][able])]) >= ESTIMATE_FLOOR)
+            able, share = able[good], share[good]
+            if most and len(able) > most:
+                able = able[np.argsort(-share, kind="stable")[:most]]
+            out_a.append(np.full(len(able), rep, np.int64))
+            out_b.append(right["rep"][able])
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
+def _compared(most: int):
+    """``compare`` over rows sorted by (key, i, j): groups are taken one after another, whatever batches they come in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def settle(t: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table | None]:
+            ids = np.column_stack([t.column(c).to_numpy() for c in ("key", "i", "j")])
+            starts = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]).any(axis=1)))
+            ends = np.append(starts[1:], len(ids))
+            whole = len(starts) if last else len(starts) - 1
+            out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            upto = int(ends[whole - 1]) if whole else 0
+            if upto:
+                regs = unpacked(t.column("regs").slice(0, upto).to_pylist())
+                side, rep, root, n = (t.column(c).to_numpy()[:upto] for c in ("side", "rep", "root", "n_shingles"))
+                for s, e in zip(starts[:whole], ends[:whole]):
+                    parts = [{"rep": rep[s:e][m], "root": root[s:e][m], "n": n[s:e][m], "regs": regs[s:e][m]} for m in (side[s:e] == 0, side[s:e] == 1)]
+                    if len(parts[0]["rep"]) and len(parts[1]["rep"]):
+                        a, b = compare(int(ids[s, 0]), *parts, most)
+                        out_a.append(np.minimum(a, b))
+                        out_b.append(np.maximum(a, b))
+            made = pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
+            return made, t.slice(upto).combine_chunks() if upto < len(ids) else None
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        if len(left) and len(right):
-            here = bucket_place(left.regs.iloc[0], int(pdf.key.iloc[0]))
-            parts = {1: np.zeros((len(right), REGISTERS), np.uint8), 2: np.zeros((len(right), REGISTERS), np.uint8)}
-            kinds = np.array([r[0] for r in right.regs])
-            for k, r in enumerate(right.regs):
-                for kind in (1, 2):
-                    if r[0] & kind:
-                        parts[kind][k] = _part(r, kind)
-            ids, roots, sizes = right.rep.to_numpy(), right.root.to_numpy(), right.n_shingles.to_numpy()
-            for rep, root, regs, n in zip(left.rep, left.root, left.regs, left.n_shingles):
-                share, met = np.zeros(len(right)), np.full(len(right), here)
-                for kind in (2, 1):
-                    if regs[0] & kind:
-                        both = np.flatnonzero((kinds & kind) > 0)
-                        mine = _part(regs, kind)
-                        equal = parts[kind][both] == mine
-                        share[both] = equal.mean(axis=1)
-                        bands = equal.reshape(-1, BANDS, ROWS).all(axis=2) & (mine.reshape(BANDS, ROWS) != 255).any(axis=1)
-                        some = bands.any(axis=1)
-                        met[both[some]] = (kind - 1) * BANDS + bands[some].argmax(axis=1)
-                # A pair shares several buckets; it is named in the first of them only.
-                near = np.flatnonzero((met == here) & (share >= ESTIMATE_FLOOR) & (roots != root) & (4 * np.minimum(n, sizes) >= 3 * np.maximum(n, sizes)))
-                if most and len(near) > most:
-                    near = near[np.argsort(-share[near], kind="stable")[:most]]
-                out_a.append(np.full(len(near), rep, np.int64))
-                out_b.append(ids[near])
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        for batch in batches:
+            if batch.num_rows:
+                rest = pa.concat_tables([rest, pa.Table.from_batches([batch])]) if rest is not None else pa.Table.from_batches([batch])
+                if rest.num_rows > BLOCK or rest.column("key")[0].as_py() != rest.column("key")[-1].as_py():
+                    made, rest = settle(rest, False)
+                    yield made
+        if rest is not None:
+            yield settle(rest, True)[0]
 
     return run
 
@@ -270,21 +340,26 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE) ->
     component null, kept true. Other columns are ignored; an empty table gives an empty result.
 
     Equal sets fall together by a 128-bit digest before any sketch is compared, so a group of exact copies costs one
-    representative. Representatives meet in band buckets. First each member of a bucket is compared with the bucket's
-    centre only (linear however large the bucket); components of the confirmed links follow. Then, in
-    buckets that still hold several components, members outside the first one's component are compared with all
-    others by estimate, block by block, and what passes is confirmed on the full sets. No link between different
-    components is lost but for the chance that a linked pair shares no band (5 in 10^6 at exactly 0.75).
+    representative. Representatives meet in band buckets; each bucket has a centre. First each text is compared with the
+    centre that most of its buckets have, then with the other centres that are not yet in its component (linear however
+    large a bucket is). Then, in buckets that still hold several components, members outside the first one's component
+    are compared with all others by estimate, block by block, and what passes is confirmed on the full sets. Sets under 3
+    shingles can only be equal. No link between different components is lost but for the chance that a linked pair
+    shares no band (5 in 10^6 at exactly 0.75) or is estimated below ESTIMATE_FLOOR (5 deviations).
     """
     if percent < 75:
-        raise ValueError("bands and size classes are laid out for a similarity of 0.75 or more")
+        raise ValueError("bands and the least set size are laid out for a similarity of 0.75 or more")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = cut(rows.mapInArrow(_sketches(width), _SKETCH))
+    made = cut(rows.mapInArrow(_sketches(width), _SKETCH))
     digest = ["sig_a", "sig_b", "n_shingles"]
-    named = sketches.where("doc_id is not null and n_shingles > 0")
+    named = made.where("doc_id is not null and n_shingles > 0")
     reps = cut(named.groupBy(*digest).agg(F.min("doc_id").alias("rep")))
+    member = named.select("doc_id", *digest).join(reps, digest).select("doc_id", "rep")
+    several = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc_id", "a")
+    same_doc = cut(member.join(several, "doc_id").select("a", F.col("rep").alias("b")))
     first = named.withColumnRenamed("doc_id", "rep").join(reps, [*digest, "rep"], "left_semi").dropDuplicates([*digest, "rep"])
     first = cut(first.select("rep", "sig_a", "n_shingles", "regs", "keys"))
+    sweep(docs.sparkSession)
 
     # A document with several texts can stand for more than one of them: a sketch is known by its id and half of its digest.
     keyed = first.select("rep", "sig_a", F.explode("keys").alias("key"))
@@ -294,25 +369,47 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE) ->
     degree = met.groupBy("rep").agg(F.sum("size").alias("degree"))
     centre = met.join(degree, "rep").groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("least"))).alias("c"))
     buckets = cut(met.join(centre.select("key", (-F.col("c.least")).alias("first")), "key"))
+    drop(met)
+    sketch = first.select("rep", "n_shingles", "regs")
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        """The links among candidate pairs (a, b) of representatives."""
-        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        x = first.select(F.col("rep").alias("a"), F.col("regs").alias("ra"), F.col("n_shingles").alias("na"))
-        y = first.select(F.col("rep").alias("b"), F.col("regs").alias("rb"), F.col("n_shingles").alias("nb"))
-        likely = pairs.join(x, "a").join(y, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        likely = cut(likely.where(_estimates("ra", "na", "rb", "nb") >= ESTIMATE_FLOOR).select("a", "b"))
-        need = likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()
-        sets = cut(rows.join(need, "doc_id", "left_semi").mapInArrow(_full_sets(width), "rep long, shingles binary"))
-        sa, sb = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
-        return cut(likely.join(sa, "a").join(sb, "b").where(_links(percent)("x", "y")).select("a", "b"))
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Those of pairs (a, b) whose sizes and corrected estimate allow a link."""
+        x, y = (sketch.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("regs").alias(f"r{c}")) for c in "ab")
+        met_by_size = cut(pairs.join(x.drop("ra"), "a").join(y.drop("rb"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b"))
+        out = cut(met_by_size.join(y, "b").join(x, "a").where(_estimates("ra", "na", "rb", "nb") >= ESTIMATE_FLOOR).select("a", "b").distinct())
+        drop(met_by_size)
+        return out
 
-    member = named.select("doc_id", *digest).join(reps, digest).select("doc_id", "rep")
-    several = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc_id", "a")
-    same_doc = member.join(several, "doc_id").select("a", F.col("rep").alias("b"))
-    star = confirm(buckets.select(F.col("first").alias("a"), F.col("rep").alias("b")))
-    linked = components(star.union(same_doc))
-    labels = cut(reps.select(F.col("rep").alias("node")).distinct().join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    def confirm(pairs: DataFrame) -> DataFrame:
+        """The links among pairs (a, b) of documents, by their full sets: b's set is sent to each partner's once."""
+        many = pairs.groupBy("b").agg(F.ceil(F.count("*") / LIST).cast("int").alias("parts"))
+        lists = cut(pairs.join(many, "b").groupBy("b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part")).agg(F.collect_list("a").alias("partners")).select("b", "partners"))
+        ids = cut(pairs.select("a").distinct())
+        ys = rows.join(small_side(lists), F.col("doc_id") == F.col("b")).select("doc_id", "text", "partners").mapInArrow(_full_sets(width, True), "a long, b long, y binary")
+        xs = rows.join(small_side(ids), F.col("doc_id") == F.col("a"), "left_semi").mapInArrow(_full_sets(width, False), "a long, x binary")
+        out = cut(ys.join(xs, "a").where(_links(percent)("x", "y")).select("a", "b").distinct())
+        drop(lists, ids)
+        return out
+
+    def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+        """Labels after the links between components."""
+        x, y = (labels.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+        roots = components(links.join(x, "a").join(y, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        out = cut(labels.join(roots.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left").select("node", F.coalesce("last", "root").alias("root")))
+        drop(labels, roots)
+        return out
+
+    nodes = cut(reps.select(F.col("rep").alias("node")).distinct().select("node", F.col("node").alias("root")))
+    labels = merged(nodes, same_doc)
+    stars = cut(buckets.where("first <> rep").groupBy(F.col("first").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("bands")))
+    main = stars.groupBy("b").agg(F.max(F.struct("bands", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
+    for pairs in (main, stars.select("a", "b")):
+        x, y = (labels.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+        able = likely(pairs.join(x, "a").join(y, "b").where("ra <> rb").select("a", "b"))
+        links = confirm(able)
+        labels = merged(labels, links)
+        drop(able, links)
+    drop(stars)
 
     def unsettled(labels: DataFrame, most: int) -> DataFrame:
         """Candidate pairs of different components in buckets that hold several."""
@@ -321,28 +418,33 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE) ->
         mixed = mixed.join(labels.select(F.col("node").alias("first"), F.col("root").alias("main")), "first").select("key", "n", "main")
         open_ = cut(placed.select("key", "rep", "sig_a", "root").join(mixed, "key"))
         rest = open_.where("root <> main").groupBy("key").agg(F.count("*").alias("r"))
-        open_ = open_.join(rest, "key").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("rb", F.ceil(F.col("r") / BLOCK).cast("int"))
+        dealt = open_.join(rest, "key").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("rb", F.ceil(F.col("r") / BLOCK).cast("int"))
         own = lambda many: F.pmod(F.xxhash64("rep"), F.col(many)).cast("int")
         upto = lambda many: F.sequence(F.lit(0), F.col(many) - 1)
-        lefts = open_.where("root <> main").select("key", own("rb").alias("i"), F.explode(upto("nb")).alias("j"), F.lit(0).alias("side"), "rep", "sig_a", "root")
-        rights = open_.select("key", F.explode(upto("rb")).alias("i"), own("nb").alias("j"), F.lit(1).alias("side"), "rep", "sig_a", "root")
-        dealt = lefts.union(rights).join(first.select("rep", "sig_a", "regs", "n_shingles"), ["rep", "sig_a"]).drop("sig_a")
-        return dealt.groupBy("key", "i", "j").applyInPandas(_compare(most), "a long, b long")
+        lefts = dealt.where("root <> main").select("key", own("rb").alias("i"), F.explode(upto("nb")).alias("j"), F.lit(0).alias("side"), "rep", "sig_a", "root")
+        rights = dealt.select("key", F.explode(upto("rb")).alias("i"), own("nb").alias("j"), F.lit(1).alias("side"), "rep", "sig_a", "root")
+        both = lefts.union(rights).join(first.select("rep", "sig_a", "regs", "n_shingles"), ["rep", "sig_a"]).drop("sig_a")
+        sorted_ = both.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        out = cut(sorted_.mapInArrow(_compared(most), "a long, b long").distinct())
+        drop(open_)
+        return out
 
     rounds = [CLOSEST] * ROUNDS + [0]
     while rounds:
-        extra = confirm(unsettled(labels, rounds.pop(0)))
-        if extra.isEmpty():
+        pairs = unsettled(labels, rounds.pop(0))
+        links = confirm(pairs)
+        if links.isEmpty():
             rounds = rounds[-1:]  # nothing merges any more: go on to the round that names all, and end after it
-            continue
-        x, y = (labels.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
-        merged = components(extra.join(x, "a").join(y, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-        labels = cut(labels.join(merged.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left").select("node", F.coalesce("last", "root").alias("root")))
+        else:
+            labels = merged(labels, links)
+        drop(pairs, links)
     roots = reps.join(labels.withColumnRenamed("node", "rep"), "rep").select(*digest, F.col("root").alias("component_id"))
-    out = sketches.select("doc_id", *digest).join(roots, digest, "left")
+    out = made.select("doc_id", *digest).join(roots, digest, "left")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     out = out.withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
+    out = cut(out.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept")))
+    drop(made, reps, same_doc, first, buckets, labels)
+    return out
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
