@@ -321,6 +321,45 @@ def test_marginals_against_enumeration():
     assert np.allclose(toxicity.marginals(np.concatenate([u, u[:2]]), np.array([0, 6, 6, 8]), a)[:6], sums / total)
 
 
+def test_expected_transitions_against_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(4)
+    u, a, begin = rng.normal(size=7), rng.normal(size=(2, 2)), np.array([0, 5, 5, 7])
+    want, total = np.zeros((2, 2)), np.zeros(7)
+    for lo, hi in ((0, 5), (5, 7)):
+        z, seen, tags = 0.0, np.zeros((2, 2)), np.zeros(7)
+        for y in itertools.product((0, 1), repeat=hi - lo):
+            path = (0, *y)
+            w = np.exp(sum(u[lo + i] * y[i] for i in range(hi - lo)) + sum(a[path[i], path[i + 1]] for i in range(hi - lo)))
+            z += w
+            tags[lo:hi] += w * np.array(y)
+            for i in range(hi - lo):
+                seen[path[i], path[i + 1]] += w
+        want, total = want + seen / z, total + tags / z
+    p, counts = toxicity.expectations(u, begin, a)
+    assert np.allclose(p, total) and np.allclose(counts, want)
+
+
+def test_the_field_learns_from_neighbours_and_long_texts():
+    rng = random.Random(8)
+    texts_, labels = [], []
+    for i in range(300):
+        w = [f"w{rng.randint(0, 40)}" for _ in range(4000 if i % 50 == 0 else 50)]
+        bad = i % 3 == 0
+        for _ in range(4):
+            w[rng.randrange(1, len(w) - 1)] = "slur" if bad else "calm"
+        texts_.append(" ".join(w))
+        labels.append(int(bad))
+    field = toxicity.train(texts_, labels)
+    assert field.parts("slur")[0] > field.parts("calm")[0] and field.transition.any()
+    parts = np.array([field.parts(w) for w in "w1 slur w2".split()])
+    at = np.array([0, 3])
+    p = toxicity.marginals(field.bias + toxicity.gathered(parts, at), at, field.transition)
+    assert p[1] > 0.5 > max(p[0], p[2])
+    assert np.allclose(toxicity.gathered(np.array([[1.0, 10, 100]] * 4), np.array([0, 2, 2, 4])), [101, 11, 101, 11])
+
+
 def test_toxicity_on_held_out_texts(spark, docs, empty):
     rng = random.Random(2)
     rows, labels = [], []

@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 
 from tieline.llm.common import LOWER, NON_SPACE, doc_chunks, table, text_buffers, word_hashes, word_spans
 
-#: The field is learned from at most so many labelled texts of each class, those with the smallest id hash, none longer
-#: than MAX_CHARS. They are all that reaches the driver.
-MAX_POSITIVE, MAX_NEGATIVE, MAX_CHARS = 1200, 2400, 8_000
+#: The field is learned from at most so many labelled texts of each class, those with the smallest id hash, each whole.
+#: They are all that reaches the driver.
+MAX_POSITIVE, MAX_NEGATIVE = 1500, 3000
 #: A token of a toxic text is labelled toxic by a feature that is SEED_SHARE or more toxic (by text frequencies) and either
 #: stands in SEED_COMMON of the toxic texts or is needed to explain SEED_NEW of them that no better one explains.
 SEED_SHARE, SEED_TEXTS, SEED_COMMON, SEED_NEW = 0.85, 4, 0.04, 0.01
 SEGMENT, EPOCHS, RATE, RIDGE = 60, 25, 0.5, 0.3
 MIN_FEATURE = 3
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: A token belongs to a span from this marginal on; smaller marginals than FLOOR do not add to a text's mass.
 SPAN, FLOOR = 0.5, 0.05
 TEXT_CHUNK = 8 << 20
@@ -41,23 +42,46 @@ def features(word: str) -> list[str]:
     return out
 
 
+def neighbour_features(word: str) -> list[str]:
+    """What the words before and after a token see of this one: its core and that core's first letters."""
+    core = _EDGE.sub("", word)
+    return ["w=" + core, "p4=" + core[:4]]
+
+
+#: Where a feature's word stands, seen from the token: itself, the word before it, the word after it.
+PLACES = ((0, features), (-1, neighbour_features), (1, neighbour_features))
+
+
 @dataclass
 class Field:
-    """Weights of the toxic tag by feature, log transitions [from][to] of (other, toxic), and the document scorer."""
+    """Weights of the toxic tag by place and feature, log potentials [from][to] of (other, toxic), and the document scorer."""
 
-    weights: dict[str, float]
+    weights: tuple[dict[str, float], dict[str, float], dict[str, float]]
     bias: float
     transition: np.ndarray
     scorer: np.ndarray
 
-    def unary(self, word: str) -> float:
-        return self.bias + sum(self.weights.get(f, 0.0) for f in features(word))
+    def parts(self, word: str) -> tuple[float, float, float]:
+        """What a word adds to its own token, to the next one and to the one before."""
+        return tuple(sum(w.get(f, 0.0) for f in make(word)) for w, (_, make) in zip(self.weights, PLACES))
 
 
-def marginals(unary: np.ndarray, begin: np.ndarray, transition: np.ndarray) -> np.ndarray:
-    """P(toxic) of each token by forward-backward, for texts laid end to end (text k: begin[k]:begin[k + 1]).
+def gathered(parts: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Unary scores of tokens from their words' ``parts`` (a row for each token), neighbours within a text only."""
+    own = parts[:, 0].copy()
+    if len(own) > 1:
+        first = np.zeros(len(own) + 1, bool)
+        first[begin] = True
+        inner = ~first[1:-1]
+        own[1:] += np.where(inner, parts[:-1, 1], 0)
+        own[:-1] += np.where(inner, parts[1:, 2], 0)
+    return own
+
 
-    With two tags each direction is one number, the ratio of the two messages; all texts step together, longest first.
+def messages(unary: np.ndarray, begin: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward messages as ratios (toxic to other), for texts laid end to end (text k: begin[k]:begin[k + 1]).
+
+    The forward ratio holds the token's own score. A text starts as if after an 'other'. All texts step together, longest first.
     """
     size = np.diff(begin)
     order = np.argsort(-size, kind="stable")
@@ -82,10 +106,33 @@ def marginals(unary: np.ndarray, begin: np.ndarray, transition: np.ndarray) -> n
             x = emit[at + 1] * q[:k]
             q[:k] = (a[1, 0] + a[1, 1] * x) / (a[0, 0] + a[0, 1] * x)
         backward[at] = q[:k]
+    return forward, backward
+
+
+def marginals(unary: np.ndarray, begin: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """P(toxic) of each token by forward-backward."""
+    forward, backward = messages(unary, begin, transition)
     odds = forward * backward
     return odds / (1 + odds)
 
 
+def expectations(unary: np.ndarray, begin: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(P(toxic) of each token, expected number of each transition [from][to], a text's start counting as from 'other')."""
+    forward, backward = messages(unary, begin, transition)
+    odds = forward * backward
+    p = odds / (1 + odds)
+    starts = np.zeros(len(unary), bool)
+    starts[begin[:-1][np.diff(begin) > 0]] = True
+    counts = np.zeros((2, 2))
+    counts[0] += (1 - p[starts]).sum(), p[starts].sum()
+    to = np.flatnonzero(~starts)
+    a, r = np.exp(transition), forward[to - 1]
+    x = np.exp(np.clip(unary[to], -30, 30)) * backward[to]
+    cells = np.array([[a[0, 0] * np.ones(len(to)), a[0, 1] * x], [a[1, 0] * r, a[1, 1] * r * x]])
+    counts += (cells / cells.sum(axis=(0, 1))).sum(axis=2)
+    return p, counts
+
+
 def document_features(p: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """For each text: 1, the log odds of its most toxic token, and the log of its toxic mass (a text without words: none)."""
     n = len(begin) - 1
@@ -114,48 +161,55 @@ def fit_scorer(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Tokens:
-    """Texts as word numbers, and the feature numbers of each word (word w: index[first[w]:first[w + 1]])."""
+    """Texts as word numbers, and for each place the feature numbers of each word (word w: index[first[w]:first[w + 1]])."""
 
     words: list[str]
     texts: list[np.ndarray]
-    names: list[str]
-    first: np.ndarray
-    index: np.ndarray
+    names: list[list[str]]
+    first: list[np.ndarray]
+    index: list[np.ndarray]
 
     @classmethod
     def of(cls, texts: list[str]) -> "Tokens":
         known: dict[str, int] = {}
-        numbered = [np.array([known.setdefault(w, len(known)) for w in t.lower().split()], np.int64) for t in texts]
-        names: dict[str, int] = {}
-        first, index = array("q", [0]), array("q")
-        for w in known:
-            index.extend([names.setdefault(f, len(names)) for f in features(w)])
-            first.append(len(index))
-        return cls(list(known), numbered, list(names), np.array(first, np.int64), np.array(index, np.int64))
-
-    def features_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        numbered = [np.array([known.setdefault(w.lower(), len(known)) for w in WORD.findall(t)], np.int32) for t in texts]
+        out = cls(list(known), numbered, [], [], [])
+        for _, make in PLACES:
+            names: dict[str, int] = {}
+            first, index = array("q", [0]), array("i")
+            for w in known:
+                index.extend([names.setdefault(f, len(names)) for f in make(w)])
+                first.append(len(index))
+            out.names.append(list(names))
+            out.first.append(np.array(first, np.int64))
+            out.index.append(np.array(index, np.int32))
+        return out
+
+    def features_of(self, words: np.ndarray, place: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(feature numbers of all words in order, which word each belongs to)."""
-        many = self.first[words + 1] - self.first[words]
+        first, index = self.first[place], self.index[place]
+        many = first[words + 1] - first[words]
         owner = np.repeat(np.arange(len(words)), many)
         at = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
-        return self.index[self.first[words][owner] + at], owner
+        return index[first[words][owner] + at], owner
 
 
 def seed_features(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
     """Which features mark toxic texts (a boolean for each), by text frequencies and greedy cover."""
     own = [np.unique(tokens.features_of(np.unique(t))[0]) for t in tokens.texts]
-    seen = np.zeros((2, len(tokens.names)), np.int64)
+    names = tokens.names[0]
+    seen = np.zeros((2, len(names)), np.int64)
     for f, y in zip(own, toxic):
         seen[int(y), f] += 1
     n1 = max(1, int(toxic.sum()))
     n0 = max(1, len(toxic) - n1)
     least = max(SEED_TEXTS, SEED_NEW * n1)
-    share = np.divide(seen[1] / n1, seen[1] / n1 + seen[0] / n0, out=np.zeros(len(tokens.names)), where=seen[1] > 0)
-    good = (seen[1] >= least) & (share >= SEED_SHARE) & ~np.isin(tokens.names, ["digit", "mark"])
+    share = np.divide(seen[1] / n1, seen[1] / n1 + seen[0] / n0, out=np.zeros(len(names)), where=seen[1] > 0)
+    good = (seen[1] >= least) & (share >= SEED_SHARE) & ~np.isin(names, ["digit", "mark"])
     seeds = good & (seen[1] >= SEED_COMMON * n1)
     left = [f[good[f]] for f, y in zip(own, toxic) if y and not seeds[f].any()]
     while left:
-        count = np.bincount(np.concatenate(left), minlength=len(tokens.names))
+        count = np.bincount(np.concatenate(left), minlength=len(names))
         best = int(count.argmax())
         if count[best] < least:
             break
@@ -165,50 +219,60 @@ def seed_features(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[str], toxic: list[int]) -> Field:
-    """Label tokens by the features that separate the texts, then fit the field to the labelled tokens."""
+    """Label tokens by the features that separate the texts, then fit weights and transitions to them by forward-backward.
+
+    Every word of every text is used. Long texts are cut into segments of SEGMENT words. A word's features add to its own
+    token and, fewer of them, to the tokens beside it; scores and gradients are summed by word first, so memory follows the
+    vocabulary and the number of tokens, not their product with the features.
+    """
     tokens, y_text = Tokens.of(texts), np.array(toxic, np.int64)
     seeds = seed_features(tokens, y_text)
     marked = np.zeros(len(tokens.words), bool)
     flat, owner = tokens.features_of(np.arange(len(tokens.words)))
     marked[owner[seeds[flat]]] = True
-    words, tags, begin = [], [], [0]
-    for t, y in zip(tokens.texts, y_text):
-        for k in range(0, len(t), SEGMENT):
-            part = t[k: k + SEGMENT]
-            tag = marked[part] & bool(y)
-            if tag.any() or (k // SEGMENT) % 4 == 0:
-                words.append(part)
-                tags.append(tag)
-                begin.append(begin[-1] + len(part))
-    words = np.concatenate(words) if words else np.zeros(0, np.int64)
-    y, begin = (np.concatenate(tags) if tags else np.zeros(0)).astype(float), np.array(begin)
-    flat, owner = tokens.features_of(words)
-    used = np.bincount(flat, minlength=len(tokens.names)) >= MIN_FEATURE
-    flat, owner = flat[used[flat]], owner[used[flat]]
-    weights, bias = np.zeros(len(tokens.names)), -4.0
-    counts = np.ones((2, 2))
-    inner = np.ones(len(y), bool)
-    inner[begin[:-1][begin[:-1] < len(y)]] = False
-    if len(y):
-        np.add.at(counts, (y[:-1].astype(int), y[1:].astype(int)), inner[1:])
-    transition = np.log(counts / counts.sum(axis=1, keepdims=True))
-    seen_w, seen_b = np.full(len(weights), 1e-6), 1e-6
+    words = np.concatenate([*tokens.texts, np.zeros(0, np.int32)])
+    y = np.concatenate([*(marked[t] & bool(k) for t, k in zip(tokens.texts, y_text)), np.zeros(0, bool)]).astype(float)
+    cuts = [np.arange(0, len(t), SEGMENT) for t in tokens.texts]
+    at = np.append(0, np.cumsum([len(t) for t in tokens.texts]))
+    begin = np.append(np.concatenate([*(c + a for c, a in zip(cuts, at)), np.zeros(0, np.int64)]), len(words)).astype(np.int64)
+    vocabulary = np.arange(len(tokens.words))
+    seen = np.bincount(words, minlength=len(vocabulary))
+    layout, weights, spent = [], [], []
+    for place in range(len(PLACES)):
+        flat, owner = tokens.features_of(vocabulary, place)
+        used = np.bincount(flat, seen[owner], len(tokens.names[place])) >= MIN_FEATURE
+        layout.append((flat[used[flat]], owner[used[flat]]))
+        weights.append(np.zeros(len(tokens.names[place])))
+        spent.append(np.full(len(tokens.names[place]), 1e-6))
+    bias, transition, spent_b, spent_t = -4.0, np.zeros((2, 2)), 1e-6, np.full((2, 2), 1e-6)
+    starts = np.zeros(len(words) + 1, bool)
+    starts[begin] = True
+    inner = ~starts[1:-1]
+    tag = y.astype(int)
+    observed = np.zeros((2, 2))
+    np.add.at(observed, (np.where(starts[: len(tag)], 0, np.roll(tag, 1)), tag), 1)
+
+    def parts(sparse: float = 0.0) -> np.ndarray:
+        """What each word of the vocabulary adds, by place."""
+        return np.column_stack([np.bincount(o, np.where(np.abs(w) > sparse, w, 0.0)[f], len(vocabulary)) for w, (f, o) in zip(weights, layout)])
+
     for _ in range(EPOCHS if len(y) else 0):
-        unary = bias + np.bincount(owner, weights[flat], len(y))
-        gap = y - marginals(unary, begin, transition)
-        grad = np.bincount(flat, gap[owner], len(weights)) - RIDGE * weights
-        seen_w += grad**2
-        weights += RATE * grad / np.sqrt(seen_w)
-        g = gap.sum()
-        seen_b += g * g
-        bias += RATE * g / np.sqrt(seen_b)
-    field = Field({tokens.names[k]: float(weights[k]) for k in np.flatnonzero(np.abs(weights) > 1e-3).tolist()}, float(bias), transition, np.array([-3.0, 1.0, 0.0]))
+        p, expected = expectations(bias + gathered(parts()[words], begin), begin, transition)
+        gap = y - p
+        sums = [np.bincount(words, gap, len(vocabulary)), np.bincount(words[:-1], np.where(inner, gap[1:], 0), len(vocabulary)), np.bincount(words[1:], np.where(inner, gap[:-1], 0), len(vocabulary))]
+        for w, s, (f, o), g in zip(weights, spent, layout, sums):
+            grad = np.bincount(f, g[o], len(w)) - RIDGE * w
+            s += grad**2
+            w += RATE * grad / np.sqrt(s)
+        spent_b += gap.sum() ** 2
+        bias += RATE * gap.sum() / np.sqrt(spent_b)
+        turn = observed - expected - RIDGE * transition
+        spent_t += turn**2
+        transition += RATE * turn / np.sqrt(spent_t)
+    kept = tuple({names[k]: float(w[k]) for k in np.flatnonzero(np.abs(w) > 1e-3).tolist()} for names, w in zip(tokens.names, weights))
+    field = Field(kept, float(bias), transition, np.array([-3.0, 1.0, 0.0]))
     if 0 < y_text.sum() < len(y_text):
-        kept = np.where(np.abs(weights) > 1e-3, weights, 0.0)
-        flat, owner = tokens.features_of(np.arange(len(tokens.words)))
-        of_word = bias + np.bincount(owner, kept[flat], len(tokens.words))
-        at = np.append(0, np.cumsum([len(t) for t in tokens.texts]))
-        p = marginals(of_word[np.concatenate(tokens.texts)], at, transition)
+        p = marginals(bias + gathered(parts(1e-3)[words], at), at, transition)
         field.scorer = fit_scorer(document_features(p, at), y_text.astype(float))
     return field
 
@@ -218,32 +282,32 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Field:
     known = labels.where("doc_id is not null and toxic in (0, 1) and crc32(cast(doc_id as string)) % 5 <> 0").select(F.col("doc_id").alias("_id"), "toxic").distinct()
     some = lambda y, n: known.where(F.col("toxic") == y).orderBy(F.xxhash64("_id"), "_id").limit(n)
     chosen = some(1, MAX_POSITIVE).union(some(0, MAX_NEGATIVE))
-    rows = docs.select(F.col("doc_id"), F.col(text).cast("string").alias("_t")).where(F.length("_t") <= MAX_CHARS).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # bounded by the two limits
+    rows = docs.select(F.col("doc_id"), F.col(text).cast("string").alias("_t")).where("_t is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # bounded by the two limits
     # Copies of a text would count as evidence several times.
     found = sorted({r["_t"]: (r["_id"], int(r["toxic"])) for r in sorted(rows.select("_id", "_t", "toxic").collect(), reverse=True)}.items(), key=lambda x: x[1])
     return train([t for t, _ in found], [y for _, (_, y) in found])
 
 
 class WordScores:
-    """Unary scores of words by their hash; forgets all past the limit."""
+    """What words add to the scores around them, by their hash; forgets all past the limit."""
 
     def __init__(self, field: Field):
         self.field = field
-        self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0)
+        self.keys, self.values = np.zeros(0, np.uint64), np.zeros((0, len(PLACES)))
 
     def of(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         kinds, first, which = np.unique(word_hashes(low, starts, ends), return_index=True, return_inverse=True)
         if len(self.keys) > CACHE_WORDS:
-            self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0)
+            self.keys, self.values = np.zeros(0, np.uint64), np.zeros((0, len(PLACES)))
         at = np.searchsorted(self.keys, kinds)
         at[at == len(self.keys)] = 0
         fresh = np.flatnonzero(self.keys[at] != kinds) if len(self.keys) else np.arange(len(kinds))
         if len(fresh):
             data = low.tobytes()
-            new = [self.field.unary(data[a:b].decode().lower()) for a, b in zip(starts[first[fresh]].tolist(), ends[first[fresh]].tolist())]
+            new = [self.field.parts(data[a:b].decode().lower()) for a, b in zip(starts[first[fresh]].tolist(), ends[first[fresh]].tolist())]
             keys = np.concatenate([self.keys, kinds[fresh]])
             order = np.argsort(keys, kind="stable")
-            self.keys, self.values = keys[order], np.concatenate([self.values, new])[order]
+            self.keys, self.values = keys[order], np.concatenate([self.values, np.array(new)])[order]
             at = np.searchsorted(self.keys, kinds)
         return self.values[at][which]
 
@@ -277,7 +341,7 @@ def _score(field: Field, passed: list[str], text: str):
                 low = LOWER[raw[offsets[i]: offsets[j]]]
                 starts, ends = word_spans(low, at, NON_SPACE)
                 begin = np.searchsorted(starts, at)
-                p = marginals(words.of(low, starts, ends), begin, field.transition) if len(starts) else np.zeros(0)
+                p = marginals(field.bias + gathered(words.of(low, starts, ends), begin), begin, field.transition) if len(starts) else np.zeros(0)
                 scores.append(sigmoid(document_features(p, begin) @ field.scorer))
                 hot = np.zeros(len(p) + 1, np.int64)
                 hot[1:] = np.cumsum(p >= SPAN)
@@ -310,4 +374,5 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = score(docs, fit(docs, table(spark, sf_dir, "labels")), keep_text=False)
     held = F.coalesce(F.expr("crc32(cast(doc_id as string)) % 5 = 0"), F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("toxic_spans").alias("n_spans"))
+    spans = F.array_join(F.transform("toxic_spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("toxic_spans").alias("n_spans"), spans.alias("spans"))
