@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Letters that do not decompose, and characters that fold to an apostrophe.
-EXPANSIONS = {"ß": "ss", "æ": "ae", "Æ": "ae", "œ": "oe", "Œ": "oe", "ø": "o", "Ø": "o", "ł": "l", "Ł": "l", "đ": "d", "Đ": "d", "ð": "d", "Ð": "d", "þ": "th", "Þ": "th", "ı": "i", "‘": "'", "’": "'", "`": "'"}
+EXPANSIONS = {"ß": "ss", "ẞ": "ss", "æ": "ae", "Æ": "ae", "œ": "oe", "Œ": "oe", "ø": "o", "Ø": "o", "ł": "l", "Ł": "l", "đ": "d", "Đ": "d", "ð": "d", "Ð": "d", "þ": "th", "Þ": "th", "ı": "i", "‘": "'", "’": "'", "ʼ": "'", "`": "'"}
 INDIC_FIRST, INDIC_LAST, INDIC_BASE = 0x0900, 0x0DFF, 0x0900
 #: Weights of word, character gram and initials in a name bag; of number, deletion, mixed, compound and word in an address bag.
 NAME_WEIGHTS = {"w": 2.0, "p": 1.0, "g": 1.0, "i": 1.0}
@@ -17,40 +17,53 @@ ADDRESS_WEIGHTS = {"n": 1.5, "d": 0.5, "m": 1.0, "c": 1.0, "a": 1.0}
 BAG = "array<struct<feature: string, tf: double>>"
 
 
-@lru_cache
-def fold_tables() -> tuple[str, str, str]:
-    """(characters, their replacements, characters to delete): accents and Indic blocks, one code point each."""
-    source, target, gone = [], [], [chr(c) for c in range(0x300, 0x370)] + ["‌", "‍"]
-    for cp in range(0x80, 0x3000):
-        ch = chr(cp)
-        if ch in EXPANSIONS or 0x300 <= cp < 0x370:
+def _folded(ch: str) -> str:
+    """What one character folds to: compatibility decomposition without accents, Indic blocks on one, lower case."""
+    if ch in EXPANSIONS:
+        return EXPANSIONS[ch]
+    out = ""
+    for c in unicodedata.normalize("NFKD", ch):
+        cp = ord(c)
+        if 0x300 <= cp < 0x370 or c in "\u200c\u200d" or cp == 0x0A71:
             continue
         if INDIC_FIRST <= cp <= INDIC_LAST:
             off = cp & 0x7F
-            if cp == 0x0A71:
-                gone.append(ch)
-                continue
-            to = " " if off in (0x64, 0x65) else str(off - 0x66) if 0x66 <= off <= 0x6F else chr(INDIC_BASE + (0x02 if cp == 0x0A70 else off))
-        else:
-            plain = "".join(c for c in unicodedata.normalize("NFKD", ch) if not 0x300 <= ord(c) < 0x370)
-            if len(plain) != 1:
-                continue
-            to = plain.lower()
-            if len(to) != 1:
-                continue
-        if to != ch:
+            c = " " if off in (0x64, 0x65) else str(off - 0x66) if 0x66 <= off <= 0x6F else chr(INDIC_BASE + (0x02 if cp == 0x0A70 else off))
+        out += c.lower()
+    return out
+
+
+@lru_cache
+def fold_tables() -> tuple[str, str, str, dict[str, str]]:
+    """(characters, their one-character folds, characters to delete, characters with longer folds) of the basic plane.
+
+    Hangul syllables are left composed: they yield no tokens either way.
+    """
+    source, target, gone, longer = [], [], [], {}
+    for cp in (0x60, *range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x10000)):
+        ch = chr(cp)
+        to = _folded(ch)
+        if not to:
+            gone.append(ch)
+        elif len(to) > 1:
+            longer[ch] = to
+        elif to != ch:
             source.append(ch)
             target.append(to)
-    return "".join(source), "".join(target), "".join(gone)
+    return "".join(source), "".join(target), "".join(gone), longer
 
 
 def fold(text: Column) -> Column:
     """Lower case without accents; Indic scripts on the Devanagari block; apostrophes go. Null folds to ''."""
-    source, target, gone = fold_tables()
+    source, target, gone, longer = fold_tables()
     t = F.coalesce(text.cast("string"), F.lit(""))
-    for a, b in EXPANSIONS.items():
-        t = F.replace(t, F.lit(a), F.lit(b))
-    return F.replace(F.lower(F.translate(t, source + gone, target)), F.lit("'"), F.lit(""))
+    # Characters that fold to several are rare: only texts that hold one are taken apart.
+    table = F.str_to_map(F.lit("\x02".join(f"{a}\x01{b}" for a, b in longer.items())), F.lit("\x02"), F.lit("\x01"))
+    apart = F.array_join(F.transform(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    t = F.when(t.rlike(f"[{''.join(longer)}]"), apart).otherwise(t)
+    odd = F.translate(t, source + gone, target)
+    plain = F.when(t.rlike("[^\\x00-\\x5f\\x61-\\x7f]"), odd).otherwise(t)
+    return F.replace(F.lower(plain), F.lit("'"), F.lit(""))
 
 
 def raw_tokens(folded: Column) -> Column:

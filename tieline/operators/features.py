@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tieline.functions import fuzzy
 
+# The names of the features, in the order of the models.
 COSINES = ("name", "addr", "enc", "raw")
 STAGE1 = [
     *(f"cos_{c}" for c in COSINES[:3]), *(f"rank_{c}" for c in COSINES[:3]), "n_channels", *(f"gap_{c}" for c in COSINES[:3]), *(f"qrank_{c}" for c in COSINES[:3]), *(f"max_{c}" for c in COSINES[:3]),
@@ -49,7 +50,7 @@ def second_gap(pairs: DataFrame, score: str, name: str) -> DataFrame:
 def stage1_features(pairs: DataFrame) -> DataFrame:
     """All of STAGE1 on pairs that have cosines, ranks, n_channels and the empty flags."""
     out = second_gap(group_features(pairs, COSINES), "cos_enc", "second_enc_gap")
-    return out.withColumns({"cos_sum": F.col("cos_name") + F.col("cos_addr"), "cos_min": F.least("cos_name", "cos_addr"), "raw_exact": (F.col("cos_raw") > 0.999).cast("double")}).drop("max_raw")
+    return out.withColumns({"cos_sum": F.col("cos_name") + F.col("cos_addr") + F.col("cos_enc"), "cos_min": F.least("cos_name", "cos_addr", "cos_enc"), "raw_exact": (F.col("cos_raw") > 0.999).cast("double")}).drop("max_raw")
 
 
 def competition(pairs: DataFrame) -> DataFrame:
@@ -71,11 +72,12 @@ def string_features(pairs: DataFrame, targets: DataFrame, anchors: DataFrame) ->
     t = targets.select(F.col("entity_id").alias("tgt_id"), *[F.col(c).alias(f"{c}_t") for c in columns])
     s = anchors.select(F.col("entity_id").alias("s1_id"), *[F.col(c).alias(f"{c}_s") for c in columns])
     both = pairs.join(t, "tgt_id").join(s, "s1_id")
-    f = lambda kind, c: fuzzy.score(kind, F.col(f"{c}_t"), F.col(f"{c}_s"))
-    scored = both.withColumns({
+    f = lambda kind, c: (kind, F.col(f"{c}_t"), F.col(f"{c}_s"))
+    scored = both.withColumn("_f", fuzzy.scores({
         "fz_ratio": f("ratio", "name"), "fz_tsort": f("token_sort", "name"), "fz_tset": f("token_set", "name"), "fz_partial": f("partial", "name"), "jw": f("jaro_winkler", "name"),
         "core_ratio": f("ratio", "core"), "core_tset": f("token_set", "core"), "addr_tset": f("token_set", "addr"), "addr_partial": f("partial", "addr"), "addr_canon_tset": f("token_set", "addr_canon"),
-    })
+    }))
+    scored = scored.select("*", "_f.*").drop("_f")
     shared = F.size(F.array_intersect("nums_t", "nums_s"))
     some = (F.size("nums_t") > 0) & (F.size("nums_s") > 0)
     num = lambda c: c.cast("double")
