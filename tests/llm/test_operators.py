@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tieline.llm import decontam, html_extract, line_dedup, neardup, packing, quality_rules, secret_scan, sharding, toxicity, warc
 
@@ -389,7 +390,8 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script
 
 def test_html_extraction(spark):
     rows = [(i, f"http://User@Host.example/{i}?x", PAGE.format(n=i)) for i in range(6)] + [(90, None, None), (91, "http://a/", ""), (92, "", "plain <p>text</p>"), (92, "", "plain <p>text</p>")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumnRenamed("nothing", "x")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("_tokens", F.lit(1)).withColumn("host", F.lit("x"))
+    assert html_extract.extract_pages(pages).columns == ["page_id", "url", "host", "text", "n_chars"]
     found = {r["page_id"]: r for r in html_extract.extract_pages(pages).collect()}
     for i in range(6):
         want = f"Head {i}\n\nFirst & bold text {i} more\n\nSecond <tag> {i}"
@@ -415,6 +417,37 @@ def test_html_copies_of_a_page_are_one_page(spark):
     assert tokens == {"many.com": 2}
 
 
+def test_html_template_is_nested_and_decides_the_slots(spark):
+    frame = "<html><body><div><p>Our paper {n}</p></div><div class=x><p>house rules</p><span>{n}</span></div><section><p>story {n}</p><p>all rights</p></section></body></html>"
+    pages = spark.createDataFrame([(i, "http://h/", frame.format(n=i)) for i in range(8)], "page_id long, url string, html string")
+    nodes = {r["token"]: r for r in html_extract.template_nodes(pages).collect()}
+    assert all(r["parent"] == 0 or r["parent"] in nodes for r in nodes.values()) and sum(r["block"] for r in nodes.values()) == 2
+    page = frame.format(n=3)
+    known = {t for t, r in nodes.items() if r["block"]}
+    assert html_extract.extract(page, known) == "Our paper 3\n\n3\n\nstory 3" and "house rules" in html_extract.extract(page, set())
+    order = [t for t, r in sorted(nodes.items(), key=lambda x: x[1]["at"]) if not r["block"]]
+    assert order == [t for t in dict.fromkeys(t for t, _ in html_extract.parse(page)[0]) if t in nodes]
+
+
+def test_html_keeps_article_words_that_only_look_like_noise():
+    page = '<article><div class="related-work"><p>a</p></div><ul class="tags"><li>b</li></ul><div class="notice-of-law">c</div><div class="ad">d</div><div class="comment-list"><p>e</p></div><div id="sidebar-left">f</div></article>'
+    assert html_extract.extract(page, set()) == "a\n\nb\n\nc"
+
+
+@pytest.mark.parametrize("page", ['<a "' * 200_000, "<div>" * 200_000 + "x", '<a =">" ' * 100_000, "<i>" * 100_000 + "x</b>" * 100_000, "<i>" * 100_000 + "x<hr>" * 100_000, "<" * 300_000, '<a ="' * 100_000 + ">", "<!--" * 100_000])
+def test_html_parser_is_linear(page):
+    import time
+
+    began = time.process_time()
+    html_extract.extract(page, set())
+    assert time.process_time() - began < 15
+
+
+def test_html_quotes_that_never_close():
+    assert html_extract.extract('<p>a <a href="x>b</a> c</p><p>d</p>', set()) == "a b c\n\nd"
+    assert html_extract.extract('<p title="a > b">x</p><p>1 < 2 & 3</p><p>last <', set()) == "x\n\n1 < 2 & 3\n\nlast <"
+
+
 def test_warc_derivatives_link_to_their_source(spark):
     rows = [(1, "http://a/1", "<html><head><title>t</title></head><body><p>One &amp; two</p><script>x</script><p>three</p>"), (2, None, None), (1, "http://a/1", "")]
     source = warc.responses(spark.createDataFrame(rows, "page_id long, url string, html string"))

@@ -7,11 +7,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tieline.llm.common import cut, hash_udf_free_key, small_side, table
+from tieline.llm.common import cut, drop, hash_udf_free_key, small_side, sweep, table
 
 #: A class of tokens is part of a host's template if at least so many different pages of the host have it, and this
 #: share of them; a class needs so many tokens to count.
@@ -31,63 +33,132 @@ MAIN = {"article", "main"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 INLINE_STOP = BLOCKS - {"p", "li", "dt", "dd"}
 
-#: Words in a class, id or role that mark an element as no part of the main text.
-NOISE = re.compile(r"(?:^|[\s_-])(ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|sidebar|side-bar|widget|related|recommend\w*|breadcrumbs?|menu|navbar|nav|navigation|pagination|pager|comments?|respond|replies|disqus|footer|foot|masthead|site-header|topbar|toolbar|search|skip-link|complementary|contentinfo|tags|toc)(?:$|[\s_-])", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# Whole words of a class, id or role that name what the contract leaves out: adverts, notices, menus, side
+# and foot matter, forms, reader comments. A longer word that only begins like one (related-work, notice-of-law) names none.
+NOISE = re.compile(
+    r"(?:(?:google|site|page|main|top|bottom|global|user|reader|article|post|entry)[-_])?(?:ads?|advert(?:s|isement|isements|ising|orial)?|sponsor(?:ed|s)?|promo(?:s|tion|tions)?|banner|cookies?|consent|gdpr|notices?|popup|modal"
+    r"|newsletter|subscribe|signup|login|share|sharing|social|sidebar|side-bar|widgets?|related|recommended|recommendations|breadcrumbs?|menu|navbar|nav|navigation|pagination|pager|comments?|respond|replies|disqus|footer|masthead"
+    r"|topbar|toolbar|searchbar|search-form|skip-link|complementary|contentinfo|header(?=$)(?<=site-header))"
+    r"(?:[-_](?:ads?|bar|banner|box|block|area|list|section|container|wrapper|links?|posts?|articles|stories|form|notice|consent|buttons?|icons|menu|nav|thread|respond|inner|top|bottom|left|right|slot|unit|\d+))*"
+)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r">|=\s*[\"']")
 SPACES = re.compile(r"\s+")
+CELLS = {"tr", "td", "th"}
+
+
+def noisy_words(value: str) -> bool:
+    return any(NOISE.fullmatch(w) for w in value.split())
 
 
 class Block:
-    """A run of text between block borders: its path of elements, whether it lies outside the main text, whether inside a main element."""
+    """A run of text between block borders: its token, its element's token, whether it lies outside the main text, whether inside a main element."""
+
+    __slots__ = ("token", "parent", "at", "outside", "inside", "text")
+
+    def __init__(self, token: int, parent: int, at: int, outside: bool, inside: bool, text: str):
+        self.token, self.parent, self.at, self.outside, self.inside, self.text = token, parent, at, outside, inside, text
+
+
+def token_of(text: str, parent: int) -> int:
+    """A 63-bit hash of a token below its parent's, equal in every process; a path is hashed step by step."""
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=parent) >> 1
+
+
+class Scanner:
+    """Finds the ends of tags in one pass over a page: quotes count after '=' only, and only if they close."""
+
+    def __init__(self, page: str):
+        self.page, self.unclosed, self.plain = page, set(), False
 
-    __slots__ = ("path", "outside", "inside", "text")
+    def end(self, at: int) -> int:
+        """Place of the '>' that ends the tag open at ``at``, or -1 if no '>' follows."""
+        start = at
+        while not self.plain:
+            m = STOP.search(self.page, at)
+            if not m:
+                self.plain = True  # no end outside of quotes: from here on, quotes are not looked at
+                break
+            if m[0] == ">":
+                return m.start()
+            at, quote = m.end(), m[0][-1]
+            if quote not in self.unclosed:
+                close = self.page.find(quote, at)
+                if close < 0:
+                    self.unclosed.add(quote)
+                else:
+                    at = close + 1
+        return self.page.find(">", start)
 
-    def __init__(self, path: str, outside: bool, inside: bool, text: str):
-        self.path, self.outside, self.inside, self.text = path, outside, inside, text
 
+def parse(page: str) -> tuple[list[tuple[int, int]], list[Block]]:
+    """(tag tokens with their parents', text blocks) of a page, both in page order. Unclosed and stray tags are tolerated.
 
-def parse(page: str) -> tuple[list[str], list[Block]]:
-    """(tag tokens with their path, text blocks) of a page. Unclosed and stray tags are tolerated."""
-    tags: list[str] = []
+    Time and memory follow the page's length: paths are hashes, and open elements are found by name.
+    """
+    tags: list[tuple[int, int]] = []
     blocks: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # name, path, outside, inside
+    stack: list[tuple[str, int, bool, bool, tuple[int, bool, bool]]] = []  # name, path, outside, inside, what its text belongs to
+    opened: dict[str, list[int]] = {}
+    walls: list[int] = []  # places of open block elements, and of those of them that are no table cells
+    far_walls: list[int] = []
     parts: list[str] = []
-    at = 0
+    top = (0, False, False)
+    scan = Scanner(page)
+    at, size = 0, len(page)
 
     def flush() -> None:
         if parts:
             text = SPACES.sub(" ", entities.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                _, path, outside, inside = next((x for x in reversed(stack) if x[0] in BLOCKS or x[2]), ("", "", False, False))
-                blocks.append(Block(path, outside, inside, text))
+                path, outside, inside = stack[-1][4] if stack else top
+                blocks.append(Block(token_of(text, path), path, len(tags) + len(blocks), outside, inside, text))
+
+    def shut(upto: int) -> None:
+        while len(stack) > upto:
+            opened[stack.pop()[0]].pop()
+        for w in (walls, far_walls):
+            while w and w[-1] >= upto:
+                w.pop()
 
-    size = len(page)
     while at < size:
-        m = TOKEN.search(page, at)
-        if not m:
+        open_at = page.find("<", at)
+        if open_at < 0:
             parts.append(page[at:])
             break
-        if m.start() > at:
-            parts.append(page[at: m.start()])
-        at = m.end()
-        name = m[1]
-        if not name:
-            if m[0].startswith("<![CDATA["):
-                parts.append(entities.escape(m[0][9:].removesuffix("]]>"), quote=False))
+        if open_at > at:
+            parts.append(page[at:open_at])
+        if page.startswith("<!--", open_at):
+            close = page.find("-->", open_at + 4)
+            at = close + 3 if close >= 0 else size
+            continue
+        if page.startswith("<![CDATA[", open_at):
+            close = page.find("]]>", open_at)
+            parts.append(entities.escape(page[open_at + 9: close if close >= 0 else size], quote=False))
+            at = close + 3 if close >= 0 else size
+            continue
+        m = NAME.match(page, open_at + 1)
+        odd = page[open_at + 1: open_at + 2] in ("!", "?")
+        close = (page.find(">", open_at) if odd else scan.end(m.end())) if m or odd else -1
+        if close < 0:
+            parts.append("<")
+            at = open_at + 1
+            if m or odd:  # no '>' follows at all: the rest is text
+                parts.append(page[at:])
+                break
             continue
-        name = name.lower()
-        if m[0][1] == "/":
+        at = close + 1
+        if odd:
+            continue
+        name = m[1].lower()
+        if m[0][0] == "/":
             if name in BLOCKS or name in OUTSIDE:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    tags.append("/" + stack[k][1])
-                    del stack[k:]
-                    break
-                if stack[k][0] in INLINE_STOP and name not in INLINE_STOP:
-                    break
+            where = opened.get(name)
+            if where and (name in INLINE_STOP or not walls or walls[-1] <= where[-1]):
+                shut(where[-1])
             continue
         if name in VOID:
             if name == "hr":
@@ -97,16 +168,13 @@ def parse(page: str) -> tuple[list[str], list[Block]]:
             continue
         if name in BLOCKS or name in OUTSIDE:
             flush()
-        for open_ in CLOSES.get(name, ()):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == open_:
-                    del stack[k:]
-                    break
-                if stack[k][0] in INLINE_STOP and not (name in ("tr", "td", "th") and stack[k][0] in ("td", "th", "tr")):
-                    break
-        label, noisy = name, name in OUTSIDE
-        if m[2].strip(" /\n\t"):
-            for key, value in ATTRIBUTE.findall(m[2]):
+        for other in CLOSES.get(name, ()):
+            where, wall = opened.get(other), far_walls if name in CELLS else walls
+            if where and (not wall or wall[-1] <= where[-1]):
+                shut(where[-1])
+        label, noisy, body = name, name in OUTSIDE, page[m.end(): close]
+        if body.strip(" /\n\t"):
+            for key, value in ATTRIBUTE.findall(body):
                 value = value.strip("\"'").lower()
                 key = key.lower()
                 if key in ("hidden", "aria-hidden"):
@@ -114,15 +182,21 @@ def parse(page: str) -> tuple[list[str], list[Block]]:
                 elif value:
                     if key != "id":
                         label += f".{value}"
-                    noisy |= name not in ("html", "body", *MAIN) and NOISE.search(value) is not None
-        _, path, outside, inside = stack[-1] if stack else ("", "", False, False)
+                    noisy |= name not in ("html", "body", *MAIN) and noisy_words(value)
+        _, parent, outside, inside, holder = stack[-1] if stack else ("", 0, False, False, top)
         # A header is the site's, unless it stands in the article: there it holds the article's heading.
         noisy |= name == "header" and not inside
-        path = f"{path}/{label}"
-        tags.append(path)
-        if m[0].endswith("/>") and name not in BLOCKS:
+        path = token_of(label, parent)
+        tags.append((path, parent))
+        if body.endswith("/") and name not in BLOCKS:
             continue
-        stack.append((name, path, outside or noisy, inside or name in MAIN))
+        outside, inside = outside or noisy, inside or name in MAIN
+        opened.setdefault(name, []).append(len(stack))
+        if name in INLINE_STOP:
+            walls.append(len(stack))
+            if name not in CELLS:
+                far_walls.append(len(stack))
+        stack.append((name, path, outside, inside, (path, outside, inside) if name in BLOCKS or outside else holder))
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)
             at = end.start() if end else size
@@ -130,33 +204,14 @@ def parse(page: str) -> tuple[list[str], list[Block]]:
     return tags, blocks
 
 
-def block_token(block: Block) -> str:
-    return f"{block.path}\t{block.text}"
-
-
-def page_tokens(page: str) -> Counter:
-    """How often each template token stands in a page: tags with their path, and whole blocks with theirs."""
-    tags, blocks = parse(page)
-    out = Counter(tags)
-    out.update(block_token(b) for b in blocks)
-    return out
-
-
 def extract(page: str | None, template: frozenset[int] | set[int]) -> str:
-    """The blocks that are slots of the template, outside of everything that is no article."""
+    """The page's slots: the blocks that are no token of the template, outside of everything that is no article."""
     if not page:
         return ""
     _, blocks = parse(page)
     inside = [b for b in blocks if b.inside and not b.outside]
     chosen = inside or [b for b in blocks if not b.outside]
-    return "\n\n".join(b.text for b in chosen if token_hash(block_token(b)) not in template)
-
-
-def token_hash(token: str) -> int:
-    """A 63-bit hash of a token, equal in every process."""
-    import xxhash
-
-    return xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass")) >> 1
+    return "\n\n".join(b.text for b in chosen if b.token not in template)
 
 
 def host_of(url: str | None) -> str:
@@ -164,7 +219,7 @@ def host_of(url: str | None) -> str:
     return m[1].lower().rpartition("@")[2] if m else ""
 
 
-_VECTORS = "host string, token long, block boolean, pages long, total long, vector long"
+_VECTORS = "host string, token long, parent long, block boolean, pages long, total long, place long, vector long"
 
 #: Sums over a host's different pages are taken modulo this prime: each of n copies of a page weighs 1/n there, so that
 #: all of them together count exactly once, wherever they are read.
@@ -172,10 +227,9 @@ PRIME = (1 << 61) - 1
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial occurrence vectors, modulo PRIME: of each host and token how many different pages have it, how often, and the
-    sum over these pages of a hash of (page, count). Vectors are equal, but for hash collisions, if and only if their sums are."""
-    import xxhash
-
+    """Partial occurrence vectors, modulo PRIME: of each host and token how many different pages have it, how often, the sum of
+    its first places, and the sum over these pages of a hash of (page, count). Vectors are equal, but for hash collisions, if
+    and only if these last sums are."""
     for batch in batches:
         found: dict[tuple[str, int], list] = {}
         copies = Counter(zip(*(batch.column(c).to_pylist() for c in ("host", "html", "copies"))))
@@ -183,40 +237,70 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             share = 1 if of == here else here * pow(of, -1, PRIME) % PRIME
             key = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
             tags, blocks = parse(text)
-            counts = Counter((t, False) for t in tags)
-            counts.update((block_token(b), True) for b in blocks)
-            for (token, block), n in counts.items():
-                h = token_hash(token)
-                row = found.setdefault((host, h), [block, 0, 0, 0])
-                row[1] += share
-                row[2] += n * share
-                row[3] += xxhash.xxh64_intdigest(n.to_bytes(8, "little"), seed=key) * share
-        rows = [(h, t, b, p % PRIME, n % PRIME, v % PRIME) for (h, t), (b, p, n, v) in found.items()]
-        kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["host", "token", "block", "pages", "total", "vector"])
-
-
-def templates(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """(host, tokens): for each host the hashes of the text blocks that belong to its template.
-
-    Tokens with one occurrence vector over the host's different pages form an equivalence class. A class is valid if
-    MIN_PAGES pages and MIN_SHARE of the host's pages have it and it has MIN_TOKENS tokens; it nests in the template
-    by the paths of its tags. Equal pages of a host count once, empty ones not at all. Vectors are summed where the pages
-    are read, so a host with a third of all pages costs no more rows than it has distinct tokens.
+            seen: dict[int, list] = {}
+            for place, (token, parent) in enumerate(tags):
+                seen.setdefault(token, [parent, False, place, 0])[3] += 1
+            for b in blocks:
+                seen.setdefault(b.token, [b.parent, True, b.at, 0])[3] += 1
+            for token, (parent, block, place, n) in seen.items():
+                row = found.setdefault((host, token), [parent, block, 0, 0, 0, 0])
+                row[2] += share
+                row[3] += n * share
+                row[4] += place * share
+                row[5] += xxhash.xxh64_intdigest(n.to_bytes(8, "little"), seed=key) * share
+        rows = [(h, t, p, b, *(x % PRIME for x in sums)) for (h, t), (p, b, *sums) in found.items()]
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        names = [c.split()[0] for c in _VECTORS.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+
+
+def template_nodes(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
+    """(host, token, parent, block, at): for each host the tokens of its template, nested and in order.
+
+    Tokens (tags by their path, text blocks by their element's path) with one occurrence vector over the host's different
+    pages form an equivalence class. A class is valid if MIN_PAGES pages and MIN_SHARE of the host's pages have it and it
+    has MIN_TOKENS tokens. Valid classes nest by their tokens' parents: an element that holds tokens of a valid class belongs
+    to the template though its own class is too small (the p of repeated paragraphs), and a token without a way up to the
+    root has no place in it. ``at`` is a token's mean first place, which orders the
+    children of a parent; between them lie the slots. Equal pages of a host count once, empty ones not at all. Vectors are
+    summed where the pages are read, so a host with a third of all pages costs no more rows than it has distinct tokens.
     """
     source = pages.select(_host_column(url).alias("host"), F.col(page).cast("string").alias("html")).where("html <> ''").withColumn("digest", F.md5("html"))
     different = cut(source.groupBy("host", "digest").agg(F.count("*").alias("copies")))
-    repeated = small_side(cut(different.where("copies > 1")))
-    counted = source.join(repeated, ["host", "digest"], "left").select("host", "html", F.coalesce("copies", F.lit(1).cast("long")).alias("copies"))
+    several = cut(different.where("copies > 1"))
+    counted = source.join(small_side(several), ["host", "digest"], "left").select("host", "html", F.coalesce("copies", F.lit(1).cast("long")).alias("copies"))
     parts = counted.mapInArrow(_vectors, _VECTORS)
     summed = lambda c: (F.sum(F.col(c).cast("decimal(38,0)")) % F.lit(PRIME).cast("decimal(38,0)")).cast("long").alias(c)
-    vectors = parts.groupBy("host", "token", "block").agg(*(summed(c) for c in ("pages", "total", "vector")))
-    vectors = vectors.where(F.col("pages") >= MIN_PAGES)
+    sums = parts.groupBy("host", "token", "parent", "block").agg(*(summed(c) for c in ("pages", "total", "place", "vector")))
+    vectors = cut(sums.where(F.col("pages") >= MIN_PAGES))
     host_pages = different.groupBy("host").agg(F.count("*").alias("host_pages"))
-    classes = vectors.groupBy("host", "vector", "pages", "total").agg(F.count("*").alias("tokens"))
-    valid = classes.join(host_pages, "host").where((F.col("pages") >= MIN_SHARE * F.col("host_pages")) & (F.col("tokens") >= MIN_TOKENS))
-    texts = vectors.where("block").join(valid.select("host", "vector", "pages", "total"), ["host", "vector", "pages", "total"], "left_semi")
-    return texts.groupBy("host").agg(F.collect_set("token").alias("tokens"))  # blocks that half of a host's pages share: a template's worth
+    shape = ["host", "vector", "pages", "total"]
+    classes = vectors.groupBy(*shape).agg(F.count("*").alias("tokens"))
+    common = classes.join(host_pages, "host").where(F.col("pages") >= MIN_SHARE * F.col("host_pages")).select(*shape, (F.col("tokens") >= MIN_TOKENS).alias("valid"))
+    members = vectors.join(common, shape).select("host", "token", "parent", "block", (F.col("place") / F.col("pages")).alias("at"), "valid")
+    # A host's common tokens stand on half of its pages, so a group is no larger than two of its pages.
+    out = cut(members.groupBy("host").applyInPandas(_nested, members.drop("valid").schema))
+    drop(different, several, vectors)
+    return out
+
+
+def _nested(tokens: pd.DataFrame) -> pd.DataFrame:
+    """Of one host's common tokens those of valid classes and the elements that hold them, if they have a way up to the root."""
+    parent = dict(zip(tokens.token, tokens.parent))
+    placed: dict[int, bool] = {0: True}
+    for t in tokens.token[tokens.valid]:
+        way = []
+        while t not in placed and t in parent:
+            way.append(t)
+            placed[t] = False  # until its parent is known
+            t = parent[t]
+        placed.update(dict.fromkeys(way, placed.get(t, False)))
+    return tokens[tokens.token.map(lambda t: placed.get(t, False))].sort_values("at").drop(columns="valid")
+
+
+def templates(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
+    """(host, tokens): for each host the hashes of the text blocks of its template: blocks that half of a host's pages share."""
+    return template_nodes(pages, url, page).where("block").groupBy("host").agg(F.collect_set("token").alias("tokens"))
 
 
 def _host_column(url: str):
@@ -238,7 +322,7 @@ def _extract(passed: list[str], page: str):
 def extract_pages(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     """``pages`` with the page itself replaced by ``text``, its main text, and ``n_chars``, that text's code points.
 
-    Text of a template's class (the same block on half of a host's pages or more) and of elements that are no article goes
+    Text of a host's template (the same block on half of its different pages or more) and of elements that are no article goes
     (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments); the remaining slots are
     extracted, those inside article or main elements if there are any. Character references are decoded, white space
     in a block becomes one space, blocks are joined by two \\n. A null or empty page has an empty text; a null url is the
@@ -248,6 +332,7 @@ def extract_pages(pages: DataFrame, url: str = "url", page: str = "html") -> Dat
     passed = [c for c in pages.columns if c not in (page, "text", "n_chars", "_tokens", "_host", "_salt")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*passed).schema)
     known = cut(templates(pages, url, page))
+    sweep(pages.sparkSession)
     size = known.agg(F.sum(F.size("tokens") + 1)).first()[0] or 0
     source = pages.select(*passed, F.col(page).cast("string").alias(page)).withColumn("_host", _host_column(url))
     if size <= BROADCAST_TOKENS:
