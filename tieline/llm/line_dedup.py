@@ -64,47 +64,68 @@ def prefixed(tokens: DataFrame, percent: int) -> DataFrame:
     return tokens.select("doc_id", "doc_key", "line_no", F.xxhash64(t).alias("set_a"), F.hash(t, n).cast("long").alias("set_b"), n.alias("n"), prefix.alias("prefix"))
 
 
+#: Longs of a set's parity bitmap: each token flips one of 64 * MAPS bits.
+MAPS = 4
+
+
+def parity(t: Column) -> list[Column]:
+    """Bitmaps p0.. of a token array. Two sets' bitmaps differ in no more bits than the sets differ in tokens."""
+    def flip(k: int):
+        bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+        mine = lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(MAPS - 1)) == k
+        return F.aggregate(t, F.lit(0).cast("long"), lambda acc, x: F.when(mine(x), acc.bitwiseXOR(bit(x))).otherwise(acc)).alias(f"p{k}")
+
+    return [flip(k) for k in range(MAPS)]
+
+
 def later_sets(docs: DataFrame, text: str, held: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
     """``sid`` of the sets that match a set whose first line is earlier. ``held``: (sid, n, prefix) of the sets that have one.
 
     First each set meets only the earliest holder of each of its prefix tokens, so a group of near copies costs a row for
     each member, not for each pair. The sets that no such holder removes then meet all earlier holders of their tokens.
-    Sizes and positions bound the overlap; what remains is verified on the whole sets, made again from the texts they first stand in.
+    Sizes, positions and parity bitmaps bound the overlap in the join itself, so that pairs which cannot match are never
+    made; what remains is verified on the whole sets, made again, once, from the texts they first stand in.
     """
     key = ["doc_id", "doc_key", "line_no"]
-    firsts = sets.where("n >= 3").select("sid", *[F.col(f"first.{c}").alias(c) for c in key], "n")
     entries = held.select("sid", "n", F.posexplode("prefix").alias("at", "token"))
     heads = cut(entries.groupBy("token").agg(F.min("sid").alias("head"), F.max("sid").alias("last"), F.count("*").alias("holders")).where("holders > 1"))
     many = cut(heads.where("holders > 2").select("token", "head"))
     crowded = cut(entries.join(small_side(many), "token"))
-    sizes = firsts.select("sid", "n")
+    two = heads.where("holders = 2").select(F.col("last").alias("x"), F.col("head").alias("y"))
+    involved = two.select(F.col("x").alias("sid")).union(two.select("y")).union(crowded.select("sid")).distinct()
+    places = cut(sets.where("n >= 3").join(involved, "sid", "left_semi").select("sid", *[F.col(f"first.{c}").alias(c) for c in key]))
+    ids = cut(places.select(F.col("doc_id").alias("_id")).distinct())
+    source = docs.join(small_side(ids), F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+    lines = worded_lines(source, text).join(small_side(places), key).select("sid", line_shingles(F.col("w"), width).alias("t"))
+    whole = cut(lines.dropDuplicates(["sid"]).select("sid", F.size("t").alias("n"), "t", *parity(F.col("t"))))
+    drop(places, ids)
+    maps = [f"p{k}" for k in range(MAPS)]
+
+    def near(a: str, b: str) -> Column:
+        """Do sizes and bitmaps allow the sets with these column suffixes to match?"""
+        apart = sum((F.bit_count(F.col(p + a).bitwiseXOR(F.col(p + b))) for p in maps), F.lit(0))
+        n, m = F.col("n" + a), F.col("n" + b)
+        return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * apart <= (100 - percent) * (n + m))
+
+    def named(df: DataFrame, c: str, *extra: str) -> DataFrame:
+        return df.select(F.col("sid").alias(c), *[F.col(x).alias(x + c) for x in ("n", *maps, *extra)])
 
     def verified(pairs: DataFrame) -> DataFrame:
         """``sid`` of those of pairs (x later, y earlier) that reach the threshold."""
-        x, y = (sizes.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}")) for c in "xy")
-        near = cut(pairs.distinct().join(x, "x").join(y, "y").where(100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")).select("x", "y"))
-        need = near.select(F.col("x").alias("sid")).union(near.select(F.col("y").alias("sid"))).distinct()
-        places = cut(firsts.join(need, "sid", "left_semi").select("sid", *key))
-        ids = cut(places.select(F.col("doc_id").alias("_id")).distinct())
-        source = docs.join(small_side(ids), F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
-        whole = worded_lines(source, text).join(small_side(places), key).dropDuplicates(["sid"])
-        whole = cut(whole.select("sid", line_shingles(F.col("w"), width).alias("t")))
-        tx, ty = (whole.select(F.col("sid").alias(c), F.col("t").alias(f"t_{c}")) for c in "xy")
-        both = F.size(F.array_intersect("t_x", "t_y"))
-        full = near.join(tx, "x").join(ty, "y")
-        out = cut(full.where(100 * both >= percent * (F.size("t_x") + F.size("t_y") - both)).select(F.col("x").alias("sid")).distinct())
-        drop(near, places, ids, whole)
-        return out
-
-    star = heads.where("holders = 2").select(F.col("last").alias("x"), F.col("head").alias("y")).union(crowded.select(F.col("sid").alias("x"), F.col("head").alias("y")))
+        other = named(whole, "y", "t").withColumnRenamed("y", "_y")
+        full = pairs.distinct().join(named(whole, "x", "t"), "x").join(other, (F.col("y") == F.col("_y")) & near("x", "y"))
+        both = F.size(F.array_intersect("tx", "ty"))
+        return cut(full.where(100 * both >= percent * (F.col("nx") + F.col("ny") - both)).select(F.col("x").alias("sid")).distinct())
+
+    star = two.union(crowded.select(F.col("sid").alias("x"), F.col("head").alias("y")))
     found = verified(star.where("x > y"))
-    left, right = (crowded.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("at").alias(f"a{c}"), "token") for c in "xy")
+    mapped = cut(crowded.select("sid", "token", "at").join(whole.drop("t"), "sid"))
+    left, right = named(mapped, "x", "at", "token").join(found.withColumnRenamed("sid", "x"), "x", "left_anti"), named(mapped, "y", "at", "token")
     # At most so many tokens can be common, given where this one stands in both orders.
-    bound = 1 + F.least("ax", "ay") + F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay")) - 1
-    able = (F.col("x") > F.col("y")) & ((100 + percent) * bound >= percent * (F.col("nx") + F.col("ny"))) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-    rest = left.join(found.withColumnRenamed("sid", "x"), "x", "left_anti").join(right, "token").where(able).select("x", "y")
-    more = verified(rest)
-    drop(heads, many, crowded)
+    bound = 1 + F.least("atx", "aty") + F.least(F.col("nx") - F.col("atx"), F.col("ny") - F.col("aty")) - 1
+    able = (F.col("x") > F.col("y")) & ((100 + percent) * bound >= percent * (F.col("nx") + F.col("ny"))) & near("x", "y")
+    more = verified(left.join(right, (F.col("tokenx") == F.col("tokeny")) & able).select("x", "y"))
+    drop(heads, many, crowded, whole, mapped)
     return found.union(more)
 
 
