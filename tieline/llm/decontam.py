@@ -11,9 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tieline.llm.common import ALNUM, cut, doc_chunks, hashed_words, table, text_buffers
+from tieline.llm.common import ALNUM, cut, doc_chunks, hashed_words, table, text_buffers, windows
 
 WINDOW = 13
+#: Words in a shingle of a window; a window of fewer words is one shingle.
+SHINGLE = 5
 #: Item words that one broadcast may hold (16 bytes each and their windows). A larger benchmark is taken in blocks.
 MAX_BLOCK_WORDS = 1_000_000
 _FILTER_BITS = 20
@@ -21,11 +23,11 @@ _FILTER_BITS = 20
 
 @dataclass
 class Windows:
-    """Windows of some benchmark items, each found by its rarest word.
+    """Windows of some benchmark items, each found by its rarest shingle.
 
-    ``words[start[k]: start[k] + width[k]]`` is window k, ``item[k]`` its item's number, ``pivot[k]`` the position of
-    its rarest word in the window. ``key`` is sorted; windows ``first[j]:first[j + 1]`` of the arrays have the
-    rarest word ``key[j]``.
+    ``words[start[k]: start[k] + width[k]]`` is window k, ``item[k]`` its item's number, ``pivot[k]`` the place of its
+    rarest shingle in the window. ``key`` is sorted; windows ``first[j]:first[j + 1]`` of the arrays have the rarest
+    shingle ``key[j]``. ``sizes`` are the shingle sizes that occur: SHINGLE, and those of shorter windows.
     """
 
     words: np.ndarray
@@ -36,6 +38,7 @@ class Windows:
     key: np.ndarray
     first: np.ndarray
     names: list[str]
+    sizes: list[int]
 
 
 def items_of(texts: list[str | None]) -> list[np.ndarray]:
@@ -48,26 +51,46 @@ def items_of(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
+def item_windows(words: np.ndarray, width: int) -> tuple[int, int]:
+    """(words in a window, words in a shingle) of an item; windows of 0 words if it has none."""
+    size = min(width, len(words))
+    return size, min(SHINGLE, size)
+
+
+def item_shingles(items: list[np.ndarray], width: int) -> np.ndarray:
+    """Sorted distinct shingles of all items: the vocabulary that is counted in the documents."""
+    parts = [windows(w, item_windows(w, width)[1]) for w in items if len(w)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
 def build_windows(names: list[str], items: list[np.ndarray], vocabulary: np.ndarray, counts: np.ndarray, width: int) -> Windows:
-    """Index the windows of ``items`` by their rarest word under the corpus counts of ``vocabulary`` (sorted)."""
+    """Index the windows of ``items`` by their rarest shingle under the corpus counts of ``vocabulary`` (sorted)."""
     words = np.concatenate(items) if items else np.zeros(0, np.uint64)
-    rank = counts[np.searchsorted(vocabulary, words)] if len(words) else np.zeros(0, np.int64)
-    starts, widths, owner, pivots = [], [], [], []
+    starts, widths, owner, pivots, rare, sizes = [], [], [], [], [], set()
     at = 0
     for n, w in enumerate(items):
-        size = min(width, len(w))
-        for k in range(len(w) - size + 1 if size else 0):
+        size, part = item_windows(w, width)
+        if size:
+            sizes.add(part)
+            shingles = windows(w, part)
+            rank = counts[np.searchsorted(vocabulary, shingles)]
+            inside = size - part + 1
+            # Containment of all shingles needs a prefix of one: the rarest, ties by hash and then by place.
+            order = np.empty(len(shingles), np.int64)
+            order[np.lexsort((np.arange(len(shingles)), shingles, rank))] = np.arange(len(shingles))
+            best = np.lib.stride_tricks.sliding_window_view(order, inside).argmin(axis=1)
+            k = np.arange(len(best))
             starts.append(at + k)
-            widths.append(size)
-            owner.append(n)
-            # Containment of all words needs a prefix of one: the rarest, ties by hash and then by position.
-            pivots.append(int(np.lexsort((words[at + k: at + k + size], rank[at + k: at + k + size]))[0]))
+            widths.append(np.full(len(k), size))
+            owner.append(np.full(len(k), n))
+            pivots.append(best)
+            rare.append(shingles[k + best])
         at += len(w)
-    start, size, item, pivot = (np.array(x, np.int64) for x in (starts, widths, owner, pivots))
-    rare = words[start + pivot] if len(start) else np.zeros(0, np.uint64)
-    order = np.argsort(rare, kind="stable")
-    key, first = np.unique(rare[order], return_index=True)
-    return Windows(words, start[order], size[order], item[order], pivot[order], key, np.append(first, len(order)), names)
+    start, size, item, pivot = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (starts, widths, owner, pivots))
+    found = np.concatenate([*rare, np.zeros(0, np.uint64)])
+    order = np.argsort(found, kind="stable")
+    key, first = np.unique(found[order], return_index=True)
+    return Windows(words, start[order], size[order], item[order], pivot[order], key, np.append(first, len(order)), names, sorted(sizes))
 
 
 def _bitmap(keys: np.ndarray) -> np.ndarray:
@@ -87,7 +110,9 @@ def _known(words: np.ndarray, keys: np.ndarray, bitmap: np.ndarray) -> tuple[np.
 
 def occurrences(words: np.ndarray, begin: np.ndarray, index: Windows, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(word position of the window's start, window) for every exact occurrence in texts laid end to end."""
-    at, place = _known(words, index.key, bitmap)
+    # A shingle's hash depends on its size, so shingles of all sizes that occur look up one table.
+    found = [_known(windows(words, n), index.key, bitmap) for n in index.sizes]
+    at, place = (np.concatenate([*(f[k] for f in found), np.zeros(0, np.int64)]).astype(np.int64) for k in (0, 1))
     many = index.first[place + 1] - index.first[place]
     pos = np.repeat(at, many)
     window = np.repeat(index.first[place], many) + (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
@@ -142,8 +167,8 @@ def merge(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _counts(vocabulary: np.ndarray, text: str):
-    """Partial counts of the vocabulary's words, one row for each that a partition has."""
+def _counts(vocabulary: np.ndarray, sizes: list[int], text: str):
+    """Partial counts of the vocabulary's shingles, one row for each that a partition has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, total = _bitmap(vocabulary), np.zeros(len(vocabulary), np.int64)
@@ -151,7 +176,8 @@ def _counts(vocabulary: np.ndarray, text: str):
             raw, offsets = text_buffers(batch.column(text))
             for i, j in doc_chunks(offsets):
                 words, _ = hashed_words(raw[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i], ALNUM)
-                total += np.bincount(_known(words, vocabulary, bitmap)[1], minlength=len(vocabulary))
+                for n in sizes:  # a shingle over the border of two texts may count: counts only order the shingles
+                    total += np.bincount(_known(windows(words, n), vocabulary, bitmap)[1], minlength=len(vocabulary))
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["w", "n"])
 
@@ -191,9 +217,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_text: str = "text",
     ranges [from, to) of the document that lie in any occurrence of a window, n_hit counts their words; items are the
     ids (as strings, sorted) with an occurring window. contaminated: n_hit > 0 and 20 * n_hit >= n_words.
 
-    Containment is a set join at a threshold of one: the necessary prefix of a window is its rarest word by counts
-    over all documents. Document words that are such a key propose a window at one position; the text's borders
-    bound it; then it is verified word by word. The benchmark is broadcast in blocks of bounded size; several
+    Containment is a set join at a threshold of one over shingles of SHINGLE words: the necessary prefix of a window is
+    its rarest shingle by counts over all documents. Document shingles that are such a key propose a window at one
+    position; the text's borders bound it; then it is verified word by word. The benchmark is broadcast in blocks of bounded size; several
     blocks mean several passes, cut by checkpoints, so nothing grows with the benchmark but time.
 
     A null text has no words; items without id or text are left out; items that share an id count once; document
@@ -204,10 +230,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_text: str = "text",
     work = docs.select(*passed).withColumns({"_spans": F.lit(None).cast("array<array<bigint>>"), "_items": F.lit(None).cast("array<string>")})
     passes = 0
     for names, items in item_blocks(benchmark, item_id, item_text, max_block_words):
-        vocabulary = np.unique(np.concatenate(items))
+        vocabulary = item_shingles(items, width)
         counts = np.zeros(len(vocabulary), np.int64)
-        tally = docs.select(doc_text).mapInArrow(_counts(vocabulary, doc_text), "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
-        for w, n in tally.toLocalIterator():  # at most as many rows as the block has words
+        sizes = sorted({item_windows(w, width)[1] for w in items if len(w)})
+        tally = docs.select(doc_text).mapInArrow(_counts(vocabulary, sizes, doc_text), "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+        for w, n in tally.toLocalIterator():  # at most as many rows as the block has shingles
             counts[w] = n
         work = _pass(work, build_windows(names, items, vocabulary, counts, width), doc_text, passed, passes)
         passes += 1
