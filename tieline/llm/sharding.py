@@ -51,7 +51,7 @@ def assign_shards(docs: DataFrame, shards: int = 24, key: str = "doc_id", text:
     equal in key, size and text checksum the slots are interchangeable. An empty table stays empty.
 
     The key is hashed to 64 bits first, so dense ids spread evenly. Slots need no shard to be sorted in one task:
-    rows fall in hash blocks within a shard, the block sizes (shards x blocks numbers, bounded) give the offsets,
+    rows fall in blocks within a shard by a hash of key, size and text checksum (a repeated key is dealt out), the block sizes (shards x blocks numbers, bounded) give the offsets,
     and rows are numbered within a block.
     """
     spark = docs.sparkSession
@@ -67,7 +67,7 @@ def assign_shards(docs: DataFrame, shards: int = 24, key: str = "doc_id", text:
         .withColumn("grown_shard", shard_column(F.col("_key"), shards + 1))
     )
     blocks = int(min(MAX_BLOCKS, max(4, docs.count() // (shards * ROWS_PER_BLOCK) * 2)))
-    placed = placed.withColumn("_block", F.pmod(F.xxhash64("_key", F.lit(17)), F.lit(blocks)).cast("int"))
+    placed = placed.withColumn("_block", F.pmod(F.xxhash64("_key", "text_crc32", "size", F.lit(17)), F.lit(blocks)).cast("int"))
     counts = {(r[0], r[1]): r[2] for r in placed.groupBy("shard", "_block").count().collect()}  # at most shards x MAX_BLOCKS numbers
     offsets = []
     for s in range(shards):
