@@ -24,7 +24,7 @@ CACHE_WORDS = 600_000
 #: Bytes of text whose words are looked up together.
 TEXT_CHUNK = 16 << 20
 #: Pieces of one length that are numbered together, and the most blocks per length (both bound a task and a table).
-ROWS_PER_BLOCK, MAX_BLOCKS = 200_000, 256
+ROWS_PER_BLOCK, MAX_BLOCKS = 1_000, 50_000
 END = b"\0\0\0\0"
 
 
@@ -361,7 +361,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int = CA
     size depends on the number of lengths, not of documents), and each piece finds its place by its length and its
     rank among the pieces of that length. Ranks are given in hash blocks, so no length has to be sorted in one task.
     """
-    added = ["piece", "start", "length", "ids_crc32", "sequence_id", "offset", "_block", "_base", "_rank"]
+    added = ["piece", "start", "length", "ids_crc32", "sequence_id", "offset", "_block", "_blocks", "_base", "_rank"]
     passed = [c for c in docs.columns if c not in added and c != text]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*passed).schema)
     head = f"{fields}, " if fields else ""
@@ -369,9 +369,12 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int = CA
     pieces = cut(docs.select(*passed, F.col(text).cast("string").alias(text)).mapInArrow(_pieces(tokenizer, passed, text, capacity), f"{head}{own}"))
     full = pieces.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     short = pieces.where(F.col("length") < capacity)
-    blocks = int(min(MAX_BLOCKS, 1 + short.count() // ROWS_PER_BLOCK))
-    short = short.withColumn("_block", F.pmod(F.xxhash64(*passed, "piece", "ids_crc32"), F.lit(blocks)).cast("int"))
-    found = short.groupBy("length", "_block").count().collect()  # at most capacity x MAX_BLOCKS numbers
+    sizes = {int(r[0]): r[1] for r in short.groupBy("length").count().collect()}  # at most capacity numbers
+    per_block = max(ROWS_PER_BLOCK, sum(sizes.values()) // MAX_BLOCKS)
+    dealt = docs.sparkSession.createDataFrame([(n, 1 + c // per_block) for n, c in sizes.items()], "length long, _blocks int")
+    spread = F.pmod(F.xxhash64(*passed, "piece", "ids_crc32"), F.col("_blocks")).cast("int")
+    short = short.join(F.broadcast(dealt), "length").withColumn("_block", spread).drop("_blocks")
+    found = short.groupBy("length", "_block").count().collect()  # at most capacity + MAX_BLOCKS numbers
     counts: dict[int, int] = {}
     bases = []
     for size, block, n in sorted(map(tuple, found)):
@@ -379,7 +382,9 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int = CA
         counts[size] = counts.get(size, 0) + n
     plan = plan_table(make_plan(counts, capacity))
     base = docs.sparkSession.createDataFrame(bases, "length long, _block int, _base long")
-    order = Window.partitionBy("length", "_block").orderBy("ids_crc32", "piece")
+    # Pieces that agree in all of these are interchangeable, so a task that runs again gives the same places.
+    sortable = [c for c, t in docs.select(*passed).dtypes if "map<" not in t and "variant" not in t]
+    order = Window.partitionBy("length", "_block").orderBy("ids_crc32", "piece", "start", *sortable)
     ranked = short.join(F.broadcast(base), ["length", "_block"]).withColumn("_rank", F.col("_base") + F.row_number().over(order) - 1)
     names = [*passed, "piece", "start", "length", "ids_crc32"]
     placed = ranked.select(*names, "_rank").mapInArrow(_places(plan, names), f"{head}{own}, sequence_id long, offset long")
