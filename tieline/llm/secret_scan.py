@@ -25,7 +25,7 @@ ASSIGN_VALUE = 6
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----((?:\s*(?:Proc-Type|DEK-Info|Version|Comment):[^\r\n]*)*)([A-Za-z0-9+/=\s]+)-----END \1-----")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 LONG_HEX = re.compile(r"[0-9a-fA-F]{48,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(e[wy][A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)")
@@ -73,7 +73,7 @@ def der_children(data: bytes, start: int, end: int) -> list[tuple[int, int, int]
 
 
 def is_der_key(data: bytes) -> bool:
-    """A SEQUENCE that spans all bytes and has the inner shape of a key (PKCS#1, SEC 1, PKCS#8 or SubjectPublicKeyInfo)."""
+    """A SEQUENCE that spans all bytes and has the inner shape of a key (PKCS#1, SEC 1, PKCS#8 plain or encrypted, or SubjectPublicKeyInfo)."""
     top = der_item(data, 0)
     if top is None or top[0] != 0x30 or top[2] != len(data):
         return False
@@ -87,13 +87,22 @@ def is_der_key(data: bytes) -> bool:
         return parts[0][2] - parts[0][1] >= 32 and parts[1][2] - parts[1][1] <= 8  # RSA public key
     if tags[:2] == [0x02, 0x04] and data[parts[0][1]: parts[0][2]] == b"\x01":
         return parts[1][2] - parts[1][1] >= 16  # EC private key
-    for k, last in ((0, 0x03), (1, 0x04)):  # algorithm, then the key as bit string, or version, algorithm, octet string
+    # Algorithm, then the key as bit string, or encrypted as octet string; or version, algorithm, octet string.
+    for k, last in ((0, 0x03), (0, 0x04), (1, 0x04)):
+        if (k, last) == (0, 0x04) and (len(parts) != 2 or parts[-1][2] - parts[-1][1] < 16):
+            continue
         if len(parts) > k + 1 and tags[k] == 0x30 and tags[k + 1] == last and (k == 0 or tags[0] == 0x02):
             algorithm = der_children(data, parts[k][1], parts[k][2])
             return bool(algorithm) and algorithm[0][0] == 0x06
     return False
 
 
+def is_cipher_text(headers: str, data: bytes) -> bool:
+    """The body of an armoured block whose headers say that it is encrypted: whole cipher blocks, whatever they hold."""
+    cipher = re.search(r"DEK-Info:\s*([A-Z0-9-]+),\s*([0-9A-Fa-f]+)", headers)
+    return "ENCRYPTED" in headers and cipher is not None and len(data) >= 64 and len(data) % (8 if "DES" in cipher[1] else 16) == 0
+
+
 def ssh_strings(data: bytes, at: int) -> list[bytes] | None:
     """Length-prefixed strings that fill the rest of ``data`` exactly, or None."""
     out = []
@@ -147,8 +156,8 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """Candidates whose decoded bytes parse as a key or a signed token."""
     out = []
     for m in PEM.finditer(text) if "-----BEGIN" in text else ():
-        raw = decode64(m[2])
-        if raw is not None and (is_der_key(raw) or is_ssh_key(raw)):
+        raw = decode64(m[3])
+        if raw is not None and (is_der_key(raw) or is_ssh_key(raw) or is_cipher_text(m[2], raw)):
             out.append(("pem", m.start(), m.end()))
     for m in JWT.finditer(text):
         if is_jwt(m[1], m[2]):
