@@ -271,6 +271,11 @@ def test_structures_are_confirmed_before_they_are_reported():
     assert "der" in kinds("x " + base64.b64encode(der).decode()) and "der" in kinds("x " + der.hex())
     assert "ssh" in kinds("ssh-ed25519 " + base64.b64encode(ssh).decode())
     assert kinds("x " + base64.b64encode(der[:-1]).decode()) == set() and kinds("a" * 80 + " " + "eyJhbGciOiJub25l.eyJ4.sig") == set()
+    sealed = b"\x30\x0d\x06\x09" + bytes(9) + b"\x05\x00"
+    sealed = b"\x30" + bytes([len(sealed) + 34]) + sealed + b"\x04\x20" + bytes(range(32))
+    assert "der" in kinds("x " + base64.b64encode(sealed).decode()) and "der" not in kinds("x " + base64.b64encode(sealed[:-17]).decode())
+    armoured = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n{}\n-----END RSA PRIVATE KEY-----"
+    assert "pem" in kinds(armoured.format(base64.b64encode(bytes(96)).decode())) and "pem" not in kinds(armoured.format(base64.b64encode(bytes(91)).decode()))
     assert kinds("-----BEGIN RSA PRIVATE KEY-----\n" + base64.encodebytes(der).decode() + "-----END RSA PRIVATE KEY-----") >= {"pem"}
 
 
@@ -449,8 +454,8 @@ def test_html_quotes_that_never_close():
 
 
 def test_warc_derivatives_link_to_their_source(spark):
-    rows = [(1, "http://a/1", "<html><head><title>t</title></head><body><p>One &amp; two</p><script>x</script><p>three</p>"), (2, None, None), (1, "http://a/1", "")]
-    source = warc.responses(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    rows = [(1, "http://a/1", "<html><head><title>t</title></head><body><p>One &amp; two</p><script>x</script><p>three</p>"), (2, None, None), (1, "http://a/1", ""), (None, "http://n/", "caf&eacute; &#8217;&#x27; &mdash; &copy;"), (3, "http://l/", "<div>word " * 50_000)]
+    source = warc.responses(spark.createDataFrame([*rows, rows[0], rows[4]], "page_id long, url string, html string"))
     ids = {r["record_id"]: r for r in source.collect()}
     out = warc.derivatives(source).collect()
     assert len(out) == 2 * len(rows) and len({r["record_id"] for r in out}) == len(out)
@@ -459,7 +464,8 @@ def test_warc_derivatives_link_to_their_source(spark):
         body = r["body"].encode()
         assert r["source_digest"] == s["payload_digest"] == "sha256:" + hashlib.sha256(s["payload"].encode()).hexdigest() and r["http_headers"] == s["http_headers"]
         assert f"WARC-Refers-To: {s['record_id']}\r\n" in r["headers"] and f"Content-Length: {len(body)}" in r["headers"] and r["block_digest"] == "sha256:" + hashlib.sha256(body).hexdigest()
-    assert "One & two\nthree" in {r["body"] for r in out}
+    assert {"One & two\nthree", "café ’' — ©", "\n".join(["word"] * 50_000)} <= {r["body"] for r in out}
+    assert warc.visible("<head><title>t</title>a<p>b <!-- c <b>d</b> < e") == "t\na\nb d < e"
     assert warc.derivatives(source.limit(0)).count() == 0
     value = warc.records(warc.derivatives(source)).first()["value"]
     assert value.startswith("WARC/1.1\r\n") and value.endswith("\r\n\r\n")

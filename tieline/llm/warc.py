@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import html as entities
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tieline.llm.common import table
+from tieline.llm.common import cut, small_side, table
+from tieline.llm.html_extract import NAME, Scanner
 
 CRLF = "\r\n"
 #: WARC 1.1 field names and types written here.
 VERSION, CONVERSION, METADATA = "WARC/1.1", "conversion", "metadata"
-#: Elements whose contents are no text of the page, and those that end a line of it.
-HIDDEN = "(?is)<(script|style|noscript|template)\\b.*?</\\1\\s*>|<!--.*?-->|<head\\b.*?</head\\s*>"
-BREAKS = "(?i)</?(p|div|br|h[1-6]|li|ul|ol|table|tr|section|article|header|footer|nav|aside|blockquote|pre|title|form)\\b[^>]*>"
+# Elements whose contents are no text of the page, and those that end a line of it.
+HIDDEN = {"script", "style", "noscript", "template", "head"}
+BREAKS = {"p", "div", "br", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "table", "tr", "section", "article", "header", "footer", "nav", "aside", "blockquote", "pre", "title", "form"}
+CLOSERS = {name: re.compile(rf"</{name}\s*>", re.I) for name in HIDDEN}
+BLANKS, BREAK_SPACE = re.compile(r"[ \t\x0b\f\r]+"), re.compile(r" ?\n[ \n]*")
 
 
 def identifier(*parts: Column) -> Column:
@@ -26,29 +33,72 @@ def digest(body: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(body.cast("binary"), 256))
 
 
+def visible(page: str) -> str:
+    """The page's text: hidden elements and tags go, blocks end lines, all character references are decoded.
+
+    One pass: a hidden element without an end hides nothing, and a '<' that begins no tag is text.
+    """
+    out: list[str] = []
+    unclosed: set[str] = set()
+    scan, at, size = Scanner(page), 0, len(page)
+    while at < size:
+        start = page.find("<", at)
+        if start < 0:
+            break
+        out.append(page[at:start])
+        if page.startswith("<!--", start):
+            close = page.find("-->", start + 4) if "!--" not in unclosed else -1
+            if close < 0:
+                unclosed.add("!--")
+            else:
+                out.append(" ")
+                at = close + 3
+                continue
+        m = NAME.match(page, start + 1)
+        close = scan.end(m.end()) if m else page.find(">", start) if page[start + 1: start + 2] in ("!", "?") else -1
+        if close < 0:
+            out.append("<")
+            at = start + 1
+            if m:  # no '>' follows at all
+                break
+            continue
+        at = close + 1
+        name = m[1].lower() if m else ""
+        if name in HIDDEN and m[0][0] != "/" and name not in unclosed:
+            end = CLOSERS[name].search(page, at)
+            if end:
+                out.append(" ")
+                at = end.end()
+                continue
+            unclosed.add(name)
+        if name in BREAKS:
+            out.append("\n")
+    out.append(page[at:])
+    text = BLANKS.sub(" ", entities.unescape("".join(out)).replace("\xa0", " "))
+    return BREAK_SPACE.sub("\n", text).strip(" \n")
+
+
 def plain_text(html: Column) -> Column:
-    """The page's text: hidden elements and tags go, blocks end lines, common character references are decoded."""
-    text = F.regexp_replace(html, HIDDEN, " ")
-    text = F.regexp_replace(text, BREAKS, "\n")
-    text = F.regexp_replace(text, "<[^>]*>", "")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    text = F.regexp_replace(text, "[ \\t\\x0B\\f\\r]+", " ")
-    return F.regexp_replace(F.regexp_replace(text, " ?\\n[ \\n]*", "\n"), "^[ \\n]+|[ \\n]+$", "")
+    """``visible`` of a column, in Arrow batches; a null page has an empty text."""
+    return F.pandas_udf(lambda pages: pages.fillna("").map(visible), "string")(html)
 
 
 def responses(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """A response record of each crawled page: record_id, target_uri, warc_date, http_headers, payload, payload_digest.
 
     A null url is an empty target, a null page an empty payload. The record id comes from the page's own id, address and
-    payload digest, so repeated rows are the same record.
+    payload digest. Rows that are equal in these are one response, so ids are unique; only rows whose id repeats are shuffled.
     """
     target, payload = F.coalesce(F.col(url), F.lit("")), F.coalesce(F.col(html), F.lit(""))
     size = F.octet_length(payload).cast("string")
     headers = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), size, F.lit(CRLF))
     base = pages.select(F.col(page_id).cast("string").alias("source_key"), target.alias("target_uri"), payload.alias("payload"), headers.alias("http_headers"), F.lit(date).alias("warc_date"))
     base = base.withColumn("payload_digest", digest(F.col("payload")))
-    return base.withColumn("record_id", identifier(F.lit("response"), F.coalesce("source_key", F.lit("")), "target_uri", "payload_digest"))
+    base = base.withColumn("record_id", identifier(F.lit("response"), F.coalesce("source_key", F.lit("")), "target_uri", "payload_digest"))
+    again = cut(base.groupBy(F.col("record_id").alias("_id")).count().where("count > 1").select("_id"))
+    some = small_side(again)
+    here = F.col("record_id") == F.col("_id")
+    return base.join(some, here, "left_anti").unionByName(base.join(some, here, "left_semi").dropDuplicates(["record_id"]))
 
 
 def _record(kind: str, content_type: str, body: Column) -> list[Column]:
@@ -70,7 +120,7 @@ def derivatives(source: DataFrame) -> DataFrame:
 
     Both carry WARC-Refers-To, the response's record id; the source's headers and payload digest are kept in columns of
     their own and in the metadata body. A response without text gets an empty conversion. Records depend on nothing but
-    their response: no shuffle, and a lost task writes the same records again. Repeated responses give repeated records.
+    their response: no shuffle, and a lost task writes the same records again.
     """
     text = source.withColumn("_text", plain_text(F.col("payload")))
     fields = F.concat_ws(
