@@ -212,6 +212,30 @@ def test_sharding(docs, empty):
     assert sharding.assign_shards(empty).count() == 0
 
 
+def plain_jump(key, shards):
+    """The published loop, one key at a time."""
+    b, j = -1, 0
+    while j < shards:
+        b = j
+        key = (key * 2862933555777941757 + 1) % 2**64
+        j = int((b + 1) * (2147483648.0 / ((key >> 33) + 1)))
+    return b
+
+
+def test_jump_hash_against_the_published_loop(spark):
+    keys = np.random.default_rng(5).integers(0, 2**64, 3000, dtype=np.uint64)
+    for shards in (1, 2, 24, 25, 1000):
+        assert sharding.jump_hash(keys, shards).tolist() == [plain_jump(int(k), shards) for k in keys]
+    rows = [(i % 7 if i % 3 else None, f"text {i % 11}", "clash", -1) for i in range(300)]
+    placed = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string, shard string, slot long"), 24).select("*", F.xxhash64("doc_id", F.col("doc_id").isNull()).alias("k")).collect()
+    slots = defaultdict(list)
+    for r in placed:
+        key = r["k"] % 2**64
+        assert (r["shard"], r["grown_shard"]) == (plain_jump(key, 24), plain_jump(key, 25))
+        slots[r["shard"]].append(r["slot"])
+    assert len(placed) == 300 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_jump_hash_moves_only_the_necessary_share():
     keys = np.random.default_rng(0).integers(0, 2**63, 100_000, dtype=np.uint64)
     before, after = sharding.jump_hash(keys, 24), sharding.jump_hash(keys, 25)
