@@ -142,7 +142,8 @@ def test_sketch_estimates_are_corrected_for_collisions(size):
             common = round(2 * size * share / (1 + share))
             both = rng.integers(0, 2**63, 2 * size - common, dtype=np.uint64)
             a, b = both[:size], both[size - common:]
-            x, y = neardup.unpacked(neardup.packed(neardup.sketches([a, b])))
+            (x, y), (p, q) = neardup.unpacked(neardup.packed(neardup.sketches([a, b]), neardup.parities([a, b])))
+            assert np.bitwise_count(p ^ q).sum() <= len(np.setxor1d(a, b)) and neardup.near_enough(p[None], q[None], size, size)[0] >= (100 * common >= 75 * len(both))
             assert neardup.equal_registers(np.array([x, y]), y).tolist() == [(x == y).sum(), neardup.REGISTERS]
             gaps.append(neardup.estimate((x == y).mean(), len(a), len(b)) - common / len(both))
         assert abs(np.mean(gaps)) < 0.05

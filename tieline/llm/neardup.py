@@ -20,6 +20,9 @@ REGISTERS = BANDS * ROWS
 ZERO_CAP, MANTISSA = 15, 8
 #: Pairs estimated below this are not verified. The estimate's deviation is 0.03 at 0.75, so this is five of them away.
 ESTIMATE_FLOOR = 0.6
+#: Bits of a set's parity bitmap: each shingle flips one, so two bitmaps differ in no more bits than the sets in shingles.
+#: An exact bound: it drops most pairs that the estimate cannot tell from linked ones, and never a linked one.
+PARITY = 2048
 #: Members of a bucket that one task compares with as many others; larger buckets are dealt out as pairs of blocks.
 BLOCK = 4096
 #: Bytes of a shingle's hash that travel for verification.
@@ -75,19 +78,35 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return mix((v * _WIDE[:ROWS]).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _WIDE[ROWS])
 
 
-def packed(regs: np.ndarray) -> list[bytes]:
-    """Each row of registers in 12 bits a register: the mantissas, then the leading zeros two to a byte."""
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """The parity bitmap of each set, a row of 64-bit words."""
+    size = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
+    bit = (mix(flat ^ _U(0x3C79AC492BA7B653)) & _U(PARITY - 1)).astype(np.int64)
+    flips = np.bincount(np.repeat(np.arange(len(sets)) * PARITY, size) + bit, minlength=len(sets) * PARITY)
+    return np.packbits((flips & 1).astype(np.uint8).reshape(len(sets), PARITY), axis=1).view(np.uint64)
+
+
+def packed(regs: np.ndarray, parity: np.ndarray) -> list[bytes]:
+    """Each row: its parity bitmap, then its registers in 12 bits each: the mantissas, then the leading zeros two to a byte."""
     zeros = np.zeros((len(regs), REGISTERS + 1), np.uint8)
     zeros[:, :REGISTERS] = regs >> MANTISSA
-    body = np.concatenate([(regs & 255).astype(np.uint8), zeros[:, ::2] << 4 | zeros[:, 1::2]], axis=1)
+    body = np.concatenate([parity.view(np.uint8), (regs & 255).astype(np.uint8), zeros[:, ::2] << 4 | zeros[:, 1::2]], axis=1)
     return [r.tobytes() for r in body]
 
 
-def unpacked(rows: list[bytes]) -> np.ndarray:
-    body = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+def unpacked(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(registers, parity bitmaps) of packed rows."""
+    whole = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+    parity, body = np.ascontiguousarray(whole[:, : PARITY // 8]).view(np.uint64), whole[:, PARITY // 8:]
     zeros = np.empty((len(rows), REGISTERS + 1), np.uint16)
     zeros[:, ::2], zeros[:, 1::2] = body[:, REGISTERS:] >> 4, body[:, REGISTERS:] & 15
-    return zeros[:, :REGISTERS] << MANTISSA | body[:, :REGISTERS]
+    return zeros[:, :REGISTERS] << MANTISSA | body[:, :REGISTERS], parity
+
+
+def near_enough(p: np.ndarray, q: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Do the bitmaps allow a similarity of 0.75? Then the sets differ in a seventh of n + m shingles at most."""
+    return 7 * np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64) <= n + m
 
 
 def equal_registers(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -149,7 +168,7 @@ def _sketches(width: int):
             def flush() -> None:
                 if pending:
                     r = sketches(pending)
-                    regs.extend(packed(r))
+                    regs.extend(packed(r, parities(pending)))
                     keys.extend(k if len(s) > 2 else k[:0] for k, s in zip(as_long(band_keys(r)), pending))
                     pending.clear()
 
@@ -221,11 +240,13 @@ def _full_sets(width: int, listed: bool):
 
 
 def _estimates(*columns: str):
+    """Estimated similarity of two packed rows with their sizes; 0 if their bitmaps rule a link out."""
     def run(a: pd.Series, n: pd.Series, b: pd.Series, m: pd.Series) -> pd.Series:
         if not len(a):
             return pd.Series([], dtype="float64")
-        share = (unpacked(list(a)) == unpacked(list(b))).mean(axis=1)
-        return pd.Series([estimate(*x) for x in zip(share, n, m)], dtype="float64")
+        (x, p), (y, q) = unpacked(list(a)), unpacked(list(b))
+        found = np.array([estimate(*x) for x in zip((x == y).mean(axis=1), n, m)])
+        return pd.Series(np.where(near_enough(p, q, n.to_numpy(), m.to_numpy()), found, 0.0))
 
     return F.pandas_udf(run, "double")(*columns)
 
@@ -269,14 +290,16 @@ def compare(key: int, left: dict, right: dict, most: int) -> tuple[np.ndarray, n
     """Pairs of one bucket (or of two blocks of it) in different components whose corrected estimate reaches the floor.
 
     With ``most``, each left row names only its ``most`` closest partners; 0 names all. A pair that shares several buckets
-    is named in the first of them only. Sides hold rep, root, n and registers (rows).
+    is named in the first of them only. Sides hold rep, root, n, registers and parity bitmaps (rows).
     """
     out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     here = int(np.flatnonzero(as_long(band_keys(left["regs"][:1]))[0] == key)[0])
-    for rep, root, n, regs in zip(left["rep"], left["root"], left["n"], left["regs"]):
+    for rep, root, n, regs, parity in zip(left["rep"], left["root"], left["n"], left["regs"], left["parity"]):
         able = np.flatnonzero((right["root"] != root) & (4 * np.minimum(n, right["n"]) >= 3 * np.maximum(n, right["n"])))
         share = equal_registers(right["regs"][able], regs) / REGISTERS
         able, share = able[share >= ESTIMATE_FLOOR], share[share >= ESTIMATE_FLOOR]
+        close = near_enough(right["parity"][able], parity, right["n"][able], n)
+        able, share = able[close], share[close]
         if len(able):
             same = (right["regs"][able] == regs).reshape(-1, BANDS, ROWS).all(axis=2)
             good = (same.argmax(axis=1) == here) & (np.array([estimate(s, n, m) for s, m in zip(share, right["n"][able])]) >= ESTIMATE_FLOOR)
@@ -302,10 +325,10 @@ def _compared(most: int):
             out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             upto = int(ends[whole - 1]) if whole else 0
             if upto:
-                regs = unpacked(t.column("regs").slice(0, upto).to_pylist())
+                regs, parity = unpacked(t.column("regs").slice(0, upto).to_pylist())
                 side, rep, root, n = (t.column(c).to_numpy()[:upto] for c in ("side", "rep", "root", "n_shingles"))
                 for s, e in zip(starts[:whole], ends[:whole]):
-                    parts = [{"rep": rep[s:e][m], "root": root[s:e][m], "n": n[s:e][m], "regs": regs[s:e][m]} for m in (side[s:e] == 0, side[s:e] == 1)]
+                    parts = [{"rep": rep[s:e][m], "root": root[s:e][m], "n": n[s:e][m], "regs": regs[s:e][m], "parity": parity[s:e][m]} for m in (side[s:e] == 0, side[s:e] == 1)]
                     if len(parts[0]["rep"]) and len(parts[1]["rep"]):
                         a, b = compare(int(ids[s, 0]), *parts, most)
                         out_a.append(np.minimum(a, b))
@@ -345,7 +368,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE) ->
     large a bucket is). Then, in buckets that still hold several components, members outside the first one's component
     are compared with all others by estimate, block by block, and what passes is confirmed on the full sets. Sets under 3
     shingles can only be equal. No link between different components is lost but for the chance that a linked pair
-    shares no band (5 in 10^6 at exactly 0.75) or is estimated below ESTIMATE_FLOOR (5 deviations).
+    shares no band (5 in 10^6 at exactly 0.75) or is estimated below ESTIMATE_FLOOR (5 deviations). Parity bitmaps bound
+    how far two sets differ, exactly; pairs that they rule out are never verified.
     """
     if percent < 75:
         raise ValueError("bands and the least set size are laid out for a similarity of 0.75 or more")
