@@ -6,12 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TAUS = [round(0.05 + 0.01 * k, 2) for k in range(91)]
+#: Pruning floors to try: 60 from 1e-6 to 0.05, each the same factor larger than the one before.
+FLOORS = [1e-6 * 50_000 ** (k / 59) for k in range(60)]
 
 
 def f05(p: Column, r: Column) -> Column:
     return F.when(0.25 * p + r > 0, 1.25 * p * r / (0.25 * p + r)).otherwise(F.lit(0.0))
 
 
+def f05_of_recall(r: Column) -> Column:
+    """F0.5 of predictions that are all right, from their recall."""
+    return f05(F.lit(1.0), r)
+
+
 def entity_scores(anchors: DataFrame, truth: DataFrame, predicted: DataFrame) -> DataFrame:
     """(s1_id, .., n_true, n_pred, tp, p, r, f) of every anchor. A singleton scores 1 if nothing is predicted, else 0."""
     t, p = truth.select("s1_id", "tgt_id").distinct(), predicted.select("s1_id", "tgt_id").distinct()
@@ -61,6 +68,16 @@ def best_tau(grid: DataFrame) -> float:
     return grid.orderBy(F.round("f05", 12).desc(), "tau").first()["tau"]
 
 
+def best_floor(grid: DataFrame, all_recall: float, loss: float = 0.0005) -> float:
+    """The largest floor before the first one that loses more than ``loss`` of the recall without a floor; 0 if none does."""
+    best = 0.0
+    for r in grid.orderBy("floor").collect():  # as many rows as floors
+        if all_recall - r["recall"] > loss:
+            break
+        best = r["floor"]
+    return best
+
+
 def floor_grid(labelled: DataFrame, floors: list[float], most: int = 20) -> DataFrame:
     """(floor, recall): share of targets whose true pair is among the ``most`` best and not under the floor."""
     kept = labelled.where(F.col("label") == 1).select("tgt_id", F.col("p1").alias("p"), F.col("p1_rank_t").alias("k"))

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K, K_DEEP, TIE_RATIO, ABSENT, RRF = 10, 100, 0.9, 128, 60
+#: Anchors and targets that one task compares: blocks of this many rows of a country, by id hash.
+ANCHOR_BLOCK, TARGET_BLOCK = 20_000, 5_000
+#: Products of weights that a sparse task holds at once.
+PRODUCTS = 2_000_000
 
 
 @dataclass
@@ -43,12 +50,72 @@ def ranked(scores: DataFrame, k: int, score: str = "score") -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
 
 
-def sparse_search(targets: DataFrame, anchors: DataFrame, k: int = K_DEEP) -> DataFrame:
-    """(tgt_id, s1_id, score, rank): cosine over unpruned features within a country, by a join of posting lists."""
-    postings = anchors.where("not pruned").select("country", "feature", F.col("entity_id").alias("s1_id"), F.col("w").alias("ws"))
-    query = targets.where("not pruned").select("country", "feature", F.col("entity_id").alias("tgt_id"), F.col("w").alias("wt"))
-    scores = query.join(postings, ["country", "feature"]).groupBy("tgt_id", "s1_id").agg(F.sum(F.col("wt") * F.col("ws")).alias("score"))
-    return ranked(scores, k)
+def _blocked(targets: DataFrame, anchors: DataFrame, run: Callable, k: int, anchor_block: int, target_block: int) -> DataFrame:
+    """Top k of each target over a grid of (country, target block, anchor block) tasks.
+
+    Both sides are dealt to blocks by id hash, as many as the larger country needs; a task sees one block of each and hands
+    on its own k best of each target, so what is shuffled after it is k rows a target and anchor block, never all pairs.
+    """
+    def blocks(rows: DataFrame, size: int) -> int:
+        most = rows.groupBy("country").agg(F.count_distinct("entity_id").alias("n")).agg(F.max("n")).first()[0] or 0
+        return max(1, -(-most // size))
+
+    nt, na = blocks(targets, target_block), blocks(anchors, anchor_block)
+    own = lambda n: F.pmod(F.xxhash64("entity_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    anchors = anchors.select(*[F.col(c).alias(c) for c in anchors.columns])  # columns of its own, should both be one table
+    q = targets.withColumn("_t", own(nt)).withColumn("_a", every(na)).groupBy("country", "_t", "_a")
+    s = anchors.withColumn("_a", own(na)).withColumn("_t", every(nt)).groupBy("country", "_t", "_a")
+    best = q.cogroup(s).applyInPandas(run, "tgt_id string, s1_id string, score double")
+    return ranked(best, k)
+
+
+def _closest(targets: np.ndarray, anchors: np.ndarray, scores: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best of each target among flat (target, anchor, score) rows, ties to the smaller anchor id."""
+    order = np.lexsort((anchors, -np.round(scores, 9), targets))
+    t = targets[order]
+    first = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, np.int64)
+    place = np.arange(len(t)) - np.repeat(first, np.diff(np.append(first, len(t))))
+    kept = order[place < k]
+    return pd.DataFrame({"tgt_id": targets[kept], "s1_id": anchors[kept], "score": scores[kept]})
+
+
+def _sparse_task(k: int):
+    def run(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"tgt_id": [], "s1_id": [], "score": []})]
+        if len(q) and len(s):
+            s = s.sort_values("feature")
+            names, first = np.unique(s.feature.to_numpy(str), return_index=True)
+            ends = np.append(first[1:], len(s))
+            ids, ws = s.entity_id.to_numpy(str), s.w.to_numpy()
+            q = q[q.feature.isin(names)].sort_values("entity_id")
+            at = np.searchsorted(names, q.feature.to_numpy(str))
+            many = ends[at] - first[at]
+            tgt, wt = q.entity_id.to_numpy(str), q.w.to_numpy()
+            cuts = np.flatnonzero(np.append(True, tgt[1:] != tgt[:-1])) if len(q) else []
+            done = np.append(0, np.cumsum(many))
+            lo = 0
+            for c in [*cuts[1:], len(q)]:  # whole targets, about PRODUCTS products at a time
+                if c == len(q) or done[c] - done[lo] >= PRODUCTS:
+                    part = slice(lo, c)
+                    rows = np.repeat(np.arange(lo, c), many[part])
+                    post = np.repeat(first[at[part]], many[part]) + np.arange(len(rows)) - np.repeat(done[lo:c] - done[lo], many[part])
+                    pairs = pd.DataFrame({"t": tgt[rows], "s": ids[post], "x": wt[rows] * ws[post]}).groupby(["t", "s"], sort=False).x.sum().reset_index()
+                    if len(pairs):
+                        out.append(_closest(pairs.t.to_numpy(str), pairs.s.to_numpy(str), pairs.x.to_numpy(), k))
+                    lo = c
+        return pd.concat(out)
+
+    return run
+
+
+def sparse_search(targets: DataFrame, anchors: DataFrame, k: int = K_DEEP, anchor_block: int = ANCHOR_BLOCK, target_block: int = TARGET_BLOCK) -> DataFrame:
+    """(tgt_id, s1_id, score, rank): cosine over unpruned features within a country, exact, block by block.
+
+    Pruned features bound a posting list by the pruning share of a block; targets are taken in portions within a task.
+    """
+    slim = lambda rows: rows.where("not pruned and country is not null").select("country", "entity_id", "feature", "w")
+    return _blocked(slim(targets), slim(anchors), _sparse_task(k), k, anchor_block, target_block)
 
 
 def adaptive(hits: DataFrame, deep_ids: DataFrame, k: int = K, tie_ratio: float = TIE_RATIO) -> DataFrame:
@@ -93,21 +160,85 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def dense_search(targets: DataFrame, anchors: DataFrame, k: int = K, blocks: int = 16) -> DataFrame:
-    """Exact inner-product search within a country over ``vec`` columns: anchors and targets meet block by block, and each
-    pair of blocks keeps its own k best before the last ranking, so no task holds a country."""
-    own = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
-    q = targets.select("country", F.col("entity_id").alias("tgt_id"), F.col("vec").alias("vt"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    s = anchors.select("country", F.col("entity_id").alias("s1_id"), F.col("vec").alias("vs"), own("entity_id").alias("block"))
-    scores = q.join(s, ["country", "block"]).select("tgt_id", "s1_id", "block", dot(F.col("vt"), F.col("vs")).alias("score"))
-    near = Window.partitionBy("tgt_id", "block").orderBy(F.round("score", 9).desc(), "s1_id")
-    best = scores.withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= k).select("tgt_id", "s1_id", "score")
-    return ranked(best, k)
+def _dense_task(k: int):
+    def run(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"tgt_id": [], "s1_id": [], "score": []})]
+        if len(q) and len(s):
+            ids, vs = s.entity_id.to_numpy(str), np.stack(s.vec.to_numpy()).astype(np.float64)
+            tgt, vt = q.entity_id.to_numpy(str), np.stack(q.vec.to_numpy()).astype(np.float64)
+            step = max(1, PRODUCTS // len(ids))
+            for lo in range(0, len(tgt), step):
+                scores = np.round(vt[lo: lo + step] @ vs.T, 9)
+                if scores.shape[1] > k:  # ties with the k-th score stay, so that the smaller id can win
+                    least = np.partition(scores, -k, axis=1)[:, [-k]]
+                    row, col = np.nonzero(scores >= least)
+                else:
+                    row, col = (x.ravel() for x in np.indices(scores.shape))
+                out.append(_closest(tgt[lo + row], ids[col], scores[row, col], k))
+        return pd.concat(out)
+
+    return run
+
+
+def dense_search(targets: DataFrame, anchors: DataFrame, k: int = K, anchor_block: int = ANCHOR_BLOCK, target_block: int = TARGET_BLOCK) -> DataFrame:
+    """Exact inner-product search within a country over ``vec`` columns, as matrix products of blocks."""
+    slim = lambda rows: rows.where("country is not null").select("country", "entity_id", "vec")
+    return _blocked(slim(targets), slim(anchors), _dense_task(k), k, anchor_block, target_block)
+
+
+#: Vectors that the cells of an index are fitted on, at most: those that come first by the hash of their id.
+INDEX_SAMPLE = 50_000
+
+
+@dataclass
+class CellIndex:
+    """Cells of unit vectors around centres, for approximate search."""
+
+    centres: np.ndarray
+
+    @classmethod
+    def fit(cls, vectors: DataFrame, cells: int, rounds: int = 8, sample: int = INDEX_SAMPLE) -> "CellIndex":
+        """Spherical k-means on a bounded sample; every vector is indexed later."""
+        rows = vectors.orderBy(F.md5("entity_id"), "entity_id").limit(sample).select("vec").collect()
+        x = np.array([r["vec"] for r in rows], np.float32).reshape(len(rows), -1)
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        centres = x[:: max(1, len(x) // max(1, cells))][:cells].copy()
+        for _ in range(rounds if len(x) else 0):
+            near = (x @ centres.T).argmax(axis=1)
+            for c in range(len(centres)):
+                if (near == c).any():
+                    centres[c] = x[near == c].mean(axis=0)
+            centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+        return cls(centres)
+
+    def cells(self, vec: Column, most: int) -> Column:
+        """The ``most`` nearest cells of a vector."""
+        centres = self.centres
+
+        def run(vs: pd.Series) -> pd.Series:
+            if not len(vs):
+                return pd.Series([], dtype=object)
+            scores = np.stack(vs.to_numpy()).astype(np.float32) @ centres.T
+            return pd.Series(list(np.argsort(-scores, axis=1, kind="stable")[:, :most].astype(np.int32)))
+
+        return F.pandas_udf(run, "array<int>")(vec)
+
+
+def cell_search(targets: DataFrame, anchors: DataFrame, index: CellIndex, k: int = K, probes: int = 8) -> DataFrame:
+    """Approximate inner-product search: every anchor lies in its nearest cell, a target looks into its ``probes`` nearest.
+
+    A cell of a country is searched exactly, in blocks, so a crowded cell is dealt out like a crowded country.
+    """
+    cell = lambda c: F.concat_ws("\x1f", F.col("country"), c.cast("string"))
+    s = anchors.select("country", "entity_id", "vec", index.cells(F.col("vec"), 1)[0].alias("_c"))
+    q = targets.select("country", "entity_id", "vec", F.explode(index.cells(F.col("vec"), probes)).alias("_c"))
+    found = dense_search(q.select(cell(F.col("_c")).alias("country"), "entity_id", "vec"), s.select(cell(F.col("_c")).alias("country"), "entity_id", "vec"), k)
+    return ranked(found.select("tgt_id", "s1_id", "score"), k)
 
 
 def hashed_embedding(weights: DataFrame, dims: int = 128, keys: tuple[str, ...] = ("entity_id", "country")) -> DataFrame:
     """(keys, vec): signed hashing of a weighted bag to ``dims`` dimensions, of unit length."""
-    h = F.xxhash64("feature")
+    h = F.conv(F.substring(F.md5("feature"), 1, 8), 16, 10).cast("long")
     part = weights.select(*keys, F.pmod(h, F.lit(dims)).cast("int").alias("d"), (F.col("w") * F.when(F.pmod(F.shiftright(h, 20), F.lit(2)) == 0, 1.0).otherwise(-1.0)).alias("x"))
     sums = part.groupBy(*keys, "d").agg(F.sum("x").alias("x"))
     norms = sums.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("d", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))

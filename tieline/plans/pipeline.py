@@ -1,19 +1,23 @@
-"""The verbs of record linkage: fit, candidates, stage 2, predict, evaluate."""
+"""The verbs of record linkage: fit, prep, candidates, stage 2, predict, evaluate, validate, merge, diagnose."""
 
 from __future__ import annotations
 
 import argparse
 import json
-import os
+import sys
 from dataclasses import asdict, dataclass, field
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tieline.functions import keys, text
 from tieline.functions.script import Script, learn_script
-from tieline.operators import features, learn, metrics, vectors
-from tieline.sources import tsv
+from tieline.operators import encoder, features, learn, metrics, sampling, vectors
+from tieline.plans import diagnose
+from tieline.sources import store, tsv
+
+CHANNELS = ("name", "addr", "raw")
 
 
 @dataclass(frozen=True)
@@ -22,7 +26,7 @@ class Config:
     k_deep: int = 100
     tie_ratio: float = 0.9
     m_max: int = 20
-    floor: float = 0.0
+    floor: float = -1.0  # below 0: tuned on the validation targets of stage 1
     tau: float = 0.5
     max_df_frac: float = 0.003
     lexicon_min_count: int = 30
@@ -30,29 +34,57 @@ class Config:
     trees: int = 20
     depth: int = 5
     seed: int = 42
+    frac: float = 1.0
+    encoder_links: int = 20_000  # links that the encoder learns from; 0: hashed vectors without learning
+    encoder_epochs: int = 3
+    stage1_links: int = 200_000
+    cells: int = 0  # above 0: approximate encoder search over so many cells
+    probes: int = 8
 
 
 @dataclass
 class Artefacts:
+    """All that is learned. ``biased`` (tgt_id): targets that an earlier model was trained on and stage 2 must not be."""
+
     config: Config = field(default_factory=Config)
     name_lexicon: dict[str, str] = field(default_factory=dict)
     address_lexicon: dict[str, str] = field(default_factory=dict)
     noise: frozenset[str] = frozenset()
     script: Script = field(default_factory=Script)
+    idf: dict[str, vectors.Idf] = field(default_factory=dict)
+    encoder: encoder.Encoder | None = None
+    model1: PipelineModel | None = None
+    model2: PipelineModel | None = None
+    floor: float = 0.0
+    tau: float | None = None
+    biased: DataFrame | None = None
 
-    def save(self, path: str) -> None:
-        os.makedirs(path, exist_ok=True)
-        body = {"config": asdict(self.config), "name_lexicon": self.name_lexicon, "address_lexicon": self.address_lexicon, "noise": sorted(self.noise), "script": asdict(self.script) | {"vowels": sorted(self.script.vowels)}}
-        with open(f"{path}/artefacts.json", "w", encoding="utf-8") as f:
-            json.dump(body, f, ensure_ascii=False, indent=1, sort_keys=True)
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Everything below ``path``, in any store that Spark reaches."""
+        body = {
+            "config": asdict(self.config), "name_lexicon": self.name_lexicon, "address_lexicon": self.address_lexicon, "noise": sorted(self.noise), "script": asdict(self.script) | {"vowels": sorted(self.script.vowels)},
+            "floor": self.floor, "tau": self.tau, "idf": {c: [i.documents, i.median] for c, i in self.idf.items()}, "encoder": self.encoder is not None, "models": [n for n in ("model1", "model2") if getattr(self, n)], "biased": self.biased is not None,
+        }
+        for c, i in self.idf.items():
+            i.table.write.mode("overwrite").parquet(f"{path}/idf_{c}")
+        for n in body["models"]:
+            getattr(self, n).write().overwrite().save(f"{path}/{n}")
+        if self.encoder:
+            self.encoder.save(spark, f"{path}/encoder")
+        if self.biased is not None:
+            self.biased.write.mode("overwrite").parquet(f"{path}/biased")
+        store.write_json(spark, f"{path}/artefacts.json", body)
 
     @classmethod
-    def load(cls, path: str) -> "Artefacts":
-        with open(f"{path}/artefacts.json", encoding="utf-8") as f:
-            body = json.load(f)
-        script = body.get("script", {})
-        script = Script(**script | {"vowels": frozenset(script["vowels"])}) if script else Script()
-        return cls(Config(**body["config"]), body["name_lexicon"], body["address_lexicon"], frozenset(body["noise"]), script)
+    def load(cls, spark: SparkSession, path: str) -> "Artefacts":
+        body = store.read_json(spark, f"{path}/artefacts.json")
+        script = Script(**body["script"] | {"vowels": frozenset(body["script"]["vowels"])})
+        idf = {c: vectors.Idf(spark.read.parquet(f"{path}/idf_{c}"), n, m) for c, (n, m) in body["idf"].items()}
+        models = {n: PipelineModel.load(f"{path}/{n}") for n in body["models"]}
+        return cls(
+            Config(**body["config"]), body["name_lexicon"], body["address_lexicon"], frozenset(body["noise"]), script, idf, encoder.Encoder.load(spark, f"{path}/encoder") if body["encoder"] else None,
+            floor=body["floor"], tau=body["tau"], biased=spark.read.parquet(f"{path}/biased") if body["biased"] else None, **models,
+        )
 
 
 def views(records: DataFrame, art: Artefacts) -> DataFrame:
@@ -85,93 +117,245 @@ def bags(records: DataFrame, script: Script) -> dict[str, DataFrame]:
     }
 
 
-def candidates(anchors: DataFrame, targets: DataFrame, art: Artefacts) -> DataFrame:
-    """Pairs of the union of three channels with all of features.STAGE1."""
-    c = art.config
-    a, t = views(anchors, art), views(targets, art)
+def fit_idf(anchors: DataFrame, art: Artefacts) -> dict[str, vectors.Idf]:
+    """Document frequencies of the three bags over ``anchors``."""
     n = anchors.count()
-    ab, tb = bags(a, art.script), bags(t, art.script)
-    idf = {k: vectors.fit_idf(ab[k], n, c.max_df_frac) for k in ab}
-    aw, tw = ({k: vectors.weigh(b[k], idf[k]).persist() for k in b} for b in (ab, tb))  # each is read by search, cosine and embedding
-    both = lambda w: w["name"].unionByName(w["addr"])
-    av, tv = vectors.hashed_embedding(both(aw)), vectors.hashed_embedding(both(tw))
-    empty = lambda column: t.where(F.size(column) == 0).select(F.col("entity_id").alias("tgt_id"))
+    return {c: vectors.fit_idf(b, n, art.config.max_df_frac) for c, b in bags(views(anchors, art), art.script).items()}
+
+
+class Side:
+    """Records prepared for search: views, weighted bags and vectors, each kept by Spark until ``release``."""
+
+    def __init__(self, records: DataFrame, art: Artefacts):
+        self.records = records
+        self.views = views(records, art)
+        self.weights = {c: vectors.weigh(b, art.idf[c]).persist() for c, b in bags(self.views, art.script).items()}
+        both = self.weights["name"].unionByName(self.weights["addr"])
+        self.vec = (encoder.encoded(encoder.hashed_bags(both), art.encoder) if art.encoder else vectors.hashed_embedding(both)).persist()
+
+    def release(self) -> None:
+        for df in (*self.weights.values(), self.vec):
+            df.unpersist()
+
+
+def candidates(anchors: DataFrame | Side, targets: DataFrame, art: Artefacts) -> DataFrame:
+    """Pairs of the union of three channels with all of features.STAGE1, and country and deep. Anchors may be prepared once and used again.
+
+    The result is written to the shared store, so what it was made from is let go.
+    """
+    c = art.config
+    if not art.idf:
+        art = Artefacts(**{**art.__dict__, "idf": fit_idf(anchors.records if isinstance(anchors, Side) else anchors, art)})
+    a = anchors if isinstance(anchors, Side) else Side(anchors, art)
+    t = Side(targets, art)
+    empty = lambda column: t.views.where(F.size(column) == 0).select(F.col("entity_id").alias("tgt_id"))
     hits = {
-        "name": vectors.adaptive(vectors.sparse_search(tw["name"], aw["name"], c.k_deep), empty("addr_tokens"), c.k, c.tie_ratio).persist(),
-        "addr": vectors.adaptive(vectors.sparse_search(tw["addr"], aw["addr"], c.k_deep), empty("core_tokens"), c.k, c.tie_ratio).persist(),
+        n: vectors.adaptive(vectors.sparse_search(t.weights[n], a.weights[n], c.k_deep), empty(other), c.k, c.tie_ratio).persist()
+        for n, other in (("name", "addr_tokens"), ("addr", "core_tokens"))
     }
     # The encoder goes deep where either sparse channel does, also for targets that have no hits there.
     deep = empty("addr_tokens").union(empty("core_tokens"))
     for found in list(hits.values()):
         deep = deep.union(found.where("deep").select("tgt_id"))
     deep = deep.distinct().withColumnRenamed("tgt_id", "entity_id").persist()
-    hits["enc"] = vectors.dense_search(tv.join(deep, "entity_id", "left_semi"), av, c.k_deep).unionByName(vectors.dense_search(tv.join(deep, "entity_id", "left_anti"), av, c.k))
+    index = vectors.CellIndex.fit(a.vec, c.cells) if c.cells else None
+    dense = lambda rows, k: vectors.cell_search(rows, a.vec, index, k, c.probes) if index else vectors.dense_search(rows, a.vec, k)
+    hits["enc"] = dense(t.vec.join(deep, "entity_id", "left_semi"), c.k_deep).unionByName(dense(t.vec.join(deep, "entity_id", "left_anti"), c.k))
     pairs = vectors.union_channels(hits)
-    for name in ("name", "addr", "raw"):
-        pairs = vectors.pair_cosine(pairs, tw[name], aw[name], f"cos_{name}")
-    pairs = pairs.join(tv.select(F.col("entity_id").alias("tgt_id"), F.col("vec").alias("_t")), "tgt_id", "left").join(av.select(F.col("entity_id").alias("s1_id"), F.col("vec").alias("_s")), "s1_id", "left")
+    for n in CHANNELS:
+        pairs = vectors.pair_cosine(pairs, t.weights[n], a.weights[n], f"cos_{n}")
+    pairs = pairs.join(t.vec.select(F.col("entity_id").alias("tgt_id"), F.col("vec").alias("_t")), "tgt_id", "left").join(a.vec.select(F.col("entity_id").alias("s1_id"), F.col("vec").alias("_s")), "s1_id", "left")
     pairs = pairs.withColumn("cos_enc", F.coalesce(vectors.dot(F.col("_t"), F.col("_s")), F.lit(0.0))).drop("_t", "_s")
-    flags_t = t.select(F.col("entity_id").alias("tgt_id"), "country", (F.size("core_tokens") == 0).cast("double").alias("q_name_empty"), (F.size("addr_tokens") == 0).cast("double").alias("q_addr_empty"))
-    flags_s = a.select(F.col("entity_id").alias("s1_id"), (F.size("addr_tokens") == 0).cast("double").alias("s_addr_empty"))
-    return features.stage1_features(pairs.join(flags_t, "tgt_id").join(flags_s, "s1_id"))
+    flags_t = t.views.select(F.col("entity_id").alias("tgt_id"), "country", (F.size("core_tokens") == 0).cast("double").alias("q_name_empty"), (F.size("addr_tokens") == 0).cast("double").alias("q_addr_empty"))
+    flags_s = a.views.select(F.col("entity_id").alias("s1_id"), (F.size("addr_tokens") == 0).cast("double").alias("s_addr_empty"))
+    marked = flags_t.join(deep.select(F.col("entity_id").alias("tgt_id"), F.lit(True).alias("deep")), "tgt_id", "left").fillna(False, ["deep"])
+    out = store.written(features.stage1_features(pairs.join(marked, "tgt_id").join(flags_s, "s1_id")))
+    for df in (deep, hits["name"], hits["addr"]):
+        df.unpersist()
+    t.release()
+    if not isinstance(anchors, Side):
+        a.release()
+    return out
 
 
 def labelled(pairs: DataFrame, links: DataFrame) -> DataFrame:
     return pairs.join(links.select("tgt_id", "s1_id").withColumn("label", F.lit(1)), ["tgt_id", "s1_id"], "left").fillna(0, ["label"])
 
 
+def _tenth(seed: int):
+    return keys.unit_hash(F.col("tgt_id"), seed + 1) < 0.1
+
+
 def stage1(pairs: DataFrame, links: DataFrame, config: Config):
-    """A model of a link on pairs of train-fold targets; a tenth of the targets validates."""
-    rows = labelled(pairs, links).where(keys.fold_of(F.col("s1_id"), config.seed) == 0).withColumn("validation", F.pmod(F.xxhash64("tgt_id"), F.lit(10)) == 0)
-    return learn.fit_model(rows, features.STAGE1, config.trees, config.depth, seed=config.seed)
+    """A model of a link on the pairs of training targets; a tenth of the targets validates."""
+    return learn.fit_model(labelled(pairs, links).withColumn("validation", _tenth(config.seed)), features.STAGE1, config.trees, config.depth, seed=config.seed)
+
+
+def tuned_floor(scored: DataFrame, links: DataFrame, config: Config) -> float:
+    """The largest floor that costs the validation targets next to no recall among their ``m_max`` best pairs."""
+    if config.floor >= 0:
+        return config.floor
+    rows = features.competition(labelled(scored.where(_tenth(config.seed)), links)).persist()
+    whole = metrics.floor_grid(rows, [0.0], config.m_max).first()
+    out = metrics.best_floor(metrics.floor_grid(rows, metrics.FLOORS, config.m_max), whole["recall"] if whole else 0.0)
+    rows.unpersist()
+    return out
+
 
+def fit(anchors: DataFrame, targets: DataFrame, links: DataFrame, config: Config) -> Artefacts:
+    """Everything up to stage 1, from links of the train fold alone: tune and holdout links are not read.
 
-def stage2_pairs(scored: DataFrame, anchors: DataFrame, targets: DataFrame, art: Artefacts) -> DataFrame:
+    The encoder and stage 1 learn from disjoint links; the targets of the latter are remembered as biased.
+    """
+    train = sampling.links_of_fold(links, 0, config.seed)
+    art = learn_text(anchors, targets, train, config)
+    art.idf = fit_idf(anchors.where(keys.fold_of(F.col("entity_id"), config.seed) == 0), art)
+    parts = store.written(sampling.disjoint_links(train, config.encoder_links, config.stage1_links, config.seed))
+    first, second = (parts.where(F.col("part") == p).select("tgt_id", "s1_id") for p in (0, 1))
+    of = lambda some: targets.join(some.select(F.col("tgt_id").alias("entity_id")).distinct(), "entity_id", "left_semi")
+    if second.isEmpty():  # fewer links than the encoder may take: halve them by hash
+        half = keys.unit_hash(F.col("tgt_id"), config.seed + 2) < 0.5
+        first, second = first.where(half), first.where(~half)
+    if config.encoder_links:
+        weighed = lambda rows: encoder.hashed_bags(vectors.weigh(b["name"], art.idf["name"]).unionByName(vectors.weigh(b["addr"], art.idf["addr"]))) if (b := bags(views(rows, art), art.script)) else None
+        art.encoder = encoder.learn_encoder(first, weighed(anchors), weighed(of(first)), config.encoder_links, epochs=config.encoder_epochs, seed=config.seed)
+    art.biased = second.select("tgt_id").distinct()
+    pairs = candidates(anchors, of(second), art)
+    art.model1 = stage1(pairs, second, config)
+    art.floor = tuned_floor(learn.probability(art.model1, pairs, features.STAGE1, "p1"), second, config)
+    return art
+
+
+def kept_candidates(anchors: DataFrame | Side, targets: DataFrame, art: Artefacts) -> tuple[DataFrame, DataFrame]:
+    """(all pairs with p1, the pruned ones)."""
+    scored = learn.probability(art.model1, candidates(anchors, targets, art), features.STAGE1, "p1")
+    return scored, features.prune(scored, art.config.m_max, art.floor)
+
+
+def stage2_pairs(kept: DataFrame, anchors: DataFrame, targets: DataFrame, art: Artefacts) -> DataFrame:
     """Pruned pairs with all of features.STAGE2."""
-    kept = features.competition(features.prune(scored, art.config.m_max, art.config.floor))
-    return features.string_features(kept, views(targets, art), views(anchors, art))
+    return features.string_features(features.competition(kept), views(targets, art), views(anchors, art))
+
+
+def stage2(kept: DataFrame, anchors: DataFrame, targets: DataFrame, links: DataFrame, art: Artefacts) -> tuple[DataFrame, dict]:
+    """Train the second model, tune the threshold, gate on the holdout: (best anchor of each target with p2, report).
+
+    The model sees targets of the train fold that stage 1 was not trained on, and stops early on the tune fold; tau is
+    tuned there too; the holdout fold is only reported. A target's fold is that of its true anchor.
+    """
+    c = art.config
+    full = store.written(stage2_pairs(kept, anchors, targets, art))
+    folds = sampling.fold_of_targets(targets, links, c.seed)
+    rows = labelled(full, links.where(keys.fold_of(F.col("s1_id"), c.seed) < 2)).join(folds, "tgt_id")
+    train = sampling.without_targets(rows.where("fold = 0"), art.biased) if art.biased is not None else rows.where("fold = 0")
+    seen = train.unionByName(rows.where("fold = 1")).withColumn("validation", F.col("fold") == 1)
+    art.model2 = learn.fit_model(seen, features.STAGE2, c.trees, c.depth, seed=c.seed)
+    final = store.written(features.best_parent(learn.probability(art.model2, full, features.STAGE2, "p2")).select("tgt_id", "s1_id", "p1", "p2"))
+    of = lambda fold: anchors.where(keys.fold_of(F.col("entity_id"), c.seed) == fold)
+    inside = lambda df, fold: df.where(keys.fold_of(F.col("s1_id"), c.seed) == fold)
+    art.tau = float(metrics.best_tau(metrics.tau_grid(of(1), inside(links, 1), inside(final, 1))))
+    report = {"tau": art.tau, "floor": art.floor}
+    for name, fold in (("tune", 1), ("holdout", 2)):
+        scores = metrics.entity_scores(of(fold).select("entity_id", "country"), inside(links, fold), inside(final, fold).where(F.col("p2") >= art.tau))
+        report[name] = scores.agg(F.avg("f")).first()[0]
+        report[f"{name}_ceiling"] = diagnose.ceiling(of(fold), inside(links, fold), inside(full, fold)).first()["f05"]
+    return final, report
+
+
+def predict(anchors: DataFrame, targets: DataFrame, art: Artefacts, stage1_only: bool = False, tau: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(decided, candidates) of unseen records with saved artefacts. ``stage1_only`` decides by p1, by default from 0.5 on."""
+    _, kept = kept_candidates(anchors, targets, art)
+    kept = store.written(kept)
+    if stage1_only:
+        least = art.config.tau if tau is None else tau
+        return features.best_parent(kept, "p1", least).select("tgt_id", "s1_id", "p1", F.col("p1").alias("p2")), kept
+    least = (art.config.tau if art.tau is None else art.tau) if tau is None else tau
+    final = learn.probability(art.model2, stage2_pairs(kept, anchors, targets, art), features.STAGE2, "p2")
+    return features.best_parent(final, "p2", least).select("tgt_id", "s1_id", "p1", "p2"), kept
+
+
+def prep(anchors: DataFrame, art: Artefacts) -> DataFrame:
+    """(s1_id, fold) of a new corpus; artefacts of another corpus have seen none of its targets."""
+    art.biased = None
+    return anchors.select(F.col("entity_id").alias("s1_id"), keys.fold_of(F.col("entity_id"), art.config.seed).alias("fold"))
 
 
 def link(anchors: DataFrame, targets: DataFrame, links: DataFrame, config: Config) -> tuple[DataFrame, float, Artefacts]:
-    """Learn from ``links``, score all targets, tune the threshold on the tune fold: (decided, tau, artefacts)."""
-    art = learn_text(anchors, targets, links, config)
-    pairs = candidates(anchors, targets, art).cache()
-    scored = learn.probability(stage1(pairs, links, config), pairs, features.STAGE1, "p1")
-    full = stage2_pairs(scored, anchors, targets, art).cache()
-    train = labelled(full, links).where(keys.fold_of(F.col("s1_id"), config.seed) == 0)
-    model = learn.fit_model(train, features.STAGE2, config.trees, config.depth, seed=config.seed)
-    final = features.best_parent(learn.probability(model, full, features.STAGE2, "p2"))
-    tune = anchors.where(keys.fold_of(F.col("entity_id"), config.seed) == 1)
-    in_tune = lambda df: df.join(tune.select(F.col("entity_id").alias("s1_id")), "s1_id", "left_semi")
-    tau = metrics.best_tau(metrics.tau_grid(tune, in_tune(links), in_tune(final)))
-    return final.where(F.col("p2") >= tau).select("tgt_id", "s1_id", "p1", "p2"), float(tau), art
-
-
-def main(argv: list[str] | None = None) -> None:
+    """Fit, candidates and stage 2: (decided, tau, artefacts)."""
+    art = fit(anchors, targets, links, config)
+    final, report = stage2(store.written(kept_candidates(anchors, targets, art)[1]), anchors, targets, links, art)
+    return final.where(F.col("p2") >= report["tau"]), report["tau"], art
+
+
+VERBS = ("all", "fit", "candidates", "stage2", "prep", "predict", "evaluate", "validate", "merge", "diagnose")
+
+
+def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(description="Link noisy records to reference records.")
-    parser.add_argument("verb", choices=["link", "evaluate", "validate"])
-    for name in ("s1", "targets", "truth", "matches", "out"):
-        parser.add_argument(f"--{name}")
+    parser.add_argument("verb", choices=VERBS)
+    for name in ("s1", "targets", "truth", "matches", "candidate-lists", "artefacts", "out", "country"):
+        parser.add_argument(f"--{name}", help="comma-separated paths" if name in ("targets", "matches") else None)
+    parser.add_argument("--stage1-only", action="store_true")
+    parser.add_argument("--cut", type=float, help="threshold of predict instead of the tuned one")
     for name, value in asdict(Config()).items():
         parser.add_argument(f"--{name.replace('_', '-')}", type=type(value), default=value)
     args = parser.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
+    config = Config(**{k: getattr(args, k) for k in asdict(Config())})
     s1 = tsv.read_tsv(spark, args.s1)
+    if args.country:
+        s1 = s1.where(F.col("country") == args.country)
+    if args.verb == "merge":
+        merged = metrics.merge(s1, [store.read_country_lists(spark, *args.matches.split(","))])
+        tsv.write_tsv(merged.select(F.col("s1").alias("source1_entity_id"), F.col("value").alias("matched_entity_ids")), args.out)
+        return 0
     if args.verb == "validate":
-        lists = tsv.read_tsv(spark, args.matches, ["s1", "value"]).where("s1 <> 'source1_entity_id'")
-        metrics.findings(lists, s1.select(F.col("entity_id").alias("s1"))).show(truncate=False)
-        return
-    truth = tsv.links(tsv.read_tsv(spark, args.truth, ["source1_entity_id", "matched_entity_ids"]), s1)
+        fatal, found = tsv.validate(spark, args.matches, s1, args.candidate_lists)
+        for line in fatal:
+            print(line, file=sys.stderr)
+        if found is not None:
+            found.show(truncate=False)
+            fatal += [r["rule"] for r in found.where("fatal").select("rule").collect()]
+        return int(bool(fatal))
+    truth = tsv.links(tsv.read_tsv(spark, args.truth, ["source1_entity_id", "matched_entity_ids"]), s1) if args.truth else None
     if args.verb == "evaluate":
         found = tsv.links(tsv.read_tsv(spark, args.matches, ["source1_entity_id", "matched_entity_ids"]))
         metrics.segments(metrics.entity_scores(s1.select("entity_id", "country"), truth, found)).show(truncate=False)
-        return
-    config = Config(**{k: getattr(args, k) for k in asdict(Config())})
-    decided, tau, art = link(s1, tsv.read_tsv(spark, args.targets), truth, config)
-    tsv.write_tsv(tsv.id_lists(s1, decided), f"{args.out}/matching_results")
-    art.save(f"{args.out}/artefacts")
-    print(json.dumps({"tau": tau}))
+        return 0
+    s1 = sampling.sampled_anchors(s1, config.frac)
+    targets = tsv.read_tsv(spark, args.targets.split(","))
+    if truth is not None:
+        truth = truth.join(s1.select(F.col("entity_id").alias("s1_id")), "s1_id", "left_semi")
+        targets = sampling.included_targets(targets, truth, config.frac)
+    targets = sampling.wanted_targets(targets, args.country)
+    if args.verb in ("all", "fit"):
+        art = fit(s1, targets, truth, config)
+        art.save(spark, args.artefacts)
+    art = Artefacts.load(spark, args.artefacts)
+    if args.verb == "prep":
+        prep(s1, art).write.mode("overwrite").parquet(f"{args.out}/folds")
+        art.save(spark, f"{args.out}/artefacts")
+    if args.verb in ("all", "candidates"):
+        store.write_by_country(kept_candidates(s1, targets, art)[1], f"{args.out}/candidates")
+    if args.verb in ("all", "stage2"):
+        final, report = stage2(store.read_by_country(spark, f"{args.out}/candidates"), s1, targets, truth, art)
+        final.write.mode("overwrite").parquet(f"{args.out}/scored")
+        art.save(spark, f"{args.artefacts}_stage2")
+        store.write_json(spark, f"{args.out}/stage2.json", report)
+        print(json.dumps(report))
+    if args.verb == "predict":
+        decided, kept = predict(s1, targets, art, args.stage1_only, args.cut)
+        suffix = f"_{args.country}" if args.country else ""
+        tsv.write_tsv(tsv.id_lists(s1, decided), f"{args.out}/matching_results{suffix}")
+        tsv.write_tsv(tsv.id_lists(s1, kept, "p1"), f"{args.out}/candidate_pairs{suffix}")
+    if args.verb == "diagnose":
+        scored, kept = kept_candidates(s1, targets, art)
+        diagnose.recall_at(scored, truth, s1, ["name", "addr", "enc"]).show(truncate=False)
+        diagnose.volume(scored, targets, scored.where("deep"), config.m_max).show(truncate=False)
+        diagnose.pruning(scored, truth, art.floor).show(truncate=False)
+        diagnose.kept_counts(scored, kept, truth).show(truncate=False)
+    return 0
 
 
 if __name__ == "__main__":
-    main()
+    sys.exit(main())

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from tieline.functions import fuzzy, keys, text
 from tieline.functions.script import Script, learn_script, units
-from tieline.operators import features, learn, metrics, vectors
-from tieline.plans import pipeline
-from tieline.sources import fixture, tsv
+from tieline.operators import features, learn, metrics, sampling, vectors
+from tieline.plans import diagnose, pipeline
+from tieline.sources import fixture, store, tsv
 
 NOISE = frozenset({"pvt", "ltd", "llc", "inc", "limited"})
 ADDRESS_LEXICON = {"rd": "road", "st": "street", "ave": "avenue"}
 ART = pipeline.Artefacts(pipeline.Config(max_df_frac=0.2, lexicon_min_count=5, noise_min_count=20, trees=8, depth=4), {}, ADDRESS_LEXICON, NOISE)
-K, KD, TAU = 10, 30, 0.6
+K, KD, TAU = vectors.K, vectors.K_DEEP, 0.6
 
 # ---------------------------------------------------------------- DuckDB side
 
@@ -182,9 +182,13 @@ def _bag(kind: str):
     return run
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def _tokens_of_documents(spark: SparkSession, d: str) -> DataFrame:
-    docs = spark.read.parquet(f"{d}/documents.parquet").where("lang = 'en'")
-    found = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
+    """Tokens of all documents of all languages, A-Z lower-cased."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    found = F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), F.lit("[a-z0-9]+"), F.lit(0))
     return docs.select("doc_id", F.size(found).cast("long").alias("n"), F.size(F.array_distinct(found)).cast("long").alias("distinct_n"))
 
 
@@ -194,10 +198,22 @@ def _adaptive(spark: SparkSession, d: str) -> DataFrame:
     return deep.groupBy("tgt_id").agg(F.count("*").alias("n"), F.max("deep").alias("deep"), F.round(F.max("score"), 6).alias("top"))
 
 
+def _embeddings(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    return e.select(F.col("vec_id").cast("string").alias("entity_id"), F.lit("all").alias("country"), F.col("embedding").alias("vec"), "vec_id")
+
+
 def _dense(spark: SparkSession, d: str) -> DataFrame:
-    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("entity_id"), F.col("label").cast("string").alias("country"), F.col("embedding").alias("vec"), "vec_id")
-    hits = vectors.dense_search(e.where("vec_id % 3 = 0"), e.where("vec_id % 3 <> 0"), 5)
-    return _long(hits.select("tgt_id", "s1_id", "rank", F.round("score", 5).alias("score")))
+    """The five nearest of all vectors for every vector whose id is divisible by 50."""
+    e = _embeddings(spark, d)
+    return _long(vectors.dense_search(e.where("vec_id % 50 = 0"), e, 5).select("tgt_id", "s1_id", "rank", F.round("score", 5).alias("score")))
+
+
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the cell index; tests hold its recall against the exact search."""
+    e = _embeddings(spark, d)
+    found = vectors.cell_search(e.where("vec_id % 50 = 0"), e, vectors.CellIndex.fit(e, 32), 5, 16)
+    return _long(found.select("tgt_id", "s1_id", "rank", F.round("score", 5).alias("score")))
 
 
 def _groups(spark: SparkSession, d: str) -> DataFrame:
@@ -300,36 +316,121 @@ def _script(spark: SparkSession, d: str) -> DataFrame:
     return out.select("w", F.array_join("tokens", " ").alias("tokens"), F.array_join(cut("tokens"), " ").alias("units"), F.array_join("out", " ").alias("latin"), F.array_join(script.sound_column(F.col("out")), " ").alias("sound"))
 
 
+CONFIG = pipeline.Config(max_df_frac=0.2, lexicon_min_count=5, noise_min_count=20, trees=8, depth=4, encoder_links=600, encoder_epochs=2)
+
+
 def _models(spark: SparkSession, d: str) -> DataFrame:
-    """Both boosted stages end to end; the accepted link of each target."""
-    config = ART.config
-    decided, _, _ = pipeline.link(fixture.anchors(spark, d), fixture.targets(spark, d), fixture.truth(spark, d), config)
-    return decided
+    """Fit, candidates and stage 2 end to end; the accepted link of each target."""
+    return pipeline.link(fixture.anchors(spark, d), fixture.targets(spark, d), fixture.truth(spark, d), CONFIG)[0]
+
+
+def _predict(spark: SparkSession, d: str) -> DataFrame:
+    """Learn from the second source, save, load, and decide the third source, which nothing was learned from."""
+    a, t, links = fixture.anchors(spark, d), fixture.targets(spark, d), fixture.truth(spark, d)
+    second = t.where("entity_id like 'S2-%'")
+    of = links.where("tgt_id like 'S2-%'")
+    art = pipeline.fit(a, second, of, CONFIG)
+    pipeline.stage2(store.written(pipeline.kept_candidates(a, second, art)[1]), a, second, of, art)
+    path = store.scratch(spark)
+    art.save(spark, path)
+    return pipeline.predict(a, t.where("entity_id like 'S3-%'"), pipeline.Artefacts.load(spark, path))[0]
 
 
 def _features27(spark: SparkSession, d: str) -> DataFrame:
-    return pipeline.candidates(fixture.anchors(spark, d), fixture.targets(spark, d), ART).select("tgt_id", "s1_id", *features.STAGE1)
+    out = pipeline.candidates(fixture.anchors(spark, d), fixture.targets(spark, d), ART)
+    return _six(_long(out.select("tgt_id", "s1_id", *features.STAGE1)), *[c for c in features.STAGE1 if c.split("_")[0] in ("cos", "gap", "max", "second")])
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     """The targets, written as files and read as a stream, scored against static anchors."""
     from tieline.streaming.candidates import stream_candidates
 
-    folder = _shared(spark)
+    folder = store.scratch(spark)
     fixture.targets(spark, d).repartition(2).write.parquet(f"{folder}/targets")
     schema = fixture.targets(spark, d).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/targets")
     stream_candidates(stream, fixture.anchors(spark, d), ART, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("tgt_id", "s1_id", "n_channels")
+    return spark.read.parquet(f"{folder}/out").select("tgt_id", "s1_id", F.col("n_channels").cast("long").alias("n_channels"))
+
+
+def _sampled_links(spark: SparkSession, d: str) -> DataFrame:
+    active = sampling.sampled_anchors(fixture.anchors(spark, d), 0.3).select(F.col("entity_id").alias("s1_id"))
+    return fixture.truth(spark, d).join(active, "s1_id", "left_semi")
+
+
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.disjoint_links(fixture.truth(spark, d), 300, 200).select("tgt_id", "s1_id", F.col("part").cast("long").alias("part"))
+
+
+def _wanted(spark: SparkSession, d: str) -> DataFrame:
+    wanted = fixture.truth(spark, d).where("tgt_id like 'S2-%'").select(F.col("tgt_id").alias("entity_id"))
+    return sampling.wanted_targets(fixture.targets(spark, d), "ASIA", wanted, 1, 4).select("entity_id")
+
+
+def _by_country(spark: SparkSession, d: str) -> DataFrame:
+    """Decided pairs through the sink by country, written twice: the second time replaces the first."""
+    path, rows = store.scratch(spark), _decided(spark, d).join(fixture.anchors(spark, d).select(F.col("entity_id").alias("s1_id"), "country"), "s1_id").select("tgt_id", "s1_id", "country")
+    store.write_by_country(rows, path)
+    store.write_by_country(rows.where("country = 'ASIA'"), path)
+    return store.read_by_country(spark, path).select("tgt_id", "s1_id", "country")
+
+
+def _pair_block(spark: SparkSession, d: str) -> DataFrame:
+    path = store.scratch(spark)
+    store.write_pairs(pipeline.labelled(_pairs(spark, d), fixture.truth(spark, d)), path, ["n_channels", "rank_name", "rank_addr"])
+    return store.read_pairs(spark, path).select("tgt_id", "s1_id", *[F.col(c).cast("long").alias(c) for c in ("label", "n_channels", "rank_name", "rank_addr")])
+
+
+def _id_set(spark: SparkSession, d: str) -> DataFrame:
+    path = store.scratch(spark)
+    tsv.write_tsv(fixture.anchors(spark, d).unionByName(fixture.anchors(spark, d).limit(5)), path)
+    return store.read_ids(spark, path)
+
+
+def _country_lists(spark: SparkSession, d: str) -> DataFrame:
+    path, lists = store.scratch(spark), _lists(spark, d)
+    for part, rest in (("even", 0), ("odd", 1)):
+        rows = lists.where(F.substring("source1_entity_id", 4, 20).cast("long") % 2 == rest).select(F.concat_ws("\t", "source1_entity_id", "matched_entity_ids").alias("value"))
+        rows.write.option("compression", "gzip" if rest else "none").text(f"{path}/{part}")
+    return metrics.merge(fixture.anchors(spark, d), [store.read_country_lists(spark, f"{path}/even", f"{path}/odd")])
+
+
+def _missed(spark: SparkSession, d: str) -> DataFrame:
+    missed = sampling.difference(fixture.truth(spark, d), _decided(spark, d))
+    return store.missed_sample(missed, features.best_parent(_pairs(spark, d), "p1"), fixture.targets(spark, d), fixture.anchors(spark, d), 50)
+
+
+def _summary(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{store.scratch(spark)}/summary.json"
+    store.write_json(spark, path, {"anchors": fixture.anchors(spark, d).count(), "links": fixture.truth(spark, d).count()})
+    return spark.createDataFrame(sorted(store.read_json(spark, path).items()), "name string, n long")
+
+
+def _recall_at(spark: SparkSession, d: str) -> DataFrame:
+    out = diagnose.recall_at(_union(spark, d), fixture.truth(spark, d), fixture.anchors(spark, d), ["name", "addr"], (5, 10))
+    return _six(out, "name", "addr", "any", "fused_5", "fused_10")
+
+
+def _volume(spark: SparkSession, d: str) -> DataFrame:
+    empty = _side(spark, d, "t").where(F.size("addr_tokens") == 0).select(F.col("entity_id").alias("tgt_id"))
+    return _six(diagnose.volume(_union(spark, d), fixture.targets(spark, d), empty, 8), "per_target", "per_target_capped", "deep_share")
+
+
+def _kept(spark: SparkSession, d: str) -> DataFrame:
+    pairs = _pairs(spark, d).join(fixture.anchors(spark, d).select(F.col("entity_id").alias("s1_id"), "country"), "s1_id")
+    return diagnose.kept_counts(pairs, features.prune(pairs, 3, 0.2), fixture.truth(spark, d))
+
+
+def _pruning(spark: SparkSession, d: str) -> DataFrame:
+    return _six(_long(diagnose.pruning(_pairs(spark, d), fixture.truth(spark, d), 0.2)), "recall", "kept_per_target")
+
 
+def _ceiling(spark: SparkSession, d: str) -> DataFrame:
+    return _six(diagnose.ceiling(fixture.anchors(spark, d), fixture.truth(spark, d), features.prune(_pairs(spark, d), 1, 0.5)), "p", "r", "f05")
 
-def _shared(spark: SparkSession) -> str:
-    """A new folder that the driver and the executors share."""
-    import tempfile
-    import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tieline-")
-    return f"{root}/tieline-{uuid.uuid4().hex}"
+def _perfect(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d).select("s1_id", F.round(metrics.f05_of_recall(F.col("r")), 6).alias("f05"))
 
 
 def _flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -388,6 +489,31 @@ QUERIES = {
     "v11_merge": lambda s, d: metrics.merge(fixture.anchors(s, d), [_lists(s, d).select(F.col("source1_entity_id").alias("s1"), F.col("matched_entity_ids").alias("value"))]),
     "j11_outside_candidates": _outside,
     "v2_candidates_stream": _stream,
+    "v5_fit_save_predict": _predict,
+    "v4_prep": lambda s, d: _long(pipeline.prep(fixture.anchors(s, d), pipeline.Artefacts())),
+    "p5_included_targets": lambda s, d: sampling.included_targets(fixture.targets(s, d), _sampled_links(s, d), 0.3).select("entity_id"),
+    "p7_disjoint_links": _parts,
+    "p8_uniform_sample": lambda s, d: sampling.uniform_sample(fixture.targets(s, d), 0.2).select("entity_id"),
+    "p9_wanted_targets": _wanted,
+    "j8_unbiased_pairs": lambda s, d: sampling.without_targets(_pairs(s, d), _parts(s, d).where("part = 0")).select("tgt_id", "s1_id"),
+    "u1_both_sources": lambda s, d: fixture.targets(s, d).groupBy(F.substring("entity_id", 1, 2).alias("source"), "country").agg(F.count("*").alias("n")),
+    "u3_link_difference": lambda s, d: sampling.difference(fixture.truth(s, d), _parts(s, d).where("part = 0")).select("tgt_id", "s1_id"),
+    "p12_truth_explode": lambda s, d: tsv.links(fixture.truth(s, d).groupBy(F.col("s1_id").alias("source1_entity_id")).agg(F.concat_ws(", ", F.collect_list("tgt_id")).alias("matched_entity_ids")), sampling.sampled_anchors(fixture.anchors(s, d), 0.3)),
+    "s5_by_country": _by_country,
+    "s6_pair_block": _pair_block,
+    "s9_countries": lambda s, d: tsv.countries(fixture.anchors(s, d)),
+    "s10_id_set": _id_set,
+    "s11_country_lists": _country_lists,
+    "s13_missed_sample": _missed,
+    "s14_summary": _summary,
+    "a12_recall_at": _recall_at,
+    "a13_volume": _volume,
+    "a15_kept_counts": _kept,
+    "l14_pruning": _pruning,
+    "v13_ceiling": _ceiling,
+    "m9_perfect_f05": _perfect,
+    "m11_floors": lambda s, d: s.createDataFrame([(k, round(x, 12)) for k, x in enumerate(metrics.FLOORS)], "k long, floor double"),
+    "j3_cell_search": _cells,
 }
 
 _W = f"with {SQL_WORDS}"
@@ -396,20 +522,86 @@ _GRID = "[" + ", ".join(str(t) for t in metrics.TAUS) + "]"
 _DENSE = """select cast(tgt as varchar) as tgt_id, cast(src as varchar) as s1_id, rank, round(score, 5) as score from (
   select x.vec_id as tgt, y.vec_id as src, list_dot_product(x.embedding::double[], y.embedding::double[]) as score,
     row_number() over (partition by x.vec_id order by round(list_dot_product(x.embedding::double[], y.embedding::double[]), 9) desc, cast(y.vec_id as varchar)) - 1 as rank
-  from embeddings x join embeddings y on x.label = y.label where x.vec_id % 3 = 0 and y.vec_id % 3 <> 0) where rank < 5"""
+  from embeddings x, embeddings y where x.vec_id % 50 = 0) where rank < 5"""
+_UNIT = "('0x' || substr(md5('42:' || {}), 1, 8))::bigint / 4294967296.0::double"
+_FOLD = f"case when {_UNIT} < 0.1 then 2 when {_UNIT} < 0.2 then 1 else 0 end"
+_CODE = "(cast(substr({0}, 2, 1) as bigint) * 10000000000 + cast(substr({0}, 4) as bigint))"
+_PRODUCT = f"({_CODE}::hugeint * 2654435761 % 4294967296)::bigint"
+_ORDER = _UNIT.format("tgt_id") + ", tgt_id, s1_id"
+_PART = f"parts as (select * from (select *, case when n <= 300 then 0 else 1 end as part from (select *, row_number() over (order by {_ORDER}) as n from truth)) where n <= 500)"
+_ENDS = """{c}_e as (select tgt_id, max(case when rank = 0 then score end) as top, max(case when rank = 9 then score end) as last from {c}_r where rank < 100 group by all),
+{c}_d as (select e.tgt_id, coalesce(top > 0 and last > 0 and last >= 0.9 * top, false) or len(v.{other}) = 0 as deep from {c}_e e join views v on v.entity_id = e.tgt_id),
+{c}_h as (select r.tgt_id, r.s1_id, r.rank from {c}_r r join {c}_d using (tgt_id) where rank < case when deep then 100 else 10 end)"""
+_COS = "{c}_c as (select p.tgt_id, p.s1_id, sum(x.w * y.w) as c from p0 p join {c}_w x on x.side = 't' and x.entity_id = p.tgt_id join {c}_w y on y.side = 'a' and y.entity_id = p.s1_id and y.feature = x.feature group by all)"
+_GAPS = ", ".join(f"round(cos_{c} - max(cos_{c}) over t, 6) as gap_{c}, row_number() over (partition by tgt_id order by round(cos_{c}, 9) desc, s1_id) - 1 as qrank_{c}" for c in features.COSINES)
+_F27 = f"""{SEARCH}, {SQL_ADDR_BAG}, {sql_vectors('addr')}, {SQL_RAW_BAG}, {sql_vectors('raw')}, {_ENDS.format(c='name', other='addr_tokens')}, {_ENDS.format(c='addr', other='core_tokens')},
+deep_t as (select entity_id as tgt_id from views where side = 't' and (len(addr_tokens) = 0 or len(core_tokens) = 0) union select tgt_id from name_d where deep union select tgt_id from addr_d where deep),
+ev0 as (select side, entity_id, country, ('0x' || substr(md5(feature), 1, 8))::bigint as h, w from name_w union all select side, entity_id, country, ('0x' || substr(md5(feature), 1, 8))::bigint, w from addr_w),
+ev1 as (select side, entity_id, country, h % 128 as d, sum(case when (h // 1048576) % 2 = 0 then w else -w end) as x from ev0 group by all),
+ev as (select side, entity_id, country, d, (x / case when n > 0 then n else 1.0 end)::float::double as v from (select *, sqrt(sum(x * x) over (partition by side, entity_id)) as n from ev1)),
+enc_n as (select distinct side, entity_id, country from ev),
+enc_p as (select x.entity_id as tgt_id, y.entity_id as s1_id, sum(x.v * y.v) as s from ev x join ev y on x.side = 't' and y.side = 'a' and x.country = y.country and x.d = y.d group by all),
+enc_s as (select x.entity_id as tgt_id, y.entity_id as s1_id, coalesce(s, 0.0) as score from enc_n x join enc_n y on x.side = 't' and y.side = 'a' and x.country = y.country left join enc_p p on p.tgt_id = x.entity_id and p.s1_id = y.entity_id),
+enc_r as (select *, row_number() over (partition by tgt_id order by round(score, 9) desc, s1_id) - 1 as rank from enc_s),
+enc_h as (select tgt_id, s1_id, rank from enc_r where rank < case when tgt_id in (select tgt_id from deep_t) then 100 else 10 end),
+u as (select *, 'name' as ch from name_h union all select *, 'addr' from addr_h union all select *, 'enc' from enc_h),
+p0 as (select tgt_id, s1_id, {', '.join(f"coalesce(min(case when ch = '{c}' then rank end), 128) as rank_{c}" for c in ('name', 'addr', 'enc'))}, count(*) as n_channels from u group by all),
+{_COS.format(c='name')}, {_COS.format(c='addr')}, {_COS.format(c='raw')},
+p1 as (select p0.*, coalesce(n.c, 0.0) as cos_name, coalesce(d.c, 0.0) as cos_addr, coalesce(r.c, 0.0) as cos_raw, coalesce(e.score, 0.0) as cos_enc, (len(x.core_tokens) = 0)::int::double as q_name_empty, (len(x.addr_tokens) = 0)::int::double as q_addr_empty, (len(y.addr_tokens) = 0)::int::double as s_addr_empty
+  from p0 left join name_c n using (tgt_id, s1_id) left join addr_c d using (tgt_id, s1_id) left join raw_c r using (tgt_id, s1_id) left join enc_s e using (tgt_id, s1_id) join views x on x.entity_id = p0.tgt_id join views y on y.entity_id = p0.s1_id),
+p2 as (select *, {_GAPS}, count(*) over t as union_size, {', '.join(f'round(max(cos_{c}) over t, 6) as max_{c}' for c in ('name', 'addr', 'enc'))} from p1 window t as (partition by tgt_id))
+select tgt_id, s1_id, {', '.join(f'round(cos_{c}, 6) as cos_{c}, gap_{c}, qrank_{c}' for c in features.COSINES)}, rank_name, rank_addr, rank_enc, n_channels, max_name, max_addr, max_enc, union_size, q_name_empty, q_addr_empty, s_addr_empty,
+  round(max(case when qrank_enc = 0 then cos_enc end) over (partition by tgt_id) - coalesce(max(case when qrank_enc = 1 then cos_enc end) over (partition by tgt_id), 0), 6) as second_enc_gap,
+  round(cos_name + cos_addr + cos_enc, 6) as cos_sum, round(least(cos_name, cos_addr, cos_enc), 6) as cos_min, (cos_raw > 0.999)::int::double as raw_exact from p2"""
 _SEGMENTS = f"""{SCORED}, typed as (select *, case when n_true = 0 then 'singleton' else 'linked' end as kind from scores)
 select case when grouping(kind) = 1 and grouping(country) = 1 then 'ALL' when grouping(kind) = 0 then kind else country end as segment,
   count(*) as entities, round(avg(p), 6) as p, round(avg(r), 6) as r, round(avg(f), 6) as f05 from typed group by grouping sets ((), (kind), (country))"""
 
 ORACLE = {
     "flagship_link_and_score": _SEGMENTS,
-    "p2_code_roundtrip": f"{_W} select entity_id, 20000000000 + cast(substr(entity_id, 4) as bigint) as code, entity_id as back from t",
+    "p2_code_roundtrip": f"{_W} select entity_id, {_CODE.format('entity_id')} as code, entity_id as back from t",
+    "p6_folds": f"{_W} select entity_id, {_FOLD.format('entity_id', 'entity_id')} as fold from a",
+    "v4_prep": f"{_W} select entity_id as s1_id, {_FOLD.format('entity_id', 'entity_id')} as fold from a",
+    "p5_included_targets": f"{_W} select entity_id from t where {_PRODUCT.format('entity_id')} / 4294967296.0::double < 0.3 or exists (select 1 from truth where tgt_id = entity_id and {_PRODUCT.format('s1_id')} / 4294967296.0::double < 0.3)",
+    "p7_disjoint_links": f"{_W}, {_PART} select tgt_id, s1_id, part from parts",
+    "p8_uniform_sample": f"{_W} select entity_id from t where {_UNIT.format('entity_id')} < 0.2",
+    "p9_wanted_targets": f"{_W} select entity_id from t where country = 'ASIA' and entity_id like 'S2-%' and ({_PRODUCT.format('entity_id')} % 2147483648) % 4 = 1",
+    "j8_unbiased_pairs": f"{PAIRS}, {_PART} select tgt_id, s1_id from pairs0 where tgt_id not in (select tgt_id from parts where part = 0)",
+    "u1_both_sources": f"{_W} select substr(entity_id, 1, 2) as source, country, count(*) as n from t group by all",
+    "u3_link_difference": f"{_W}, {_PART} select tgt_id, s1_id from truth q where not exists (select 1 from parts p where p.part = 0 and p.tgt_id = q.tgt_id and p.s1_id = q.s1_id)",
+    "p12_truth_explode": f"{_W} select s1_id, tgt_id from truth where {_PRODUCT.format('s1_id')} / 4294967296.0::double < 0.3",
+    "s5_by_country": f"{PAIRS} select tgt_id, s1_id, country from decided join a on entity_id = s1_id",
+    "s6_pair_block": f"{PAIRS} select p.tgt_id, p.s1_id, (q.tgt_id is not null)::int as label, n_channels, rank_name, rank_addr from pairs0 p left join truth q on q.tgt_id = p.tgt_id and q.s1_id = p.s1_id",
+    "s9_countries": f"{_W} select entity_id as s1_id, country from a",
+    "s10_id_set": f"{_W} select entity_id as id from a",
+    "s11_country_lists": f"{PAIRS}, {_LISTS} select s1, value from lists",
+    "s13_missed_sample": f"""{PAIRS}, m as (select * from truth q where not exists (select 1 from decided d where d.tgt_id = q.tgt_id and d.s1_id = q.s1_id) order by md5(tgt_id), tgt_id limit 50)
+      select m.tgt_id, m.s1_id, x.business_name as target_name, x.business_address as target_address, y.business_name as true_name, y.business_address as true_address, b.s1_id as best_id, z.business_name as best_name, z.business_address as best_address
+      from m left join t x on x.entity_id = m.tgt_id left join a y on y.entity_id = m.s1_id left join best b on b.tgt_id = m.tgt_id left join a z on z.entity_id = b.s1_id""",
+    "s14_summary": f"{_W} select 'anchors' as name, count(*) as n from a union all select 'links', count(*) from truth",
+    "a12_recall_at": f"""{PAIRS}, f as (select *, row_number() over (partition by tgt_id order by round(rrf, 12) desc, s1_id) - 1 as k from pairs0),
+      x as (select country, substr(q.tgt_id, 1, 2) as source, coalesce(rank_name < 128, false)::int as name, coalesce(rank_addr < 128, false)::int as addr, (k is not null)::int as any_hit, coalesce(k < 5, false)::int as f5, coalesce(k < 10, false)::int as f10
+        from truth q join a on a.entity_id = q.s1_id left join f on f.tgt_id = q.tgt_id and f.s1_id = q.s1_id)
+      select country, source, count(*) as n_links, round(avg(name), 6) as name, round(avg(addr), 6) as addr, round(avg(any_hit), 6) as "any", round(avg(f5), 6) as fused_5, round(avg(f10), 6) as fused_10 from x group by grouping sets ((), (country), (source))""",
+    "a13_volume": f"""{PAIRS}, n as (select entity_id, (select count(*) from pairs0 where tgt_id = entity_id) as n, (len(addr_tokens) = 0)::int as d from views where side = 't')
+      select count(*) as targets, sum(n)::bigint as pairs, round(avg(n), 6) as per_target, round(avg(least(n, 8)), 6) as per_target_capped, round(avg(d), 6) as deep_share from n""",
+    "a15_kept_counts": f"""{PAIRS}, x as (select country, r < 3 and p1 >= 0.2 as kept, q.tgt_id is not null as link from (select *, row_number() over (partition by tgt_id order by p1 desc, s1_id) - 1 as r from pairs) p join a on entity_id = p.s1_id left join truth q on q.tgt_id = p.tgt_id and q.s1_id = p.s1_id)
+      select country, count(*) as pairs, count(*) filter (kept) as kept, count(*) filter (link) as links, count(*) filter (kept and link) as links_kept from x group by country""",
+    "l14_pruning": f"""{PAIRS}, x as (select p.*, q.tgt_id is not null as link from (select *, row_number() over (partition by tgt_id order by p1 desc, s1_id) - 1 as r from pairs) p left join truth q on q.tgt_id = p.tgt_id and q.s1_id = p.s1_id where p1 >= 0.2)
+      select m, round(count(*) filter (link) / (select count(*) from truth), 6) as recall, round(count(*) / (select count(distinct tgt_id) from pairs), 6) as kept_per_target from x, (select unnest([5, 10, 15, 20]) as m) where r < m group by m""",
+    "v13_ceiling": f"""{PAIRS}, k as (select * from (select *, row_number() over (partition by tgt_id order by p1 desc, s1_id) - 1 as r from pairs) where r < 1 and p1 >= 0.5),
+      n as (select entity_id, (select count(*) from truth where s1_id = entity_id) as n, (select count(*) from truth q where q.s1_id = entity_id and exists (select 1 from k where k.tgt_id = q.tgt_id and k.s1_id = q.s1_id)) as h from a),
+      z as (select case when n = 0 then 1.0 when h = 0 then 0.0 else 1.0 end as p, case when n = 0 then 1.0 else h / n end as r from n)
+      select count(*) as entities, round(avg(p), 6) as p, round(avg(r), 6) as r, round(avg(case when 0.25 * p + r > 0 then 1.25 * p * r / (0.25 * p + r) else 0 end), 6) as f05 from z""",
+    "m9_perfect_f05": f"{SCORED} select s1_id, round(1.25 * r / (0.25 + r), 6) as f05 from scores",
+    "m11_floors": "select k, round(0.000001 * pow(50000, k / 59.0), 12) as floor from range(60) r(k)",
+    "pair_features27": _F27,
     "p3_hash_sample": f"""{_W}, h as (select entity_id, ((10000000000 + cast(substr(entity_id, 4) as bigint))::hugeint * 2654435761 % 4294967296)::bigint as h from a)
       select entity_id, h, h / 4294967296.0::double < 0.3 as sampled, (h % 2147483648) % 4 as slice from h""",
     "p12_truth_links": f"{PAIRS} select s1_id, tgt_id from decided",
     "t1_fold": f"{_W} select side, entity_id, name, addr from folded",
     "t3_tokens": f"{_W} select side, entity_id, array_to_string(raw, ' ') as v from views",
-    "t3_document_tokens": "select doc_id, len(x) as n, len(list_distinct(x)) as distinct_n from (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as x from documents where lang = 'en')",
+    "t3_document_tokens": f"select doc_id, len(x) as n, len(list_distinct(x)) as distinct_n from (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[a-z0-9]+') as x from documents)",
     "t8_lexicon": f"{_W} select side, entity_id, array_to_string(addr_tokens, ' ') as v from views",
     "t9_core": f"{_W} select side, entity_id, array_to_string(core_tokens, ' ') as v from views",
     "t15_numbers": f"{_W} select side, entity_id, array_to_string(nums, ' ') as v from views",
@@ -427,7 +619,7 @@ ORACLE = {
     "j2_address_topk": f"{ADDRESSES}, {sql_vectors('addr')} select tgt_id, s1_id, round(score, 6) as score, rank from addr_top",
     "k3_adaptive_depth": f"""{SEARCH}, ends as (select tgt_id, max(case when rank = 0 then score end) as top, max(case when rank = 9 then score end) as last from name_r group by all),
       deep as (select e.*, coalesce(top > 0 and last > 0 and last >= 0.9 * top, false) or len(v.addr_tokens) = 0 as deep from ends e join views v on v.entity_id = e.tgt_id)
-      select r.tgt_id, count(*) as n, bool_or(deep) as deep, round(max(score), 6) as top from name_r r join deep using (tgt_id) where rank < case when deep then 30 else 10 end group by r.tgt_id""",
+      select r.tgt_id, count(*) as n, bool_or(deep) as deep, round(max(score), 6) as top from name_r r join deep using (tgt_id) where rank < case when deep then 100 else 10 end group by r.tgt_id""",
     "j3_vector_topk": _DENSE,
     "j5_channel_union": f"{PAIRS} select tgt_id, s1_id, rank_name, rank_addr, n_channels, round(rrf, 6) as rrf from pairs0",
     "w8_true_rank": f"""{PAIRS}, mine as (select tgt_id, rrf as m from pairs0 join truth using (tgt_id, s1_id)),

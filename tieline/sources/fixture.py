@@ -15,7 +15,7 @@ select c_custkey as k, p_name || ' ' || substr(c_mktsegment, 1, 4) || ' ' ||
 from {customer} join {part} on p_partkey = c_custkey % 150 join {nation} on n_nationkey = c_nationkey join {region} on r_regionkey = n_regionkey
 """
 ANCHORS = f"select 'S1-' || cast(k as string) as entity_id, business_name, business_address, country from ({BASE})"
-TARGETS = f"""
+S2_TARGETS = f"""
 select 'S2-' || cast(k + 100000 as string) as entity_id,
   case k % 5 when 0 then upper(business_name) when 1 then replace(business_name, 'e', 'é') when 2 then replace(business_name, 'LLC', 'L.L.C.')
     when 3 then substr(business_name, 1, 3) || substr(business_name, 5) else replace(business_name, 'Limited', 'Ltd') end as business_name,
@@ -23,7 +23,15 @@ select 'S2-' || cast(k + 100000 as string) as entity_id,
     upper(replace(replace(replace(business_address, 'Road', 'Rd'), 'Street', 'St'), 'Avenue', 'Ave')) end as business_address, country
 from ({BASE}) where k % 18 <> 0
 """
-TRUTH = f"select 'S1-' || cast(k as string) as s1_id, 'S2-' || cast(k + 100000 as string) as tgt_id from ({BASE}) where k % 18 <> 0"
+S3_TARGETS = f"""
+select 'S3-' || cast(k + 200000 as string) as entity_id, lower(replace(business_name, 'Inc', 'Incorporated')) as business_name, replace(business_address, ',', '') as business_address, country
+from ({BASE}) where k % 7 = 3
+"""
+TARGETS = f"select * from ({S2_TARGETS}) union all select * from ({S3_TARGETS})"
+TRUTH = f"""
+select 'S1-' || cast(k as string) as s1_id, 'S2-' || cast(k + 100000 as string) as tgt_id from ({BASE}) where k % 18 <> 0
+union all select 'S1-' || cast(k as string), 'S3-' || cast(k + 200000 as string) from ({BASE}) where k % 7 = 3
+"""
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -35,7 +43,9 @@ def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(TARGETS, **_tables(spark, sf_dir))
+    """Both target sources as one table."""
+    two, three = (spark.sql(q, **_tables(spark, sf_dir)) for q in (S2_TARGETS, S3_TARGETS))
+    return two.unionByName(three)
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
