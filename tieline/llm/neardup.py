@@ -444,10 +444,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE) ->
         rest = open_.where("root <> main").groupBy("key").agg(F.count("*").alias("r"))
         dealt = open_.join(rest, "key").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("rb", F.ceil(F.col("r") / BLOCK).cast("int"))
         own = lambda many: F.pmod(F.xxhash64("rep"), F.col(many)).cast("int")
-        upto = lambda many: F.sequence(F.lit(0), F.col(many) - 1)
-        lefts = dealt.where("root <> main").select("key", own("rb").alias("i"), F.explode(upto("nb")).alias("j"), F.lit(0).alias("side"), "rep", "sig_a", "root")
-        rights = dealt.select("key", F.explode(upto("rb")).alias("i"), own("nb").alias("j"), F.lit(1).alias("side"), "rep", "sig_a", "root")
-        both = lefts.union(rights).join(first.select("rep", "sig_a", "regs", "n_shingles"), ["rep", "sig_a"]).drop("sig_a")
+
+        def side(rows: DataFrame, number: int, many: str, every: str) -> DataFrame:
+            """Rows in their block of the one kind, copied only where the other kind has several blocks."""
+            mine, other = ("i", "j") if many == "rb" else ("j", "i")
+            single = rows.where(F.col(every) == 1).withColumn(other, F.lit(0))
+            copied = rows.where(F.col(every) > 1).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(every) - 1)))
+            return single.unionByName(copied).select("key", own(many).alias(mine), other, F.lit(number).alias("side"), "rep", "sig_a", "root")
+
+        lefts, rights = side(dealt.where("root <> main"), 0, "rb", "nb"), side(dealt, 1, "nb", "rb")
+        both = lefts.unionByName(rights).join(first.select("rep", "sig_a", "regs", "n_shingles"), ["rep", "sig_a"]).drop("sig_a")
         sorted_ = both.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         out = cut(sorted_.mapInArrow(_compared(most), "a long, b long").distinct())
         drop(open_)
