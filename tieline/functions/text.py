@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,53 +17,46 @@ ADDRESS_WEIGHTS = {"n": 1.5, "d": 0.5, "m": 1.0, "c": 1.0, "a": 1.0}
 BAG = "array<struct<feature: string, tf: double>>"
 
 
-def _folded(ch: str) -> str:
-    """What one character folds to: compatibility decomposition without accents, Indic blocks on one, lower case."""
-    if ch in EXPANSIONS:
-        return EXPANSIONS[ch]
-    out = ""
-    for c in unicodedata.normalize("NFKD", ch):
-        cp = ord(c)
-        if 0x300 <= cp < 0x370 or c in "\u200c\u200d" or cp == 0x0A71:
-            continue
-        if INDIC_FIRST <= cp <= INDIC_LAST:
-            off = cp & 0x7F
-            c = " " if off in (0x64, 0x65) else str(off - 0x66) if 0x66 <= off <= 0x6F else chr(INDIC_BASE + (0x02 if cp == 0x0A70 else off))
-        out += c.lower()
-    return out
+class _Folds(dict):
+    """What a character folds to, before lower-casing, worked out when it is first met."""
 
+    def __missing__(self, cp: int) -> str:
+        ch, out = chr(cp), ""
+        if ch in EXPANSIONS:
+            out = EXPANSIONS[ch]
+        else:
+            for c in unicodedata.normalize("NFKD", ch):
+                n = ord(c)
+                if 0x300 <= n < 0x370 or c in "\u200c\u200d" or n == 0x0A71:
+                    continue
+                if INDIC_FIRST <= n <= INDIC_LAST:
+                    off = n & 0x7F
+                    c = " " if off in (0x64, 0x65) else str(off - 0x66) if 0x66 <= off <= 0x6F else chr(INDIC_BASE + (0x02 if n == 0x0A70 else off))
+                out += EXPANSIONS.get(c, c)
+        self[cp] = out
+        return out
 
-@lru_cache
-def fold_tables() -> tuple[str, str, str, dict[str, str]]:
-    """(characters, their one-character folds, characters to delete, characters with longer folds) of the basic plane.
 
-    Hangul syllables are left composed: they yield no tokens either way.
-    """
-    source, target, gone, longer = [], [], [], {}
-    for cp in (0x60, *range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x10000)):
-        ch = chr(cp)
-        to = _folded(ch)
-        if not to:
-            gone.append(ch)
-        elif len(to) > 1:
-            longer[ch] = to
-        elif to != ch:
-            source.append(ch)
-            target.append(to)
-    return "".join(source), "".join(target), "".join(gone), longer
+_FOLDS = _Folds()
+
+
+def fold_text(text: str) -> str:
+    """Compatibility decomposition without accents, Indic blocks on one, lower case, no apostrophes."""
+    return text.translate(_FOLDS).lower().replace("'", "")
+
+
+def _fold_batch(texts: pd.Series) -> pd.Series:
+    return texts.map(fold_text, na_action="ignore").astype(object)
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents; Indic scripts on the Devanagari block; apostrophes go. Null folds to ''."""
-    source, target, gone, longer = fold_tables()
+    """Lower case without accents; Indic scripts on the Devanagari block; apostrophes go. Null folds to ''.
+
+    ASCII texts are folded by builtins; only the others travel to Python, in Arrow batches (Spark has no normal forms).
+    """
     t = F.coalesce(text.cast("string"), F.lit(""))
-    # Characters that fold to several are rare: only texts that hold one are taken apart.
-    table = F.str_to_map(F.lit("\x02".join(f"{a}\x01{b}" for a, b in longer.items())), F.lit("\x02"), F.lit("\x01"))
-    apart = F.array_join(F.transform(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    t = F.when(t.rlike(f"[{''.join(longer)}]"), apart).otherwise(t)
-    odd = F.translate(t, source + gone, target)
-    plain = F.when(t.rlike("[^\\x00-\\x5f\\x61-\\x7f]"), odd).otherwise(t)
-    return F.replace(F.lower(plain), F.lit("'"), F.lit(""))
+    odd = F.pandas_udf(_fold_batch, "string")(F.when(t.rlike("[^\\x00-\\x7f]"), t))
+    return F.coalesce(odd, F.translate(F.lower(t), "'`", ""))
 
 
 def raw_tokens(folded: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 K, K_DEEP, TIE_RATIO, ABSENT, RRF = 10, 100, 0.9, 128, 60
 #: Anchors and targets that one task compares: blocks of this many rows of a country, by id hash.
 ANCHOR_BLOCK, TARGET_BLOCK = 20_000, 5_000
-#: Products of weights that a sparse task holds at once.
+#: Scores that a task holds at once.
 PRODUCTS = 2_000_000
 
 
@@ -80,6 +80,20 @@ def _closest(targets: np.ndarray, anchors: np.ndarray, scores: np.ndarray, k: in
     return pd.DataFrame({"tgt_id": targets[kept], "s1_id": anchors[kept], "score": scores[kept]})
 
 
+def _best(targets: np.ndarray, anchors: np.ndarray, scores: np.ndarray, k: int, positive: bool = False) -> pd.DataFrame:
+    """The k best anchors of each row of a score matrix; with ``positive`` only those above 0."""
+    able = scores > 0 if positive else np.ones(scores.shape, bool)
+    if scores.shape[1] > k:  # ties with the k-th score stay, so that the smaller id can win
+        shown = np.round(scores, 9)
+        able &= shown >= np.partition(shown, -k, axis=1)[:, [-k]]
+    row, col = np.nonzero(able)
+    return _closest(targets[row], anchors[col], scores[row, col], k)
+
+
+def _typed(parts: list[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(parts, ignore_index=True).astype({"tgt_id": object, "s1_id": object, "score": "float64"})
+
+
 def _sparse_task(k: int):
     def run(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"tgt_id": [], "s1_id": [], "score": []})]
@@ -87,24 +101,24 @@ def _sparse_task(k: int):
             s = s.sort_values("feature")
             names, first = np.unique(s.feature.to_numpy(str), return_index=True)
             ends = np.append(first[1:], len(s))
-            ids, ws = s.entity_id.to_numpy(str), s.w.to_numpy()
-            q = q[q.feature.isin(names)].sort_values("entity_id")
+            ids, anchor = np.unique(s.entity_id.to_numpy(str), return_inverse=True)
+            ws = s.w.to_numpy()
+            q = q[q.feature.isin(names)]
             at = np.searchsorted(names, q.feature.to_numpy(str))
+            tgt, row = np.unique(q.entity_id.to_numpy(str), return_inverse=True)
+            order = np.argsort(row, kind="stable")
+            row, at, wt = row[order], at[order], q.w.to_numpy()[order]
             many = ends[at] - first[at]
-            tgt, wt = q.entity_id.to_numpy(str), q.w.to_numpy()
-            cuts = np.flatnonzero(np.append(True, tgt[1:] != tgt[:-1])) if len(q) else []
-            done = np.append(0, np.cumsum(many))
-            lo = 0
-            for c in [*cuts[1:], len(q)]:  # whole targets, about PRODUCTS products at a time
-                if c == len(q) or done[c] - done[lo] >= PRODUCTS:
-                    part = slice(lo, c)
-                    rows = np.repeat(np.arange(lo, c), many[part])
-                    post = np.repeat(first[at[part]], many[part]) + np.arange(len(rows)) - np.repeat(done[lo:c] - done[lo], many[part])
-                    pairs = pd.DataFrame({"t": tgt[rows], "s": ids[post], "x": wt[rows] * ws[post]}).groupby(["t", "s"], sort=False).x.sum().reset_index()
-                    if len(pairs):
-                        out.append(_closest(pairs.t.to_numpy(str), pairs.s.to_numpy(str), pairs.x.to_numpy(), k))
-                    lo = c
-        return pd.concat(out)
+            step = max(1, PRODUCTS // len(ids))
+            for lo in range(0, len(tgt), step):  # whole targets; their scores with all anchors of the block, as a matrix
+                part = slice(*np.searchsorted(row, [lo, lo + step]))
+                m = many[part]
+                post = np.repeat(first[at[part]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                cell = np.repeat((row[part] - lo) * len(ids), m) + anchor[post]
+                rows = min(step, len(tgt) - lo)
+                scores = np.bincount(cell, np.repeat(wt[part], m) * ws[post], rows * len(ids)).reshape(rows, len(ids))
+                out.append(_best(tgt[lo: lo + rows], ids, scores, k, positive=True))
+        return _typed(out)
 
     return run
 
@@ -112,7 +126,7 @@ def _sparse_task(k: int):
 def sparse_search(targets: DataFrame, anchors: DataFrame, k: int = K_DEEP, anchor_block: int = ANCHOR_BLOCK, target_block: int = TARGET_BLOCK) -> DataFrame:
     """(tgt_id, s1_id, score, rank): cosine over unpruned features within a country, exact, block by block.
 
-    Pruned features bound a posting list by the pruning share of a block; targets are taken in portions within a task.
+    A task holds the scores of a portion of its targets with all anchors of its block.
     """
     slim = lambda rows: rows.where("not pruned and country is not null").select("country", "entity_id", "feature", "w")
     return _blocked(slim(targets), slim(anchors), _sparse_task(k), k, anchor_block, target_block)
@@ -168,14 +182,8 @@ def _dense_task(k: int):
             tgt, vt = q.entity_id.to_numpy(str), np.stack(q.vec.to_numpy()).astype(np.float64)
             step = max(1, PRODUCTS // len(ids))
             for lo in range(0, len(tgt), step):
-                scores = np.round(vt[lo: lo + step] @ vs.T, 9)
-                if scores.shape[1] > k:  # ties with the k-th score stay, so that the smaller id can win
-                    least = np.partition(scores, -k, axis=1)[:, [-k]]
-                    row, col = np.nonzero(scores >= least)
-                else:
-                    row, col = (x.ravel() for x in np.indices(scores.shape))
-                out.append(_closest(tgt[lo + row], ids[col], scores[row, col], k))
-        return pd.concat(out)
+                out.append(_best(tgt[lo: lo + step], ids, vt[lo: lo + step] @ vs.T, k))
+        return _typed(out)
 
     return run
 

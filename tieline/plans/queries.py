@@ -114,12 +114,12 @@ def _idf(spark: SparkSession, d: str, kind: str) -> vectors.Idf:
     return vectors.fit_idf(_bags(spark, d, kind)[0], fixture.anchors(spark, d).count(), ART.config.max_df_frac)
 
 
-#: What several queries of one session build on, kept by Spark (memory and disk) and made again if it is dropped.
+#: What several queries of one session build on: tables in the shared store, by what they are made from and when that was changed.
 _KEPT: dict[tuple, object] = {}
 
 
-def _once(spark: SparkSession, name: tuple, make):
-    key = (spark.sparkContext.applicationId, *name)
+def _once(spark: SparkSession, d: str, name: tuple, make):
+    key = (spark.sparkContext.applicationId, d, *name, *(store.modified(spark, f"{d}/{t}.parquet") for t in fixture.TABLES))
     if key not in _KEPT:
         _KEPT[key] = make()
     return _KEPT[key]
@@ -127,15 +127,16 @@ def _once(spark: SparkSession, name: tuple, make):
 
 def _weights(spark: SparkSession, d: str, kind: str) -> tuple[DataFrame, DataFrame]:
     def make():
-        idf = _idf(spark, d, kind)
-        return tuple(vectors.weigh(b, idf).persist() for b in _bags(spark, d, kind))
+        bags = tuple(store.written(b) for b in _bags(spark, d, kind))
+        idf = vectors.fit_idf(bags[0], fixture.anchors(spark, d).count(), ART.config.max_df_frac)
+        return tuple(store.written(vectors.weigh(b, idf)) for b in bags)
 
-    return _once(spark, (d, kind), make)
+    return _once(spark, d, (kind,), make)
 
 
 def _hits(spark: SparkSession, d: str, kind: str, k: int = K) -> DataFrame:
     a, t = _weights(spark, d, kind)
-    return _once(spark, (d, kind, k), lambda: vectors.sparse_search(t, a, k).persist())
+    return _once(spark, d, (kind, k), lambda: store.written(vectors.sparse_search(t, a, k)))
 
 
 def _union(spark: SparkSession, d: str) -> DataFrame:
@@ -148,9 +149,9 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
         for c in ("name", "addr"):
             a, t = _weights(spark, d, c)
             out = vectors.pair_cosine(out, t, a, f"cos_{c}")
-        return out.withColumn("p1", F.round(0.5 * F.col("cos_name") + 0.5 * F.col("cos_addr"), 6)).persist()
+        return store.written(out.withColumn("p1", F.round(0.5 * F.col("cos_name") + 0.5 * F.col("cos_addr"), 6)))
 
-    return _once(spark, (d, "pairs"), make)
+    return _once(spark, d, ("pairs",), make)
 
 
 def _decided(spark: SparkSession, d: str) -> DataFrame:
@@ -159,11 +160,11 @@ def _decided(spark: SparkSession, d: str) -> DataFrame:
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
     anchors = fixture.anchors(spark, d).select("entity_id", "country")
-    return _once(spark, (d, "scores"), lambda: metrics.entity_scores(anchors, fixture.truth(spark, d), _decided(spark, d)).persist())
+    return _once(spark, d, ("scores",), lambda: store.written(metrics.entity_scores(anchors, fixture.truth(spark, d), _decided(spark, d))))
 
 
 def _six(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+    return df.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in columns})  # no negative zero
 
 
 def _long(df: DataFrame) -> DataFrame:
@@ -256,7 +257,7 @@ def _noise(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lists(spark: SparkSession, d: str) -> DataFrame:
-    return _once(spark, (d, "lists"), lambda: tsv.id_lists(fixture.anchors(spark, d), _decided(spark, d), "p1").persist())
+    return _once(spark, d, ("lists",), lambda: store.written(tsv.id_lists(fixture.anchors(spark, d), _decided(spark, d), "p1")))
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
@@ -533,8 +534,13 @@ _ENDS = """{c}_e as (select tgt_id, max(case when rank = 0 then score end) as to
 {c}_d as (select e.tgt_id, coalesce(top > 0 and last > 0 and last >= 0.9 * top, false) or len(v.{other}) = 0 as deep from {c}_e e join views v on v.entity_id = e.tgt_id),
 {c}_h as (select r.tgt_id, r.s1_id, r.rank from {c}_r r join {c}_d using (tgt_id) where rank < case when deep then 100 else 10 end)"""
 _COS = "{c}_c as (select p.tgt_id, p.s1_id, sum(x.w * y.w) as c from p0 p join {c}_w x on x.side = 't' and x.entity_id = p.tgt_id join {c}_w y on y.side = 'a' and y.entity_id = p.s1_id and y.feature = x.feature group by all)"
-_GAPS = ", ".join(f"round(cos_{c} - max(cos_{c}) over t, 6) as gap_{c}, row_number() over (partition by tgt_id order by round(cos_{c}, 9) desc, s1_id) - 1 as qrank_{c}" for c in features.COSINES)
-_F27 = f"""{SEARCH}, {SQL_ADDR_BAG}, {sql_vectors('addr')}, {SQL_RAW_BAG}, {sql_vectors('raw')}, {_ENDS.format(c='name', other='addr_tokens')}, {_ENDS.format(c='addr', other='core_tokens')},
+_SOUND = "(case when w[1] in ('a', 'e', 'i', 'o', 'u') then 'a' else w[1] end) || regexp_replace(w[2:], '[aeiou]', '', 'g')"
+for _letter in "bcdfghjklmnpqrstvwxyz":
+    _SOUND = f"regexp_replace({_SOUND}, '{_letter}+', '{_letter}', 'g')"
+_SOUNDS = f"""phones as (select side, entity_id, country, {_SOUND} as key from (select side, entity_id, country, unnest(core_tokens) as w from views) where regexp_full_match(w, '[a-z]{{2,}}'))"""
+_SOUND_SEARCH = f"with {SQL_WORDS}, {_SOUNDS}, {SQL_NAME_BAG.replace(') group by all)', ' union all select side, entity_id, country, ' + repr('p') + ' || key, 1.0 from phones where length(key) >= 2) group by all)')}, {sql_vectors('name')}"
+_GAPS = ", ".join(f"round(cos_{c} - max(cos_{c}) over t, 6) + 0.0::double as gap_{c}, row_number() over (partition by tgt_id order by round(cos_{c}, 9) desc, s1_id) - 1 as qrank_{c}" for c in features.COSINES)
+_F27 = f"""{_SOUND_SEARCH}, {SQL_ADDR_BAG}, {sql_vectors('addr')}, {SQL_RAW_BAG}, {sql_vectors('raw')}, {_ENDS.format(c='name', other='addr_tokens')}, {_ENDS.format(c='addr', other='core_tokens')},
 deep_t as (select entity_id as tgt_id from views where side = 't' and (len(addr_tokens) = 0 or len(core_tokens) = 0) union select tgt_id from name_d where deep union select tgt_id from addr_d where deep),
 ev0 as (select side, entity_id, country, ('0x' || substr(md5(feature), 1, 8))::bigint as h, w from name_w union all select side, entity_id, country, ('0x' || substr(md5(feature), 1, 8))::bigint, w from addr_w),
 ev1 as (select side, entity_id, country, h % 128 as d, sum(case when (h // 1048576) % 2 = 0 then w else -w end) as x from ev0 group by all),
@@ -551,7 +557,7 @@ p1 as (select p0.*, coalesce(n.c, 0.0) as cos_name, coalesce(d.c, 0.0) as cos_ad
   from p0 left join name_c n using (tgt_id, s1_id) left join addr_c d using (tgt_id, s1_id) left join raw_c r using (tgt_id, s1_id) left join enc_s e using (tgt_id, s1_id) join views x on x.entity_id = p0.tgt_id join views y on y.entity_id = p0.s1_id),
 p2 as (select *, {_GAPS}, count(*) over t as union_size, {', '.join(f'round(max(cos_{c}) over t, 6) as max_{c}' for c in ('name', 'addr', 'enc'))} from p1 window t as (partition by tgt_id))
 select tgt_id, s1_id, {', '.join(f'round(cos_{c}, 6) as cos_{c}, gap_{c}, qrank_{c}' for c in features.COSINES)}, rank_name, rank_addr, rank_enc, n_channels, max_name, max_addr, max_enc, union_size, q_name_empty, q_addr_empty, s_addr_empty,
-  round(max(case when qrank_enc = 0 then cos_enc end) over (partition by tgt_id) - coalesce(max(case when qrank_enc = 1 then cos_enc end) over (partition by tgt_id), 0), 6) as second_enc_gap,
+  round(max(case when qrank_enc = 0 then cos_enc end) over (partition by tgt_id) - coalesce(max(case when qrank_enc = 1 then cos_enc end) over (partition by tgt_id), 0), 6) + 0.0::double as second_enc_gap,
   round(cos_name + cos_addr + cos_enc, 6) as cos_sum, round(least(cos_name, cos_addr, cos_enc), 6) as cos_min, (cos_raw > 0.999)::int::double as raw_exact from p2"""
 _SEGMENTS = f"""{SCORED}, typed as (select *, case when n_true = 0 then 'singleton' else 'linked' end as kind from scores)
 select case when grouping(kind) = 1 and grouping(country) = 1 then 'ALL' when grouping(kind) = 0 then kind else country end as segment,
@@ -628,8 +634,8 @@ ORACLE = {
     "m5_pair_cosine": f"{PAIRS} select tgt_id, s1_id, round(cos_name, 6) as cos_name, round(cos_addr, 6) as cos_addr, p1 from pairs",
     "w1_w3_group_features": f"""{PAIRS}, g as (select *, count(*) over t as union_size, row_number() over (partition by tgt_id order by round(cos_name, 9) desc, s1_id) - 1 as qrank_name,
       row_number() over (partition by tgt_id order by round(cos_addr, 9) desc, s1_id) - 1 as qrank_addr, max(cos_name) over t as max_name, max(cos_addr) over t as max_addr from pairs window t as (partition by tgt_id))
-      select tgt_id, s1_id, union_size, qrank_name, qrank_addr, round(cos_name - max_name, 6) as gap_name, round(cos_addr - max_addr, 6) as gap_addr, round(max_name, 6) as max_name, round(max_addr, 6) as max_addr,
-      round(max(case when qrank_name = 0 then cos_name end) over (partition by tgt_id) - coalesce(max(case when qrank_name = 1 then cos_name end) over (partition by tgt_id), 0), 6) as second_gap from g""",
+      select tgt_id, s1_id, union_size, qrank_name, qrank_addr, round(cos_name - max_name, 6) + 0.0::double as gap_name, round(cos_addr - max_addr, 6) + 0.0::double as gap_addr, round(max_name, 6) as max_name, round(max_addr, 6) as max_addr,
+      round(max(case when qrank_name = 0 then cos_name end) over (partition by tgt_id) - coalesce(max(case when qrank_name = 1 then cos_name end) over (partition by tgt_id), 0), 6) + 0.0::double as second_gap from g""",
     "w5_w6_a8_competition": f"""{PAIRS}, g as (select *, row_number() over (partition by tgt_id order by round(p1, 9) desc, s1_id) - 1 as k, row_number() over (partition by s1_id order by round(p1, 9) desc, tgt_id) - 1 as rank_in_s1 from pairs),
       h as (select *, max(case when k = 0 then p1 end) over t as b, coalesce(max(case when k = 1 then p1 end) over t, 0) as s, count(*) over t as n_kept_t,
         count(*) over c as s1_n_cand, count(*) filter (k = 0) over c as s1_n_top1, sum(p1) over c as s1_sum_p1, max(p1) over c as s1_max_p1 from g window t as (partition by tgt_id), c as (partition by s1_id))

@@ -26,6 +26,12 @@ def _file(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def modified(spark: SparkSession, path: str) -> int:
+    """When a file or folder was last changed, in the store's own milliseconds."""
+    fs, where = _file(spark, path)
+    return fs.getFileStatus(where).getModificationTime()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, where = _file(spark, path)
     fs.delete(where, True)
