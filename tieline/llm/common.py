@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -56,10 +57,17 @@ def drop(*cuts: DataFrame) -> None:
         sweep(cuts[0].sparkSession)
 
 
+#: Seconds between two sweeps, at least: small jobs drop many tables in a second.
+SWEEP_EVERY = 3.0
+_swept = [0.0]
+
+
 def sweep(spark: SparkSession) -> None:
     """Shuffle files go when the driver's plans that made them are collected; see to it now, not when its heap is full."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if time.monotonic() - _swept[0] >= SWEEP_EVERY:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _swept[0] = time.monotonic()
 
 
 #: Rows of a narrow table (ids and numbers) up to which it may be broadcast: some tens of MB.
