@@ -124,18 +124,17 @@ def fit_idf(anchors: DataFrame, art: Artefacts) -> dict[str, vectors.Idf]:
 
 
 class Side:
-    """Records prepared for search: views, weighted bags and vectors, each kept by Spark until ``release``."""
+    """Records prepared for search: views, weighted bags and vectors, each written to the shared store until ``release``."""
 
     def __init__(self, records: DataFrame, art: Artefacts):
         self.records = records
-        self.views = views(records, art)
-        self.weights = {c: vectors.weigh(b, art.idf[c]).persist() for c, b in bags(self.views, art.script).items()}
+        self.views = store.written(views(records, art))
+        self.weights = {c: store.written(vectors.weigh(b, art.idf[c])) for c, b in bags(self.views, art.script).items()}
         both = self.weights["name"].unionByName(self.weights["addr"])
-        self.vec = (encoder.encoded(encoder.hashed_bags(both), art.encoder) if art.encoder else vectors.hashed_embedding(both)).persist()
+        self.vec = store.written(encoder.encoded(encoder.hashed_bags(both), art.encoder) if art.encoder else vectors.hashed_embedding(both))
 
     def release(self) -> None:
-        for df in (*self.weights.values(), self.vec):
-            df.unpersist()
+        store.drop(self.views, *self.weights.values(), self.vec)
 
 
 def candidates(anchors: DataFrame | Side, targets: DataFrame, art: Artefacts) -> DataFrame:
@@ -150,14 +149,14 @@ def candidates(anchors: DataFrame | Side, targets: DataFrame, art: Artefacts) ->
     t = Side(targets, art)
     empty = lambda column: t.views.where(F.size(column) == 0).select(F.col("entity_id").alias("tgt_id"))
     hits = {
-        n: vectors.adaptive(vectors.sparse_search(t.weights[n], a.weights[n], c.k_deep), empty(other), c.k, c.tie_ratio).persist()
+        n: store.written(vectors.adaptive(vectors.sparse_search(t.weights[n], a.weights[n], c.k_deep), empty(other), c.k, c.tie_ratio))
         for n, other in (("name", "addr_tokens"), ("addr", "core_tokens"))
     }
     # The encoder goes deep where either sparse channel does, also for targets that have no hits there.
     deep = empty("addr_tokens").union(empty("core_tokens"))
     for found in list(hits.values()):
         deep = deep.union(found.where("deep").select("tgt_id"))
-    deep = deep.distinct().withColumnRenamed("tgt_id", "entity_id").persist()
+    deep = store.written(deep.distinct().withColumnRenamed("tgt_id", "entity_id"))
     index = vectors.CellIndex.fit(a.vec, c.cells) if c.cells else None
     dense = lambda rows, k: vectors.cell_search(rows, a.vec, index, k, c.probes) if index else vectors.dense_search(rows, a.vec, k)
     hits["enc"] = dense(t.vec.join(deep, "entity_id", "left_semi"), c.k_deep).unionByName(dense(t.vec.join(deep, "entity_id", "left_anti"), c.k))
@@ -170,8 +169,7 @@ def candidates(anchors: DataFrame | Side, targets: DataFrame, art: Artefacts) ->
     flags_s = a.views.select(F.col("entity_id").alias("s1_id"), (F.size("addr_tokens") == 0).cast("double").alias("s_addr_empty"))
     marked = flags_t.join(deep.select(F.col("entity_id").alias("tgt_id"), F.lit(True).alias("deep")), "tgt_id", "left").fillna(False, ["deep"])
     out = store.written(features.stage1_features(pairs.join(marked, "tgt_id").join(flags_s, "s1_id")))
-    for df in (deep, hits["name"], hits["addr"]):
-        df.unpersist()
+    store.drop(deep, hits["name"], hits["addr"])
     t.release()
     if not isinstance(anchors, Side):
         a.release()

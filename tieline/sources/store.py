@@ -41,7 +41,15 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` written (by default to a scratch folder) and read again, so that what it was made from can be let go."""
     path = path or scratch(df.sparkSession)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables of ``written`` that nothing reads any more."""
+    for df in tables:
+        remove(df.sparkSession, df._written_to)
 
 
 def write_json(spark: SparkSession, path: str, body: dict) -> None:
