@@ -119,12 +119,14 @@ def later_sets(docs: DataFrame, text: str, held: DataFrame, sets: DataFrame, wid
 
     star = two.union(crowded.select(F.col("sid").alias("x"), F.col("head").alias("y")))
     found = verified(star.where("x > y"))
-    mapped = cut(crowded.select("sid", "token", "at").join(whole.drop("t"), "sid"))
-    left, right = named(mapped, "x", "at", "token").join(found.withColumnRenamed("sid", "x"), "x", "left_anti"), named(mapped, "y", "at", "token")
+    mapped = cut(crowded.select("sid", "token", "at").join(whole.drop("t"), "sid").join(held.select("sid", "prefix"), "sid"))
+    left, right = named(mapped, "x", "at", "token", "prefix").join(found.withColumnRenamed("sid", "x"), "x", "left_anti"), named(mapped, "y", "at", "token", "prefix")
+    # A pair that shares several prefix tokens is named at the first of them (a first one with two holders was met above).
+    once = F.array_intersect("prefixx", "prefixy")[0] == F.col("tokenx")
     # At most so many tokens can be common, given where this one stands in both orders.
     bound = 1 + F.least("atx", "aty") + F.least(F.col("nx") - F.col("atx"), F.col("ny") - F.col("aty")) - 1
     able = (F.col("x") > F.col("y")) & ((100 + percent) * bound >= percent * (F.col("nx") + F.col("ny"))) & near("x", "y")
-    more = verified(left.join(right, (F.col("tokenx") == F.col("tokeny")) & able).select("x", "y"))
+    more = verified(left.join(right, (F.col("tokenx") == F.col("tokeny")) & able & once).select("x", "y"))
     drop(heads, many, crowded, whole, mapped)
     return found.union(more)
 
