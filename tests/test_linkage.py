@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tieline.functions import fuzzy, keys, script, text
-from tieline.operators import encoder, features, learn, metrics, sampling, vectors
+from tieline.operators import classes, encoder, features, learn, metrics, sampling, vectors
 from tieline.plans import pipeline
 from tieline.sources import store, tsv
 
@@ -188,3 +188,30 @@ def test_encoder_goes_deep_with_the_sparse_channels(spark):
     pairs = pipeline.candidates(anchors, targets, pipeline.Artefacts(pipeline.Config(max_df_frac=1.0, tie_ratio=1.1))).select("tgt_id", "rank_enc").collect()
     ranks = {t: sorted(r["rank_enc"] for r in pairs if r["tgt_id"] == t and r["rank_enc"] != vectors.ABSENT) for t in ("S2-1", "S2-2")}
     assert ranks == {"S2-1": list(range(30)), "S2-2": list(range(10))}
+
+
+def test_equal_records_are_searched_once(spark):
+    """Many anchors and targets with equal tokens: the same hits as of a plain search of all rows, from a row for each class."""
+    texts = [(f"firm {w} {x}", f"{n} oak road") for w, x, n in (("aa", "bb", 17), ("aa", "cc", 17), ("dd", "bb", 18), ("dd", "ee", 217))]
+    record = lambda p, k: (f"{p}{k}", *texts[k % 4], None if k % 13 == 12 else "US" if k % 3 else "FR")
+    schema = "entity_id string, business_name string, business_address string, country string"
+    sides = [spark.createDataFrame([record(p, k) for k in range(40)], schema) for p in "AT"]
+    made = [classes.Classes(side, lambda rows: pipeline.views(rows, pipeline.Artefacts()), {"name": "core_tokens", "addr": "addr_tokens"}) for side in sides]
+    from tieline.functions import text as words
+
+    def weights(rows, idf=None):
+        bag = words.long_bag(rows, words.name_bag(F.col("core_tokens")), ("entity_id", "country", *(["n"] if "n" in rows.columns else [])))
+        idf = idf or vectors.fit_idf(bag, 40, 1.0)
+        return vectors.weigh(bag.select("entity_id", "country", "feature", "tf"), idf), idf
+
+    whole = [pipeline.views(side, pipeline.Artefacts()) for side in sides]
+    (wa, idf), (ca, cidf) = weights(whole[0]), weights(made[0].of["name"])
+    assert cidf.table.count() == idf.table.count() and cidf.table.exceptAll(idf.table).isEmpty()
+    show = lambda hits: sorted((r["tgt_id"], r["rank"], r["s1_id"], round(r["score"], 9)) for r in hits.collect())
+    for k in (3, 50):
+        plain = vectors.sparse_search(weights(whole[1], idf)[0], wa, k)
+        found = vectors.sparse_search(weights(made[1].of["name"], cidf)[0], ca, k)
+        each = made[1].each(classes.member_hits(found, made[0].by("name"), k), channel="name")
+        assert show(each) == show(plain) and show(plain)
+        assert found.count() <= 12 * 4 < each.count()
+    assert made[0].members.count() == 40 and made[0].of["name"].agg(F.sum("n")).first()[0] == 40
