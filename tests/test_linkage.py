@@ -215,3 +215,22 @@ def test_equal_records_are_searched_once(spark):
         assert show(each) == show(plain) and show(plain)
         assert found.count() <= 12 * 4 < each.count()
     assert made[0].members.count() == 40 and made[0].of["name"].agg(F.sum("n")).first()[0] == 40
+
+
+def test_tau_grid_needs_no_row_for_each_tau(spark):
+    rng = np.random.default_rng(5)
+    anchors = spark.createDataFrame([(f"A{k}",) for k in range(12)], "entity_id string")
+    links = [(f"T{k}", f"A{k % 9}") for k in range(20)]
+    best = [(f"T{k}", f"A{rng.integers(12) if k % 3 == 0 else k % 9}", round(float(rng.random()), 3)) for k in range(24)] + [("T99", "A99", 0.9)]
+    grid = metrics.tau_grid(anchors, spark.createDataFrame(links, "tgt_id string, s1_id string"), spark.createDataFrame(best, "tgt_id string, s1_id string, p2 double"))
+    found = {r["tau"]: r["f05"] for r in grid.collect()}
+    assert sorted(found) == metrics.TAUS
+    for tau in metrics.TAUS:
+        total = 0.0
+        for a in (f"A{k}" for k in range(12)):
+            true, said = {t for t, s in links if s == a}, {t for t, s, p in best if s == a and p >= tau}
+            p, r = (len(true & said) / len(x) if x else 0.0 for x in (said, true))
+            total += float(not said) if not true else 1.25 * p * r / (0.25 * p + r) if p + r else 0.0
+        assert found[tau] == pytest.approx(total / 12, abs=1e-9)
+    at = grid._jdf.queryExecution().optimizedPlan().toString()
+    assert at.count("Generate") == 1  # the taus themselves; predictions and anchors are not copied for each tau

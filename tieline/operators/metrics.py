@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TAUS = [round(0.05 + 0.01 * k, 2) for k in range(91)]
@@ -50,17 +50,30 @@ def micro(scores: DataFrame) -> DataFrame:
 
 
 def tau_grid(anchors: DataFrame, truth: DataFrame, best: DataFrame, score: str = "p2", taus: list[float] = TAUS) -> DataFrame:
-    """(tau, f05): macro F0.5 at each threshold. A prediction counts under every tau up to its score (a bounded grid)."""
-    grid = F.array(*[F.lit(t) for t in taus])
-    hit = best.join(truth.select("s1_id", "tgt_id").withColumn("t", F.lit(1)), ["s1_id", "tgt_id"], "left")
-    at = hit.select("s1_id", F.explode(F.filter(grid, lambda t: t <= F.round(score, 9))).alias("tau"), "t").groupBy("s1_id", "tau").agg(F.count("*").alias("n_pred"), F.count("t").alias("tp"))
+    """(tau, f05): macro F0.5 at each threshold. A prediction counts under every tau up to its score.
+
+    An anchor's figure changes only where one of its predictions comes in. So each prediction, best first, adds the change
+    that it makes to all taus below its level (how many taus its score reaches): a row for each prediction, not for each tau.
+    """
+    level = F.size(F.filter(F.array(*[F.lit(t) for t in taus]), lambda t: t <= F.round(score, 9)))
+    hit = best.join(truth.select("s1_id", "tgt_id").withColumn("t", F.lit(1)), ["s1_id", "tgt_id"], "left").select("s1_id", level.alias("level"), "t").where("level > 0")
     n_true = truth.groupBy("s1_id").agg(F.count("*").alias("n_true"))
     base = anchors.select(F.col("entity_id").alias("s1_id")).join(n_true, "s1_id", "left").fillna(0, ["n_true"])
-    all_ = base.select("s1_id", "n_true", F.explode(grid).alias("tau")).join(at, ["s1_id", "tau"], "left").fillna(0, ["n_pred", "tp"])
-    p = F.when(F.col("n_pred") > 0, F.col("tp") / F.col("n_pred")).otherwise(0.0)
-    r = F.when(F.col("n_true") > 0, F.col("tp") / F.col("n_true")).otherwise(0.0)
-    f = F.when(F.col("n_true") == 0, F.when(F.col("n_pred") == 0, 1.0).otherwise(0.0)).otherwise(f05(p, r))
-    return all_.groupBy("tau").agg(F.avg(f).alias("f05"))
+    at = hit.groupBy("s1_id", "level").agg(F.count("*").alias("n"), F.count("t").alias("hits"))
+    down = Window.partitionBy("s1_id").orderBy(F.col("level").desc())
+    at = at.withColumns({"n_pred": F.sum("n").over(down), "tp": F.sum("hits").over(down)})
+    p, r = F.col("tp") / F.col("n_pred"), F.when(F.col("n_true") > 0, F.col("tp") / F.col("n_true")).otherwise(0.0)
+    none = F.when(F.col("n_true") == 0, 1.0).otherwise(0.0)
+    f = F.when(F.col("n_true") == 0, 0.0).otherwise(f05(p, r))
+    each = base.join(at, "s1_id").select("s1_id", "level", "n_true", f.alias("f"))
+    # Of repeated anchors every row counts, with the same changes.
+    before = F.coalesce(F.lag("f").over(Window.partitionBy("s1_id").orderBy(F.col("level").desc())), none)
+    each = each.groupBy("s1_id", "level", "n_true", "f").agg(F.count("*").alias("rows")).withColumn("change", (F.col("f") - before) * F.col("rows"))
+    changes = each.groupBy("level").agg(F.sum("change").alias("change"))  # as many rows as taus
+    whole = base.agg(F.sum(none).alias("start"), F.count("*").alias("anchors")).where("anchors > 0")
+    grid = whole.select("start", "anchors", F.posexplode(F.array(*[F.lit(t) for t in taus])).alias("k", "tau"))
+    summed = grid.join(F.broadcast(changes), F.col("level") > F.col("k"), "left").groupBy("tau", "start", "anchors").agg(F.coalesce(F.sum("change"), F.lit(0.0)).alias("change"))
+    return summed.select("tau", ((F.col("start") + F.col("change")) / F.col("anchors")).alias("f05"))
 
 
 def best_tau(grid: DataFrame) -> float:
