@@ -38,14 +38,19 @@ def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows over all cores: a table of a million names is one small file, which Spark reads in one task."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "entity_id")
+
+
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(ANCHORS, **_tables(spark, sf_dir))
+    return _dealt(spark.sql(ANCHORS, **_tables(spark, sf_dir)))
 
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both target sources as one table."""
     two, three = (spark.sql(q, **_tables(spark, sf_dir)) for q in (S2_TARGETS, S3_TARGETS))
-    return two.unionByName(three)
+    return _dealt(two.unionByName(three))
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
