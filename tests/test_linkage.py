@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tieline.functions import fuzzy, keys, script, text
 from tieline.operators import classes, encoder, features, learn, metrics, sampling, vectors
-from tieline.plans import pipeline
+from tieline.plans import diagnose, pipeline
 from tieline.sources import store, tsv
 
 
@@ -234,3 +234,20 @@ def test_tau_grid_needs_no_row_for_each_tau(spark):
         assert found[tau] == pytest.approx(total / 12, abs=1e-9)
     at = grid._jdf.queryExecution().optimizedPlan().toString()
     assert at.count("Generate") == 1  # the taus themselves; predictions and anchors are not copied for each tau
+
+
+def test_pruning_copies_no_pair_for_each_depth(spark):
+    scored = spark.createDataFrame([(f"T{t}", f"A{a}", 1.0 - 0.03 * a) for t in range(3) for a in range(12)], "tgt_id string, s1_id string, p1 double")
+    truth = spark.createDataFrame([("T0", "A0"), ("T1", "A6"), ("T2", "A11")], "tgt_id string, s1_id string")
+    out = diagnose.pruning(scored, truth, 0.5, (5, 10, 20))
+    assert {r["m"]: (round(r["recall"], 6), r["kept_per_target"]) for r in out.collect()} == {5: (0.333333, 5.0), 10: (0.666667, 10.0), 20: (1.0, 12.0)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Window")  # depths are told apart above the counts, not below them
+    assert plan[plan.index("Generate"): plan.index("Window")].count("Aggregate") == 1
+
+
+def test_fixture_deals_its_records_over_all_cores(spark):
+    from tieline.sources import fixture
+
+    for side in (fixture.anchors, fixture.targets):
+        assert side(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
