@@ -133,6 +133,59 @@ def test_near_duplicates_of_ids_with_two_texts(spark):
     assert len(set(root.values())) > 12 and root[31] == root[5]
 
 
+@pytest.mark.parametrize("closest, most_rounds", [(3, 1), (1, 4)])
+def test_near_duplicates_compare_a_bucket_once_unless_members_left_partners_out(spark, monkeypatch, closest, most_rounds):
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(200)]
+
+    def changed(words, places):
+        out = list(words)
+        for k in places:
+            out[k] = f"v{rng.randint(0, 10**9)}"
+        return out
+
+    rows = [(1, " ".join(base))]
+    for c in range(10):  # groups that are some 0.7 alike to the base and less to one another
+        centre = changed(base, rng.sample(range(5, 195, 10), 7))
+        rows += [(10 * c + 10 + k, " ".join(changed(centre, rng.sample(range(200), k)))) for k in range(3)]
+    sets = {i: {tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    root = {i: i for i in sets}
+    for x in sets:
+        for y in sets:
+            if 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y]):
+                lo, hi = sorted((root[x], root[y]))
+                root = {i: lo if r == hi else r for i, r in root.items()}
+    rounds, compared = [], neardup._compared
+    monkeypatch.setattr(neardup, "CLOSEST", closest)
+    monkeypatch.setattr(neardup, "_compared", lambda most: rounds.append(most) or compared(most))
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == root and len(set(root.values())) > 8
+    assert len(rounds) <= most_rounds
+
+
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_components_of_few_and_many_links(spark, monkeypatch, few):
+    monkeypatch.setattr(neardup, "FEW_LINKS", few)
+    links = [(9, 4), (4, 7), (7, 9), (30, 21), (21, 22), (22, 5), (1, 1)]
+    found = neardup.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r["node"]: r["root"] for r in found} == {4: 4, 7: 4, 9: 4, 5: 5, 21: 5, 22: 5, 30: 5}
+
+
+def test_members_that_leave_partners_out_are_told():
+    one = [np.arange(1, 400, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)]
+    regs, parity = (np.repeat(x, 8, axis=0) for x in neardup.unpacked(neardup.packed(neardup.sketches(one), neardup.parities(one))))
+    key = int(neardup.as_long(neardup.band_keys(regs))[0][0])
+    side = {"rep": np.arange(8), "root": np.arange(8), "n": np.full(8, 399), "regs": regs, "parity": parity}
+    left = {c: v[:4] for c, v in side.items()}
+    every = set(zip(*neardup.compare(key, left, side, 0)[:2]))
+    assert len(every) == 28
+    a, b, short = neardup.compare(key, left, side, 3)
+    assert set(zip(a, b)) == every and not len(short)
+    wide = {c: np.concatenate([v] * 2) for c, v in side.items()}  # more partners than one for each row
+    a, _, short = neardup.compare(key, wide, wide, 1)
+    assert len(short) and len(a) < len(neardup.compare(key, wide, wide, 0)[0])
+
+
 @pytest.mark.parametrize("size", [40, 300, 3000])
 def test_sketch_estimates_are_corrected_for_collisions(size):
     rng = np.random.default_rng(size)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tieline.llm.common import NON_SPACE, as_long, cut, doc_chunks, drop, hashed_words, mix, shingle_set, small_side, sweep, table, text_buffers
@@ -146,7 +146,7 @@ def estimate(share: float, n: int, m: int) -> float:
 
 # ---------------------------------------------------------------- Spark
 
-_SKETCH = "doc_id long, n_shingles long, sig_a long, sig_b long, regs binary, keys array<long>"
+_SKETCH = "doc_id long, n_shingles long, sig_a long, sig_b long, regs binary"
 
 
 def _sets(batch: pa.RecordBatch, text: str, width: int) -> Iterator[np.ndarray]:
@@ -162,14 +162,12 @@ def _sets(batch: pa.RecordBatch, text: str, width: int) -> Iterator[np.ndarray]:
 def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, a, b, regs, keys = [], [], [], [], []
+            n, a, b, regs = [], [], [], []
             pending: list[np.ndarray] = []
 
             def flush() -> None:
                 if pending:
-                    r = sketches(pending)
-                    regs.extend(packed(r, parities(pending)))
-                    keys.extend(k if len(s) > 2 else k[:0] for k, s in zip(as_long(band_keys(r)), pending))
+                    regs.extend(packed(sketches(pending), parities(pending)))
                     pending.clear()
 
             held = 0
@@ -183,16 +181,21 @@ def _sketches(width: int):
                     flush()
                     held = 0
             flush()
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            at = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(regs, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int64()))],
-                names=["doc_id", "n_shingles", "sig_a", "sig_b", "regs", "keys"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(regs, pa.binary())],
+                names=["doc_id", "n_shingles", "sig_a", "sig_b", "regs"],
             )
 
     return run
 
 
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, rep, sig_a): a row for each band of each sketch (rep, sig_a, regs)."""
+    for batch in batches:
+        keys = as_long(band_keys(unpacked(batch.column("regs").to_pylist())[0])) if batch.num_rows else np.zeros((0, BANDS), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *[pa.array(np.repeat(batch.column(c).to_numpy(), BANDS)) for c in ("rep", "sig_a")]], names=["key", "rep", "sig_a"])
+
+
 def _set_bytes(s: np.ndarray) -> bytes:
     return np.unique(s & _U((1 << 8 * SHINGLE_BYTES) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SHINGLE_BYTES].tobytes()
 
@@ -265,13 +268,30 @@ def _links(percent: int):
     return F.pandas_udf(verify, "boolean")
 
 
+#: Links up to which components are found on the driver (a few MB) instead of by a handful of small jobs a round.
+FEW_LINKS = 20_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links(a, b)``: root is the smallest node of its component.
 
-    Every round hooks each node onto its smallest neighbour, follows that pointer once, and contracts the links; a
+    Beyond FEW_LINKS every round hooks each node onto its smallest neighbour, follows that pointer once, and contracts the links; a
     star vanishes in one round. Links and labels stay in Spark; each round is cut, and the tables of the last one dropped.
     """
     edges = cut(links.select("a", "b").where("a <> b").distinct())
+    if edges.count() <= FEW_LINKS:
+        root: dict[int, int] = {}
+
+        def found(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for r in edges.collect():
+            lo, hi = sorted((found(r["a"]), found(r["b"])))
+            root[hi] = lo
+        drop(edges)
+        return cut(links.sparkSession.createDataFrame([(x, found(x)) for x in list(root)], "node long, root long"))
     nodes = cut(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().select("node", F.col("node").alias("root")))
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -286,13 +306,16 @@ def components(links: DataFrame) -> DataFrame:
     return nodes
 
 
-def compare(key: int, left: dict, right: dict, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one bucket (or of two blocks of it) in different components whose corrected estimate reaches the floor.
+def compare(key: int, left: dict, right: dict, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, short): pairs of one bucket (or of two blocks of it) in different components whose corrected estimate reaches
+    the floor, and the left rows that do not name all of their partners.
 
-    With ``most``, each left row names only its ``most`` closest partners; 0 names all. A pair that shares several buckets
-    is named in the first of them only. Sides hold rep, root, n, registers and parity bitmaps (rows).
+    With ``most``, left rows name all partners until that makes ``most`` pairs for each row of both sides, then only their
+    ``most`` closest ones; 0 names all. A pair that shares several buckets is named in the first of them only. Sides hold
+    rep, root, n, registers and parity bitmaps (rows).
     """
-    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    out_a, out_b, short = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+    named, bound = 0, most * (len(left["rep"]) + len(right["rep"]))
     here = int(np.flatnonzero(as_long(band_keys(left["regs"][:1]))[0] == key)[0])
     for rep, root, n, regs, parity in zip(left["rep"], left["root"], left["n"], left["regs"], left["parity"]):
         able = np.flatnonzero((right["root"] != root) & (4 * np.minimum(n, right["n"]) >= 3 * np.maximum(n, right["n"])))
@@ -304,15 +327,20 @@ def compare(key: int, left: dict, right: dict, most: int) -> tuple[np.ndarray, n
             same = (right["regs"][able] == regs).reshape(-1, BANDS, ROWS).all(axis=2)
             good = (same.argmax(axis=1) == here) & (np.array([estimate(s, n, m) for s, m in zip(share, right["n"][able])]) >= ESTIMATE_FLOOR)
             able, share = able[good], share[good]
-            if most and len(able) > most:
+            if most and len(able) > most and named + len(able) > bound:
                 able = able[np.argsort(-share, kind="stable")[:most]]
+                short.append(rep)
+            named += len(able)
             out_a.append(np.full(len(able), rep, np.int64))
             out_b.append(right["rep"][able])
-    return np.concatenate(out_a), np.concatenate(out_b)
+    return np.concatenate(out_a), np.concatenate(out_b), np.array(short, np.int64)
 
 
 def _compared(most: int):
-    """``compare`` over rows sorted by (key, i, j): groups are taken one after another, whatever batches they come in."""
+    """``compare`` over rows sorted by (key, i, j): groups are taken one after another, whatever batches they come in.
+
+    Rows (a, b, null) are pairs; (a, null, key) is a left row that did not name all of its partners in that bucket.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -322,7 +350,7 @@ def _compared(most: int):
             starts = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]).any(axis=1)))
             ends = np.append(starts[1:], len(ids))
             whole = len(starts) if last else len(starts) - 1
-            out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            out_a, out_b, short, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             upto = int(ends[whole - 1]) if whole else 0
             if upto:
                 regs, parity = unpacked(t.column("regs").slice(0, upto).to_pylist())
@@ -330,11 +358,15 @@ def _compared(most: int):
                 for s, e in zip(starts[:whole], ends[:whole]):
                     parts = [{"rep": rep[s:e][m], "root": root[s:e][m], "n": n[s:e][m], "regs": regs[s:e][m], "parity": parity[s:e][m]} for m in (side[s:e] == 0, side[s:e] == 1)]
                     if len(parts[0]["rep"]) and len(parts[1]["rep"]):
-                        a, b = compare(int(ids[s, 0]), *parts, most)
+                        a, b, left = compare(int(ids[s, 0]), *parts, most)
                         out_a.append(np.minimum(a, b))
                         out_b.append(np.maximum(a, b))
-            made = pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
-            return made, t.slice(upto).combine_chunks() if upto < len(ids) else None
+                        short.append(left)
+                        at.append(np.full(len(left), ids[s, 0], np.int64))
+            a, b, left, key = (pa.array(np.concatenate(x)) for x in (out_a, out_b, short, at))
+            none = lambda many: pa.nulls(many, pa.int64())
+            rows = [pa.concat_arrays(x) for x in ((a, left), (b, none(len(left))), (none(len(a)), key))]
+            return pa.RecordBatch.from_arrays(rows, names=["a", "b", "key"]), t.slice(upto).combine_chunks() if upto < len(ids) else None
 
         for batch in batches:
             if batch.num_rows:
@@ -366,7 +398,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE) ->
     representative. Representatives meet in band buckets; each bucket has a centre. First each text is compared with the
     centre that most of its buckets have, then with the other centres that are not yet in its component (linear however
     large a bucket is). Then, in buckets that still hold several components, members outside the first one's component
-    are compared with all others by estimate, block by block, and what passes is confirmed on the full sets. Sets under 3
+    are compared with all others by estimate, block by block, and what passes is confirmed on the full sets; if a bucket
+    has too many such pairs, its members name their closest ones first, and those that left some out go again. Sets under 3
     shingles can only be equal. No link between different components is lost but for the chance that a linked pair
     shares no band (5 in 10^6 at exactly 0.75) or is estimated below ESTIMATE_FLOOR (5 deviations). Parity bitmaps bound
     how far two sets differ, exactly; pairs that they rule out are never verified.
@@ -374,21 +407,28 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE) ->
     if percent < 75:
         raise ValueError("bands and the least set size are laid out for a similarity of 0.75 or more")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = cut(rows.mapInArrow(_sketches(width), _SKETCH))
+    wide = cut(rows.mapInArrow(_sketches(width), _SKETCH))
     digest = ["sig_a", "sig_b", "n_shingles"]
+    made = cut(wide.select("doc_id", *digest))
     named = made.where("doc_id is not null and n_shingles > 0")
     reps = cut(named.groupBy(*digest).agg(F.min("doc_id").alias("rep")))
-    member = named.select("doc_id", *digest).join(reps, digest).select("doc_id", "rep")
+    member = cut(named.join(reps, digest).select("doc_id", "sig_a", "rep"))
     several = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc_id", "a")
     same_doc = cut(member.join(several, "doc_id").select("a", F.col("rep").alias("b")))
-    first = named.withColumnRenamed("doc_id", "rep").join(reps, [*digest, "rep"], "left_semi").dropDuplicates([*digest, "rep"])
-    first = cut(first.select("rep", "sig_a", "n_shingles", "regs", "keys"))
-    sweep(docs.sparkSession)
+    copies = cut(member.where("doc_id <> rep").select("doc_id", "sig_a").distinct())
+    drop(member)
 
     # A document with several texts can stand for more than one of them: a sketch is known by its id and half of its digest.
-    keyed = first.select("rep", "sig_a", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    met = cut(keyed.join(shared, "key"))
+    single = wide.where("doc_id is not null and n_shingles > 2").join(small_side(copies), ["doc_id", "sig_a"], "left_anti").withColumnRenamed("doc_id", "rep")
+    keyed = single.select("rep", "sig_a", "regs").mapInArrow(_keys, "key long, rep long, sig_a long")
+    # Dealt by key once: there equal rows (of a repeated document) fall together and members are counted.
+    once = keyed.repartition("key").dropDuplicates(["key", "rep", "sig_a"])
+    met = cut(once.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1"))
+    # Only sketches of texts that share a bucket are kept; most texts share none.
+    meeting = cut(met.select("rep", "sig_a").distinct())
+    first = single.select("rep", "sig_a", "n_shingles", "regs").join(small_side(meeting), ["rep", "sig_a"], "left_semi")
+    first = cut(first.dropDuplicates(["rep", "sig_a"]))
+    drop(wide, copies, meeting)
     # A bucket's centre is the member that meets most others over all bands: the text that a group's copies stem from.
     degree = met.groupBy("rep").agg(F.sum("size").alias("degree"))
     centre = met.join(degree, "rep").groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("least"))).alias("c"))
@@ -424,24 +464,31 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE) ->
         return out
 
     nodes = cut(reps.select(F.col("rep").alias("node")).distinct().select("node", F.col("node").alias("root")))
-    labels = merged(nodes, same_doc)
+    labels = nodes if same_doc.isEmpty() else merged(nodes, same_doc)
     stars = cut(buckets.where("first <> rep").groupBy(F.col("first").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("bands")))
     main = stars.groupBy("b").agg(F.max(F.struct("bands", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
     for pairs in (main, stars.select("a", "b")):
         x, y = (labels.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
         able = likely(pairs.join(x, "a").join(y, "b").where("ra <> rb").select("a", "b"))
         links = confirm(able)
-        labels = merged(labels, links)
+        labels = labels if links.isEmpty() else merged(labels, links)
         drop(able, links)
     drop(stars)
 
-    def unsettled(labels: DataFrame, most: int) -> DataFrame:
-        """Candidate pairs of different components in buckets that hold several."""
+    def unsettled(labels: DataFrame, most: int, short: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(pairs, short, both as written): candidate pairs of different components in buckets that hold several, and the rows (key, rep)
+        that did not name all of their partners. With ``short`` of an earlier round only those name any: the others'
+        partners were all verified.
+        """
         placed = buckets.join(labels.withColumnRenamed("node", "rep"), "rep")
         mixed = placed.groupBy("key", "first").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2")
         mixed = mixed.join(labels.select(F.col("node").alias("first"), F.col("root").alias("main")), "first").select("key", "n", "main")
-        open_ = cut(placed.select("key", "rep", "sig_a", "root").join(mixed, "key"))
-        rest = open_.where("root <> main").groupBy("key").agg(F.count("*").alias("r"))
+        placed = placed.select("key", "rep", "sig_a", "root").join(mixed, "key").withColumn("names", F.col("root") != F.col("main"))
+        if short is not None:
+            asked = placed.join(short.withColumn("_short", F.lit(True)), ["key", "rep"], "left")
+            placed = asked.withColumn("names", F.col("names") & F.col("_short").isNotNull()).drop("_short")
+        open_ = cut(placed)
+        rest = open_.where("names").groupBy("key").agg(F.count("*").alias("r"))
         dealt = open_.join(rest, "key").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("rb", F.ceil(F.col("r") / BLOCK).cast("int"))
         own = lambda many: F.pmod(F.xxhash64("rep"), F.col(many)).cast("int")
 
@@ -452,22 +499,26 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = SHINGLE) ->
             copied = rows.where(F.col(every) > 1).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(every) - 1)))
             return single.unionByName(copied).select("key", own(many).alias(mine), other, F.lit(number).alias("side"), "rep", "sig_a", "root")
 
-        lefts, rights = side(dealt.where("root <> main"), 0, "rb", "nb"), side(dealt, 1, "nb", "rb")
+        lefts, rights = side(dealt.where("names"), 0, "rb", "nb"), side(dealt, 1, "nb", "rb")
         both = lefts.unionByName(rights).join(first.select("rep", "sig_a", "regs", "n_shingles"), ["rep", "sig_a"]).drop("sig_a")
         sorted_ = both.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        out = cut(sorted_.mapInArrow(_compared(most), "a long, b long").distinct())
+        out = cut(sorted_.mapInArrow(_compared(most), "a long, b long, key long").distinct())
         drop(open_)
-        return out
+        return out.where("key is null").select("a", "b"), out.where("key is not null").select("key", F.col("a").alias("rep")), out
 
-    rounds = [CLOSEST] * ROUNDS + [0]
+    rounds, short, last = [CLOSEST] * ROUNDS + [0], None, None
     while rounds:
-        pairs = unsettled(labels, rounds.pop(0))
+        pairs, left, found = unsettled(labels, rounds.pop(0), short)
         links = confirm(pairs)
         if links.isEmpty():
             rounds = rounds[-1:]  # nothing merges any more: go on to the round that names all, and end after it
         else:
             labels = merged(labels, links)
-        drop(pairs, links)
+        if left.isEmpty():
+            rounds = []  # every pair that was left has been verified
+        drop(links, *([last] if last is not None else []))
+        short, last = left, found
+    drop(last)
     roots = reps.join(labels.withColumnRenamed("node", "rep"), "rep").select(*digest, F.col("root").alias("component_id"))
     out = made.select("doc_id", *digest).join(roots, digest, "left")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
