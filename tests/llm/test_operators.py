@@ -444,6 +444,24 @@ def test_the_field_learns_from_neighbours_and_long_texts():
     assert np.allclose(toxicity.gathered(np.array([[1.0, 10, 100]] * 4), np.array([0, 2, 2, 4])), [101, 11, 101, 11])
 
 
+def test_training_keeps_little_of_each_token(monkeypatch):
+    import tracemalloc
+
+    rng = random.Random(9)
+    line = " ".join(f"w{rng.randint(0, 200)}" for _ in range(20_000))
+    texts_ = [line + (" slur" if i % 2 else " calm") for i in range(40)]
+    monkeypatch.setattr(toxicity, "EPOCHS", 2)
+    tracemalloc.start()
+    whole = toxicity.train(texts_, [i % 2 for i in range(40)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 * 800_000  # scores of all tokens at once took 178 bytes each
+    monkeypatch.setattr(toxicity, "TRAIN_CHUNK", 1 << 30)
+    again = toxicity.train(texts_, [i % 2 for i in range(40)])
+    assert np.allclose(whole.transition, again.transition) and np.allclose(whole.scorer, again.scorer) and np.isclose(whole.bias, again.bias)
+    assert all(np.allclose([a[f] for f in a], [b[f] for f in a]) for a, b in zip(whole.weights, again.weights))
+
+
 def test_toxicity_on_held_out_texts(spark, docs, empty):
     rng = random.Random(2)
     rows, labels = [], []

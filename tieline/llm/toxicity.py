@@ -27,6 +27,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPAN, FLOOR = 0.5, 0.05
 TEXT_CHUNK = 8 << 20
 CACHE_WORDS = 600_000
+#: Training tokens that one pass holds scores of; a longer segment or text is a pass of its own.
+TRAIN_CHUNK = 1 << 17
 
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 
@@ -172,9 +174,13 @@ class Tokens:
     @classmethod
     def of(cls, texts: list[str]) -> "Tokens":
         known: dict[str, int] = {}
-        numbered = [np.array([known.setdefault(w.lower(), len(known)) for w in WORD.findall(t)], np.int32) for t in texts]
+        numbered = [np.fromiter((known.setdefault(w[0].lower(), len(known)) for w in WORD.finditer(t)), np.int32) for t in texts]
         out = cls(list(known), numbered, [], [], [])
-        for _, make in PLACES:
+        for k, (_, make) in enumerate(PLACES):
+            if k and make is PLACES[k - 1][1]:  # both neighbours see the same features
+                for each in (out.names, out.first, out.index):
+                    each.append(each[-1])
+                continue
             names: dict[str, int] = {}
             first, index = array("q", [0]), array("i")
             for w in known:
@@ -189,7 +195,7 @@ class Tokens:
         """(feature numbers of all words in order, which word each belongs to)."""
         first, index = self.first[place], self.index[place]
         many = first[words + 1] - first[words]
-        owner = np.repeat(np.arange(len(words)), many)
+        owner = np.repeat(np.arange(len(words), dtype=np.int32), many)
         at = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
         return index[first[words][owner] + at], owner
 
@@ -222,8 +228,8 @@ def train(texts: list[str], toxic: list[int]) -> Field:
     """Label tokens by the features that separate the texts, then fit weights and transitions to them by forward-backward.
 
     Every word of every text is used. Long texts are cut into segments of SEGMENT words. A word's features add to its own
-    token and, fewer of them, to the tokens beside it; scores and gradients are summed by word first, so memory follows the
-    vocabulary and the number of tokens, not their product with the features.
+    token and, fewer of them, to the tokens beside it; scores and gradients are summed by word first, over TRAIN_CHUNK
+    tokens at a time, so memory follows the vocabulary: of a token only its word and its label are kept.
     """
     tokens, y_text = Tokens.of(texts), np.array(toxic, np.int64)
     seeds = seed_features(tokens, y_text)
@@ -231,49 +237,65 @@ def train(texts: list[str], toxic: list[int]) -> Field:
     flat, owner = tokens.features_of(np.arange(len(tokens.words)))
     marked[owner[seeds[flat]]] = True
     words = np.concatenate([*tokens.texts, np.zeros(0, np.int32)])
-    y = np.concatenate([*(marked[t] & bool(k) for t, k in zip(tokens.texts, y_text)), np.zeros(0, bool)]).astype(float)
+    y = np.concatenate([*(marked[t] & bool(k) for t, k in zip(tokens.texts, y_text)), np.zeros(0, bool)])
     cuts = [np.arange(0, len(t), SEGMENT) for t in tokens.texts]
     at = np.append(0, np.cumsum([len(t) for t in tokens.texts]))
     begin = np.append(np.concatenate([*(c + a for c, a in zip(cuts, at)), np.zeros(0, np.int64)]), len(words)).astype(np.int64)
-    vocabulary = np.arange(len(tokens.words))
-    seen = np.bincount(words, minlength=len(vocabulary))
+    tokens.texts = []
+    size = len(tokens.words)
+    seen = np.bincount(words, minlength=size)
     layout, weights, spent = [], [], []
     for place in range(len(PLACES)):
-        flat, owner = tokens.features_of(vocabulary, place)
+        flat, owner = tokens.features_of(np.arange(size), place)
         used = np.bincount(flat, seen[owner], len(tokens.names[place])) >= MIN_FEATURE
         layout.append((flat[used[flat]], owner[used[flat]]))
         weights.append(np.zeros(len(tokens.names[place])))
         spent.append(np.full(len(tokens.names[place]), 1e-6))
     bias, transition, spent_b, spent_t = -4.0, np.zeros((2, 2)), 1e-6, np.full((2, 2), 1e-6)
-    starts = np.zeros(len(words) + 1, bool)
-    starts[begin] = True
-    inner = ~starts[1:-1]
-    tag = y.astype(int)
     observed = np.zeros((2, 2))
-    np.add.at(observed, (np.where(starts[: len(tag)], 0, np.roll(tag, 1)), tag), 1)
 
     def parts(sparse: float = 0.0) -> np.ndarray:
         """What each word of the vocabulary adds, by place."""
-        return np.column_stack([np.bincount(o, np.where(np.abs(w) > sparse, w, 0.0)[f], len(vocabulary)) for w, (f, o) in zip(weights, layout)])
-
+        return np.column_stack([np.bincount(o, np.where(np.abs(w) > sparse, w, 0.0)[f], size) for w, (f, o) in zip(weights, layout)])
+
+    def passes(begin: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(words, labels, where segments begin) of some whole segments at a time."""
+        for i, j in doc_chunks(begin, TRAIN_CHUNK):
+            a, b = begin[i], begin[j]
+            yield words[a:b], y[a:b], begin[i: j + 1] - a
+
+    for w, tag, first in passes(begin):
+        starts = np.zeros(len(w) + 1, bool)
+        starts[first] = True
+        np.add.at(observed, (np.where(starts[:-1], 0, np.roll(tag, 1)), tag.astype(np.int8)), 1)
     for _ in range(EPOCHS if len(y) else 0):
-        p, expected = expectations(bias + gathered(parts()[words], begin), begin, transition)
-        gap = y - p
-        sums = [np.bincount(words, gap, len(vocabulary)), np.bincount(words[:-1], np.where(inner, gap[1:], 0), len(vocabulary)), np.bincount(words[1:], np.where(inner, gap[:-1], 0), len(vocabulary))]
+        known, expected, total = parts(), np.zeros((2, 2)), 0.0
+        sums = [np.zeros(size) for _ in PLACES]
+        for w, tag, first in passes(begin):
+            p, counts = expectations(bias + gathered(known[w], first), first, transition)
+            expected += counts
+            gap = tag - p
+            total += gap.sum()
+            starts = np.zeros(len(w) + 1, bool)
+            starts[first] = True
+            inner = ~starts[1:-1]
+            for s, v, g in zip(sums, (w, w[:-1], w[1:]), (gap, np.where(inner, gap[1:], 0), np.where(inner, gap[:-1], 0))):
+                s += np.bincount(v, g, size)
         for w, s, (f, o), g in zip(weights, spent, layout, sums):
             grad = np.bincount(f, g[o], len(w)) - RIDGE * w
             s += grad**2
             w += RATE * grad / np.sqrt(s)
-        spent_b += gap.sum() ** 2
-        bias += RATE * gap.sum() / np.sqrt(spent_b)
+        spent_b += total**2
+        bias += RATE * total / np.sqrt(spent_b)
         turn = observed - expected - RIDGE * transition
         spent_t += turn**2
         transition += RATE * turn / np.sqrt(spent_t)
     kept = tuple({names[k]: float(w[k]) for k in np.flatnonzero(np.abs(w) > 1e-3).tolist()} for names, w in zip(tokens.names, weights))
     field = Field(kept, float(bias), transition, np.array([-3.0, 1.0, 0.0]))
     if 0 < y_text.sum() < len(y_text):
-        p = marginals(bias + gathered(parts(1e-3)[words], at), at, transition)
-        field.scorer = fit_scorer(document_features(p, at), y_text.astype(float))
+        known = parts(1e-3)
+        seen_by = [document_features(marginals(bias + gathered(known[w], first), first, transition), first) for w, _, first in passes(at)]
+        field.scorer = fit_scorer(np.concatenate(seen_by), y_text.astype(float))
     return field
 
 
