@@ -84,7 +84,8 @@ def later_sets(docs: DataFrame, text: str, held: DataFrame, sets: DataFrame, wid
     First each set meets only the earliest holder of each of its prefix tokens, so a group of near copies costs a row for
     each member, not for each pair. The sets that no such holder removes then meet all earlier holders of their tokens.
     Sizes, positions and parity bitmaps bound the overlap in the join itself, so that pairs which cannot match are never
-    made; what remains is verified on the whole sets, made again, once, from the texts they first stand in.
+    made; what remains is verified on the whole sets, made again, once, from the texts they first stand in. The whole sets
+    are long, so they are never dealt out for pairs that the bitmaps rule out.
     """
     key = ["doc_id", "doc_key", "line_no"]
     entries = held.select("sid", "n", F.posexplode("prefix").alias("at", "token"))
@@ -97,9 +98,10 @@ def later_sets(docs: DataFrame, text: str, held: DataFrame, sets: DataFrame, wid
     ids = cut(places.select(F.col("doc_id").alias("_id")).distinct())
     source = docs.join(small_side(ids), F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
     lines = worded_lines(source, text).join(small_side(places), key).select("sid", line_shingles(F.col("w"), width).alias("t"))
-    whole = cut(lines.dropDuplicates(["sid"]).select("sid", F.size("t").alias("n"), "t", *parity(F.col("t"))))
-    drop(places, ids)
+    whole = cut(lines.select("sid", F.size("t").alias("n"), "t", *parity(F.col("t"))))  # a repeated text's sets stand here repeatedly
     maps = [f"p{k}" for k in range(MAPS)]
+    slim = cut(whole.drop("t").dropDuplicates(["sid"]))
+    drop(places, ids)
 
     def near(a: str, b: str) -> Column:
         """Do sizes and bitmaps allow the sets with these column suffixes to match?"""
@@ -112,14 +114,25 @@ def later_sets(docs: DataFrame, text: str, held: DataFrame, sets: DataFrame, wid
 
     def verified(pairs: DataFrame) -> DataFrame:
         """``sid`` of those of pairs (x later, y earlier) that reach the threshold."""
-        other = named(whole, "y", "t").withColumnRenamed("y", "_y")
-        full = pairs.distinct().join(named(whole, "x", "t"), "x").join(other, (F.col("y") == F.col("_y")) & near("x", "y"))
+        some = cut(pairs.select("x", "y").distinct())
+        asked = cut(some.select(F.col("x").alias("sid")).union(some.select("y")).distinct())
+        full_sets = cut(whole.select("sid", "t").join(small_side(asked), "sid", "left_semi").dropDuplicates(["sid"]))
+        side = lambda c: full_sets.select(F.col("sid").alias(c), F.col("t").alias("t" + c))
         both = F.size(F.array_intersect("tx", "ty"))
-        return cut(full.where(100 * both >= percent * (F.col("nx") + F.col("ny") - both)).select(F.col("x").alias("sid")).distinct())
+        full = some.join(side("x"), "x").join(side("y"), "y")
+        out = cut(full.where(100 * both >= percent * (F.size("tx") + F.size("ty") - both)).select(F.col("x").alias("sid")).distinct())
+        drop(some, asked, full_sets)
+        return out
 
     star = two.union(crowded.select(F.col("sid").alias("x"), F.col("head").alias("y")))
-    found = verified(star.where("x > y"))
-    mapped = cut(crowded.select("sid", "token", "at").join(whole.drop("t"), "sid").join(held.select("sid", "prefix"), "sid"))
+    met = star.where("x > y").join(named(slim, "x"), "x")
+    other = named(slim, "y").withColumnRenamed("y", "_y")
+    found = verified(met.join(other, (F.col("y") == F.col("_y")) & near("x", "y")))
+    drop(heads)
+    members = cut(crowded.select("sid").distinct())
+    prefixes = held.select("sid", "prefix").join(small_side(members), "sid", "left_semi")
+    mapped = cut(crowded.select("sid", "token", "at").join(slim, "sid").join(prefixes, "sid"))
+    drop(members)
     left, right = named(mapped, "x", "at", "token", "prefix").join(found.withColumnRenamed("sid", "x"), "x", "left_anti"), named(mapped, "y", "at", "token", "prefix")
     # A pair that shares several prefix tokens is named at the first of them (a first one with two holders was met above).
     once = F.array_intersect("prefixx", "prefixy")[0] == F.col("tokenx")
@@ -127,7 +140,7 @@ def later_sets(docs: DataFrame, text: str, held: DataFrame, sets: DataFrame, wid
     bound = 1 + F.least("atx", "aty") + F.least(F.col("nx") - F.col("atx"), F.col("ny") - F.col("aty")) - 1
     able = (F.col("x") > F.col("y")) & ((100 + percent) * bound >= percent * (F.col("nx") + F.col("ny"))) & near("x", "y")
     more = verified(left.join(right, (F.col("tokenx") == F.col("tokeny")) & able & once).select("x", "y"))
-    drop(heads, many, crowded, whole, mapped)
+    drop(many, crowded, whole, slim, mapped)
     return found.union(more)
 
 
