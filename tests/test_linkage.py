@@ -251,3 +251,22 @@ def test_fixture_deals_its_records_over_all_cores(spark):
 
     for side in (fixture.anchors, fixture.targets):
         assert side(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_plans_do_not_hold_what_earlier_steps_made(spark, monkeypatch):
+    """Searches, document frequencies and inputs are read from files by what follows; repeated in its plans they filled the driver."""
+    from tieline.sources import fixture
+
+    d, seen = "/root/testdata/sf0.001", []
+    plain = vectors.pair_cosine
+
+    def watched(pairs, targets, anchors, name):
+        seen.append(pairs._jdf.queryExecution().optimizedPlan().toString())
+        return plain(pairs, targets, anchors, name)
+
+    monkeypatch.setattr(vectors, "pair_cosine", watched)
+    art = pipeline.Artefacts(pipeline.Config(max_df_frac=0.2, k_deep=10))
+    art.idf = pipeline.fit_idf(fixture.anchors(spark, d), art)
+    seen += [i.table._jdf.queryExecution().optimizedPlan().toString() for i in art.idf.values()]
+    pipeline.candidates(fixture.anchors(spark, d), fixture.targets(spark, d).limit(20), art)
+    assert len(seen) == 6 and all(p.startswith("Relation") for p in seen)
