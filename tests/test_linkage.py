@@ -270,3 +270,20 @@ def test_plans_do_not_hold_what_earlier_steps_made(spark, monkeypatch):
     seen += [i.table._jdf.queryExecution().optimizedPlan().toString() for i in art.idf.values()]
     pipeline.candidates(fixture.anchors(spark, d), fixture.targets(spark, d).limit(20), art)
     assert len(seen) == 6 and all(p.startswith("Relation") for p in seen)
+
+
+@pytest.mark.parametrize("query", ["l10_l12_models", "v5_fit_save_predict"])
+def test_learning_reads_its_inputs_from_files(spark, monkeypatch, query):
+    """The fixture's joins do not stand in each plan of what is learned from it."""
+    from tieline.plans import queries
+
+    class Seen(Exception):
+        pass
+
+    def watched(anchors, targets, links, config):
+        raise Seen([df._jdf.queryExecution().optimizedPlan().toString() for df in (anchors, targets, links)])
+
+    monkeypatch.setattr(pipeline, "fit", watched)
+    with pytest.raises(Seen) as found:
+        queries.QUERIES[query](spark, "/root/testdata/sf0.001")
+    assert all("Relation" in p and "Join" not in p and "Union" not in p for p in found.value.args[0])
