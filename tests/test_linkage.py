@@ -260,9 +260,9 @@ def test_plans_do_not_hold_what_earlier_steps_made(spark, monkeypatch):
     d, seen = "/root/testdata/sf0.001", []
     plain = vectors.pair_cosine
 
-    def watched(pairs, targets, anchors, name):
-        seen.append(pairs._jdf.queryExecution().optimizedPlan().toString())
-        return plain(pairs, targets, anchors, name)
+    def watched(pairs, targets, anchors, name, *asked):
+        seen.extend(x._jdf.queryExecution().optimizedPlan().toString() for x in asked or (pairs,))
+        return plain(pairs, targets, anchors, name, *asked)
 
     monkeypatch.setattr(vectors, "pair_cosine", watched)
     art = pipeline.Artefacts(pipeline.Config(max_df_frac=0.2, k_deep=10))
