@@ -287,3 +287,18 @@ def test_learning_reads_its_inputs_from_files(spark, monkeypatch, query):
     with pytest.raises(Seen) as found:
         queries.QUERIES[query](spark, "/root/testdata/sf0.001")
     assert all("Relation" in p and "Join" not in p and "Union" not in p for p in found.value.args[0])
+
+
+def test_models_learn_from_all_training_links(spark):
+    """Every link trains the encoder or stage 1, whatever their number, and the encoder learns from each block of them."""
+    from tieline.plans import queries
+
+    links = spark.createDataFrame([(f"S2-{k}", f"S1-{k}") for k in range(1500)], "tgt_id string, s1_id string")
+    first, second = (sorted(r["tgt_id"] for r in part.collect()) for part in pipeline.disjoint(links, queries.CONFIG))
+    assert sorted(first + second) == sorted(f"S2-{k}" for k in range(1500)) and min(len(first), len(second)) > 600
+    bags = lambda p: spark.createDataFrame([(f"{p}-{k}", "US", [k + 4000 * (p == "S2"), 8000 + k % 7], [1.0, 0.5]) for k in range(120)], "entity_id string, country string, slots array<int>, weights array<double>")
+    fresh = encoder.fresh_state(42)["table"]
+    for block in (1000, 30):
+        model = encoder.learn_encoder(links.where("cast(substr(tgt_id, 4) as int) < 120"), bags("S1"), bags("S2"), 1, block=block)
+        moved = np.flatnonzero((model.table != fresh).any(axis=1)).tolist()
+        assert moved == [*range(120), *range(4000, 4120), *range(8000, 8007)]
