@@ -302,3 +302,18 @@ def test_models_learn_from_all_training_links(spark):
         model = encoder.learn_encoder(links.where("cast(substr(tgt_id, 4) as int) < 120"), bags("S1"), bags("S2"), 1, block=block)
         moved = np.flatnonzero((model.table != fresh).any(axis=1)).tolist()
         assert moved == [*range(120), *range(4000, 4120), *range(8000, 8007)]
+
+
+def test_equal_targets_have_their_pairs_made_once(spark):
+    """Copies of a target and of its anchors: the same pairs as of each target alone, from one row for each class of targets."""
+    schema = "entity_id string, business_name string, business_address string, country string"
+    names = ["alpha", "beta", "gamma", "delta"]
+    anchors = spark.createDataFrame([(f"S1-{i:02}", f"{names[i % 4]} works", f"{i % 8} oak road", "US") for i in range(24)], schema)
+    targets = spark.createDataFrame([(f"S2-{i:02}", f"{names[i % 3]} works", f"{i % 6} oak road", "US") for i in range(24)], schema)
+    art = pipeline.Artefacts(pipeline.Config(k=3, k_deep=9, max_df_frac=1.0))
+    show = lambda rows: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows.select("tgt_id", "s1_id", *features.STAGE1).collect())
+    made = pipeline.class_candidates(anchors, targets, art)
+    assert made.rows.select("tgt_id").distinct().count() == 6
+    found = show(made.each())
+    alone = [row for k in ("S2-03", "S2-09", "S2-20") for row in show(pipeline.candidates(anchors, targets.where(F.col("entity_id") == k), art))]
+    assert sorted(alone) == [r for r in found if r[0] in ("S2-03", "S2-09", "S2-20")] and len({r[0] for r in found}) == 24
