@@ -317,3 +317,22 @@ def test_equal_targets_have_their_pairs_made_once(spark):
     found = show(made.each())
     alone = [row for k in ("S2-03", "S2-09", "S2-20") for row in show(pipeline.candidates(anchors, targets.where(F.col("entity_id") == k), art))]
     assert sorted(alone) == [r for r in found if r[0] in ("S2-03", "S2-09", "S2-20")] and len({r[0] for r in found}) == 24
+
+
+def test_link_makes_its_pairs_once(spark, monkeypatch):
+    """Stage 1 learns from the pairs that stage 2 decides on; making them twice filled the driver."""
+    from tieline.plans import queries
+
+    class Enough(Exception):
+        pass
+
+    made, plain = [], pipeline.class_candidates
+    monkeypatch.setattr(pipeline, "class_candidates", lambda *a: made.append(1) or plain(*a))
+
+    def stop(*_):
+        raise Enough
+
+    monkeypatch.setattr(pipeline, "stage2", stop)
+    with pytest.raises(Enough):
+        queries.QUERIES["l10_l12_models"](spark, "/root/testdata/sf0.001")
+    assert len(made) == 1
